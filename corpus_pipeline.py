@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from veilframe.llm import exact_dedup
-from veilframe.llm.common import fresh_folder
+from veilframe.llm import decontam, exact_dedup
+from veilframe.llm.common import fresh_folder, table
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word of any benchmark window."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+STAGES = [("exact_dedup", exact), ("decontamination", decontaminated)]
 
 ORACLE_SQL = None
 

@@ -77,3 +77,17 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
             to = min(batch.num_rows, max(at + 1, to))
             yield batch.slice(at, to - at)
             at = to
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: list[str], most: int = 2_000_000) -> DataFrame:
+    """docs less the rows whose keys are in dropped. Up to `most` keys are broadcast, so that the
+    texts stay where they are; more than that are joined by a shuffle. Rows with null keys stay."""
+    dropped = cut(dropped.select(keys).dropDuplicates())
+    few = dropped.count() <= most
+    return docs.join(F.broadcast(dropped) if few else dropped, keys, "left_anti")
+
+
+def within(docs: DataFrame, wanted: DataFrame, keys: list[str], most: int = 2_000_000) -> DataFrame:
+    """The rows of docs whose keys are in wanted (already distinct and cut); see without()."""
+    few = wanted.count() <= most
+    return docs.join(F.broadcast(wanted) if few else wanted, keys, "left_semi")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import cut, frequent
+from veilframe.llm.common import cut, frequent, without
 
 
 def normalised(text: Column) -> Column:
@@ -58,6 +58,24 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     )
 
 
+def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs, same columns, with one row of each group of equal texts: the one of the smallest id.
+
+    Rows to drop are named by (id, digest), so that an id that stands for two texts loses only the
+    one that is a copy; of fully equal rows of one id, which no key tells apart, the first stays."""
+    found = exact_dedup(docs, id_column, text_column)
+    copies = found.where("not kept and doc_id != keep_id").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
+    twins = cut(found.where("not kept and doc_id <=> keep_id").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct())
+    keyed = docs.withColumns({"_id": F.col(id_column), "_digest": F.sha2(F.encode(normalised(F.col(text_column)), "UTF-8"), 256)})
+    kept = without(keyed, copies, ["_id", "_digest"])
+    if twins.isEmpty():
+        return kept.select(docs.columns)
+    same = [kept["_id"].eqNullSafe(twins["_id"]), kept["_digest"] == twins["_digest"]]
+    single = kept.join(twins, same, "left_anti").select(docs.columns)
+    several = kept.join(twins, same, "left_semi").dropDuplicates(["_id", "_digest"]).select(docs.columns)
+    return single.unionByName(several)
+
+
 ORACLE = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilframe.llm import exact_dedup
+from veilframe.llm import decontam, exact_dedup
 from veilframe.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_exact_dedup,)}
+def op7_decontamination(spark, sf_dir):
+    return decontam.report(decontam.find_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {f.__name__: f for f in (op7_decontamination, op9_exact_dedup)}
 
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
