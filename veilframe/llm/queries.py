@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilframe.llm import decontam, exact_dedup
+from veilframe.llm import decontam, exact_dedup, near_dedup, quality
 from veilframe.llm.common import table
 
 
@@ -10,10 +10,19 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op1_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_near_dedup(spark, sf_dir):
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark, sf_dir):
     return decontam.report(decontam.find_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op7_decontamination, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_near_dedup, op7_decontamination, op9_exact_dedup)}
 
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
