@@ -1,10 +1,12 @@
 """MinHash near-dedup by ProbMinHash.
 
-Documents are weighted sets: shingles of five words with their counts. Each shingle emits the
+Documents are weighted sets of shingles of five words; a shingle that occurs c times weighs
+1 + log2(c), so that a line repeated a thousand times doesn't outweigh a text. Each shingle emits the
 arrivals of a Poisson process whose rate is its weight; every arrival picks one of `registers`
 registers, a register keeps its earliest arrival, and a document's arrivals end as soon as they come
 later than the latest kept one. Two registers agree with the probability Jaccard similarity of the
-documents. Bands of registers give candidate pairs, whose similarity is then computed exactly.
+documents. Bands of registers give candidate pairs, which are verified by the exact Jaccard similarity
+of their shingle sets.
 
 Texts with the same words collapse to one node (the smallest doc_id) before banding. In a band
 bucket the nodes are compared with the bucket's smallest node, never all with all; the verified links
@@ -51,13 +53,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def weighted(row: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each (row, shingle) once, with its count; in order of row, then shingle."""
+    """Each (row, shingle) once, with its weight, 1 + log2(count); in order of row, then shingle."""
     order = np.lexsort((mark, row))
     row, mark = row[order], mark[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (mark[1:] != mark[:-1])
     at = np.flatnonzero(new)
-    return row[at], mark[at], np.diff(np.append(at, len(row))).astype(np.float64)
+    return row[at], mark[at], 1 + np.log2(np.diff(np.append(at, len(row))))
 
 
 def prob_minhash(row: np.ndarray, mark: np.ndarray, weight: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -70,7 +72,7 @@ def prob_minhash(row: np.ndarray, mark: np.ndarray, weight: np.ndarray, n: int,
         uniform = ((noise >> U(11)).astype(np.float64) + 0.5) / (1 << 53)
         at[live] -= np.log(uniform) / weight[live]
         live = live[at[live] < latest[row[live]]]
-        pick = (mix(mark[live] + U(turn) * U(0xD6E8FEB86659FD93)) >> U(33)) % U(m)
+        pick = (mix(mark[live] + np.full(1, turn, U) * U(0xD6E8FEB86659FD93)) >> U(33)) % U(m)
         slot = row[live] * m + pick.astype(np.int64)
         np.minimum.at(best, slot, at[live])
         won = at[live] == best[slot]
@@ -91,23 +93,10 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    """The larger of set Jaccard and probability Jaccard of two sorted arrays of 32-bit shingle hashes."""
-    x, p = np.unique(np.frombuffer(a, np.uint32), return_counts=True)
-    y, q = np.unique(np.frombuffer(b, np.uint32), return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    if not len(i):
-        return 0.0
-    plain = len(i) / (len(x) + len(y) - len(i))
-    if p.max() == 1 and q.max() == 1:
-        return plain
-    v, w = p[i].astype(float), q[j].astype(float)
-    order = np.argsort(v / w)
-    v, w, ratio = v[order], w[order], (v / w)[order]
-    # sum of max(v'/v, w'/w) over all shingles: v'/v where v'/w' >= v/w, else w'/w
-    above = p.sum() - v.sum() + np.cumsum(v[::-1])[::-1]
-    below = q.sum() - w.sum() + np.concatenate([[0], np.cumsum(w)[:-1]])
-    start = np.searchsorted(ratio, ratio, "left")
-    return max(plain, float((1 / (above[start] / v + below[start] / w)).sum()))
+    """Jaccard similarity of two shingle sets, given as sorted 32-bit hashes without repeats."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
 
 
 FEATURES = "doc_id long, h1 long, h2 long, bands array<long>"
@@ -130,14 +119,14 @@ def features(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def contents(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id and its shingles as sorted 32-bit hashes, repeats included."""
+    """doc_id and its set of shingles as sorted 32-bit hashes."""
 
     def run(batches):
         for batch in pieces(batches, "text"):
             row, mark, _, _ = shingles(*utf8(batch.column("text")), n)
             small = (mark >> U(32)).astype(np.uint32)
-            order = np.lexsort((small, row))
-            small, edge = small[order], np.searchsorted(row[order], np.arange(batch.num_rows + 1))
+            row, small, _ = weighted(row, small)
+            edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
             parts = [small[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(parts, pa.binary())], ["id", "content"])
 
@@ -172,7 +161,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def links(docs: DataFrame, nodes: DataFrame, threshold: float, n: int, rounds: int = 2) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, threshold: float, n: int, rounds: int = 1) -> DataFrame:
     """(node, comp) of the nodes that have a link; nodes: node, bands."""
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
@@ -194,25 +183,72 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float, n: int, rounds: i
             # another centre of the bucket for those that are not in its component
             order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "comp")
             centres = open_.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", F.col("c.node").alias("b"), F.col("c.comp").alias("to"))
-            more = open_.join(centres, "bucket").where("comp != to").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
+            more, blocked = open_.join(centres, "bucket").where("comp != to").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")), None
         else:
-            # the rest: across components of a bucket, all but the bucket's largest component against each other node
-            sizes = open_.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-            largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
-            rest = open_.join(largest, "bucket").where("comp != main")
-            left = rest.select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"))
-            more = left.join(open_, "bucket").where("comp != cx").select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
+            more, blocked = remainder(open_, content, threshold)
         more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            if turn < rounds:
-                continue
-            return comps
         found = verify(more, content, threshold)
-        edges = cut(edges.unionByName(found))
+        edges = cut(edges.unionByName(found if turn < rounds else found.unionByName(blocked)))
         tried = tried.unionByName(more)
     return components(edges)
 
 
+def remainder(open_: DataFrame, content: DataFrame, threshold: float, small: int = 64, x_tile: int = 256, y_tile: int = 1024):
+    """What is still apart in the open buckets (bucket, node, comp): all nodes but those of a
+    bucket's largest component, against every node of another component.
+
+    For buckets of `small` nodes at most: candidate pairs (a, b). Larger ones are dealt out in tiles
+    of bounded size, compared by exact matrix products inside a tile: links (a, b), for each node
+    the most similar one of each other component at most."""
+    sizes = open_.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("total"))
+    sizes = sizes.select("bucket", "total", F.col("m.comp").alias("main"), (F.col("total") - F.col("m.n")).alias("others"))
+    placed = cut(open_.join(sizes, "bucket"))
+    little = placed.where(F.col("total") <= small)
+    left = little.where("comp != main").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"))
+    right = little.select("bucket", "node", "comp")
+    pairs = left.join(right, "bucket").where("comp != cx").select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
+
+    great = placed.where(F.col("total") > small)
+    tiles = lambda count, size: F.ceil(F.col(count) / size).cast("int")
+    own = lambda count, size: F.pmod(F.xxhash64("node"), tiles(count, size)).cast("int")
+    every = lambda count, size: F.explode(F.sequence(F.lit(0), tiles(count, size) - 1))
+    asked = great.where("comp != main").select("bucket", "node", "comp", own("others", x_tile).alias("tx"), every("total", y_tile).alias("ty"), F.lit(True).alias("asks"))
+    others = great.select("bucket", "node", "comp", own("total", y_tile).alias("ty"), every("others", x_tile).alias("tx"), F.lit(False).alias("asks"))
+    rows = asked.unionByName(others).join(content.withColumnRenamed("id", "node"), "node")
+
+    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+        return tile_links(tile[tile.asks], tile[~tile.asks], threshold)
+
+    linked = rows.groupBy("bucket", "tx", "ty").applyInPandas(compare, "a long, b long").distinct()
+    return pairs, linked
+
+
+def tile_links(x: pd.DataFrame, y: pd.DataFrame, threshold: float, columns: int = 8192) -> pd.DataFrame:
+    """Exact similarities of the rows of x with those of y (node, comp, content)."""
+    sets = [[np.frombuffer(c, np.uint32) for c in side.content] for side in (x, y)]
+    known = [np.concatenate([*side, np.empty(0, np.uint32)]) for side in sets]
+    lengths = [np.array([len(s) for s in side], np.int64) for side in sets]
+    words = np.intersect1d(*known)
+    shared = np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, len(words), columns):
+        part = words[at : at + columns]
+        grids = []
+        for marks, sizes in zip(known, lengths, strict=True):
+            grid = np.zeros((len(sizes), len(part)), np.float32)
+            place = np.minimum(np.searchsorted(part, marks), len(part) - 1)
+            here = part[place] == marks
+            grid[np.repeat(np.arange(len(sizes)), sizes)[here], place[here]] = 1
+            grids.append(grid)
+        shared += grids[0] @ grids[1].T
+    alike = shared / np.maximum(lengths[0][:, None] + lengths[1][None, :] - shared, 1)
+    xs, ys, cx, cy = (v.to_numpy() for v in (x.node, y.node, x.comp, y.comp))
+    i, j = np.nonzero((alike >= threshold) & (cx[:, None] != cy[None, :]))
+    best = pd.DataFrame({"i": i, "j": j, "c": cy[j], "s": alike[i, j]}).sort_values(["s", "j"], ascending=[False, True]).drop_duplicates(["i", "c"])
+    a, b = xs[best.i], ys[best.j]
+    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 24, rows: int = 5) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest doc_id of its class), class_size, kept."""
     found = cut(features(docs, n, bands, rows))
