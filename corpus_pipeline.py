@@ -1,11 +1,21 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and reread by the next.
+
+A stage works on every row that its predecessor kept. All but the last return the columns of
+documents; the last returns what the encoder reports of each document that is left."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import decontam, exact_dedup
+from veilframe.llm import bpe_tree, decontam, exact_dedup, near_dedup, quality
 from veilframe.llm.common import fresh_folder, table
+from veilframe.llm.queries import vocabulary
+from veilframe.session import ship
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,20 +23,39 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_dedup.keep_one(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word of any benchmark window."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("exact_dedup", exact), ("decontamination", decontaminated)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of what they decode to."""
+    return bpe_tree.round_trip(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", good),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("decontamination", decontaminated),
+    ("bpe_tree", encoded),
+]
 
+#: A learned classifier, ProbMinHash candidates and BPE can't be said in SQL; tests hold the
+#: pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        out = fresh_folder(spark, "stage")
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        out = fresh_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return docs

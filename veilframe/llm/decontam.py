@@ -81,6 +81,18 @@ class WindowSet:
         return np.bincount(rows, minlength=n), hit, items, starts, ends, rows
 
 
+def hit_runs(hit, starts, ends, rows, offsets, n: int) -> list[list[dict]]:
+    """For each of n rows the byte ranges of its runs of hit words."""
+    runs: list[list[dict]] = [[] for _ in range(n)]
+    edge = np.flatnonzero(hit)
+    if len(edge):
+        breaks = np.flatnonzero((np.diff(edge) > 1) | (np.diff(rows[edge]) > 0))
+        for a, b in zip(np.append(0, breaks + 1), np.append(breaks, len(edge) - 1), strict=True):
+            row = int(rows[edge[a]])
+            runs[row].append({"start": int(starts[edge[a]] - offsets[row]), "stop": int(ends[edge[b]] - offsets[row])})
+    return runs
+
+
 def scan_batches(sets, n: int):
     def run(batches):
         known = sets.value
@@ -88,13 +100,7 @@ def scan_batches(sets, n: int):
             data, offsets = utf8(batch.column("text"))
             n_words, hit, items, starts, ends, rows = known.scan(data, offsets)
             n_hit = np.bincount(rows[hit], minlength=batch.num_rows)
-            runs: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            edge = np.flatnonzero(hit)
-            if len(edge):
-                breaks = np.flatnonzero((np.diff(edge) > 1) | (np.diff(rows[edge]) > 0))
-                for a, b in zip(np.append(0, breaks + 1), np.append(breaks, len(edge) - 1), strict=True):
-                    row = int(rows[edge[a]])
-                    runs[row].append({"start": int(starts[edge[a]] - offsets[row]), "stop": int(ends[edge[b]] - offsets[row])})
+            runs = hit_runs(hit, starts, ends, rows, offsets, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
@@ -153,10 +159,7 @@ def merge(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int) -> Da
                     for r in runs or ():
                         hit[lo:hi] |= (starts[lo:hi] - offsets[row] >= r["start"]) & (ends[lo:hi] - offsets[row] <= r["stop"])
                 new_items = [sorted({*(old_items[i] or ()), *items.get(i, ())}) for i in range(batch.num_rows)]
-                runs = [[] for _ in range(batch.num_rows)]
-                for w in np.flatnonzero(hit).tolist():
-                    row = int(rows[w])
-                    runs[row].append({"start": int(starts[w] - offsets[row]), "stop": int(ends[w] - offsets[row])})
+                runs = hit_runs(hit, starts, ends, rows, offsets, batch.num_rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").cast(pa.int64()),
@@ -215,11 +218,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: st
                     yield batch.filter(pa.array(~touched))
                     continue
                 if touched.any():
-                    ranges = defaultdict(list)
-                    for w in np.flatnonzero(hit).tolist():
-                        base = offsets[rows[w]]
-                        ranges[int(rows[w])].append({"start": starts[w] - base, "stop": ends[w] - base})
-                    texts = [cut_spans(t, ranges.get(i)) for i, t in enumerate(batch.column("text").to_pylist())]
+                    ranges = hit_runs(hit, starts, ends, rows, offsets, batch.num_rows)
+                    texts = [cut_spans(t, ranges[i]) for i, t in enumerate(batch.column("text").to_pylist())]
                     at = batch.schema.get_field_index("text")
                     batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
                 yield batch

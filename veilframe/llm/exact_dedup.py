@@ -63,16 +63,18 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     Rows to drop are named by (id, digest), so that an id that stands for two texts loses only the
     one that is a copy; of fully equal rows of one id, which no key tells apart, the first stays."""
+    keys = ["_none", "_id", "_digest"]
+    named = lambda id_, digest: [F.isnull(id_).alias("_none"), F.coalesce(F.col(id_), F.lit(0)).alias("_id"), digest.alias("_digest")]
     found = exact_dedup(docs, id_column, text_column)
-    copies = found.where("not kept and doc_id != keep_id").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    twins = cut(found.where("not kept and doc_id <=> keep_id").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct())
-    keyed = docs.withColumns({"_id": F.col(id_column), "_digest": F.sha2(F.encode(normalised(F.col(text_column)), "UTF-8"), 256)})
-    kept = without(keyed, copies, ["_id", "_digest"])
+    gone = found.where("not kept").select(*named("doc_id", F.col("text_sha256")), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("twin"))
+    gone = cut(gone)
+    twins = cut(gone.where("twin").select(keys).distinct())
+    keyed = docs.select("*", *named(id_column, F.sha2(F.encode(normalised(F.col(text_column)), "UTF-8"), 256)))
+    kept = without(keyed, gone.where("not twin"), keys)
     if twins.isEmpty():
         return kept.select(docs.columns)
-    same = [kept["_id"].eqNullSafe(twins["_id"]), kept["_digest"] == twins["_digest"]]
-    single = kept.join(twins, same, "left_anti").select(docs.columns)
-    several = kept.join(twins, same, "left_semi").dropDuplicates(["_id", "_digest"]).select(docs.columns)
+    single = kept.join(twins, keys, "left_anti").select(docs.columns)
+    several = kept.join(twins, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
     return single.unionByName(several)
 
 

@@ -56,7 +56,7 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def layout(data: np.ndarray, offsets: np.ndarray, width: int, chunk: int):
     """Padded bytes of all rows, first position of each chunk, and first chunk of each row."""
     sizes = np.diff(offsets)
-    chunks = np.maximum(1, -(-sizes // chunk))
+    chunks = -(-(sizes + width) // chunk)  # room for padding, so that no window needs the next row's bytes
     first = np.concatenate([[0], np.cumsum(chunks)])
     padded = np.zeros(first[-1] * chunk + width, np.uint8)
     rows = np.repeat(np.arange(len(sizes)), sizes)
@@ -64,12 +64,15 @@ def layout(data: np.ndarray, offsets: np.ndarray, width: int, chunk: int):
     return padded, first
 
 
-def convolve(net: Net, padded: np.ndarray) -> np.ndarray:
-    """positions x filters, before the rectifier."""
+def convolve(net: Net, padded: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """chunks x positions x filters, before the rectifier. last: the rows' last chunks, whose last
+    windows would reach into the next row and don't count."""
     n = len(padded) - net.width
     total = net.tables[0][padded[:n]]
     for j in range(1, net.width):
         total += net.tables[j][padded[j : n + j]]
+    total = total.reshape(-1, net.chunk, total.shape[1])
+    total[last, 1 - net.width :] = -np.inf
     return total
 
 
@@ -79,8 +82,9 @@ def pooled(net: Net, data: np.ndarray, offsets: np.ndarray, step: int = 1 << 12)
     parts = []
     for at in range(0, first[-1], step):
         to = min(first[-1], at + step)
-        acts = convolve(net, padded[at * net.chunk : to * net.chunk + net.width])
-        parts.append(acts.reshape(to - at, net.chunk, -1).max(1))
+        last = first[1:] - 1 - at
+        last = last[(last >= 0) & (last < to - at)]
+        parts.append(convolve(net, padded[at * net.chunk : to * net.chunk + net.width], last).max(1))
     return np.maximum(np.concatenate(parts) + net.bias, 0), first
 
 
@@ -114,7 +118,7 @@ def fit(texts: list[str], labels: list[int], filters: int = 12, width: int = 5,
             pick = order[at : at + batch]
             data, offsets = utf8(pa.array([texts[i] for i in pick], pa.string()))
             padded, first = layout(symbols(data, offsets), offsets, width, chunk)
-            acts = convolve(net, padded).reshape(first[-1], chunk, filters)
+            acts = convolve(net, padded, first[1:] - 1)
             where = acts.argmax(1)
             raw = np.take_along_axis(acts, where[:, None, :], 1)[:, 0] + net.bias
             values = np.maximum(raw, 0)

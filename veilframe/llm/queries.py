@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from veilframe.llm import decontam, exact_dedup, near_dedup, quality
+from veilframe.llm import bpe_tree, decontam, exact_dedup, html_extract, near_dedup, quality, sharding, token_store, url_filter, warc
 from veilframe.llm.common import table
 
 
-def op9_exact_dedup(spark, sf_dir):
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+def vocabulary(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_quality_classifier(spark, sf_dir):
@@ -19,10 +21,52 @@ def op2_near_dedup(spark, sf_dir):
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_bpe_tree(spark, sf_dir):
+    return bpe_tree.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op6_token_store(spark, sf_dir):
+    return token_store.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op7_decontamination(spark, sf_dir):
     return decontam.report(decontam.find_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_near_dedup, op7_decontamination, op9_exact_dedup)}
+def op8_sharding(spark, sf_dir):
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op9_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_near_dedup,
+        op3_url_filter,
+        op4_warc,
+        op5_bpe_tree,
+        op6_token_store,
+        op7_decontamination,
+        op8_sharding,
+        op9_exact_dedup,
+        op10_html_extract,
+    )
+}
 
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}

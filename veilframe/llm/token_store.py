@@ -183,7 +183,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, fi
             starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
             data = pack(Dac.build(np.concatenate(ids)), np.array([d or 0 for d in doc_ids], np.int64), starts, known)
             name = attempt_name("tokens", f"{made}.dac")
-            with system.open_output_stream(f"{root}/{name}") as out:
+            with system.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(data)
             part = int(name.split("-")[1])
             row = [[name], [part * 100_000 + made], [doc_ids[0]], [len(doc_ids)], [size]]

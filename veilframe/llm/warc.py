@@ -109,7 +109,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, hot: int = 4096) ->
             for batch in pieces(batches, "html", 4 << 20):
                 if out is None:
                     name = attempt_name("pages", "warc.gz")
-                    out = system.open_output_stream(f"{root}/{name}")
+                    out = system.open_output_stream(f"{root}/{name}", compression=None)
                 rows = []
                 for r in batch.to_pylist():
                     payload = r["html"].encode()
