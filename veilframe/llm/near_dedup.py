@@ -10,9 +10,8 @@ of their shingle sets.
 
 Texts with the same words collapse to one node (the smallest doc_id) before banding. In a band
 bucket the nodes are compared with the bucket's smallest node, never all with all; the verified links
-are joined to components; nodes of a bucket that are then still apart are compared with other centres
-of the bucket, and what is left, pairwise across components only - inside a component a further
-link changes nothing. Every step is a DataFrame join or aggregate; no group is collected.
+are joined to components; nodes of a bucket that are then still apart are compared across components
+only - inside a component a further link changes nothing. Every step is a DataFrame join or aggregate; no group is collected.
 
 Null, empty and wordless texts form no links and are a class of their own each; texts of fewer than
 five words have one shingle, of all their words; rows that share a doc_id count as one document; a
@@ -134,7 +133,7 @@ def contents(docs: DataFrame, n: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of distinct documents with a similarity of threshold or more."""
+    """Those of the pairs (a, b, ...) of documents that have a similarity of threshold or more."""
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -142,7 +141,7 @@ def verify(pairs: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
 
     left = content.select(F.col("id").alias("a"), F.col("content").alias("x"))
     right = content.select(F.col("id").alias("b"), F.col("content").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(alike("x", "y") >= threshold).select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").where(alike("x", "y") >= threshold).select(pairs.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -161,53 +160,47 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def links(docs: DataFrame, nodes: DataFrame, threshold: float, n: int, rounds: int = 1) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, threshold: float, n: int) -> DataFrame:
     """(node, comp) of the nodes that have a link; nodes: node, bands."""
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
     near = cut(members.join(shared, "bucket"))  # (bucket, node, centre) of buckets with several nodes
-    pairs = cut(near.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
+    pairs = near.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     involved = cut(near.select(F.col("node").alias("doc_id")).distinct())
-    content = cut(contents(within(docs, involved, ["doc_id"]), n))  # read by every round
-    edges = cut(verify(pairs, content, threshold))
-    tried = pairs
-    for turn in range(rounds + 1):
-        comps = components(edges)
-        own = F.coalesce("comp", "node").alias("comp")
-        placed = near.join(comps, "node", "left").select("bucket", "node", own)
-        split = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        open_ = cut(placed.join(split.select("bucket"), "bucket"))
-        if open_.isEmpty():
-            return comps
-        if turn < rounds:
-            # another centre of the bucket for those that are not in its component
-            order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "comp")
-            centres = open_.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", F.col("c.node").alias("b"), F.col("c.comp").alias("to"))
-            more, blocked = open_.join(centres, "bucket").where("comp != to").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")), None
-        else:
-            more, blocked = remainder(open_, content, threshold)
-        more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"))
-        found = verify(more, content, threshold)
-        edges = cut(edges.unionByName(found if turn < rounds else found.unionByName(blocked)))
-        tried = tried.unionByName(more)
-    return components(edges)
+    content = cut(contents(within(docs, involved, ["doc_id"]), n))  # read by every verification
+    comps = components(cut(verify(pairs, content, threshold)))
+    placed = near.join(comps, "node", "left").select("bucket", "node", "centre", F.coalesce("comp", "node").alias("comp"))
+    placed = cut(placed)
+    split = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    open_ = cut(placed.join(split.select("bucket"), "bucket", "left_semi"))
+    if open_.isEmpty():
+        return comps
+    pairs, blocked = remainder(open_, content, threshold)
+    found = cut(verify(pairs.distinct(), content, threshold).unionByName(blocked).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if found.isEmpty():
+        return comps
+    merged = components(found)
+    moved = comps.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
+    return moved.select("node", F.coalesce("to", "comp").alias("comp")).unionByName(merged).distinct()
 
 
 def remainder(open_: DataFrame, content: DataFrame, threshold: float, small: int = 64, x_tile: int = 256, y_tile: int = 1024):
-    """What is still apart in the open buckets (bucket, node, comp): all nodes but those of a
-    bucket's largest component, against every node of another component.
+    """What is still apart in the open buckets (bucket, node, centre, comp): all nodes but those of a
+    bucket's largest component, against every node of another component but the centre, with which
+    all have been compared.
 
-    For buckets of `small` nodes at most: candidate pairs (a, b). Larger ones are dealt out in tiles
-    of bounded size, compared by exact matrix products inside a tile: links (a, b), for each node
-    the most similar one of each other component at most."""
+    For buckets of `small` nodes at most: candidate pairs (a, b, ca, cb). Larger ones are dealt out in
+    tiles of bounded size, compared by exact matrix products inside a tile: links (a, b, ca, cb), for
+    each node the most similar one of each other component at most."""
     sizes = open_.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("total"))
     sizes = sizes.select("bucket", "total", F.col("m.comp").alias("main"), (F.col("total") - F.col("m.n")).alias("others"))
-    placed = cut(open_.join(sizes, "bucket"))
+    placed = cut(open_.where("node != centre").join(sizes, "bucket"))
     little = placed.where(F.col("total") <= small)
-    left = little.where("comp != main").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    right = little.select("bucket", "node", "comp")
-    pairs = left.join(right, "bucket").where("comp != cx").select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
+    left = little.where("comp != main").select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"))
+    right = little.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"), "main")
+    # of two nodes outside the largest component, one asks
+    pairs = left.join(right, "bucket").where("ca != cb and (cb = main or a > b)").select("a", "b", "ca", "cb")
 
     great = placed.where(F.col("total") > small)
     tiles = lambda count, size: F.ceil(F.col(count) / size).cast("int")
@@ -220,8 +213,7 @@ def remainder(open_: DataFrame, content: DataFrame, threshold: float, small: int
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         return tile_links(tile[tile.asks], tile[~tile.asks], threshold)
 
-    linked = rows.groupBy("bucket", "tx", "ty").applyInPandas(compare, "a long, b long").distinct()
-    return pairs, linked
+    return pairs, rows.groupBy("bucket", "tx", "ty").applyInPandas(compare, "a long, b long, ca long, cb long")
 
 
 def tile_links(x: pd.DataFrame, y: pd.DataFrame, threshold: float, columns: int = 8192) -> pd.DataFrame:
@@ -245,8 +237,7 @@ def tile_links(x: pd.DataFrame, y: pd.DataFrame, threshold: float, columns: int
     xs, ys, cx, cy = (v.to_numpy() for v in (x.node, y.node, x.comp, y.comp))
     i, j = np.nonzero((alike >= threshold) & (cx[:, None] != cy[None, :]))
     best = pd.DataFrame({"i": i, "j": j, "c": cy[j], "s": alike[i, j]}).sort_values(["s", "j"], ascending=[False, True]).drop_duplicates(["i", "c"])
-    a, b = xs[best.i], ys[best.j]
-    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+    return pd.DataFrame({"a": xs[best.i], "b": ys[best.j], "ca": cx[best.i], "cb": cy[best.j]})
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 24, rows: int = 5) -> DataFrame:
