@@ -1,0 +1,45 @@
+"""The connector to a language model: answers for masked conversations, in batches of rows.
+
+Without an address the answer is made in SQL (plans.engine.demo_answer); a client is any function of a list of
+{role, content} messages, called on the executors."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def answers(client: Callable[[list[dict]], str], retries: int = 2) -> Callable[[Column], Column]:
+    """A column function for Engine.chat: the client's answer, or null where it keeps failing."""
+
+    @F.pandas_udf("string")
+    def ask(conversations: pd.Series) -> pd.Series:
+        out = []
+        for messages in conversations:
+            said = [{"role": m["role"], "content": m["masked"]} for m in messages]
+            text = None
+            for _ in range(retries + 1):
+                try:
+                    text = client(said)
+                    break
+                except OSError:  # the network's; anything else is a bug to show
+                    continue
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    return ask
+
+
+def chunks_to_text(lines: list[str]) -> str:
+    """The text of a server-sent event stream of answer deltas."""
+    import json
+
+    out = []
+    for line in lines:
+        if line.startswith("data:") and line[5:].strip() != "[DONE]":
+            for choice in json.loads(line[5:]).get("choices", []):
+                out.append((choice.get("delta") or choice.get("message") or {}).get("content") or "")
+    return "".join(out)
