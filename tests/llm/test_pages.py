@@ -113,3 +113,27 @@ def test_lcs():
     a, b = list("abcbdab"), list("bdcaba")
     assert len(html_extract.common(a, b)) == 4
     assert html_extract.common([], b) == set() and html_extract.common(a, a) == set(range(7))
+
+
+@pytest.mark.parametrize(
+    "attributes, furniture",
+    [
+        ('class="ad"', True),
+        ("id=cookie-banner", True),
+        ("class='commentList'", True),
+        ('class="article-comments"', True),
+        ('class="content share-enabled"', False),
+        ('class="entry-content"', False),
+        ('class="no-sidebar-page wide"', False),
+        ('role="navigation"', True),
+        ('href="/ad/comments"', False),
+    ],
+)
+def test_marks(attributes, furniture):
+    assert html_extract.marked(attributes) == furniture
+
+
+def test_comments_inside_articles_and_odd_markup():
+    page = '<article class="has-sidebar"><header><h1>T</h1></header><p>a<p>b<ul><li>c</ul><div hidden>x</div><pre>d\n e</pre><article class="comment"><p>no</article>g</article><p>after'
+    assert html_extract.main_text(html_extract.lines(page), None) == "T a b c d e g"
+    assert html_extract.main_text(html_extract.lines("<p>1 < 2 &amp; 3 > 2<!-- x --><script>var a='<p>';</script> end"), None) == "1 < 2 & 3 > 2 end"
