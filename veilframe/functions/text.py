@@ -92,6 +92,29 @@ def matches(c: Column | str, pattern: str) -> Column:
     return F.when(F.size(found) > 0, listed).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
 
 
+def is_boundary(c: Column | str, at: Column) -> Column:
+    """Whether a character offset is an edge of the text or has no word character on one of its sides."""
+    c = col(c)
+    word = lambda i: F.substring(c, i, 1).rlike(WORD)
+    return (at <= 0) | (at >= F.length(c)) | ~(word(at) & word(at + 1))
+
+
+def expand_word(c: Column | str, start: Column, end: Column) -> Column:
+    """A character range grown to whole words: struct(start, end)."""
+    c = col(c)
+    left = F.length(F.regexp_extract(F.substring(c, F.lit(1), start), f"{WORD}*$", 0))
+    right = F.length(F.regexp_extract(F.substring(c, end + 1, F.length(c)), f"^{WORD}*", 0))
+    return F.struct((start - left).alias("start"), (end + right).alias("end"))
+
+
+def trim_edges(c: Column | str, start: Column, end: Column) -> Column:
+    """A character range without what is neither letter nor digit at its edges: struct(start, end)."""
+    value = F.substring(col(c), start + 1, end - start)
+    left = F.length(F.regexp_extract(value, r"^[^\p{L}\p{Nd}]*", 0))
+    right = F.length(F.regexp_extract(value, r"[^\p{L}\p{Nd}]*$", 0))
+    return F.when(left >= end - start, F.struct(start.alias("start"), start.alias("end"))).otherwise(F.struct((start + left).alias("start"), (end - right).alias("end")))
+
+
 def digits_only(c: Column | str) -> Column:
     return F.regexp_replace(col(c), "[^0-9]", "")
 

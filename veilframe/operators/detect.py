@@ -64,13 +64,22 @@ def spans_of(text: str | None, enabled: frozenset[str], ref_year: int, dictionar
     return resolve(found)
 
 
-def scanned(text: Column, types: Iterable[str], ref_year: int = 2025, dictionaries: dict | None = None, size: int = 64 << 10, overlap: int = 256) -> Column:
-    """The spans that the context scanners find, resolved. Disabled categories aren't looked for."""
+def scanned(text: Column, types: Iterable[str], ref_year: int = 2025, dictionaries: dict | None = None, size: int = 64 << 10, overlap: int = 256, on_error: str = "fail") -> Column:
+    """The spans that the context scanners find, resolved. Disabled categories aren't looked for. A
+    scanner's failure fails the task, or with on_error "echo" leaves the text without spans."""
     enabled, words = frozenset(types), dictionaries or {}
 
+    def one(text: str | None) -> list[dict]:
+        try:
+            return [s._asdict() for s in spans_of(text, enabled, ref_year, words, size, overlap)]
+        except Exception:
+            if on_error == "fail":
+                raise
+            return []
+
     @F.pandas_udf(SPANS)
     def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([[s._asdict() for s in spans_of(t, enabled, ref_year, words, size, overlap)] for t in texts], dtype=object)
+        return pd.Series([one(t) for t in texts], dtype=object)
 
     # the mark keeps Catalyst from merging a second detection into what reads it, as it must not in an aggregate
     return found.asNondeterministic()(text)
@@ -94,7 +103,7 @@ def explode_chunks(df: DataFrame, key: str, text: str, size: int = 64 << 10, ove
     return source.mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, offset int, chunk string")
 
 
-def detect(df: DataFrame, text: str = "payload", types: Iterable[str] = (), custom: Iterable = (), ref_year: int = 2025, dictionaries: dict | None = None, size: int = 64 << 10, overlap: int = 256, out: str = "spans") -> DataFrame:
+def detect(df: DataFrame, text: str = "payload", types: Iterable[str] = (), custom: Iterable = (), ref_year: int = 2025, dictionaries: dict | None = None, size: int = 64 << 10, overlap: int = 256, out: str = "spans", on_error: str = "fail") -> DataFrame:
     """df with a column of resolved spans.
 
     If all enabled categories have native detectors the whole detection is native; else the scanners
@@ -105,7 +114,7 @@ def detect(df: DataFrame, text: str = "payload", types: Iterable[str] = (), cust
     if types and set(types) <= NATIVE_ONLY and not dictionaries:
         found = native.detect(c, types)
     elif types:
-        found = scanned(c, types, ref_year, dictionaries, size, overlap)
+        found = scanned(c, types, ref_year, dictionaries, size, overlap, on_error)
     else:
         found = F.array().cast(SPANS)
     extra = [native.custom(c, t.name, t.pattern, t.anchors, t.window or 40) for t in custom]

@@ -185,14 +185,14 @@ def looks_label_masked(text: Column | str, has_label_rule: Column) -> Column:
 
 
 #: fixed values: words of a field's label, which a widened span takes in
-LABEL_WORDS = "паспорт паспорта серия серии номер номера дата выдачи рождения кем выдан код подразделения телефон тел почта адрес город улица ул дом квартира кв инн снилс карта карты счет счёт фио имя фамилия".split()
+LABEL_WORDS = "серия серии номер номера № паспорт паспорта код подразделения подразделение выдан выдана выдано инн снилс полис удостоверение свидетельство билет адрес адреса индекс г город ул улица улице пр проспект пер переулок д дом дома кв квартира корп корпус стр строение тел телефон телефона моб почта email mail e карта карты счет счёт счета cvv пин фио дата рождения рожден".split()
 
 
 def expand_labels(text: Column | str, spans: Column) -> Column:
     """Spans widened to the left over at most two label words, at most 8 bytes away, on the same line."""
     data = utf8(col(text))
     words = "|".join(sorted(LABEL_WORDS, key=len, reverse=True))
-    label = rf"(?iu)(?<![\p{{L}}\p{{Nd}}_])((?:(?:{words})\.?[ \t:№#—–-]{{1,4}}){{1,2}})$"
+    label = rf"(?iu)(?<![\p{{L}}\p{{Nd}}_])((?:(?:{words})\.?[ \t:№#—–-]{{1,8}}){{1,2}})$"
 
     def widened(s: Column, i: Column) -> Column:
         floor = F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))

@@ -76,6 +76,7 @@ class Config:
     chunk_bytes: int = 64 << 10
     chunk_overlap: int = 256
     ref_year: int = 2025  # dates later than the year after this aren't plausible
+    on_error: str = "fail"  # or "echo": a payload that a detector fails on stays as it is
     words: str = ""  # a folder of additional word lists
 
     def system(self, id_: str | None) -> System | None:
@@ -158,6 +159,8 @@ def problems(c: Config) -> list[str]:
             if not 0 <= r.min_confidence <= 1:
                 out.append(f"system {s.id!r}, {name}: confidence must be 0 to 1")
             out += [f"system {s.id!r}, {name}: unknown companion {x!r}" for x in r.requires_companion if x not in known]
+    if c.on_error not in ("fail", "echo"):
+        out.append(f"unknown on_error {c.on_error!r}")
     if c.store.max_bytes < 2 * c.store.max_value_bytes:
         out.append("store: max_bytes must be twice max_value_bytes at least")
     if c.store.ttl_ms <= 0 or c.store.shards <= 0 or c.store.max_entries <= 0:

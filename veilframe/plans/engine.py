@@ -53,7 +53,7 @@ class Engine:
     def _kept(self, df: DataFrame, systems: list[System], text: str) -> DataFrame:
         """df with the spans that its systems' rules let pass; the systems enable the same categories."""
         c = self.config
-        found = detect(df, text, self._enabled(systems[0]), c.custom_types, c.ref_year, self.dictionaries, c.chunk_bytes, c.chunk_overlap)
+        found = detect(df, text, self._enabled(systems[0]), c.custom_types, c.ref_year, self.dictionaries, c.chunk_bytes, c.chunk_overlap, on_error=c.on_error)
         floors = {t.name: t.min_confidence for t in c.custom_types if t.name not in systems[0].types}
         plain = not floors and all(r.enabled and not r.requires_companion and r.min_confidence in (0, 0.7) for s in systems for r in s.types.values())
         if plain:  # one floor for all: a map lookup of each span would say the same
