@@ -12,8 +12,8 @@ from veilframe.functions.types import FALLBACK_LABEL, LABEL
 ALNUM = r"[\p{L}\p{Nd}]"
 NOT_ALNUM = r"[^\p{L}\p{Nd}]"
 
-# fixed value: what tokens are salted with unless the configuration says otherwise
-TOKEN_SALT = "pdguard.v1.token"
+#: What tokens are salted with unless the configuration says otherwise.
+TOKEN_SALT = "veilframe.v1.token"
 
 
 def stars(c: Column, head: int, tail: int) -> Column:

@@ -11,7 +11,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.functions.masks import STRATEGIES
+from veilframe.functions.masks import STRATEGIES, TOKEN_SALT
 from veilframe.functions.types import NAMES
 
 DEFAULT_FLOOR = 0.7
@@ -76,6 +76,7 @@ class Config:
     chunk_bytes: int = 64 << 10
     chunk_overlap: int = 256
     ref_year: int = 2025  # dates later than the year after this aren't plausible
+    token_salt: str = TOKEN_SALT  # equal salts give equal tokens
     on_error: str = "fail"  # or "echo": a payload that a detector fails on stays as it is
     words: str = ""  # a folder of additional word lists
 

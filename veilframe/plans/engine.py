@@ -78,7 +78,7 @@ class Engine:
         used = {strategy} if strategy else {r.strategy for s in systems for r in s.types.values()} | {t.strategy for t in c.custom_types}
         labels = {t.name: t.label for t in c.custom_types if t.label}
         names = by_system(systems, lambda s: strategy_map(s, c, strategy))
-        out = kept.withColumn("_data", utf8(text)).withColumn("_made", S.apply_masks(F.col("_data"), F.col("spans"), names, labels=labels)).drop("_data")
+        out = kept.withColumn("_data", utf8(text)).withColumn("_made", S.apply_masks(F.col("_data"), F.col("spans"), names, labels=labels, salt=c.token_salt)).drop("_data")
         if "synthetic" in used:
             fake = fakes(F.col(text), F.transform("spans", lambda s: F.when(F.element_at(names, s["type"]) == "synthetic", s)))
             swapped = F.transform("_made", lambda p, i: F.when(F.get(F.col("_fake"), i).isNotNull(), p.withField("masked", F.get(F.col("_fake"), i))).otherwise(p))

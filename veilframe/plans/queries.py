@@ -138,7 +138,7 @@ templated("holder", "concat('Держатель карты IVAN SMIRNOV, зая
 templated("citizenship", "concat('Гражданство: Российская Федерация, место рождения: г. Калуга, заявка ', {k})", "concat('Гражданство: Ро******** *******ия, место рождения: г. К***га, заявка ', {k})", ["CITIZENSHIP", "BIRTH_PLACE"])
 
 
-@query("SELECT c_custkey, " + KEEP2.format(x="c_name") + " AS keep2, " + ALL.format(x="c_name") + " AS stars, regexp_replace(upper(c_name[1]), '$', '.') AS initials, 'PD_FIO_' || substr(sha256(concat('pdguard.v1.token', chr(0), c_name)), 1, 6) AS token FROM customer")
+@query("SELECT c_custkey, " + KEEP2.format(x="c_name") + " AS keep2, " + ALL.format(x="c_name") + " AS stars, regexp_replace(upper(c_name[1]), '$', '.') AS initials, 'PD_FIO_' || substr(sha256(concat('veilframe.v1.token', chr(0), c_name)), 1, 6) AS token FROM customer")
 def mask_strategies(spark, sf_dir):
     name, kind = F.col("c_name"), F.lit("FIO")
     return table(spark, sf_dir, "customer").select("c_custkey", masks.stars_keep2(name, kind).alias("keep2"), masks.stars_all(name, kind).alias("stars"), masks.initials(name, kind).alias("initials"), masks.token(name, kind).alias("token"))
