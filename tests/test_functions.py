@@ -12,7 +12,7 @@ from veilframe.operators import metrics, native
 from veilframe.operators import spans as S
 from veilframe.operators.scan.finance import luhn
 from veilframe.sources import corpus, sinks
-from veilframe.sources.llm import answers, chunks_to_text
+from veilframe.sources.models import answers, chunks_to_text
 
 SAMPLES = ["", "ascii", "Ёлка İ ß", "a b c", "日本 🙂 x", "Привет, Мир_1!"]
 

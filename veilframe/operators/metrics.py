@@ -48,8 +48,8 @@ def histogram(requests: DataFrame, value: str, bounds: list[float] = BOUNDS) ->
 
 def bucket_quantile(hist: DataFrame, q: float) -> DataFrame:
     """The upper bound of the first bucket that holds the quantile."""
-    total = hist.agg(F.max("cumulative").alias("total"))
-    hit = hist.crossJoin(F.broadcast(total)).where(F.col("cumulative") >= F.greatest(F.lit(1), F.floor(F.lit(q) * F.col("total"))))
+    total = F.max("cumulative").over(Window.partitionBy(F.lit(0)))  # a histogram has a row per bound
+    hit = hist.withColumn("total", total).where(F.col("cumulative") >= F.greatest(F.lit(1), F.floor(F.lit(q) * F.col("total"))))
     return hit.agg(F.min(F.coalesce("le", F.lit(float("inf")))).alias("quantile"))
 
 

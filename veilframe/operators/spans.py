@@ -172,8 +172,8 @@ def type_counts(spans: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_distinct(types), lambda t: F.struct(t, F.size(F.filter(types, lambda x: x == t)))))
 
 
-LOOKS_MASKED = r"\*\*|PD_|(?<![\p{L}\p{Nd}_])(?!Ф\. ?И\. ?О\.)\p{Lu}\. ?\p{Lu}\. ?\p{Lu}\."
-LABEL_MASK = r"\[[A-ZА-ЯЁ][A-ZА-ЯЁ _]*\]"
+LOOKS_MASKED = r"\*\*|PD_|(?<![A-Za-z0-9\u0080-\uffff])(?!Ф\. И\. О\.)[A-ZА-ЯЁ]\. [A-ZА-ЯЁ]\. [A-ZА-ЯЁ]\."
+LABEL_MASK = r"\[[ _]{0,46}[A-ZА-ЯЁ][A-ZА-ЯЁ _]{0,46}\]"
 
 
 def looks_masked(text: Column | str) -> Column:
@@ -192,7 +192,7 @@ def expand_labels(text: Column | str, spans: Column) -> Column:
     """Spans widened to the left over at most two label words, at most 8 bytes away, on the same line."""
     data = utf8(col(text))
     words = "|".join(sorted(LABEL_WORDS, key=len, reverse=True))
-    label = rf"(?iu)(?<![\p{{L}}\p{{Nd}}_])((?:(?:{words})\.?[ \t:№#—–-]{{1,8}}){{1,2}})$"
+    label = rf"(?<![A-Za-z\u0080-\uffff])((?:(?:{words})[ \t:.,;\u00a0]{{0,8}}){{1,2}})$"
 
     def widened(s: Column, i: Column) -> Column:
         floor = F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
@@ -203,10 +203,11 @@ def expand_labels(text: Column | str, spans: Column) -> Column:
     return F.transform(spans, widened)
 
 
-def decide(entry_original: Column, entry_masked: Column, payload: Column) -> Column:
+def decide(entry_original: Column, entry_masked: Column, payload: Column, has_label_rule: Column | None = None) -> Column:
     """What a payload asks for, given what its id maps to: mask, demask, again (the same mask) or echo."""
+    seen = looks_masked(payload) | looks_label_masked(payload, F.lit(False) if has_label_rule is None else has_label_rule)
     return (
-        F.when(entry_original.isNull(), F.when(looks_masked(payload), "echo").otherwise("mask"))
+        F.when(entry_original.isNull(), F.when(seen, "echo").otherwise("mask"))
         .when(payload == entry_masked, "demask")
         .when(payload == entry_original, "again")
         .otherwise("mask")

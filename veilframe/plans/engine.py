@@ -125,11 +125,18 @@ class Engine:
         """df with operation and result: a masked payload gives its original, an original its mask again; a
         payload without an entry that looks masked is echoed, any other is masked."""
         joined = df.withColumn("key", store_key("payload_id")).join(mapping.select("key", "original", F.col("masked").alias("_known")), "key", "left")
-        op = S.decide(F.col("original"), F.col("_known"), F.col("payload"))
+        op = S.decide(F.col("original"), F.col("_known"), F.col("payload"), self.has_label_rule(df))
         placed = self.mask(joined.withColumn("operation", op))
         result = F.when(F.col("operation") == "demask", F.col("original")).when(F.col("operation") == "again", F.col("_known")).when(F.col("operation") == "echo", F.col("payload")).otherwise(F.col("masked"))
         return placed.withColumn("result", result).select(*df.columns, "operation", "result")
 
+    def has_label_rule(self, df: DataFrame) -> Column:
+        """Whether the row's system has an enabled rule with the label strategy."""
+        ids = [s.id for s in self.config.systems if any(r.enabled and r.strategy == "label" for r in s.types.values())]
+        known = [s.id for s in self.config.systems]
+        system = F.when(F.col("system_id").isin(known), F.col("system_id")).otherwise(self.config.default_system) if "system_id" in df.columns else F.lit(self.config.default_system)
+        return F.coalesce(system.isin(ids), F.lit(False))
+
     def leak_guard(self, masked: DataFrame, system_id: str = "default") -> DataFrame:
         """masked with `leaks`: spans that a second detection finds outside all masks."""
         again = self._kept(masked.drop("spans"), [self._system(system_id)], "masked")

@@ -138,6 +138,35 @@ templated("holder", "concat('Держатель карты IVAN SMIRNOV, зая
 templated("citizenship", "concat('Гражданство: Российская Федерация, место рождения: г. Калуга, заявка ', {k})", "concat('Гражданство: Ро******** *******ия, место рождения: г. К***га, заявка ', {k})", ["CITIZENSHIP", "BIRTH_PLACE"])
 
 
+templated("inn", "concat('ИНН 500100732259, заявка ', {k})", "concat('ИНН 50********59, заявка ', {k})", ["INN"])
+templated("snils", "concat('СНИЛС 112-233-445 95, заявка ', {k})", "concat('СНИЛС 11*-***-*** 95, заявка ', {k})", ["SNILS"])
+templated("military_id", "concat('Военный билет АК 7', {k})", "concat('Военный билет АК *****', substr({k}, 5, 2))", ["MILITARY_ID"])
+templated("birth_certificate", "concat('Свидетельство о рождении II-МЮ ', {k})", "concat('Свидетельство о рождении II-** ****', substr({k}, 5, 2))", ["BIRTH_CERTIFICATE"])
+templated("foreign_passport", "concat('Загранпаспорт 72 7', {k})", "concat('Загранпаспорт 72 *****', substr({k}, 5, 2))", ["FOREIGN_PASSPORT"])
+templated("residence_permit", "concat('Вид на жительство 8', {k})", "concat('Вид на жительство 8', substr({k}, 1, 1), '***', substr({k}, 5, 2))", ["RESIDENCE_PERMIT"])
+templated("phone", "concat('Звонить 8 916 555-44-33, заявка ', {k})", "concat('Звонить 8 9** ***-**-33, заявка ', {k})", ["PHONE"])
+templated("pin", "concat('Мой пин-код 4821, заявка ', {k})", "concat('Мой пин-код ****, заявка ', {k})", ["PIN"])
+templated("iban", "concat('IBAN DE89370400440532013000, заявка ', {k})", "concat('IBAN DE******************00, заявка ', {k})", ["BANK_ACCOUNT"])
+templated("role_mailbox", "concat('Пишите на info@shop.example.ru, заявка ', {k})", "concat('Пишите на info@shop.example.ru, заявка ', {k})", ["EMAIL"])
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'карта 41** **** **** **11, пин ****' ELSE 'пин 4821' END AS masked FROM customer")
+def rule_companion(spark, sf_dir):
+    """A rule that masks a PIN only where the payload holds a card, too."""
+    payload = F.when(F.col("c_custkey") % 2 == 0, "карта 4111 1111 1111 1111, пин 4821").otherwise("пин 4821")
+    c = C.default()
+    c.systems[0].types["PIN"].requires_companion = ["CARD_NUMBER"]
+    return Engine(c).mask(table(spark, sf_dir, "customer").select("c_custkey", payload.alias("payload"))).select("c_custkey", "masked")
+
+
+@query("SELECT c_custkey, 'PIN' AS type, 7 AS start, 11 AS stop FROM customer")
+def detect_offsets(spark, sf_dir):
+    """Places and categories without values: byte offsets."""
+    made = table(spark, sf_dir, "customer").select("c_custkey", F.lit("пин 4821").alias("payload"))
+    found = Engine(C.default()).detect(made).select("c_custkey", F.explode("spans").alias("s"))
+    return found.select("c_custkey", F.col("s.type").alias("type"), F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
+
+
 @query("SELECT c_custkey, " + KEEP2.format(x="c_name") + " AS keep2, " + ALL.format(x="c_name") + " AS stars, regexp_replace(upper(c_name[1]), '$', '.') AS initials, 'PD_FIO_' || substr(sha256(concat('veilframe.v1.token', chr(0), c_name)), 1, 6) AS token FROM customer")
 def mask_strategies(spark, sf_dir):
     name, kind = F.col("c_name"), F.lit("FIO")

@@ -19,7 +19,6 @@ def exposition(counts: DataFrame, name: str, labels: list[str], value: str = "n"
 
 def stats(**tables: DataFrame) -> DataFrame:
     """One row `json`: each table's rows as a list under its name. Tables are aggregates of bounded size."""
-    columns = [t.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*t.columns)))).alias(name)) for name, t in tables.items()]
-    joined = reduce(lambda a, b: a.crossJoin(b), columns)
-    parts = [F.concat(F.lit(f'"{name}":'), F.col(name)) for name in tables]
-    return joined.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("json"))
+    part = lambda name, t: t.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*t.columns)))).alias("v")).select(F.concat(F.lit(f'"{name}":'), F.col("v")).alias("part"))
+    parts = reduce(lambda a, b: a.unionByName(b), [part(name, t) for name, t in tables.items()])
+    return parts.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list("part")), ","), F.lit("}")).alias("json"))

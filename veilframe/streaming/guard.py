@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from veilframe.functions.text import store_key
-from veilframe.operators.spans import looks_masked
+from veilframe.operators.spans import looks_label_masked, looks_masked
 from veilframe.plans.engine import Engine
 
 ENTRY = StructType([StructField("original", StringType()), StructField("masked", StringType())])
@@ -71,7 +71,7 @@ def guard(stream: DataFrame, engine: Engine, mode: str = "append") -> DataFrame:
         "payload_id",
         "payload",
         "masked",
-        looks_masked("payload").cast(BooleanType()).alias("masked_already"),
+        (looks_masked("payload") | looks_label_masked("payload", engine.has_label_rule(stream))).cast(BooleanType()).alias("masked_already"),
         (system.isin(allowed) & (F.length(F.trim("payload_id")) > 0)).alias("may_store"),
         F.when(F.length(F.trim("payload_id")) > 0, store_key("payload_id")).otherwise(F.concat(F.lit("\u0000"), F.col("seq").cast("string"))).alias("key"),
     )
