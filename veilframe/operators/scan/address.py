@@ -170,7 +170,8 @@ def settle(parts: list[Part]) -> list[Part]:
 
 def judged(ctx: Context, p: Part, parts: list[Part]) -> tuple[float, str]:
     """The confidence of a component: anchored, beside another component, or a place of residence."""
-    beside = [q for q in parts if q is not p and (q.type != p.type or q.hint != p.hint) and 0 <= max(q.start, p.start) - min(q.end, p.end) <= 60 and len(ctx.lower[min(q.end, p.end) : max(q.start, p.start)].encode()) <= 60]
+    pair = lambda q: q.type != p.type or p.hint == "corpus" or q.type == "CITY" and (q.hint == "region") != (p.hint == "region")
+    beside = [q for q in parts if q is not p and pair(q) and 0 <= max(q.start, p.start) - min(q.end, p.end) <= 60 and len(ctx.lower[min(q.end, p.end) : max(q.start, p.start)].encode()) <= 60]
     if bank(ctx, p.start):
         return 0, ""
     anchored = ANCHOR.search(ctx.left(p.start, 120)) is not None

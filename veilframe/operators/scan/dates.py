@@ -184,14 +184,14 @@ def classify(ctx: Context, f: Found) -> tuple[str | None, float]:
 
 
 def propagated(ctx: Context, spans: list[Span]):
-    """A bare date near a date of birth, in one sentence, is one as well."""
-    sure = [s for s in spans if s.type == "BIRTH_DATE" and s.conf >= 0.85 and s.hint != "day_month"]
+    """A bare date whose nearest anchored date is one of birth, close by and in one sentence, is one as well."""
+    sure = [s for s in spans if s.conf >= 0.85 and s.hint != "day_month"]
     for s in spans:
         if s.conf == 0.60 and sure and len(spans) <= 64:
             near = min(sure, key=lambda o: gap(s, o))
             a, b = min(s.end, near.end), max(s.start, near.start)
             text = ctx.lower[a:b]
-            if len(text.encode()) <= 96 and not BREAK.search(text):
+            if near.type == "BIRTH_DATE" and len(text.encode()) <= 96 and not BREAK.search(text):
                 s = s._replace(conf=0.80, hint="propagated")
         yield s
 
