@@ -1,13 +1,16 @@
 """BPE encoding and decoding by tree concatenation.
 
-Texts up to `leaf` characters are encoded by the tokenizers library as they are. A longer, unsplit
-text is halved again and again; all leaves are encoded in parallel (one call of the library's batch
+A text of more than `leaf` characters, unsplit, is halved again and again; all leaves are encoded in parallel (one call of the library's batch
 encoder), and the encodings are joined pairwise up the tree. At a join the text around it is encoded once more in
 a window that starts and ends at token boundaries of the two sides and grows until the window's first
 tokens are the left side's and its last tokens are the right side's, with the same offsets; then
 left + middle + right is the encoding of the whole. A window that has grown over both sides is that
 encoding itself, so the result is exact in any case.
 
+Shorter texts are split at their white space, where neither tokenizer of this repository lets a token go on, and
+each distinct word is encoded by the library once per worker and remembered (a bounded table). Texts whose
+white space is not plain enough for that are encoded whole.
+
 Null texts encode like empty ones, to no tokens; repeated rows are encoded one by one; an empty table
 gives an empty result; other columns are ignored. The tokenizer's file is a parameter; executors read it once per
 worker, from the bytes they are sent."""
@@ -15,10 +18,13 @@ worker, from the bytes they are sent."""
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
@@ -34,6 +40,8 @@ def tokenizer_bytes(path: str) -> bytes:
 
 def load(data: bytes) -> Tokenizer:
     """The tokenizer of a file's bytes, without truncation and padding; kept for the worker's life."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; see leaves() for the exception
+    os.environ.setdefault("RAYON_NUM_THREADS", "2")
     key = hashlib.sha256(data).hexdigest()
     if key not in _LOADED:
         made = Tokenizer.from_buffer(data)
@@ -109,29 +117,128 @@ def same(a: Run, b: Run, i: int, j: int, n: int) -> bool:
     return all(np.array_equal(getattr(a, k)[i : i + n], getattr(b, k)[j : j + n]) for k in ("ids", "begin", "end"))
 
 
+def leaves(tokenizer: Tokenizer, text: str, leaf: int) -> list[Run]:
+    """The encodings of the text's halves of halves, by several threads at once."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "true"
+    try:
+        return encoded(tokenizer, text, halves(0, len(text), leaf))
+    finally:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
 def encode_tree(tokenizer: Tokenizer, text: str, leaf: int = 1 << 14, window: int = 256, agree: int = 8) -> np.ndarray:
-    runs = encoded(tokenizer, text, halves(0, len(text), leaf))
+    runs = leaves(tokenizer, text, leaf)
     while len(runs) > 1:
         runs = [joined(tokenizer, text, runs[i], runs[i + 1], window, agree) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
     return runs[0].ids
 
 
-def encode(tokenizer: Tokenizer, texts: list[str], leaf: int = 1 << 14) -> list:
+#: White space that is neither a space nor a newline.
+OTHER_SPACE = re.compile(r"[^\S \n]")
+CONTROLS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+class Memo:
+    """Encodes texts by the library, each distinct word between white space once.
+
+    A tokenizer that drops white space encodes each word alone; a byte-level one, whose words carry the space
+    before them, encodes " word". Which of them it is, is tried out. `most` bounds the remembered words."""
+
+    def __init__(self, tokenizer: Tokenizer, most: int = 300_000, run: int = 400):
+        self.tokenizer, self.most, self.run = tokenizer, most, run
+        self.known: dict[str, bytes] = {"": b""}
+        ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+        self.drops = ids(" ab  cd\n") == ids("ab") + ids("cd")
+        # tokens that begin with a space begin a word
+        self.opens = np.array([(tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(tokenizer.get_vocab_size() + 1)])
+
+    def plain(self, text: str) -> bool:
+        """Whether the text's white space surely bounds its tokens."""
+        if self.drops:
+            return not any(c in text for c in CONTROLS[4:])
+        if any(x in text for x in ("  ", "\n\n", "\n ", " \n", *CONTROLS)) or text[:1] in (" ", "\n", "") or text[-1] in (" ", "\n"):
+            return False
+        return text.isascii() or not OTHER_SPACE.search(text)
+
+    def learn(self, new: list[str]) -> None:
+        """Encodes words in runs of many, joined by spaces, and deals the tokens out to them."""
+        parts = [new[i : i + self.run] for i in range(0, len(new), self.run)]
+        texts = [" " + " ".join(p) for p in parts]
+        encode_batch = self.tokenizer.encode_batch if self.drops else self.tokenizer.encode_batch_fast
+        for part, text, e in zip(parts, texts, encode_batch(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            edge = np.append(np.flatnonzero(self.opens[ids]), len(ids)) if not self.drops else None
+            if edge is None or len(edge) != len(part) + 1:
+                if not self.drops:
+                    e = self.tokenizer.encode(text, add_special_tokens=False)
+                starts = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
+                edge = np.append(0, np.searchsorted(starts, np.cumsum([len(w) + 1 for w in part]), "left"))
+            data, edge = ids.tobytes(), (edge * 4).tolist()
+            self.known.update(zip(part, [data[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)], strict=True))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text."""
+        out: list = [None] * len(texts)
+        split = [i for i, t in enumerate(texts) if self.plain(t)]
+        whole = [i for i in range(len(texts)) if i not in set(split)] if len(split) < len(texts) else []
+        for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32)
+        if split:
+            column = pa.array([texts[i] for i in split], pa.string())
+            lists = pc.utf8_split_whitespace(column) if self.drops else pc.split_pattern(column, " ")
+            for i, ids in zip(split, self.assembled(lists), strict=True):
+                out[i] = ids
+        return out
+
+    def assembled(self, lists: pa.ListArray) -> list[np.ndarray]:
+        """The ids of texts given as lists of words: those of distinct words, dealt out by number."""
+        edges = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
+        edges = edges - edges[0]
+        distinct, places = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)
+        if len(self.known) > self.most:
+            self.known = {"": b""}
+        self.learn([w for w in distinct if w not in self.known])
+        pieces_ = [self.known[w] for w in distinct]
+        if not self.drops:  # a text's first word has no space before it
+            heads = [distinct[i] for i in places[edges[:-1]]]
+            pieces_ += [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
+            places[edges[:-1]] = len(distinct) + np.arange(len(heads))
+        flat = np.frombuffer(b"".join(pieces_), np.uint32)
+        sizes = np.fromiter(map(len, pieces_), np.int64, len(pieces_)) // 4
+        starts = np.cumsum(sizes) - sizes
+        length = sizes[places]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        ids = flat[np.repeat(starts[places] - ends[:-1], length) + np.arange(ends[-1])]
+        bounds = ends[edges]
+        return [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+_MEMOS: dict[int, Memo] = {}
+
+
+def memo(tokenizer: Tokenizer) -> Memo:
+    if id(tokenizer) not in _MEMOS:
+        _MEMOS[id(tokenizer)] = Memo(tokenizer)
+    return _MEMOS[id(tokenizer)]
+
+
+def encode(tokenizer: Tokenizer, texts: list[str], leaf: int = 1 << 16) -> list[np.ndarray]:
     """Token ids of each text."""
     short = [i for i, t in enumerate(texts) if len(t) <= leaf]
     out: list = [None] * len(texts)
-    for i, e in zip(short, tokenizer.encode_batch_fast([texts[i] for i in short], add_special_tokens=False), strict=True):
-        out[i] = e.ids
+    for i, ids in zip(short, memo(tokenizer).encode([texts[i] for i in short]), strict=True):
+        out[i] = ids
     for i, t in enumerate(texts):
         if out[i] is None:
-            out[i] = encode_tree(tokenizer, t, leaf).tolist()
+            out[i] = encode_tree(tokenizer, t, leaf // 4)
     return out
 
 
 TOKENS = "doc_id long, ids array<int>"
 
 
-def tokens(docs: DataFrame, path: str, leaf: int = 1 << 14) -> DataFrame:
+def tokens(docs: DataFrame, path: str, leaf: int = 1 << 16) -> DataFrame:
     """doc_id and the token ids of each row's text."""
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_bytes(path))
 
@@ -144,7 +251,7 @@ def tokens(docs: DataFrame, path: str, leaf: int = 1 << 14) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
 
 
-def round_trip(docs: DataFrame, path: str, leaf: int = 1 << 14, keep: list[str] | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, leaf: int = 1 << 16, keep: list[str] | None = None) -> DataFrame:
     """One row per row of docs: the columns `keep` of docs (doc_id if not given), n_tokens,
     ids_sha256, decoded_sha256."""
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_bytes(path))
@@ -152,12 +259,13 @@ def round_trip(docs: DataFrame, path: str, leaf: int = 1 << 14, keep: list[str]
 
     def run(batches):
         tokenizer = load(sent.value)
+        decimal = [str(i) for i in range(tokenizer.get_vocab_size() + 1)]
         for batch in pieces(batches, "text", 1 << 20):
-            ids = encode(tokenizer, [t or "" for t in batch.column("text").to_pylist()], leaf)
+            ids = [x.tolist() for x in encode(tokenizer, [t or "" for t in batch.column("text").to_pylist()], leaf)]
             texts = tokenizer.decode_batch(ids, skip_special_tokens=False)
             digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
             columns = [batch.column(c) for c in kept]
-            columns += [pa.array([len(x) for x in ids], pa.int64()), pa.array([digest(" ".join(map(str, x))) for x in ids]), pa.array([digest(t) for t in texts])]
+            columns += [pa.array([len(x) for x in ids], pa.int64()), pa.array([digest(" ".join([decimal[i] for i in x])) for x in ids]), pa.array([digest(t) for t in texts])]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = docs.select(*kept, *([] if "text" in kept else ["text"]))

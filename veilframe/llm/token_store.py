@@ -15,13 +15,11 @@ only files named in the written catalogue are read. Null texts have the end id a
 doc_id stand in order of their text; null doc_ids come first; an empty table writes no file;
 other columns are ignored.
 
-The tokenizers library encodes each distinct stretch between single spaces once and the result is
-remembered: byte-level BPE never merges over such a space. Texts with other white-space runs are encoded whole."""
+Encoding is bpe_tree's: the tokenizers library, with each distinct word encoded once per worker."""
 
 from __future__ import annotations
 
 import json
-import re
 import zlib
 
 import numpy as np
@@ -30,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.llm.bpe_tree import load, tokenizer_bytes
+from veilframe.llm.bpe_tree import encode, load, tokenizer_bytes
 from veilframe.llm.common import fresh_folder, pieces
 from veilframe.llm.files import attempt_name, locate
 
@@ -123,46 +121,10 @@ def unpack(data: bytes) -> tuple[Dac, np.ndarray, np.ndarray, np.ndarray]:
     return dac, get("doc_ids"), get("starts"), get("known").astype(bool)
 
 
-class Remembering:
-    """Encodes texts with the library, each distinct stretch between single spaces once."""
-
-    def __init__(self, tokenizer, most: int = 400_000):
-        self.tokenizer, self.most, self.known = tokenizer, most, {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split(" ") if not RUN.search(t) else None for t in texts]
-        whole = [i for i, s in enumerate(split) if s is None]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        words = {w for s in split if s is not None for w in s[1:]}
-        new = [w for w in words if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([" " + w for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.uint16 if not e.ids or max(e.ids) < 1 << 16 else np.uint32).tobytes() if e.ids and max(e.ids) < 1 << 16 else np.array(e.ids, np.uint32)
-        heads = [i for i, s in enumerate(split) if s is not None]
-        firsts = self.tokenizer.encode_batch_fast([split[i][0] for i in heads], add_special_tokens=False)
-        out: list = [None] * len(texts)
-        for i, e in zip(heads, firsts, strict=True):
-            parts = [known[w] for w in split[i][1:]]
-            if all(type(p) is bytes for p in parts):
-                tail = np.frombuffer(b"".join(parts), np.uint16).astype(np.uint32)
-            else:
-                tail = np.concatenate([np.frombuffer(p, np.uint16).astype(np.uint32) if type(p) is bytes else p for p in parts])
-            out[i] = np.concatenate([np.array(e.ids, np.uint32), tail])
-        for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.uint32)
-        return out
-
-
-#: Where a split at a space might not be a boundary: white-space runs and white space at an end.
-RUN = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
-
-_ENCODERS: dict[int, Remembering] = {}
-
 CATALOGUE = "file string, part int, first_id long, n_docs long, n_tokens long"
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, file_bytes: int = 12 << 20, most_tokens: int = 16 << 20) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, file_bytes: int = 12 << 20, most_tokens: int = 4 << 20) -> DataFrame:
     """Writes the token files; their catalogue, in order, also written as Parquet."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(tokenizer_bytes(tokenizer_path))
@@ -172,7 +134,6 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, fi
 
     def run(batches):
         tokenizer = load(sent.value)
-        encoder = _ENCODERS.setdefault(id(tokenizer), Remembering(tokenizer))
         system, root = locate(folder)
         system.create_dir(root, recursive=True)
         ids, doc_ids, size, made = [], [], 0, 0
@@ -190,8 +151,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, fi
             ids, doc_ids, size, made = [], [], 0, made + 1
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()], strict=True)], ["file", "part", "first_id", "n_docs", "n_tokens"])
 
-        for batch in pieces(batches, "text", 1 << 20):
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+        for batch in pieces(batches, "text", 2 << 20):
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode(tokenizer, [t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 ids.append(np.append(found, np.uint32(end_id)))
                 doc_ids.append(doc_id)
                 size += len(found) + 1
@@ -220,7 +181,9 @@ def read(catalogue: DataFrame, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 with system.open_input_file(f"{root}/{row['file']}") as source:
                     dac, doc_ids, starts, known = unpack(source.read())
-                crcs = [zlib.crc32(dac.slice(int(a), int(b)).astype("<u4").tobytes()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                # every token is wanted, so all levels are read once, in order
+                data, edges = memoryview(dac.slice(0, dac.n).astype("<u4").tobytes()), (starts * 4).tolist()
+                crcs = [zlib.crc32(data[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=~known), pa.array(starts[:-1] + row["base"]), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = max(1, catalogue.count())
