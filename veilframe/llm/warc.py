@@ -138,7 +138,10 @@ READ = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 def read(selected: DataFrame, folder: str, block: int = 4 << 20, gap: int = 64 << 10, with_payload: bool = False) -> DataFrame:
     """The records of the selected index rows. Every payload is verified against its digest."""
-    ranges = selected.groupBy("file", F.floor(F.col("offset") / block).alias("block")).agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at"))
+    # index rows are small and what they point to is not: tasks are counted by archive bytes
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    dealt = selected.withColumn("block", F.floor(F.col("offset") / block)).repartition(max(1, -(-total // (4 * block))), "file", "block")
+    ranges = dealt.groupBy("file", "block").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at"))
 
     def run(batches):
         system, root = locate(folder)
