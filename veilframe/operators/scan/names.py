@@ -21,7 +21,7 @@ AMBIGUOUS = frozenset("г д к с р т п в м н о л у ч".split())
 
 S = r"[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?"
 INITIALS_FIRST = re.compile(rf"(?<!\w)([А-ЯЁ])\. ?(?:([А-ЯЁ])\. ?)?({S})(?!\w)")
-INITIALS_LAST = re.compile(rf"(?<!\w)({S}) ([А-ЯЁ])\. ?(?:([А-ЯЁ])\.)?(?!\w)")
+INITIALS_LAST = re.compile(rf"(?<!\w)({S})\s{{1,3}}([А-ЯЁ])\. ?(?:([А-ЯЁ])\.)?(?!\w)")
 
 HOLDER_CUE = re.compile(r"держател|владел[а-яё]+ карт|holder|card|на карте|карт[аеуы]|картой")
 HOLDER = re.compile(r"(?<!\w)[A-Z]{2,}(?:[ -][A-Z]{1,}\.?){0,1} [A-Z]{2,}(?!\w)")
@@ -81,7 +81,7 @@ def people(ctx: Context, lexicon: Lexicon):
     taken: list[tuple[int, int]] = []
     for m in INITIALS_FIRST.finditer(ctx.text):
         first, second, surname = m[1].lower(), (m[2] or "").lower(), m[3].lower()
-        if f"{first}.{second}" in ABBREVIATIONS or surname in STOP or vetoed(ctx, m.start(), m.end(), lexicon, (surname,)):
+        if f"{first}.{second}" in ABBREVIATIONS or surname in STOP or vetoed(ctx, m.start(), m.end(), lexicon, (surname, first)):
             continue
         before = words_before(ctx, m.start())
         if not second and (before in GEO or first in AMBIGUOUS and not surname_shape(surname) or surname in lexicon.cities and first == "г"):
@@ -90,7 +90,7 @@ def people(ctx: Context, lexicon: Lexicon):
         yield Span(m.start(), m.end(), "FIO", 0.95 if second else 0.85 if first in AMBIGUOUS else 0.90, "names", "initials-surname")
     for m in INITIALS_LAST.finditer(ctx.text):
         surname = m[1].lower()
-        if any(m.start() < b and a < m.end() for a, b in taken) or surname in STOP or vetoed(ctx, m.start(), m.end(), lexicon, (surname,)):
+        if any(m.start() < b and a < m.end() for a, b in taken) or surname in STOP or vetoed(ctx, m.start(), m.end(), lexicon, (surname, m[2].lower())):
             continue
         if not m[3] and not surname_shape(surname) and surname not in lexicon.surnames:
             continue
@@ -133,7 +133,7 @@ def words_before(ctx: Context, at: int) -> str:
 
 
 def anchored(ctx: Context, at: int) -> bool:
-    window = " ".join(re.split(r"[.!?;\n]\s", ctx.left(at, 80))[-1].split()[-4:])
+    window = " ".join(re.split(r"[.!?;\n]\s", ctx.left(at, 40))[-1].split()[-4:])
     return bool(STRONG.search(window) or ANCHOR.search(window))
 
 
