@@ -38,6 +38,12 @@ def fresh_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared one, in whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,6 +70,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def mapped(df: DataFrame, f, schema, most: int = 4 << 20) -> DataFrame:
+    """df.mapInArrow(f, schema), with batches of about `most` bytes: rows hold whole texts, and Spark's
+    default of ten thousand of them a batch would be held several times over on both sides."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    return df.mapInArrow(f, schema)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `most` text bytes, one row at least, so that the working
     arrays of a kernel stay small whatever the batch size is."""
@@ -77,9 +90,10 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
             to = min(batch.num_rows, max(at + 1, to))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # the worker may idle beside others from here on
 
 
-def without(docs: DataFrame, dropped: DataFrame, keys: list[str], most: int = 2_000_000) -> DataFrame:
+def without(docs: DataFrame, dropped: DataFrame, keys: list[str], most: int = 500_000) -> DataFrame:
     """docs less the rows whose keys are in dropped. Up to `most` keys are broadcast, so that the
     texts stay where they are; more than that are joined by a shuffle. Rows with null keys stay."""
     dropped = cut(dropped.select(keys).dropDuplicates())
@@ -87,7 +101,7 @@ def without(docs: DataFrame, dropped: DataFrame, keys: list[str], most: int = 2_
     return docs.join(F.broadcast(dropped) if few else dropped, keys, "left_anti")
 
 
-def within(docs: DataFrame, wanted: DataFrame, keys: list[str], most: int = 2_000_000) -> DataFrame:
+def within(docs: DataFrame, wanted: DataFrame, keys: list[str], most: int = 500_000) -> DataFrame:
     """The rows of docs whose keys are in wanted (already distinct and cut); see without()."""
     few = wanted.count() <= most
     return docs.join(F.broadcast(wanted) if few else wanted, keys, "left_semi")

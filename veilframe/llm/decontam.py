@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.bytesig import LOWER, WORD, hashes, spans, windows
-from veilframe.llm.common import pieces, utf8
+from veilframe.llm.common import mapped, pieces, utf8
 
 SCHEMA = "doc_id long, n_words long, n_hit long, hit_items array<string>, spans array<struct<start:int,stop:int>>"
 ARROW = pa.schema(
@@ -134,7 +134,7 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes
     numbered = docs.select("doc_id", "text")
     for block in blocks(benchmark, block_bytes):
         known = spark.sparkContext.broadcast(WindowSet(block, n))
-        parts.append(numbered.mapInArrow(scan_batches(known, n), SCHEMA))
+        parts.append(mapped(numbered, scan_batches(known, n), SCHEMA))
     if len(parts) == 1:
         return parts[0]
     return merge(docs, benchmark, n, block_bytes)
@@ -172,7 +172,7 @@ def merge(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int) -> Da
                     ["doc_id", "text", "i0", "s0", "n_words", "n_hit"],
                 )
 
-        state = state.select("doc_id", "text", "i0", "s0").mapInArrow(run, out)
+        state = mapped(state.select("doc_id", "text", "i0", "s0"), run, out)
     return state.select("doc_id", "n_words", "n_hit", F.col("i0").alias("hit_items"), F.col("s0").alias("spans"))
 
 
@@ -224,5 +224,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: st
                     batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
                 yield batch
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
     return docs.select(columns)
+
+
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+     b AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+     k AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+           FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+     s AS (SELECT DISTINCT n FROM k),
+     x AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+           FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN s ON len(w) >= n)),
+     h AS (SELECT x.doc_id, x.i, x.n, k.item_id FROM x JOIN k USING (n, g)),
+     c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+     t AS (SELECT doc_id, count(*) AS n_items, string_agg(v, ',' ORDER BY v) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS v FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.bytesig import BLANK, hashes, spans
-from veilframe.llm.common import cut, pieces, utf8
+from veilframe.llm.common import cut, mapped, pieces, utf8
 
 REPEATED = 1  # the back-reference symbol: a control byte that text doesn't use
 
@@ -178,7 +178,7 @@ def scored(net_value, batches):
 def quality(docs: DataFrame, net: Net, threshold: float = 0.7) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
-    found = docs.select("doc_id", "text").mapInArrow(lambda batches: scored(sent, batches), "doc_id long, score double")
+    found = mapped(docs.select("doc_id", "text"), lambda batches: scored(sent, batches), "doc_id long, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -190,4 +190,4 @@ def keep_good(docs: DataFrame, net: Net, threshold: float = 0.7) -> DataFrame:
         for batch in pieces(batches, "text"):
             yield batch.filter(pa.array(score(sent.value, *utf8(batch.column("text"))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

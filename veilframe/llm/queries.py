@@ -69,4 +69,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op7_decontamination": decontam.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}

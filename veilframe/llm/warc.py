@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import cut, fresh_folder, frequent, pieces
+from veilframe.llm.common import cut, frequent, fresh_folder, mapped, pieces
 from veilframe.llm.files import attempt_name, locate
 
 DATE = "2024-01-01T00:00:00Z"
@@ -127,7 +127,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, hot: int = 4096) ->
             if out is not None:
                 out.close()
 
-    index = placed.select("page_id", "url", "html", "first").mapInArrow(run, INDEX)
+    index = mapped(placed.select("page_id", "url", "html", "first"), run, INDEX)
     index.write.mode("overwrite").parquet(f"{folder}/index")
     return pages.sparkSession.read.parquet(f"{folder}/index")
 
@@ -154,7 +154,7 @@ def read(selected: DataFrame, folder: str, block: int = 4 << 20, gap: int = 64 <
                         got = [unpack(data[x["offset"] - start : x["offset"] - start + x["length"]], with_payload) for x in run_]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), READ_TYPES, strict=True)], READ_NAMES)
 
-    found = ranges.mapInArrow(run, READ)
+    found = mapped(ranges, run, READ)
     return found if with_payload else found.drop("payload")
 
 
