@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from veilframe.llm.common import pieces
+from veilframe.llm.common import mapped, pieces
 
 _LOADED: dict[str, Tokenizer] = {}
 
@@ -135,6 +135,9 @@ def encode_tree(tokenizer: Tokenizer, text: str, leaf: int = 1 << 14, window: in
 
 #: White space that is neither a space nor a newline.
 OTHER_SPACE = re.compile(r"[^\S \n]")
+LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
+MARK[0x21:0x30] = MARK[0x3A:0x41] = MARK[0x5B:0x61] = MARK[0x7B:0x7F] = True
 CONTROLS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 
@@ -144,16 +147,23 @@ class Memo:
     A tokenizer that drops white space encodes each word alone; a byte-level one, whose words carry the space
     before them, encodes " word". Which of them it is, is tried out. `most` bounds the remembered words."""
 
-    def __init__(self, tokenizer: Tokenizer, most: int = 300_000, run: int = 400):
+    def __init__(self, tokenizer: Tokenizer, most: int = 400_000, run: int = 400):
         self.tokenizer, self.most, self.run = tokenizer, most, run
+        # stretches after a space and others, each with those of the generation before
         self.known: dict[str, bytes] = {"": b""}
+        self.tails: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
+        self.tails_before: dict[str, bytes] = {}
         ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
         self.drops = ids(" ab  cd\n") == ids("ab") + ids("cd")
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         # tokens that begin with a space begin a word
         self.opens = np.array([(tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(tokenizer.get_vocab_size() + 1)])
 
     def plain(self, text: str) -> bool:
-        """Whether the text's white space surely bounds its tokens."""
+        """Whether the text's white space and marks surely bound its tokens."""
+        if any(x in text for x in self.special):
+            return False
         if self.drops:
             return not any(c in text for c in CONTROLS[4:])
         if any(x in text for x in ("  ", "\n\n", "\n ", " \n", *CONTROLS)) or text[:1] in (" ", "\n", "") or text[-1] in (" ", "\n"):
@@ -191,28 +201,60 @@ class Memo:
         return out
 
     def assembled(self, lists: pa.ListArray) -> list[np.ndarray]:
-        """The ids of texts given as lists of words: those of distinct words, dealt out by number."""
+        """The ids of texts given as lists of words: those of distinct stretches, dealt out by number.
+
+        A word is cut once more where an ASCII letter meets ASCII punctuation, a place that both tokenizers'
+        patterns always split at, so that a word isn't learned anew with each mark that may follow it."""
         edges = lists.offsets.to_numpy().astype(np.int64)
-        words = lists.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
-        edges = edges - edges[0]
-        distinct, places = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)
-        if len(self.known) > self.most:
-            self.known = {"": b""}
-        self.learn([w for w in distinct if w not in self.known])
-        pieces_ = [self.known[w] for w in distinct]
-        if not self.drops:  # a text's first word has no space before it
-            heads = [distinct[i] for i in places[edges[:-1]]]
-            pieces_ += [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
-            places[edges[:-1]] = len(distinct) + np.arange(len(heads))
+        words = lists.values.slice(edges[0], edges[-1] - edges[0])
+        offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+        data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if words.buffers()[2] else np.empty(0, np.uint8)
+        offsets, edges = offsets - offsets[0], edges - edges[0]
+        if not len(data):
+            return [np.empty(0, np.uint32)] * (len(edges) - 1)
+        cut = np.zeros(len(data), bool)
+        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+        spaced = cut.copy()
+        spaced[offsets[edges[:-1]][offsets[edges[:-1]] < len(data)]] = False  # a text's first word has no space before it
+        cut[1:] |= LETTER[data[:-1]] & MARK[data[1:]]
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts, len(data)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+        if len(self.known) + len(self.tails) > self.most // 2:  # what is still in use comes back from the generation before
+            self.known_before, self.tails_before, self.known, self.tails = self.known, self.tails, {"": b""}, {}
+        if self.drops:
+            pieces_, places = self.coded(parts, self.known, self.known_before, self.learn)
+        else:
+            mask = spaced[starts]
+            pieces_, inner = self.coded(parts.filter(pa.array(mask)), self.known, self.known_before, self.learn)
+            more, outer = self.coded(parts.filter(pa.array(~mask)), self.tails, self.tails_before, self.learn_bare)
+            places = np.empty(len(starts), np.int64)
+            places[mask], places[~mask] = inner, outer + len(pieces_)
+            pieces_ += more
         flat = np.frombuffer(b"".join(pieces_), np.uint32)
         sizes = np.fromiter(map(len, pieces_), np.int64, len(pieces_)) // 4
-        starts = np.cumsum(sizes) - sizes
+        first = np.cumsum(sizes) - sizes
         length = sizes[places]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        ids = flat[np.repeat(starts[places] - ends[:-1], length) + np.arange(ends[-1])]
-        bounds = ends[edges]
+        at = np.concatenate([[0], np.cumsum(length)])
+        ids = flat[np.repeat(first[places] - at[:-1], length) + np.arange(at[-1])]
+        bounds = at[np.searchsorted(starts, offsets[edges])]
         return [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
+    @staticmethod
+    def coded(parts: pa.Array, known: dict[str, bytes], before: dict[str, bytes], learn) -> tuple[list[bytes], np.ndarray]:
+        """The ids of the distinct strings, and which of them each string is."""
+        found = parts.dictionary_encode()
+        distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [w for w in distinct if w not in known]:
+            known.update({w: before[w] for w in new if w in before})
+            learn([w for w in new if w not in before])
+        return [known[w] for w in distinct], found.indices.to_numpy().astype(np.int64)
+
+    def learn_bare(self, new: list[str]) -> None:
+        """Encodes stretches that no space stands before, one by one."""
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.tails[w] = np.array(e.ids, np.uint32).tobytes()
+
 
 _MEMOS: dict[int, Memo] = {}
 
@@ -248,7 +290,7 @@ def tokens(docs: DataFrame, path: str, leaf: int = 1 << 16) -> DataFrame:
             ids = encode(tokenizer, [t or "" for t in batch.column("text").to_pylist()], leaf)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
+    return mapped(docs.select("doc_id", "text"), run, TOKENS)
 
 
 def round_trip(docs: DataFrame, path: str, leaf: int = 1 << 16, keep: list[str] | None = None) -> DataFrame:
@@ -270,4 +312,4 @@ def round_trip(docs: DataFrame, path: str, leaf: int = 1 << 16, keep: list[str]
 
     source = docs.select(*kept, *([] if "text" in kept else ["text"]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return source.mapInArrow(run, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(source, run, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string")

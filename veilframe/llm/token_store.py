@@ -15,7 +15,7 @@ only files named in the written catalogue are read. Null texts have the end id a
 doc_id stand in order of their text; null doc_ids come first; an empty table writes no file;
 other columns are ignored.
 
-Encoding is bpe_tree's: the tokenizers library, with each distinct word encoded once per worker."""
+Texts are encoded by the tokenizers library, each distinct word once per worker (bpe_tree.Memo)."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilframe.llm.bpe_tree import encode, load, tokenizer_bytes
-from veilframe.llm.common import fresh_folder, pieces
+from veilframe.llm.common import fresh_folder, mapped, pieces
 from veilframe.llm.files import attempt_name, locate
 
 MAGIC = b"VFDAC001"
@@ -151,7 +151,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, fi
             ids, doc_ids, size, made = [], [], 0, made + 1
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()], strict=True)], ["file", "part", "first_id", "n_docs", "n_tokens"])
 
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", 3 << 20):
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode(tokenizer, [t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 ids.append(np.append(found, np.uint32(end_id)))
                 doc_ids.append(doc_id)
@@ -161,7 +161,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, fi
         if ids:
             yield flush()
 
-    catalogue = ordered.mapInArrow(run, CATALOGUE.replace("part int", "part long"))
+    catalogue = mapped(ordered, run, CATALOGUE.replace("part int", "part long"))
     catalogue.write.mode("overwrite").parquet(f"{folder}/catalogue")
     return spark.read.parquet(f"{folder}/catalogue")
 
@@ -187,7 +187,7 @@ def read(catalogue: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=~known), pa.array(starts[:-1] + row["base"]), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = max(1, catalogue.count())
-    return placed.repartition(min(files, 100_000), "file").mapInArrow(run, READ)
+    return mapped(placed.repartition(min(files, 100_000), "file"), run, READ)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
