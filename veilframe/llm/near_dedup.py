@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.bytesig import LOWER, WORD, U, hashes, mix, spans, windows
-from veilframe.llm.common import cut, pieces, utf8, within, without
+from veilframe.llm.common import cut, mapped, pieces, utf8, within, without
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +114,7 @@ def features(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 ["doc_id", "h1", "h2", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
+    return mapped(docs.select("doc_id", "text"), run, FEATURES)
 
 
 def contents(docs: DataFrame, n: int) -> DataFrame:
@@ -129,7 +129,7 @@ def contents(docs: DataFrame, n: int) -> DataFrame:
             parts = [small[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(parts, pa.binary())], ["id", "content"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, content binary")
+    return mapped(docs.select("doc_id", "text"), run, "id long, content binary")
 
 
 def verify(pairs: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
@@ -241,7 +241,7 @@ def tile_links(x: pd.DataFrame, y: pd.DataFrame, threshold: float, columns: int
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 24, rows: int = 5) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (smallest doc_id of its class), class_size, kept."""
+    """One row per row of docs: doc_id, class_id (smallest doc_id of its class), kept."""
     found = cut(features(docs, n, bands, rows))
     worded = found.where("doc_id is not null and h1 is not null")
     groups = cut(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
@@ -250,10 +250,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 24
     comps = links(docs, nodes, threshold, n)
     comps = groups.join(comps, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("class_id"))
     placed = found.join(comps, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    sizes = placed.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return placed.join(sizes, "class_id").unionByName(placed.where("class_id is null").withColumn("class_size", F.lit(1).cast("long"))).select(
-        "doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept")
-    )
+    return placed.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
