@@ -147,7 +147,7 @@ class Memo:
     A tokenizer that drops white space encodes each word alone; a byte-level one, whose words carry the space
     before them, encodes " word". Which of them it is, is tried out. `most` bounds the remembered words."""
 
-    def __init__(self, tokenizer: Tokenizer, most: int = 400_000, run: int = 400):
+    def __init__(self, tokenizer: Tokenizer, most: int = 200_000, run: int = 400):
         self.tokenizer, self.most, self.run = tokenizer, most, run
         # stretches after a space and others, each with those of the generation before
         self.known: dict[str, bytes] = {"": b""}
@@ -259,9 +259,9 @@ class Memo:
 _MEMOS: dict[int, Memo] = {}
 
 
-def memo(tokenizer: Tokenizer) -> Memo:
+def memo(tokenizer: Tokenizer, most: int = 200_000) -> Memo:
     if id(tokenizer) not in _MEMOS:
-        _MEMOS[id(tokenizer)] = Memo(tokenizer)
+        _MEMOS[id(tokenizer)] = Memo(tokenizer, most)
     return _MEMOS[id(tokenizer)]
 
 

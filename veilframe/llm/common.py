@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,6 +79,13 @@ def mapped(df: DataFrame, f, schema, most: int = 4 << 20) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that is done with a task may idle beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `most` text bytes, one row at least, so that the working
     arrays of a kernel stay small whatever the batch size is."""
@@ -90,7 +99,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
             to = min(batch.num_rows, max(at + 1, to))
             yield batch.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()  # the worker may idle beside others from here on
+    give_back()
 
 
 def without(docs: DataFrame, dropped: DataFrame, keys: list[str], most: int = 500_000) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.llm.bpe_tree import encode, load, tokenizer_bytes
+from veilframe.llm.bpe_tree import load, memo, tokenizer_bytes
 from veilframe.llm.common import fresh_folder, mapped, pieces
 from veilframe.llm.files import attempt_name, locate
 
@@ -152,7 +152,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, fi
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()], strict=True)], ["file", "part", "first_id", "n_docs", "n_tokens"])
 
         for batch in pieces(batches, "text", 3 << 20):
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode(tokenizer, [t or "" for t in batch.column("text").to_pylist()]), strict=True):
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), memo(tokenizer, 500_000).encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 ids.append(np.append(found, np.uint32(end_id)))
                 doc_ids.append(doc_id)
                 size += len(found) + 1
