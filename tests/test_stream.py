@@ -1,5 +1,6 @@
 """The masking state over a stream of files, and its decisions."""
 
+import time
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
@@ -11,6 +12,15 @@ from veilframe.streaming.limiter import limit, take
 from veilframe.streaming.windows import rates, sessions
 
 
+def drain(q, rows, seconds=90):
+    """Waits until a query has committed so many rows, and stops it: with timers it never ends by itself."""
+    end = time.time() + seconds
+    while time.time() < end and q.isActive and sum(p["numInputRows"] for p in q.recentProgress) < rows:
+        time.sleep(0.3)
+    q.stop()
+    assert q.exception() is None
+
+
 def row(payload, masked, **more):
     return SimpleNamespace(payload=payload, masked=masked, masked_already="**" in payload, may_store=True, **more)
 
@@ -34,9 +44,8 @@ def test_forward_then_back(spark, tmp_path):
     for i, rows in enumerate((one, two)):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(src))
         stream = spark.readStream.schema(schema).json(str(src))
-        q = guard(stream, Engine(C.default())).writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        assert q.exception() is None
+        q = guard(stream, Engine(C.default())).writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").start()
+        drain(q, len(rows))
     got = {r.seq: (r.operation, r.result) for r in spark.read.json(str(tmp_path / "out")).collect()}
     assert got[1] == ("mask", "почта iv**.*@****.ru")
     assert got[3][0] == "mask" and got[7] == ("mask", "")
@@ -52,8 +61,8 @@ def test_token_bucket(spark, tmp_path):
     rows = [(i, "a" if i < 5 else "b", f"2024-01-01 00:00:0{i % 5}") for i in range(7)]
     spark.createDataFrame(rows, "seq long, system_id string, ts string").coalesce(1).write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema("seq long, system_id string, ts timestamp").json(str(tmp_path / "in"))
-    q = limit(stream, 2).writeStream.format("memory").queryName("limits").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = limit(stream, 2).writeStream.format("memory").queryName("limits").outputMode("append").start()
+    drain(q, len(rows))
     assert {r.seq: r.allowed for r in spark.table("limits").collect()} == {0: True, 1: True, 2: False, 3: False, 4: False, 5: True, 6: True}
 
 
