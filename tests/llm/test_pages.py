@@ -49,6 +49,13 @@ def test_propagation_follows_and_reverses_links(spark):
     assert got[2].distrust > 0 and got[4].trust > got[5].trust > 0
 
 
+def test_no_host_is_distrusted_for_its_name_by_default(spark):
+    rows = [(1, "http://free-bets.net/x", ""), (2, "http://alphabets.net/x", "")]
+    assert {r.verdict for r in url_filter.judge(pages(spark, rows)).collect()} == {"allow"}
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages(spark, rows), seed_words=("bets",)).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
 def test_ranks_equal_power_iteration(spark):
     edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1), ("d", "c", 5)]
     seeds = spark.createDataFrame([("a", "t", 1.0), ("c", "d", 1.0)], "host string, kind string, share double")

@@ -3,8 +3,8 @@
 Host edges come from the absolute links of the pages; links inside a host say nothing about other
 hosts and are left out. Two personalised PageRanks run over them in one loop: trust flows along links from
 hosts whose pages the allow rules accept, distrust flows against links from hosts whose pages the block rules
-(or `seed_words`, names that no other evidence is needed for) reject. A seed weighs what part of its
-host's pages its rules decide. A host whose distrust exceeds `ratio` times its trust is blocked.
+reject. A caller may add `seed_words`, none by default: a host one of whose names between dots and hyphens is
+such a word is a seed of distrust. A seed weighs what part of its host's pages its rules decide. A host whose distrust exceeds `ratio` times its trust is blocked.
 
 Only DataFrame operations are used. Edges are counted per host pair with map-side combining before
 they are shuffled, ranks and edges are re-cut each few rounds, and a hot host's edges are an equi
@@ -28,8 +28,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # fixed values: the rules of the contract
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
-# fixed values: words that mark a host as a seed of distrust
-SEED_WORDS = ("adult", "bets", "casino", "pills", "spam")
 
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>]+)"""
 
@@ -108,7 +106,7 @@ def pivoted(ranks: DataFrame) -> DataFrame:
 
 def seed_shares(judged: DataFrame, seed_words: tuple[str, ...]) -> DataFrame:
     """(host, kind, share): hosts' shares of the trusted and of the distrusted seed mass."""
-    named = reduce(lambda a, b: a | b, [F.col("host").contains(w) for w in seed_words], F.lit(False))
+    named = reduce(lambda a, b: a | b, [F.array_contains(F.split("host", "[.-]"), w) for w in seed_words], F.lit(False))
     hosts = judged.where("host != ''").groupBy("host").agg(
         F.avg((F.col("ruled") == "allow").cast("double")).alias("t0"), F.avg((F.col("ruled") == "block").cast("double")).alias("d0"), F.count("*").alias("n"), F.count("ruled").alias("k")
     )
@@ -122,7 +120,7 @@ def seed_shares(judged: DataFrame, seed_words: tuple[str, ...]) -> DataFrame:
     return long.join(F.broadcast(total), "kind").select("host", "kind", (F.col("w") / F.col("total")).alias("share"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, seed_words: tuple[str, ...] = SEED_WORDS, ratio: float = 1.0, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, seed_words: tuple[str, ...] = (), ratio: float = 1.0, damping: float = 0.85, rounds: int = 12) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, trust, distrust."""
     split = pages.select("page_id", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, ruled = by_rule(rules, F.col("host"), F.col("path"))
