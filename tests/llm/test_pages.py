@@ -56,6 +56,19 @@ def test_no_host_is_distrusted_for_its_name_by_default(spark):
     assert got == {1: "block", 2: "allow"}
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    hosts = [f"h{i}.net" for i in range(17)]
+    rows = [(0, "http://bad.com/de/a", "")] + [(i + 1, f"http://{h}/", f'<a href="http://{to}/">x</a>') for i, (h, to) in enumerate(zip(hosts, ["bad.com", *hosts], strict=False))]
+    assert {r.verdict for r in url_filter.judge(pages(spark, rows)).collect()} == {"block"}
+
+
+def test_small_seed_shares_are_not_taken_for_convergence(spark):
+    edges = [(f"h{i + 1}", f"h{i}", 1) for i in range(7)]
+    seeds = spark.createDataFrame([("h0", "d", 1e-7)], "host string, kind string, share double")
+    got = {r.host: r.distrust for r in url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), seeds).collect()}
+    assert [got[f"h{i}"] for i in range(8)] == pytest.approx([1e-7 * 0.15 * 0.85**i for i in range(8)], rel=1e-9)
+
+
 def test_ranks_equal_power_iteration(spark):
     edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1), ("d", "c", 5)]
     seeds = spark.createDataFrame([("a", "t", 1.0), ("c", "d", 1.0)], "host string, kind string, share double")

@@ -18,6 +18,7 @@ repeated rows are judged one by one; an empty table gives an empty result; other
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,10 +75,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return ends.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, tolerance: float = 1e-6) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """(host, trust, distrust). edges: src, dst, n; seeds: host, kind ('t' or 'd'), share (sums to 1 by kind).
 
-    Ranks of both kinds are one table; the edges of kind 'd' are the reversed ones."""
+    Ranks of both kinds are one table; the edges of kind 'd' are the reversed ones. Ranks only grow; unless
+    `rounds` ends it, that goes on until no host is new and none grew by more than `tolerance` of its own rank."""
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     back = edges.groupBy("dst").agg(F.sum("n").alias("total"))
     along = edges.join(out, "src").select(F.lit("t").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("total")).alias("w"))
@@ -86,14 +88,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     base = cut(seeds.select("kind", "host", (F.col("share") * (1 - damping)).alias("rank")))
     ranks = base
     if not flow.isEmpty():
-        for turn in range(rounds):
+        for turn in count() if rounds is None else range(rounds):
             sent = flow.join(ranks, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("rank") * F.col("w") * damping).alias("rank"))
             new = base.unionByName(sent).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-            if turn % 3 == 2 or turn == rounds - 1:
+            if turn % 3 == 1:
+                new = cut(new)  # the old ranks of the comparison below
+            elif turn % 3 == 2:
                 new = cut(new)
                 moved = new.join(ranks.withColumnRenamed("rank", "old"), ["kind", "host"], "left")
-                far = moved.agg(F.max(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0)))).alias("m")).first().m
-                if far is None or far < tolerance:
+                if moved.where(F.col("rank") - F.coalesce("old", F.lit(0.0)) > tolerance * F.col("rank")).isEmpty():
                     return pivoted(new)
             ranks = new
     return pivoted(ranks)
@@ -120,7 +123,7 @@ def seed_shares(judged: DataFrame, seed_words: tuple[str, ...]) -> DataFrame:
     return long.join(F.broadcast(total), "kind").select("host", "kind", (F.col("w") / F.col("total")).alias("share"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, seed_words: tuple[str, ...] = (), ratio: float = 1.0, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, seed_words: tuple[str, ...] = (), ratio: float = 1.0, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, trust, distrust."""
     split = pages.select("page_id", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, ruled = by_rule(rules, F.col("host"), F.col("path"))
