@@ -123,3 +123,13 @@ def test_shards_fit_and_only_oversized_split(spark, limit):
         if bits:  # the parent was too large
             parent = sum(r.n_bytes for o, rs in shards.items() if o.startswith(bits[:-1]) for r in rs)
             assert parent > limit
+
+
+def test_near_copies_that_differ_by_a_repeated_line(spark):
+    rows = []
+    for k in range(12):
+        text = " ".join(f"t{k}w{i}" for i in range(49))
+        line = " ".join(f"l{k}w{i}" for i in range(4))
+        rows += [(2 * k + 1, text), (2 * k + 2, f"{text} " + " ".join([line] * 470))]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, rows)).collect()}
+    assert got == brute(rows) and all(got[2 * k + 2] == 2 * k + 1 for k in range(12))

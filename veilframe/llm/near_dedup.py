@@ -1,11 +1,11 @@
 """MinHash near-dedup by ProbMinHash.
 
-Documents are weighted sets of shingles of five words; a shingle that occurs c times weighs
-1 + log2(c), so that a line repeated a thousand times doesn't outweigh a text. Each shingle emits the
+Documents are sets of shingles of five words; a shingle weighs 1 however often it occurs, so that the bands
+find by the measure that verifies, and a line repeated a thousand times doesn't outweigh a text. Each shingle emits the
 arrivals of a Poisson process whose rate is its weight; every arrival picks one of `registers`
 registers, a register keeps its earliest arrival, and a document's arrivals end as soon as they come
 later than the latest kept one. Two registers agree with the probability Jaccard similarity of the
-documents. Bands of registers give candidate pairs, which are verified by the exact Jaccard similarity
+documents, which with equal weights is that of the sets. Bands of registers give candidate pairs, which are verified by the exact Jaccard similarity
 of their shingle sets.
 
 Texts with the same words collapse to one node (the smallest doc_id) before banding. In a band
@@ -51,14 +51,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return row, mark, digests[0], digests[1]
 
 
-def weighted(row: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each (row, shingle) once, with its weight, 1 + log2(count); in order of row, then shingle."""
+def distinct(row: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each (row, shingle) once, in order of row, then shingle."""
     order = np.lexsort((mark, row))
     row, mark = row[order], mark[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (mark[1:] != mark[:-1])
-    at = np.flatnonzero(new)
-    return row[at], mark[at], 1 + np.log2(np.diff(np.append(at, len(row))))
+    return row[new], mark[new]
 
 
 def prob_minhash(row: np.ndarray, mark: np.ndarray, weight: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -105,7 +104,8 @@ def features(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
         for batch in pieces(batches, "text", 1 << 20):
             row, mark, h1, h2 = shingles(*utf8(batch.column("text")), n)
-            signatures = prob_minhash(*weighted(row, mark), batch.num_rows, bands * rows)
+            row, mark = distinct(row, mark)
+            signatures = prob_minhash(row, mark, np.ones(len(row)), batch.num_rows, bands * rows)
             buckets = band_hashes(signatures, bands, rows).view(np.int64)
             mask = (h1 == 0) & (h2 == 0)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, buckets.size + 1, bands, dtype=np.int32)), pa.array(buckets.ravel()))
@@ -124,7 +124,7 @@ def contents(docs: DataFrame, n: int) -> DataFrame:
         for batch in pieces(batches, "text"):
             row, mark, _, _ = shingles(*utf8(batch.column("text")), n)
             small = (mark >> U(32)).astype(np.uint32)
-            row, small, _ = weighted(row, small)
+            row, small = distinct(row, small)
             edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
             parts = [small[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(parts, pa.binary())], ["id", "content"])
