@@ -157,3 +157,10 @@ def test_comments_inside_articles_and_odd_markup():
     page = '<article class="has-sidebar"><header><h1>T</h1></header><p>a<p>b<ul><li>c</ul><div hidden>x</div><pre>d\n e</pre><article class="comment"><p>no</article>g</article><p>after'
     assert html_extract.main_text(html_extract.lines(page), None) == "T a b c d e g"
     assert html_extract.main_text(html_extract.lines("<p>1 < 2 &amp; 3 > 2<!-- x --><script>var a='<p>';</script> end"), None) == "1 < 2 & 3 > 2 end"
+
+
+def test_open_lines_are_differenced_on_pages_with_an_article():
+    page = "<article>Teaser</article><div id=x><p>Menu</p><p>The long text {0} of the page</p></div>"
+    one, two = (html_extract.lines(page.format(i)) for i in (1, 2))
+    assert html_extract.main_text(one, two) == "Teaser The long text 1 of the page"
+    assert html_extract.main_text(one, None) == "Teaser Menu The long text 1 of the page"

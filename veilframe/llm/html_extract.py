@@ -5,7 +5,9 @@ sorted by URL path; each is paired with the nearest of its neighbours by path th
 of it, the lines of both are aligned by a longest common subsequence, and shared lines - menus, notices, adverts,
 whatever a template repeats - are deleted. Two things the page itself states go before that evidence: lines in
 navigation, header, footer, sidebar, form, advert, notice or comment elements are deleted in any case, and
-lines inside an article or main element are kept, since a passage that two articles share is text.
+lines inside an article or main element are kept, since a passage that two articles share is text. All other
+lines are decided by differencing. A page without a partner keeps them, unless its article and main elements
+hold at least as much text.
 
 Hot hosts are split: Misra-Gries counters name hosts of many pages, and each of those is dealt out by a
 hash of its paths into groups of about `group` pages. Groups are sorted streams in a
@@ -176,9 +178,10 @@ def common(a: list[str], b: list[str]) -> set[int]:
 def main_text(own: list[tuple[str, int]], partner: list[tuple[str, int]] | None) -> str:
     """The page's text, given its partner's lines."""
     texts = [t for t, _ in own]
-    shared = common(texts, [t for t, _ in partner]) if partner else set()
-    stated = any(k == TEXT for _, k in own)
-    keep = [t for i, (t, k) in enumerate(own) if k == TEXT or (k == OPEN and not stated and i not in shared)]
+    shared = common(texts, [t for t, _ in partner]) if partner is not None else set()
+    size = [sum(len(t) for t, k in own if k == kind) for kind in (FURNITURE, OPEN, TEXT)]
+    stated = partner is None and size[TEXT] >= size[OPEN]
+    keep = [t for i, (t, k) in enumerate(own) if k == TEXT or (k == OPEN and not (stated and size[TEXT]) and i not in shared)]
     return " ".join(keep)
 
 
