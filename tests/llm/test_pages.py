@@ -164,3 +164,21 @@ def test_open_lines_are_differenced_on_pages_with_an_article():
     one, two = (html_extract.lines(page.format(i)) for i in (1, 2))
     assert html_extract.main_text(one, two) == "Teaser The long text 1 of the page"
     assert html_extract.main_text(one, None) == "Teaser Menu The long text 1 of the page"
+
+
+@pytest.mark.parametrize(
+    "attributes, unseen",
+    [
+        (' class="overflow-hidden"', False),
+        (' style="overflow:hidden"', False),
+        (" class='hidden-xs'", False),
+        (' title="hidden"', False),
+        (" hidden", True),
+        (' class="a" HIDDEN=""', True),
+        (" aria-hidden=true", True),
+        (' style="color:red; display: none"', True),
+        (' style="visibility:hidden"', True),
+    ],
+)
+def test_hidden(attributes, unseen):
+    assert html_extract.main_text(html_extract.lines(f"<main{attributes}><p>text</main>"), None) == ("" if unseen else "text")

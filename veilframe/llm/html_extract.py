@@ -47,7 +47,8 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?
 MARKED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CAMEL = re.compile(r"([a-z])([A-Z])")
 COMMENT = re.compile(r"\b(?:class|id)\s*=\s*[\"']?[^\"'>]*\b(?:comment|reply)", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
@@ -64,12 +65,21 @@ def marked(attributes: str) -> bool:
     return not named and any(t[0] in MARKS and not TEXT_MARKS & set(t[1:2]) for t in tokens)
 
 
+def hidden(attributes: str) -> bool:
+    """Whether an attribute says that the element isn't shown."""
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
+        if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSEEN.search(value):
+            return True
+    return False
+
+
 def kind_of(name: str, attributes: str, outer: int) -> int:
     """What an element's content is: page furniture, open to evidence, or text."""
     if outer == FURNITURE or name in CHROME and not (name == "header" and outer == TEXT):
         return FURNITURE
-    if attributes and ("=" in attributes or "hidden" in attributes) and name not in ("body", "html"):
-        if HIDDEN.search(attributes):
+    if attributes.strip() and name not in ("body", "html"):
+        if hidden(attributes):
             return FURNITURE
         if name in BODY:
             # a reader comment may be an article, too; any other name of one says little
