@@ -182,3 +182,9 @@ def test_open_lines_are_differenced_on_pages_with_an_article():
 )
 def test_hidden(attributes, unseen):
     assert html_extract.main_text(html_extract.lines(f"<main{attributes}><p>text</main>"), None) == ("" if unseen else "text")
+
+
+@pytest.mark.parametrize("tag", ["<svg class=i/>", "<iframe src=x />", "<noscript>", "<select>", "<template>", "<canvas>"])
+def test_elements_without_a_closing_tag_end_nothing(tag):
+    assert html_extract.main_text(html_extract.lines(f"<p>a</p>{tag}<p>b</p>{tag}<p>c</p>"), None) == "a b c"
+    assert html_extract.main_text(html_extract.lines("<p>a<svg/>b<svg><text>no</text></svg>c<script>d"), None) == "abc"

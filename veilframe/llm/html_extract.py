@@ -32,6 +32,8 @@ from veilframe.llm.url_filter import host_of, path_of
 
 # fixed values: element names
 RAW = frozenset("script style noscript template svg math iframe object textarea select canvas head title".split())
+# of these, what holds no markup: without a closing tag they last to the end of the page
+OPAQUE = frozenset("script style textarea".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME = frozenset("nav header footer aside form button menu dialog".split())
@@ -94,6 +96,7 @@ def lines(page: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []
     parts: list[str] = []
+    unclosed: set[str] = set()
     kind, at = OPEN, 0
 
     def flush():
@@ -127,11 +130,15 @@ def lines(page: str) -> list[tuple[str, int]]:
                     break
             continue
         if name in RAW:
+            if name not in OPAQUE and (name in unclosed or tag[3].endswith("/")):
+                continue
             end = CLOSE[name].search(page, at)
             if end:
                 at = end.end()
-            elif name not in ("head", "title"):
+            elif name in OPAQUE:
                 at = len(page)
+            else:
+                unclosed.add(name)
             continue
         if name in BLOCK:
             flush()
