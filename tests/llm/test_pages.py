@@ -188,3 +188,19 @@ def test_hidden(attributes, unseen):
 def test_elements_without_a_closing_tag_end_nothing(tag):
     assert html_extract.main_text(html_extract.lines(f"<p>a</p>{tag}<p>b</p>{tag}<p>c</p>"), None) == "a b c"
     assert html_extract.main_text(html_extract.lines("<p>a<svg/>b<svg><text>no</text></svg>c<script>d"), None) == "abc"
+
+
+def test_partners_past_runs_of_copies_and_in_long_templates(spark):
+    menu = "".join(f"<p>A menu line of the template, number {i}</p>" for i in range(20))
+    texts = ["Tiny tale", "Other words", *["Third thing"] * 4]
+    rows = [(i, f"http://h/{i}", f"{menu}<p>{t}</p>") for i, t in enumerate(texts)] + [(9, "http://b/1", PLAIN.format(1)), *((i, "http://b/2", PLAIN.format(2)) for i in (10, 11, 12))]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert [got[i] for i in range(6)] == texts
+    assert all(got[i] == "Text 2 of this page More 2" for i in (10, 11, 12))
+
+
+def test_held_pages_beyond_memory():
+    held = html_extract.Held(most=500)
+    for i in range(9):
+        held.add({"lines": [("x" * 100, 1)], "i": i}, [])
+    assert held.file and [page["i"] for page, _ in held] == list(range(9))

@@ -1,8 +1,8 @@
 """HTML extraction by nearest-URL page differencing.
 
 Each page is parsed into lines: the texts between block tags, with what encloses them. Pages of a host are
-sorted by URL path; each is paired with the nearest of its neighbours by path that isn't a copy
-of it, the lines of both are aligned by a longest common subsequence, and shared lines - menus, notices, adverts,
+sorted by URL path; each is paired with the nearer by path of the last page before and the next
+after it that aren't copies of it, the lines of both are aligned by a longest common subsequence, and shared lines - menus, notices, adverts,
 whatever a template repeats - are deleted. Two things the page itself states go before that evidence: lines in
 navigation, header, footer, sidebar, form, advert, notice or comment elements are deleted in any case, and
 lines inside an article or main element are kept, since a passage that two articles share is text. All other
@@ -11,7 +11,8 @@ hold at least as much text.
 
 Hot hosts are split: Misra-Gries counters name hosts of many pages, and each of those is dealt out by a
 hash of its paths into groups of about `group` pages. Groups are sorted streams in a
-partition, of which two pages are held at a time, so neither a host nor a group is ever collected.
+partition; a run of copies waits for the next other page, in a file where it is long, so neither a host
+nor a group is ever collected.
 
 Null html is empty, an empty page has an empty text; a null URL is a host of its own with no path;
 repeated rows are extracted one by one (a copy of a page is never its partner); an empty table
@@ -20,8 +21,11 @@ gives an empty result; other columns are ignored."""
 from __future__ import annotations
 
 import html as entities
+import pickle
 import re
+import tempfile
 from bisect import bisect_left
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -203,10 +207,14 @@ def main_text(own: list[tuple[str, int]], partner: list[tuple[str, int]] | None)
 
 
 def is_copy(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> bool:
-    """Whether most of what a page says outside its furniture stands in the other, too."""
-    mine = [t for t, k in a if k != FURNITURE]
-    theirs = {t for t, k in b if k != FURNITURE}
-    return sum(len(t) for t in mine if t in theirs) > 0.7 * sum(map(len, mine))
+    """Whether most of what a page says outside its furniture stands in the other, too, and what differs
+    is nearly equal or an addition of one of them: pages of one template differ in their texts."""
+    mine, theirs = ([t for t, k in side if k != FURNITURE] for side in (a, b))
+    here, there = set(mine), set(theirs)
+    if sum(len(t) for t in mine if t in there) <= 0.7 * sum(map(len, mine)):
+        return False
+    own, other = (Counter(w for t in side if t not in known for w in t.split()) for side, known in ((mine, there), (theirs, here)))
+    return not own or not other or (own & other).total() >= 0.8 * max(own.total(), other.total())
 
 
 def near(a: str, b: str) -> int:
@@ -215,29 +223,74 @@ def near(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def stream(batches):
-    """Pages sorted by group and path, each with its lines and those of the neighbours beside it."""
-    window: list[dict] = []
+class Held:
+    """Pages that wait for a partner: about `most` characters in memory, the others in a file of the task."""
+
+    def __init__(self, most: int = 4 << 20):
+        self.rows, self.room, self.file = [], most, None
+
+    def add(self, *item) -> None:
+        if self.room > 0:
+            self.rows.append(item)
+            self.room -= 200 + sum(len(t) for t, _ in item[0]["lines"])
+        else:
+            self.file = self.file or tempfile.TemporaryFile()
+            pickle.dump(item, self.file)
+
+    def __iter__(self):
+        yield from self.rows
+        if self.file:
+            end = self.file.tell()
+            self.file.seek(0)
+            while self.file.tell() < end:
+                yield pickle.load(self.file)
+            self.file.close()
+
+
+def parsed(batches):
     for batch in pieces(batches, "html", 1 << 20):
         for row in batch.to_pylist():
             row["lines"] = lines(row["html"] or "")
             row["html"] = None
-            window.append(row)
-            if len(window) > 1:
-                yield (window[-3] if len(window) == 3 else None), window[-2], window[-1]
-            if len(window) == 3:
-                window.pop(0)
-    if window:
-        yield (window[-2] if len(window) > 1 else None), window[-1], None
+            yield row
+
+
+def partner_of(page: dict, sides: list[dict]) -> dict | None:
+    """The nearest by path of the pages that aren't copies of the page, the earlier of equals."""
+    return next((s for s in sorted(sides, key=lambda s: -near(s["path"], page["path"])) if not is_copy(page["lines"], s["lines"])), None)
+
+
+def paired(rows):
+    """(page, partner or None) of pages sorted by group and path. A run of copies waits for the next other page;
+    the last other pages before it are carried along."""
+    held, group, before, head, last = Held(), None, [], None, None
+    for row in rows:
+        own = row["part"], row["host"]
+        if own == group and row["lines"] == head["lines"]:
+            row["lines"] = head["lines"]
+        if own == group and (row["lines"] is head["lines"] or is_copy(row["lines"], head["lines"]) and is_copy(head["lines"], row["lines"])):
+            held.add(row, before)
+            last = row
+            continue
+        waiting, held = held, Held()
+        for page, sides in waiting:
+            partner = partner_of(page, [*sides, row] if own == group else sides)
+            if partner is None and own == group:
+                held.add(page, sides)
+            else:
+                yield page, partner
+        before = [] if own != group else [last] if last is head else [last, head]
+        held.add(row, before)
+        group, head, last = own, row, row
+    for page, sides in held:
+        yield page, partner_of(page, sides)
 
 
 def extracted(batches):
     rows: list[tuple] = []
     size = 0
-    for before, page, after in stream(batches):
-        sides = [s for s in (before, after) if s and s["host"] == page["host"] and s["part"] == page["part"] and not is_copy(page["lines"], s["lines"])]
-        sides.sort(key=lambda s: -near(s["path"], page["path"]))
-        text = main_text(page["lines"], sides[0]["lines"] if sides else None)
+    for page, partner in paired(parsed(batches)):
+        text = main_text(page["lines"], partner["lines"] if partner else None)
         rows.append((page["page_id"], page["url"], text, len(text)))
         size += len(text)
         if size > 1 << 20 or len(rows) >= 5000:
