@@ -204,3 +204,11 @@ def test_held_pages_beyond_memory():
     for i in range(9):
         held.add({"lines": [("x" * 100, 1)], "i": i}, [])
     assert held.file and [page["i"] for page, _ in held] == list(range(9))
+
+
+def test_ranges_keep_neighbours_together(spark):
+    part = lambda i: f"<p>Menu of part {i // 6}, the same on all its pages</p>"
+    rows = [(i, f"http://h/{i // 6:02}/{i:03}", part(i) + f"<p>{'one' if i in range(40, 70) else i} says its own words about {i * i if i not in range(40, 70) else 0} things</p>") for i in range(120)]
+    whole, split = ({r.page_id: r.text for r in html_extract.extract(pages(spark, rows), group=g).collect()} for g in (1000, 7))
+    assert split == whole and len(split) == 120
+    assert not any("Menu" in whole[i] for i in (*range(36), *range(76, 120)))

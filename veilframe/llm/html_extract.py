@@ -9,10 +9,11 @@ lines inside an article or main element are kept, since a passage that two artic
 lines are decided by differencing. A page without a partner keeps them, unless its article and main elements
 hold at least as much text.
 
-Hot hosts are split: Misra-Gries counters name hosts of many pages, and each of those is dealt out by a
-hash of its paths into groups of about `group` pages. Groups are sorted streams in a
-partition; a run of copies waits for the next other page, in a file where it is long, so neither a host
-nor a group is ever collected.
+Pages are dealt out in ranges of host and path of about `group` pages, with bounds from a sample. Each range
+also gets the pages beside it - those of `halo` different htmls before and after it - so that a page's
+partner doesn't depend on the bounds. Only keys of samples and of ranges' ends come to the driver. Ranges are
+sorted streams in a partition; a run of copies waits for the next other page, in a file where it is long, so
+neither a host nor a range is ever collected.
 
 Null html is empty, an empty page has an empty text; a null URL is a host of its own with no path;
 repeated rows are extracted one by one (a copy of a page is never its partner); an empty table
@@ -24,11 +25,12 @@ import html as entities
 import pickle
 import re
 import tempfile
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import cut, mapped, pieces
@@ -290,6 +292,8 @@ def extracted(batches):
     rows: list[tuple] = []
     size = 0
     for page, partner in paired(parsed(batches)):
+        if page["place"]:
+            continue  # in this group for its neighbours' sake
         text = main_text(page["lines"], partner["lines"] if partner else None)
         rows.append((page["page_id"], page["url"], text, len(text)))
         size += len(text)
@@ -304,12 +308,55 @@ def packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, group: int = 200, hot: int = 4096) -> DataFrame:
-    """One row per row of pages: page_id, url, text, n_chars."""
-    hosts = pages.select(host_of(F.col("url")).alias("host"))
-    counted = hosts.agg(F.expr(f"approx_top_k(host, {hot}, {8 * hot})").alias("top"))
-    large = cut(counted.select(F.explode("top").alias("t")).select(F.col("t.item").alias("host"), F.ceil(F.col("t.count") / group).cast("int").alias("parts")).where("parts > 1"))
+def ranges(keys: DataFrame, bounds: list[tuple], halo: int) -> dict[tuple, list[int]]:
+    """Which pages belong to further groups, as what stands before or after them: by key, the groups.
+
+    Beside each end of a group these are the nearest pages of the host with `halo` different htmls, however
+    many groups a run of equal ones fills. keys: host, path, id, digest; bounds: the least key of each group but
+    the first."""
+
+    @F.pandas_udf("int")
+    def group_of(host: pd.Series, path: pd.Series, page: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(bounds, k) for k in zip(host, path, page, strict=True)], dtype="int32")
+
+    placed = keys.withColumn("part", group_of("host", "path", "id"))
+    seen = cut(placed.groupBy("part", "host", "digest").agg(F.min(F.struct("path", "id")).alias("low"), F.max(F.struct("path", "id")).alias("high")))
+    extra: dict[tuple, list[int]] = {}
+    for end, up in (("high", True), ("low", False)):  # what stands before each group, then what stands after it
+        order = [F.col(c).desc() if up else F.col(c).asc() for c in ("host", end)]
+        ends = seen.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*order))).where(F.col("n") <= halo)
+        near_by: dict[int, list[tuple]] = {}
+        for r in ends.select("part", "n", "host", F.col(f"{end}.path"), F.col(f"{end}.id"), "digest").collect():
+            near_by.setdefault(r.part, []).append((r.n, (r.host, r.path, r.id), r.digest))
+        # the group's host on the side where the others stand
+        first = {r.part: r.host for r in seen.groupBy("part").agg((F.min if up else F.max)("host").alias("host")).collect()}
+        recent: list[tuple] = []
+        for part in sorted(near_by, reverse=not up):
+            for key, _ in recent:
+                if key[0] == first[part]:
+                    extra.setdefault(key, []).append(part)
+            own = [(key, digest) for _, key, digest in sorted(near_by[part])]
+            known = {digest for _, digest in own}
+            recent = [x for x in own + [x for x in recent if x[1] not in known] if x[0][0] == own[0][0][0]][:halo]
+    return extra
+
+
+def extract(pages: DataFrame, group: int = 1000, halo: int = 4) -> DataFrame:
+    """One row per row of pages: page_id, url, text, n_chars. group: pages of a range of host and path."""
     named = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    dealt = named.join(F.broadcast(large), "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("path"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    placed = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "path", "page_id", "html")
+    keyed = named.withColumn("id", F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63))))
+    keys = keyed.select("host", "path", "id", F.xxhash64("html").alias("digest"))
+    count = pages.count()
+    parts = -(-count // group)
+    some = sorted((r.host, r.path, r.id) for r in keys.drop("digest").sample(min(1.0, 10 / group), 7).collect()) if parts > 1 else []
+    bounds = sorted({some[len(some) * i // parts] for i in range(1, parts)}) if some else []
+    extra = ranges(keys, bounds, halo) if bounds else {}
+
+    @F.pandas_udf("array<int>")
+    def groups_of(host: pd.Series, path: pd.Series, page: pd.Series) -> pd.Series:
+        return pd.Series([[bisect_right(bounds, k), *extra.get(k, ())] for k in zip(host, path, page, strict=True)])
+
+    groups = groups_of("host", "path", "id") if bounds else F.array(F.lit(0))
+    dealt = keyed.select("page_id", "url", "html", "host", "path", F.posexplode(groups).alias("place", "part"))
+    placed = dealt.repartition("part").sortWithinPartitions("part", "host", "path", "page_id", "html")
     return mapped(placed, extracted, "page_id long, url string, text string, n_chars long")
