@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import time
 
 import pytest
 
@@ -150,7 +151,7 @@ def test_lcs():
     ],
 )
 def test_marks(attributes, furniture):
-    assert html_extract.marked(attributes) == furniture
+    assert html_extract.marked(attributes, False) == furniture
 
 
 def test_comments_inside_articles_and_odd_markup():
@@ -199,6 +200,29 @@ def test_partners_past_runs_of_copies_and_in_long_templates(spark):
     assert all(got[i] == "Text 2 of this page More 2" for i in (10, 11, 12))
 
 
+def test_differencing_decides_inside_main_and_whatever_has_no_mark(spark):
+    menu = "".join(f"<li>Entry {i}" for i in range(9))
+    page = "<body><div><ul>" + menu + "</ul></div><main class='overflow-hidden'><h2 class='page-header'>Title {0}</h2><p>Share this page<p>Story {0} told at length, in words of its own<div>Newest stories</div></main><div>Imprint</div>"
+    rows = [(i, f"http://h/{i:03}", page.format(f"{i} {i * i}")) for i in range(30)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"Title {i} {i * i} Story {i} {i * i} told at length, in words of its own" for i in range(30)}
+    assert html_extract.main_text(html_extract.lines(rows[0][2]), None).endswith("words of its own Newest stories")  # but for its partner
+
+
+def test_headings_marked_as_headers_and_passages_inside_articles_stay():
+    page = "<article><h2 class='page-header'>Heading</h2><p class='is-hidden-xs'>A passage</p><p>Text {0}</p><div class='newsletter'>Join</div></article>"
+    one, two = (html_extract.lines(page.format(i)) for i in (1, 2))
+    assert html_extract.main_text(one, two) == "Heading A passage Text 1"
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a b='", "<!", "<", "<div>", "</x>", "<svg>", "<p><b>", "<!-- ", "<a b=\"\"\">"])
+def test_broken_markup_is_read_once(part):
+    began = time.process_time()
+    html_extract.lines("<div>" * 1000 + part * (1_000_000 // len(part)) + "</b></x>" * 1000)
+    assert time.process_time() - began < 5
+    assert html_extract.main_text(html_extract.lines(f"<p>text</p>{'<p>' if part == '<a ' else ''}"), None) == "text"
+
+
 def test_held_pages_beyond_memory():
     held = html_extract.Held(most=500)
     for i in range(9):

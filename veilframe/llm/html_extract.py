@@ -3,17 +3,21 @@
 Each page is parsed into lines: the texts between block tags, with what encloses them. Pages of a host are
 sorted by URL path; each is paired with the nearer by path of the last page before and the next
 after it that aren't copies of it, the lines of both are aligned by a longest common subsequence, and shared lines - menus, notices, adverts,
-whatever a template repeats - are deleted. Two things the page itself states go before that evidence: lines in
-navigation, header, footer, sidebar, form, advert, notice or comment elements are deleted in any case, and
-lines inside an article or main element are kept, since a passage that two articles share is text. All other
-lines are decided by differencing. A page without a partner keeps them, unless its article and main elements
+whatever a template repeats - are deleted, inside a main element as anywhere else. What elements state breaks
+ties only: a shared line inside an article element is a passage that two articles share, so it stays; an unshared line in a
+navigation, header, footer, sidebar, form, advert, notice or comment element goes, as such lines
+differ from page to page. A page without a partner keeps its other lines, unless its article and main elements
 hold at least as much text.
 
-Pages are dealt out in ranges of host and path of about `group` pages, with bounds from a sample. Each range
-also gets the pages beside it - those of `halo` different htmls before and after it - so that a page's
-partner doesn't depend on the bounds. Only keys of samples and of ranges' ends come to the driver. Ranges are
-sorted streams in a partition; a run of copies waits for the next other page, in a file where it is long, so
-neither a host nor a range is ever collected.
+The parser reads a page once, whatever its markup: no quote, comment or element that nothing closes is
+looked for twice, and only a comment, a script or a style swallows what follows it.
+
+Pages are dealt out in ranges of host and path of about `group` pages (more where there would be more than `most`
+ranges), with bounds from a sample. Each range also gets the pages beside it - those of `halo` different htmls
+before and after it - so that a page's partner doesn't depend on the bounds. Only keys of samples and of
+ranges' ends come to the driver, at most 10 and 4 x `halo` a range. Ranges are sorted streams in a partition; a
+run of copies waits for the next other page, in a file where it is long, so neither a host nor a range is
+ever collected.
 
 Null html is empty, an empty page has an empty text; a null URL is a host of its own with no path;
 repeated rows are extracted one by one (a copy of a page is never its partner); an empty table
@@ -41,9 +45,9 @@ RAW = frozenset("script style noscript template svg math iframe object textarea
 # of these, what holds no markup: without a closing tag they last to the end of the page
 OPAQUE = frozenset("script style textarea".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME = frozenset("nav header footer aside form button menu dialog".split())
-BODY = frozenset("article main".split())
 # fixed values: words of class, id and role that mark page furniture
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promoted related replies share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget".split())
 # fixed values: words that mark the text itself
@@ -51,7 +55,10 @@ TEXT_MARKS = frozenset("article body content entry main page post story text".sp
 # an open p ends where one of these begins
 ENDS_P = BLOCK - {"br", "body", "html", "option"}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# what a "<" opens: a comment, a declaration, or a tag and its name
+OPENS = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+# the attributes of a tag up to its end; possessive, so that nothing is tried twice
+REST = re.compile(r"((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
 MARKED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CAMEL = re.compile(r"([a-z])([A-Z])")
 COMMENT = re.compile(r"\b(?:class|id)\s*=\s*[\"']?[^\"'>]*\b(?:comment|reply)", re.I)
@@ -60,17 +67,20 @@ UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b
 SPLIT = re.compile(r"[^a-z0-9]+")
 CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
-FURNITURE, OPEN, TEXT = 0, 1, 2
+# what a line is: page furniture, open to differencing, open inside a main element, or an article's text
+FURNITURE, OPEN, MAIN, TEXT = 0, 1, 2, 3
+BODY = {"main": MAIN, "article": TEXT}
 
 
-def marked(attributes: str) -> bool:
+def marked(attributes: str, heading: bool) -> bool:
     """Whether class, id or role name page furniture: a mark ends one of their tokens, or opens one
-    ("ad-slot", "comment-body") of an element that isn't named as text as well."""
+    ("ad-slot", "comment-body") of an element that isn't named as text as well. A heading may be called a header."""
     tokens = [SPLIT.split(CAMEL.sub(r"\1-\2", t).lower().strip("-_")) for m in MARKED.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").split()]
-    if any(t[-1] in MARKS for t in tokens):
+    known = MARKS - {"header"} if heading else MARKS
+    if any(t[-1] in known for t in tokens):
         return True
     named = any(TEXT_MARKS.issuperset(t) for t in tokens)
-    return not named and any(t[0] in MARKS and not TEXT_MARKS & set(t[1:2]) for t in tokens)
+    return not named and any(t[0] in known and not TEXT_MARKS & set(t[1:2]) for t in tokens)
 
 
 def hidden(attributes: str) -> bool:
@@ -91,16 +101,46 @@ def kind_of(name: str, attributes: str, outer: int) -> int:
             return FURNITURE
         if name in BODY:
             # a reader comment may be an article, too; any other name of one says little
-            return FURNITURE if COMMENT.search(attributes) else TEXT
-        if marked(attributes):
+            return FURNITURE if COMMENT.search(attributes) else max(outer, BODY[name])
+        if marked(attributes, outer == TEXT or name in HEADINGS):
             return FURNITURE
-    return TEXT if name in BODY else outer
+    return max(outer, BODY.get(name, outer))
+
+
+def tags(page: str):
+    """(start, end, name or None, closing, attributes) of each tag, comment and declaration, in one pass.
+
+    A quote that nothing closes doesn't swallow the page: from then on a tag ends at the next ">". Without one
+    what is left is text."""
+    at, quoted = 0, True
+    while (m := OPENS.search(page, at)) is not None:
+        start, at = m.span()
+        if m[1] or m[2]:
+            end = page.find("-->" if m[1] else "]]>", at)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, None, False, ""
+            continue
+        end = page.find(">", at)
+        if end < 0:
+            return
+        if m[3]:
+            at = end + 1
+            yield start, at, None, False, ""
+            continue
+        rest = REST.match(page, at) if quoted else None
+        quoted = rest is not None
+        attributes, at = (rest[1], rest.end()) if rest else (page[at:end], end + 1)
+        moved = yield start, at, m[5].lower(), bool(m[4]), attributes
+        if moved is not None:
+            at = moved
+            yield None
 
 
 def lines(page: str) -> list[tuple[str, int]]:
     """The page's lines in order, each with its kind; a header inside an article is its heading."""
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     unclosed: set[str] = set()
     kind, at = OPEN, 0
@@ -112,57 +152,53 @@ def lines(page: str) -> list[tuple[str, int]]:
             if text:
                 out.append((text, kind))
 
-    while True:
-        tag = TAG.search(page, at)
-        if tag is None:
-            parts.append(page[at:])
-            break
-        if tag.start() > at:
-            parts.append(page[at : tag.start()])
-        at = tag.end()
-        name = tag[2]
+    def close(i: int):
+        nonlocal kind
+        kind = stack[i][1]
+        opened.subtract(x for x, _ in stack[i:])
+        del stack[i:]
+
+    found = tags(page)
+    for start, end, name, closing, attributes in found:
+        if start > at:
+            parts.append(page[at:start])
+        at = end
         if name is None:
             continue
-        name = name.lower()
-        if tag[1]:
+        if closing:
             if name in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if any(s[1] != kind for s in stack[i:]) and name not in BLOCK:
-                        flush()
-                    kind = stack[i][1]
-                    del stack[i:]
-                    break
+            if opened[name] > 0:
+                i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
+                if any(s[1] != kind for s in stack[i:]) and name not in BLOCK:
+                    flush()
+                close(i)
             continue
         if name in RAW:
-            if name not in OPAQUE and (name in unclosed or tag[3].endswith("/")):
+            if name not in OPAQUE and (name in unclosed or attributes.endswith("/")):
                 continue
-            end = CLOSE[name].search(page, at)
-            if end:
-                at = end.end()
-            elif name in OPAQUE:
-                at = len(page)
+            tail = CLOSE[name].search(page, at)
+            if tail or name in OPAQUE:
+                at = tail.end() if tail else len(page)
+                found.send(at)
             else:
                 unclosed.add(name)
             continue
         if name in BLOCK:
             flush()
-            if name in ENDS_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        kind = stack[i][1]
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
-        if name in VOID or tag[3].endswith("/") and name not in BLOCK:
+            if name in ENDS_P and opened["p"] > 0:
+                i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK)
+                if stack[i][0] == "p":
+                    close(i)
+        if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
-        new = kind_of(name, tag[3], kind)
+        new = kind_of(name, attributes, kind)
         if new != kind and name not in BLOCK:
             flush()
         stack.append((name, kind))
+        opened[name] += 1
         kind = new
+    parts.append(page[at:])
     flush()
     return out
 
@@ -199,13 +235,15 @@ def common(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(own: list[tuple[str, int]], partner: list[tuple[str, int]] | None) -> str:
-    """The page's text, given its partner's lines."""
-    texts = [t for t, _ in own]
-    shared = common(texts, [t for t, _ in partner]) if partner is not None else set()
-    size = [sum(len(t) for t, k in own if k == kind) for kind in (FURNITURE, OPEN, TEXT)]
-    stated = partner is None and size[TEXT] >= size[OPEN]
-    keep = [t for i, (t, k) in enumerate(own) if k == TEXT or (k == OPEN and not (stated and size[TEXT]) and i not in shared)]
-    return " ".join(keep)
+    """The page's text, given its partner's lines. Differencing goes first; what elements state breaks ties: a
+    shared line inside an article is a passage of it, a line of marked furniture goes though it isn't shared."""
+    shared = common([t for t, _ in own], [t for t, _ in partner]) if partner is not None else set()
+    size = Counter()
+    for t, k in own:
+        size[k] += len(t)
+    # without a partner nothing is shared: what a page says outside its body counts only if it has hardly any
+    alone = partner is None and 0 < size[MAIN] + size[TEXT] >= size[OPEN]
+    return " ".join(t for i, (t, k) in enumerate(own) if (k == TEXT if i in shared else k != FURNITURE and not (alone and k == OPEN)))
 
 
 def is_copy(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> bool:
@@ -341,14 +379,15 @@ def ranges(keys: DataFrame, bounds: list[tuple], halo: int) -> dict[tuple, list[
     return extra
 
 
-def extract(pages: DataFrame, group: int = 1000, halo: int = 4) -> DataFrame:
-    """One row per row of pages: page_id, url, text, n_chars. group: pages of a range of host and path."""
+def extract(pages: DataFrame, group: int = 1000, halo: int = 4, most: int = 50_000) -> DataFrame:
+    """One row per row of pages: page_id, url, text, n_chars. group: pages of a range of host and path, more
+    where there would be more than `most` ranges; ten keys a range are sampled to the driver."""
     named = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     keyed = named.withColumn("id", F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63))))
     keys = keyed.select("host", "path", "id", F.xxhash64("html").alias("digest"))
     count = pages.count()
-    parts = -(-count // group)
-    some = sorted((r.host, r.path, r.id) for r in keys.drop("digest").sample(min(1.0, 10 / group), 7).collect()) if parts > 1 else []
+    parts = min(most, -(-count // group))
+    some = sorted((r.host, r.path, r.id) for r in keys.drop("digest").sample(min(1.0, 10 * parts / count), 7).collect()) if parts > 1 else []
     bounds = sorted({some[len(some) * i // parts] for i in range(1, parts)}) if some else []
     extra = ranges(keys, bounds, halo) if bounds else {}
 
