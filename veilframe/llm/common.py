@@ -16,18 +16,20 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. The cluster names it in spark.checkpoint.dir; only where
+    """The folder all executors share, with its file system. The cluster names it in spark.checkpoint.dir; only where
     that is unset (tests on one machine) a temporary folder is set instead."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
-        return named.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
+        if not named and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veilframe-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="veilframe-"))
+    return qualified(spark, named or spark.sparkContext.getCheckpointDir())
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with the scheme of its file system: without one it is in Hadoop's default file system, as for Spark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,6 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Deletes what cut() kept of frames that nothing reads any more."""
+    for df in frames:
+        kept = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if kept.isDefined():
+            remove(df.sparkSession, kept.get())
+
+
 def fresh_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
@@ -74,7 +84,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def mapped(df: DataFrame, f, schema, most: int = 4 << 20) -> DataFrame:
     """df.mapInArrow(f, schema), with batches of about `most` bytes: rows hold whole texts, and Spark's
-    default of ten thousand of them a batch would be held several times over on both sides."""
+    default of ten thousand of them a batch would be held several times over on both sides. Spark reads the
+    setting when the plan runs, so it stays set for the session."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
     return df.mapInArrow(f, schema)
 
@@ -102,15 +113,29 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
     give_back()
 
 
+def few(df: DataFrame, most: int = 500_000) -> bool:
+    """Whether df (already cut) has so few rows that it may be broadcast."""
+    return df.count() <= most
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """rows joined with facts, of one row per key. Rows whose key is in `hot` - at most as many keys as
+    frequent() gives - are settled where they are, by a broadcast; the others are shuffled. how: inner or left."""
+    if few(facts):
+        return rows.join(F.broadcast(facts), key, how)
+    hot = cut((frequent(rows, key) if hot is None else hot).select(F.col("key").alias(key)))
+    large = cut(facts.join(F.broadcast(hot), key, "left_semi"))
+    small = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(facts, key, how)
+    return rows.join(F.broadcast(large), key).unionByName(small)
+
+
 def without(docs: DataFrame, dropped: DataFrame, keys: list[str], most: int = 500_000) -> DataFrame:
     """docs less the rows whose keys are in dropped. Up to `most` keys are broadcast, so that the
     texts stay where they are; more than that are joined by a shuffle. Rows with null keys stay."""
     dropped = cut(dropped.select(keys).dropDuplicates())
-    few = dropped.count() <= most
-    return docs.join(F.broadcast(dropped) if few else dropped, keys, "left_anti")
+    return docs.join(F.broadcast(dropped) if few(dropped, most) else dropped, keys, "left_anti")
 
 
 def within(docs: DataFrame, wanted: DataFrame, keys: list[str], most: int = 500_000) -> DataFrame:
     """The rows of docs whose keys are in wanted (already distinct and cut); see without()."""
-    few = wanted.count() <= most
-    return docs.join(F.broadcast(wanted) if few else wanted, keys, "left_semi")
+    return docs.join(F.broadcast(wanted) if few(wanted, most) else wanted, keys, "left_semi")

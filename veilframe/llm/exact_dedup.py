@@ -3,8 +3,9 @@
 A first pass turns each row into (doc_id, digest). Misra-Gries counters (approx_top_k) name the
 digests that may be frequent; their exact counts and smallest rows are verified by a map-side
 combined aggregate, and the verified winners - `hot` rows at most - are broadcast, so that rows of
-large groups are settled where they were read. Only the other digests are shuffled, each of which
-can hold no more than about rows / tracked rows.
+large groups are settled where they were read. Only the other digests are shuffled. Any digest of more than about
+rows / tracked rows is among the candidates; as only the `hot` most frequent of these are broadcast, one that is
+shuffled holds at most about rows / hot rows.
 
 Null text counts as empty; empty texts equal each other; a null doc_id counts as larger than any
 other; of rows with equal text and equal doc_id exactly one is kept; an empty table gives an empty

@@ -7,10 +7,12 @@ from pyspark import TaskContext
 
 
 def locate(folder: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in folder and folder.startswith("file:"):
-        folder = "file://" + folder[len("file:") :]
-    if "://" not in folder:
-        return fs.LocalFileSystem(), folder
+    """The file system of a qualified folder, and its path there."""
+    scheme, colon, path = folder.partition(":")
+    if not colon:
+        raise ValueError(f"{folder!r} names no file system; see common.qualified")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + path.lstrip("/")
     return fs.FileSystem.from_uri(folder)
 
 
