@@ -22,7 +22,7 @@ def op2_near_dedup(spark, sf_dir):
 
 
 def op3_url_filter(spark, sf_dir):
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
 def op4_warc(spark, sf_dir):
@@ -69,4 +69,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op7_decontamination": decontam.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op3_url_filter": url_filter.ORACLE, "op4_warc": warc.ORACLE, "op8_sharding": sharding.ORACLE, "op7_decontamination": decontam.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
