@@ -21,11 +21,13 @@ import uuid
 import zlib
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import cut, frequent, fresh_folder, mapped, pieces
+from veilframe.llm.common import cut, few, fresh_folder, looked_up, mapped, pieces
 from veilframe.llm.files import attempt_name, locate
 
 DATE = "2024-01-01T00:00:00Z"
@@ -76,30 +78,50 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def originals(pages: DataFrame, min_bytes: int, hot: int) -> DataFrame:
+def originals(pages: DataFrame, min_bytes: int) -> DataFrame:
     """(digest, first) of payloads that occur on several pages, first being the smallest page_id."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.where(F.octet_length(html) >= min_bytes).select("page_id", F.sha1(F.encode(html, "UTF-8")).alias("digest"))
     return rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
-def write(pages: DataFrame, folder: str, min_bytes: int = 0, hot: int = 4096) -> DataFrame:
+def maybe_among(facts: DataFrame, digest: Column, hex_digits: int = 6):
+    """Whether a digest may be among those of facts: a Bloom filter of fixed size (two places of 4 `hex_digits` bits
+    each, 4 MiB), made by an aggregate and broadcast; false is sure. A null digest isn't among them."""
+    places = [f"cast(conv(substring(digest, {1 + k * hex_digits}, {hex_digits}), 16, 10) as long)" for k in range(2)]
+    one = facts.select(F.expr(f"explode(array({places[0]} * 2, {places[1]} * 2 + 1)) as p"))
+    words = one.groupBy(F.expr("p div 32 as w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int))) as b")).toArrow()
+    grid = np.zeros(max(1, 2 * 16**hex_digits // 32), np.uint32)
+    grid[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint64).astype(np.uint32)
+    sent = facts.sparkSession.sparkContext.broadcast(grid)
+
+    @F.pandas_udf("boolean")
+    def may(digests: pd.Series) -> pd.Series:
+        known = digests.notna().to_numpy()
+        found = known.copy()
+        for k in range(2):
+            p = np.array([int(d[k * hex_digits : (k + 1) * hex_digits], 16) for d in digests[known]], np.int64) * 2 + k
+            found[known] &= (sent.value[p >> 5] >> (p & 31).astype(np.uint32) & 1).astype(bool)
+        return pd.Series(found)
+
+    return may(digest)
+
+
+def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Writes the archives into folder; the index (see INDEX), also written there as Parquet.
 
-    The pages themselves are not shuffled: what a page refers to is looked up by digest, for hot digests
-    by broadcast, for others by a join of (row, digest) pairs alone."""
+    What a page refers to is looked up by digest: where few digests repeat (by a count), by broadcast, and no page
+    is shuffled. Where many do, pages of the most frequent digests are settled by broadcast, those without a
+    repeated digest stay where they are as far as a Bloom filter tells, and only the others are shuffled."""
     html = F.coalesce("html", F.lit(""))
-    first = cut(originals(pages, min_bytes, hot))
+    first = cut(originals(pages, min_bytes))
     marked = pages.select("page_id", "url", html.alias("html"), F.when(F.octet_length(html) >= min_bytes, F.sha1(F.encode(html, "UTF-8"))).alias("digest"))
-    if first.count() <= 200_000:
+    if few(first):
         placed = marked.join(F.broadcast(first), "digest", "left")
     else:
-        top = frequent(marked, "digest", hot).withColumnRenamed("key", "digest")
-        large = cut(first.join(F.broadcast(top), "digest", "left_semi"))
-        near = marked.join(F.broadcast(large), "digest", "left")
-        settled = near.where("first is not null")
-        others = near.where("first is null").drop("first").join(first, "digest", "left")
-        placed = settled.unionByName(others)
+        probed = marked.withColumn("_may", maybe_among(first, F.col("digest")))
+        alone = probed.where("not _may").drop("_may").withColumn("first", F.lit(None).cast("long"))
+        placed = alone.unionByName(looked_up(probed.where("_may").drop("_may"), first, "digest", how="left"))
 
     def run(batches):
         system, root = locate(folder)
@@ -187,3 +209,17 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes the archives of all pages and reads every record back through the index."""
     folder = fresh_folder(pages.sparkSession, "warc")
     return read(write(pages, folder, min_bytes), folder)
+
+
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+FIVE_SQL = "'" + BASE32 + "'[((v // {0}) % 32 + 1)::INT]"  # one base32 digit of a 20-bit number
+ORACLE = f"""
+WITH t AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+     g AS (SELECT page_id, strlen(html) AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS first,
+                  list_transform(range(0, 8), lambda i: ('0x' || h[5 * i + 1:5 * i + 5])::BIGINT) AS parts FROM t)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(parts, lambda v: {" || ".join(FIVE_SQL.format(32**k) for k in (3, 2, 1, 0))}), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g
+"""
