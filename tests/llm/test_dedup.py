@@ -3,7 +3,9 @@ import re
 import numpy as np
 import pytest
 
-from veilframe.llm import exact_dedup, near_dedup, sharding
+from pyspark.sql import functions as F
+
+from veilframe.llm import common, exact_dedup, files, near_dedup, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, row long, kept boolean"
 
@@ -125,6 +127,63 @@ def test_shards_fit_and_only_oversized_split(spark, limit):
             assert parent > limit
 
 
+@pytest.mark.parametrize("form", ["scan", "robin", "hash", "sorted", "filtered"])
+def test_written_shards_hold_every_row(spark, tmp_path, form):
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("shard", F.lit("own"))
+    made = {"scan": source, "robin": source.repartition(6), "hash": source.repartition(5, "lang"), "sorted": source.orderBy("n_chars"), "filtered": source.repartition(3).where("length(text) > 500")}[form]
+    listed = sharding.write_shards(made, str(tmp_path / "out"), 60_000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.select(source.columns).collect())) == sorted(map(tuple, made.collect()))
+    sizes = {r.s: r.b for r in back.groupBy(F.col("_shard").cast("string").alias("s")).agg(F.sum(F.octet_length("text")).alias("b")).collect()}
+    shards = {r.shard: r for r in listed.collect()}
+    assert len(shards) > 4 and sum(sizes.values()) == sum(r.shard_bytes for r in shards.values()) and sorted(sizes.values()) == sorted(r.shard_bytes for r in shards.values())
+    assert all(r.shard_bytes <= 60_000 or r.shard_rows == 1 for r in shards.values())
+
+
+def test_a_directory_places_rows_again_and_new_ones(spark):
+    rows = [(i, f"text {i} " + "x" * (i % 300)) for i in range(500)] + [(None, None)]
+    d = docs(spark, rows)
+    shards = sharding.directory(d, 3000)
+    want = {(r.doc_id, r.shard) for r in sharding.assign(d, 3000).collect()}
+    assert {(r.doc_id, r.shard) for r in sharding.lookup(d, shards).collect()} == want
+    new = sharding.lookup(docs(spark, [(9999, "later")]), shards).collect()
+    assert len(new) == 1 and new[0].shard in {s for _, s in want}
+    assert sharding.directory(docs(spark, []), 10).count() == 0 and sharding.lookup(d, sharding.directory(docs(spark, []), 10)).where("shard is null").count() == len(rows)
+
+
+def test_joins_by_broadcast_and_by_shuffle_agree(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 40}") for i in range(300)] + [(900, None), (901, "none")], "i int, k string")
+    facts = common.cut(rows.where("k is not null and k != 'none'").groupBy("k").count())
+    for how in ("inner", "left"):
+        runs = []
+        for most in (500_000, 0):
+            monkeypatch.setattr(common.few, "__defaults__", (most,))
+            runs.append(sorted(map(str, common.looked_up(rows, facts, "k", how=how).select("i", "k", "count").collect())))
+        assert runs[0] == runs[1] and len(runs[0]) == (300 if how == "inner" else 302)
+
+
+def test_folders_have_a_file_system(spark):
+    hadoop = spark._jsc.hadoopConfiguration()
+    old = hadoop.get("fs.defaultFS")
+    try:
+        hadoop.set("fs.defaultFS", "hdfs://localhost:1")
+        assert common.qualified(spark, "/user/checkpoints/") == "hdfs://localhost:1/user/checkpoints"
+        assert common.qualified(spark, "file:/tmp/x") == "file:/tmp/x"
+    finally:
+        hadoop.set("fs.defaultFS", old)
+    assert files.locate("file:/tmp/x")[1] == files.locate("file:///tmp/x")[1] == "/tmp/x"
+    with pytest.raises(ValueError):
+        files.locate("/user/checkpoints")
+
+
+def test_forgotten_checkpoints_are_gone(spark):
+    kept, lost = common.cut(spark.range(5)), common.cut(spark.range(7))
+    common.forget(lost)
+    assert kept.count() == 5
+    with pytest.raises(Exception):
+        lost.count()
+
+
 def test_near_copies_that_differ_by_a_repeated_line(spark):
     rows = []
     for k in range(12):

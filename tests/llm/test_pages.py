@@ -2,9 +2,11 @@ import base64
 import hashlib
 import time
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from veilframe.llm import html_extract, url_filter, warc
+from veilframe.llm import common, html_extract, url_filter, warc
 from veilframe.llm.common import fresh_folder
 
 PAGES = "page_id long, url string, html string, host string, path string, digest string, first long"
@@ -89,6 +91,37 @@ def b32(text):
     return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
 
 
+def test_verdicts_where_propagation_decides_most(spark):
+    """Good and bad hosts link mostly among their own; a few of each have pages that rules decide."""
+    rng = np.random.default_rng(4)
+    names = [f"n{i}.good.net" for i in range(40)] + [f"n{i}.bad.net" for i in range(40)]
+    rows, links = [], {}
+    for i, name in enumerate(names):
+        for p in range(3):
+            to = [names[int(rng.integers(0, 40)) + 40 * (i // 40 if rng.random() < 0.96 else 1 - i // 40)] for _ in range(5)]
+            form = ['<a href="https://{}/x">', "<img src='//{}/i'>", "<base href=http://{}><a href=rel>", '<A HREF = "HTTP://{}:80/">']
+            rows.append((10 * i + p, f"http://{name}/p{p}?go=http%3A%2F%2F{to[4]}%2F&x=1", "".join(f.format(t) for f, t in zip(form, to, strict=False))))
+            for t in (*to[:3], to[3] + ":80", to[4]):
+                if t != name:
+                    links[name, t] = links.get((name, t), 0) + 1
+    seeds = [(5000 + i, n) for i, n in enumerate(names) if i % 13 == 0]
+    rows += [(k, f"http://{n}/{'ok' if 'good' in n else 'no'}/", "") for k, n in seeds]
+    got = {r.page_id: r for r in url_filter.judge(pages(spark, rows), rules=[("net/ok/", "allow"), ("net/no/", "block")]).collect()}
+    every = sorted({x for k in links for x in k})
+    ranks = []
+    for kind, flow in (("good", links), ("bad", {(b, a): n for (a, b), n in links.items()})):
+        m, base = np.zeros((len(every), len(every))), np.array([float(any(s == n and kind in s for _, s in seeds)) for n in every])
+        for (a, b), n in flow.items():
+            m[every.index(b), every.index(a)] = n / sum(x for (c, _), x in flow.items() if c == a)
+        rank = base = base / base.sum() * 0.15
+        for _ in range(300):
+            rank = base + 0.85 * m @ rank
+        ranks.append(dict(zip(every, rank, strict=True)))
+    open_ = [(i, r.host, r.verdict) for i, r in got.items() if r.rule is None]
+    assert len(open_) == 240 and all(v == ("block" if ranks[1][h] > ranks[0][h] else "allow") for _, h, v in open_)
+    assert sum((v == "block") == (i >= 400) for i, _, v in open_) >= 0.85 * len(open_)
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "http://a/1", "same"), (2, "http://a/é ü\n", "same"), (9, None, None), (8, "", ""), (3, "u", "x" * 300_000 + "é"), (None, "n", "same"), (7, "u", "other\r\n\r\nWARC/1.1")]
     got = {r.page_id: r for r in warc.round_trip(pages(spark, rows)).collect()}
@@ -110,6 +143,21 @@ def test_warc_selected_records_and_payloads(spark):
     assert {r.page_id: r.record_type for r in small.collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
 
 
+def test_warc_with_more_repeated_payloads_than_are_broadcast(spark, monkeypatch):
+    rows = pages(spark, [(i, f"http://h/{i}", "hot" if i % 3 == 0 else f"p{i // 4}") for i in range(200)] + [(500, "u", None), (501, "u", "")])
+    want = sorted(map(tuple, warc.round_trip(rows).collect()))
+    monkeypatch.setattr(common.few, "__defaults__", (0,))
+    assert sorted(map(tuple, warc.round_trip(rows).collect())) == want
+    assert sorted(map(tuple, warc.round_trip(rows, 3).collect())) == sorted((i, n, d, "response", None) if n < 3 else (i, n, d, t, r) for i, n, d, t, r in want)
+
+
+def test_bloom_filter_misses_nothing(spark):
+    facts = spark.range(0, 3000, 3).selectExpr("sha1(cast(id as string)) as digest")
+    probed = spark.range(3000).selectExpr("id", "case when id != 1 then sha1(cast(id as string)) end as k")
+    got = {r.id for r in probed.where(warc.maybe_among(facts, F.col("k"), 4)).collect()}
+    assert {i for i in range(0, 3000, 3)} <= got and len(got) < 1100 and 1 not in got
+
+
 def test_ranges_merge():
     at = [{"offset": o, "length": 10} for o in (0, 10, 25, 100)]
     assert [len(x) for x in warc.merged(at, 5)] == [3, 1]

@@ -14,6 +14,7 @@ from veilframe.llm import bpe_tree
 from veilframe.llm.queries import ORACLES, QUERIES, vocabulary
 
 SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
 
 
 def rows(name):
@@ -117,10 +118,18 @@ def test_op7(got):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def test_op8(got):
+def test_op8(got, spark):
     found = got("op8_sharding")
     assert sum(r.n_bytes for r in found) == sum(len(t.encode()) for t in DOCS.values()) and len(found) == len(DOCS)
-    assert all(r.shard_bytes <= 16 << 20 or r.shard_rows == 1 for r in found)
+    documents = duckdb.sql(f"SELECT * FROM '{LARGER}/documents.parquet'")  # noqa: F841  the SQL's table
+    want = duckdb.sql(ORACLES["op8_sharding"]).fetchall()
+    assert sorted(map(tuple, QUERIES["op8_sharding"](spark, LARGER).collect())) == sorted(want) and len({r[2] for r in want}) > 2
+
+
+@pytest.mark.parametrize("name", ["op3_url_filter", "op4_warc"])
+def test_sql(got, name):
+    pages = duckdb.sql(f"SELECT * FROM '{SF}/pages.parquet'")  # noqa: F841  the SQL's table
+    assert sorted(map(str, map(tuple, got(name)))) == sorted(map(str, duckdb.sql(ORACLES[name]).fetchall()))
 
 
 def test_op9(got):
