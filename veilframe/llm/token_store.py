@@ -10,17 +10,21 @@ File layout, little-endian: magic, header JSON and its length, then the arrays i
 with its dtype, offset and length.
 
 Texts are range-partitioned by doc_id before they are encoded, so the ids themselves are never
-shuffled; a hot or repeated doc_id only makes its own range longer. Files carry a name of the task attempt, and
-only files named in the written catalogue are read. Null texts have the end id alone; rows of equal
-doc_id stand in order of their text; null doc_ids come first; an empty table writes no file;
+shuffled; rows that share a doc_id are ranges of their own, by a hash of the text and by place. Files carry a name of
+the task attempt, and only files named in the written catalogue are read. Null texts have the end id alone; rows of equal
+doc_id stand in order of a hash of their text; null doc_ids come first; an empty table writes no file;
 other columns are ignored.
 
+Reading seeks: a reader takes a file's header, then of each array just the piece that some documents or one token
+need. read() goes through all documents that way, lookup() fetches single tokens.
+
 Texts are encoded by the tokenizers library, each distinct word once per worker (bpe_tree.Memo)."""
 
 from __future__ import annotations
 
 import json
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +38,60 @@ from veilframe.llm.files import attempt_name, locate
 
 MAGIC = b"VFDAC001"
 RANK_BITS = 512
+BLOCK = RANK_BITS // 8
+
+
+class Codes:
+    """A sequence of ids as chunk levels with continuation bitmaps and rank directories, wherever these are.
+
+    level(k, a, b), bits(k, a, b) (bytes) and rank(k, i) give pieces of the arrays of level k."""
+
+    width: int
+    n: int
+    depth: int
+
+    def __getitem__(self, at: int) -> int:
+        """The id at one position: a chunk and a rank for each of its levels."""
+        if not 0 <= at < self.n:
+            raise IndexError(at)
+        value = 0
+        for k in range(self.depth):
+            value |= int(self.level(k, at, at + 1)[0]) << (k * self.width)
+            block = at // RANK_BITS
+            bits = self.bits(k, block * BLOCK, (at >> 3) + 1)
+            if not bits[-1] >> (at & 7) & 1:
+                break
+            at = self.rank(k, block) + ones_before(bits, at - block * RANK_BITS)
+        return value
+
+    def slice(self, start: int, stop: int) -> np.ndarray:
+        """The ids of positions start to stop; each level is one contiguous piece, found by one rank."""
+        out = np.zeros(max(0, stop - start), np.uint32)
+        where, at, to = np.arange(len(out)), start, stop
+        for k in range(self.depth):
+            if at >= to:
+                break
+            out[where] |= self.level(k, at, to).astype(np.uint32) << np.uint32(k * self.width)
+            block = at // RANK_BITS
+            bits = self.bits(k, block * BLOCK, (to + 7) >> 3)
+            here = np.unpackbits(bits, bitorder="little")[at - block * RANK_BITS : to - block * RANK_BITS].astype(bool)
+            where = where[here]
+            at = self.rank(k, block) + ones_before(bits, at - block * RANK_BITS)
+            to = at + len(where)
+        return out
+
 
+def ones_before(bits: np.ndarray, at: int) -> int:
+    """Set bits before position `at` of a piece of a bitmap."""
+    count = int(np.bitwise_count(bits[: at >> 3]).sum())
+    return count + ((int(bits[at >> 3]) & ((1 << (at & 7)) - 1)).bit_count() if at & 7 else 0)
 
-class Dac:
-    """A sequence of ids as chunk levels with continuation bitmaps and rank directories."""
+
+class Dac(Codes):
+    """Codes in memory."""
 
     def __init__(self, levels: list[np.ndarray], bitmaps: list[np.ndarray], ranks: list[np.ndarray], width: int, n: int):
-        self.levels, self.bitmaps, self.ranks, self.width, self.n = levels, bitmaps, ranks, width, n
+        self.levels, self.bitmaps, self.ranks, self.width, self.n, self.depth = levels, bitmaps, ranks, width, n, len(levels)
 
     @classmethod
     def build(cls, ids: np.ndarray, width: int = 8) -> Dac:
@@ -50,48 +101,56 @@ class Dac:
             rest = rest >> width
             more = rest > 0
             bits = np.packbits(more, bitorder="little")
-            bits = np.pad(bits, (0, -len(bits) % (RANK_BITS // 8)))
-            counts = np.bitwise_count(bits.reshape(-1, RANK_BITS // 8)).sum(1, dtype=np.uint64)
+            bits = np.pad(bits, (0, -len(bits) % BLOCK))
+            counts = np.bitwise_count(bits.reshape(-1, BLOCK)).sum(1, dtype=np.uint64)
             bitmaps.append(bits)
             ranks.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(counts, dtype=np.uint64)]))
             if not more.any():
                 return cls(levels, bitmaps, ranks, width, len(ids))
             rest = rest[more]
 
-    def __getitem__(self, at: int) -> int:
-        """The id at one position: a chunk and a rank for each of its levels."""
-        if not 0 <= at < self.n:
-            raise IndexError(at)
-        value = 0
-        for k, level in enumerate(self.levels):
-            value |= int(level[at]) << (k * self.width)
-            if not self.bitmaps[k][at >> 3] >> (at & 7) & 1:
-                break
-            block = at // RANK_BITS
-            before = self.bitmaps[k][block * (RANK_BITS // 8) : at >> 3]
-            at = int(self.ranks[k][block]) + int(np.bitwise_count(before).sum()) + int(int(self.bitmaps[k][at >> 3]) & ((1 << (at & 7)) - 1)).bit_count()
-        return value
+    def level(self, k: int, a: int, b: int) -> np.ndarray:
+        return self.levels[k][a:b]
 
-    def slice(self, start: int, stop: int) -> np.ndarray:
-        """The ids of positions start to stop; each level is one contiguous piece."""
-        out = np.zeros(max(0, stop - start), np.uint32)
-        where, at, to = np.arange(len(out)), start, stop
-        for k, level in enumerate(self.levels):
-            if at >= to:
-                break
-            out[where] |= level[at:to].astype(np.uint32) << np.uint32(k * self.width)
-            base = at >> 3
-            bits = np.unpackbits(self.bitmaps[k][base : (to + 7) >> 3], bitorder="little")[at - base * 8 : to - base * 8].astype(bool)
-            where = where[bits]
-            at = self.rank(k, at)
-            to = at + int(bits.sum())
-        return out
+    def bits(self, k: int, a: int, b: int) -> np.ndarray:
+        return self.bitmaps[k][a:b]
+
+    def rank(self, k: int, i: int) -> int:
+        return int(self.ranks[k][i])
+
+
+class DacFile(Codes):
+    """Codes in a file, of which only what is asked for is read: a token takes its chunks, at most one block of each
+    bitmap and one entry of each rank directory. source: anything with read_at(size, offset)."""
+
+    def __init__(self, source):
+        start = source.read_at(len(MAGIC) + 8, 0)
+        if start[: len(MAGIC)] != MAGIC:
+            raise ValueError("not a token file")
+        size = int.from_bytes(start[len(MAGIC) :], "little")
+        head = json.loads(source.read_at(size, len(start)))
+        self.source, self.body, self.arrays = source, len(start) + size, head["arrays"]
+        self.width, self.n, self.depth = head["width"], head["n"], head["levels"]
+        self.n_docs = self.arrays["doc_ids"][2]
+
+    def part(self, name: str, a: int, b: int) -> np.ndarray:
+        kind, at, n = self.arrays[name]
+        kind = np.dtype(kind)
+        a, b = max(0, a), min(b, n)
+        return np.frombuffer(self.source.read_at((b - a) * kind.itemsize, self.body + at + a * kind.itemsize), kind)
+
+    def level(self, k: int, a: int, b: int) -> np.ndarray:
+        return self.part(f"level{k}", a, b)
+
+    def bits(self, k: int, a: int, b: int) -> np.ndarray:
+        return self.part(f"bits{k}", a, b)
 
-    def rank(self, k: int, at: int) -> int:
-        """Set bits of level k's bitmap before position at."""
-        block = at // RANK_BITS
-        count = int(self.ranks[k][block]) + int(np.bitwise_count(self.bitmaps[k][block * (RANK_BITS // 8) : at >> 3]).sum())
-        return count + (int(int(self.bitmaps[k][at >> 3]) & ((1 << (at & 7)) - 1)).bit_count() if at & 7 else 0)
+    def rank(self, k: int, i: int) -> int:
+        return int(self.part(f"rank{k}", i, i + 1)[0])
+
+    def documents(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of documents a to b: doc_ids, whether each is known (not null), and bounds (one more)."""
+        return self.part("doc_ids", a, b), self.part("known", a, b).astype(bool), self.part("starts", a, b + 1)
 
 
 def pack(dac: Dac, doc_ids: np.ndarray, starts: np.ndarray, known: np.ndarray) -> bytes:
@@ -109,19 +168,7 @@ def pack(dac: Dac, doc_ids: np.ndarray, starts: np.ndarray, known: np.ndarray) -
     return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *parts])
 
 
-def unpack(data: bytes) -> tuple[Dac, np.ndarray, np.ndarray, np.ndarray]:
-    if data[: len(MAGIC)] != MAGIC:
-        raise ValueError("not a token file")
-    size = int.from_bytes(data[len(MAGIC) : len(MAGIC) + 8], "little")
-    body = len(MAGIC) + 8 + size
-    head = json.loads(data[len(MAGIC) + 8 : body])
-    get = lambda name: np.frombuffer(data, np.dtype(head["arrays"][name][0]), head["arrays"][name][2], body + head["arrays"][name][1])
-    levels = range(head["levels"])
-    dac = Dac([get(f"level{k}") for k in levels], [get(f"bits{k}") for k in levels], [get(f"rank{k}") for k in levels], head["width"], head["n"])
-    return dac, get("doc_ids"), get("starts"), get("known").astype(bool)
-
-
-CATALOGUE = "file string, part int, first_id long, n_docs long, n_tokens long"
+CATALOGUE = "file string, part long, number long, first_id long, n_docs long, n_tokens long"
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, file_bytes: int = 12 << 20, most_tokens: int = 4 << 20) -> DataFrame:
@@ -130,7 +177,9 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, fi
     sent = spark.sparkContext.broadcast(tokenizer_bytes(tokenizer_path))
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // file_bytes))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # a doc_id that many rows share is split, too: by a hash of the text, equal rows by their place
+    keys = ["doc_id", "mark", "place"]
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("place")).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def run(batches):
         tokenizer = load(sent.value)
@@ -146,10 +195,9 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, fi
             name = attempt_name("tokens", f"{made}.dac")
             with system.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(data)
-            part = int(name.split("-")[1])
-            row = [[name], [part * 100_000 + made], [doc_ids[0]], [len(doc_ids)], [size]]
+            row = [[name], [int(name.split("-")[1])], [made], [doc_ids[0]], [len(doc_ids)], [size]]
             ids, doc_ids, size, made = [], [], 0, made + 1
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()], strict=True)], ["file", "part", "first_id", "n_docs", "n_tokens"])
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.string(), *[pa.int64()] * 5], strict=True)], ["file", "part", "number", "first_id", "n_docs", "n_tokens"])
 
         for batch in pieces(batches, "text", 3 << 20):
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), memo(tokenizer, 500_000).encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
@@ -161,7 +209,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, fi
         if ids:
             yield flush()
 
-    catalogue = mapped(ordered, run, CATALOGUE.replace("part int", "part long"))
+    catalogue = mapped(ordered, run, CATALOGUE)
     catalogue.write.mode("overwrite").parquet(f"{folder}/catalogue")
     return spark.read.parquet(f"{folder}/catalogue")
 
@@ -169,25 +217,68 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, fi
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def read(catalogue: DataFrame, folder: str) -> DataFrame:
-    """One row per stored document, read from the files; a task reads a file at a time."""
-    # a catalogue has a row per file of millions of tokens: its running sum is no bottleneck
-    before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    placed = catalogue.select("file", F.coalesce(before, F.lit(0)).cast("long").alias("base"))
+def bases(catalogue: DataFrame) -> DataFrame:
+    """(file, base, n_tokens): ids before each file. A catalogue has a row per file of millions of tokens; files of
+    a task are summed by task first, so that what is ordered at once are the tasks alone."""
+    parts = catalogue.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    done = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
+    placed = catalogue.join(F.broadcast(parts.select("part", F.coalesce(done, F.lit(0)).alias("done"))), "part")
+    return placed.select("file", (F.col("done") + F.coalesce(before, F.lit(0))).cast("long").alias("base"), "n_tokens")
+
+
+def crcs(file: DacFile, starts: np.ndarray, step: int) -> list[int]:
+    """The checksum of each document's ids, read by `step` tokens at a time, wherever these start."""
+    out = [0] * (len(starts) - 1)
+    for x in range(int(starts[0]), int(starts[-1]), step):
+        y = min(x + step, int(starts[-1]))
+        data = memoryview(file.slice(x, y).astype("<u4").tobytes())
+        lo, hi = int(np.searchsorted(starts, x, "right")) - 1, int(np.searchsorted(starts, y))
+        edges = ((np.clip(starts[lo : hi + 1], x, y) - x) * 4).tolist()
+        for i, a, b in zip(range(lo, hi), edges[:-1], edges[1:], strict=True):
+            out[i] = zlib.crc32(data[a:b], out[i])
+    return out
+
+
+def read(catalogue: DataFrame, folder: str, docs: int = 1 << 14, step: int = 1 << 18) -> DataFrame:
+    """One row per stored document, read from the files: `docs` documents and `step` tokens at a time, each found by
+    the file's directories, so that no file is ever read whole."""
 
     def run(batches):
         system, root = locate(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 with system.open_input_file(f"{root}/{row['file']}") as source:
-                    dac, doc_ids, starts, known = unpack(source.read())
-                # every token is wanted, so all levels are read once, in order
-                data, edges = memoryview(dac.slice(0, dac.n).astype("<u4").tobytes()), (starts * 4).tolist()
-                crcs = [zlib.crc32(data[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=~known), pa.array(starts[:-1] + row["base"]), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    file = DacFile(source)
+                    for a in range(0, file.n_docs, docs):
+                        doc_ids, known, starts = file.documents(a, a + docs)
+                        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=~known), pa.array(starts[:-1] + row["base"]), pa.array(np.diff(starts)), pa.array(crcs(file, starts, step), pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = max(1, catalogue.count())
-    return mapped(placed.repartition(min(files, 100_000), "file"), run, READ)
+    return mapped(bases(catalogue).repartition(min(files, 100_000), "file"), run, READ)
+
+
+def lookup(catalogue: DataFrame, folder: str, positions: DataFrame, cell: int = 1 << 22) -> DataFrame:
+    """(position, id) of some positions (a column `position`) in the whole sequence: each is read by itself, a few
+    hundred bytes of its file. Positions outside the sequence are left out.
+
+    Files are found by the cells of `cell` positions that they reach into, an equi join."""
+    reach = F.sequence(F.floor(F.col("base") / cell), F.floor((F.col("base") + F.col("n_tokens") - 1) / cell))
+    files = bases(catalogue).withColumn("cell", F.explode(reach))
+    near = positions.select("position", F.floor(F.col("position") / cell).alias("cell")).join(files, "cell")
+    hit = near.where((F.col("position") >= F.col("base")) & (F.col("position") < F.col("base") + F.col("n_tokens")))
+    asked = hit.select("position", "file", "base").repartition("file").sortWithinPartitions("file", "position")
+
+    def run(batches):
+        system, root = locate(folder)
+        for batch in batches:
+            rows = batch.to_pylist()
+            for name, group in groupby(rows, key=lambda r: r["file"]):
+                with system.open_input_file(f"{root}/{name}") as source:
+                    file, own = DacFile(source), [(r["position"], r["position"] - r["base"]) for r in group]
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.int64()), pa.array([file[i] for _, i in own], pa.int64())], ["position", "id"])
+
+    return mapped(asked, run, "position long, id long")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
