@@ -3,9 +3,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from veilframe.llm import bpe_tree, decontam, quality, token_store
+from veilframe.llm.common import fresh_folder, utf8
 from veilframe.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, ids string, n_tokens long, score string"
@@ -26,6 +29,34 @@ def test_tree_equals_the_library(name, leaf):
         assert bpe_tree.encode_tree(t, text, leaf, 8, 4).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_documents_go_through_the_tree(monkeypatch):
+    """With the query's parameters, every document of more than a few KiB is halved and joined."""
+    t = bpe_tree.load(bpe_tree.tokenizer_bytes(vocabulary("word_bpe_49k.json")))
+    joins, join = [], bpe_tree.joined
+    monkeypatch.setattr(bpe_tree, "joined", lambda *a: (joins.append(r := join(*a)), r)[1])
+    texts = [r or "" for r in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    got = bpe_tree.encode(t, texts)
+    assert all(ids.tolist() == e.ids for ids, e in zip(got, t.encode_batch(texts, add_special_tokens=False), strict=True))
+    leaves = sum(len(bpe_tree.halves(0, len(x), 1 << 11)) for x in texts)
+    assert sum(len(x) > 1 << 11 for x in texts) > 300 and sum(r is not None for r in joins) == leaves - len(texts) and len(joins) < 1.2 * (leaves - len(texts))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_long_texts_without_white_space(name):
+    t = bpe_tree.load(bpe_tree.tokenizer_bytes(vocabulary(name)))
+    rng = np.random.default_rng(8)
+    for text in ("日本語のテキスト" * 9000, "".join(rng.choice(list("abcdefgé"), 60_000)), "a" * 30_000, "Ab1-" * 20_000, "\u0301" * 5000 + "e\u0301" * 9000):
+        assert bpe_tree.encode(t, [text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_places_of_remembered_words():
+    t = bpe_tree.load(bpe_tree.tokenizer_bytes(vocabulary("word_bpe_49k.json")))
+    texts = ["Don't  stop-me\tnow,é́t日本 x", "", "  ", "a", "日本 日本\u00a0語\x1cz", "İstanbul ΑΣ <|endoftext|> x"]
+    for text, (ids, begin) in zip(texts, bpe_tree.memo(t, placed=True).encode_placed(texts), strict=True):
+        e = t.encode(text, add_special_tokens=False)
+        assert ids.tolist() == e.ids and begin.tolist() == [a for a, _ in e.offsets]
+
+
 def test_bpe_round_trip_query(spark):
     path = vocabulary("word_bpe_49k.json")
     t = bpe_tree.load(bpe_tree.tokenizer_bytes(path))
@@ -56,6 +87,51 @@ def test_token_files_hold_null_and_repeated_ids(spark):
     assert [r.doc_id for r in got] == [None, 1, 4, 4] and [r.start for r in got][0] == 0
 
 
+class Counted:
+    def __init__(self, data):
+        self.data, self.read = data, 0
+
+    def read_at(self, size, offset):
+        self.read += size
+        return self.data[offset : offset + size]
+
+
+def test_a_token_is_read_without_its_file():
+    rng = np.random.default_rng(3)
+    ids = np.where(rng.random(900_000) < 0.5, rng.integers(0, 200, 900_000), rng.integers(0, 50_000, 900_000)).astype(np.uint32)
+    starts = np.arange(0, 900_001, 90)
+    data = token_store.pack(token_store.Dac.build(ids), np.arange(10_000), starts, np.ones(10_000, bool))
+    for at in (0, 511, 512, 77_777, 899_999):
+        source = Counted(data)
+        assert token_store.DacFile(source)[at] == ids[at] and source.read < 2000 < len(data) // 500
+    source = Counted(data)
+    file = token_store.DacFile(source)
+    doc_ids, known, bounds = file.documents(5000, 5010)
+    assert doc_ids.tolist() == list(range(5000, 5010)) and known.all()
+    assert (file.slice(int(bounds[0]), int(bounds[-1])) == ids[bounds[0] : bounds[-1]]).all() and source.read < 10_000
+    assert token_store.crcs(file, bounds, 77) == [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    with pytest.raises(IndexError):
+        file[900_000]
+
+
+def test_tokens_by_position_and_hot_ids(spark):
+    path = vocabulary("byte_bpe_50k.json")
+    t = bpe_tree.load(bpe_tree.tokenizer_bytes(path))
+    rows = [(i if i % 3 else 7, f"text number {i} of some words" if i % 4 else "the same") for i in range(300)]
+    source = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    folder = fresh_folder(spark, "tokens")
+    catalogue = token_store.write(source, folder, path, file_bytes=700, most_tokens=50)
+    found = sorted(token_store.read(catalogue, folder, docs=3, step=5).collect(), key=lambda r: r.start)
+    assert catalogue.where("first_id = 7").select("part").distinct().count() > 2  # the hot id is in several ranges
+    assert [r.doc_id for r in found] == sorted(i for i, _ in rows) and all(a.start + a.n_tokens == b.start for a, b in zip(found[:-1], found[1:], strict=True))
+    want = sorted((i, zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, x in rows)
+    assert sorted((r.doc_id, r.ids_crc32) for r in found) == want
+    total = found[-1].start + found[-1].n_tokens
+    asked = spark.range(-3, total + 5, 7).withColumnRenamed("id", "position")
+    ids = {r.position: r.id for r in token_store.lookup(catalogue, folder, asked, cell=64).collect()}
+    assert sorted(ids) == [p for p in range(-3, total + 5, 7) if 0 <= p < total] and all((ids[r.start + r.n_tokens - 1] == 0) for r in found if (r.start + r.n_tokens - 1 + 3) % 7 == 0)
+
+
 @pytest.mark.parametrize("width", [4, 8, 16])
 def test_codes_give_any_token(width):
     rng = np.random.default_rng(width)
@@ -86,8 +162,8 @@ def test_windows_equal_brute_force(spark):
         w = words(t)
         for k in range(max(0, len(w) - 9) or min(1, len(w))):
             known.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
-    for block in (16 << 20, 8):
-        got = {r.doc_id: r for r in decontam.report(decontam.find_overlap(docs(spark, texts), bench, block_bytes=block)).collect()}
+    for block, per_pass in ((16 << 20, 4), (8, 100), (8, 2), (60, 1)):
+        got = {r.doc_id: r for r in decontam.report(decontam.find_overlap(docs(spark, texts), bench, block_bytes=block, per_pass=per_pass)).collect()}
         for i, t in enumerate(texts):
             w, hit, found = words(t), set(), set()
             for size in {len(k) for k in known}:
@@ -100,6 +176,38 @@ def test_windows_equal_brute_force(spark):
             assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
+def test_window_sets_are_small_and_exact(monkeypatch):
+    texts = [r or "" for r in pq.read_table("/root/testdata/sf0.1/benchmark.parquet")["text"].to_pylist()]
+    known = decontam.WindowSet([(str(i), t) for i, t in enumerate(texts)], 10)
+    assert known.nbytes() <= 6 * sum(len(t.encode()) for t in texts)
+    # with hashes of two values, all windows collide and the bytes decide
+    rng = np.random.default_rng(6)
+    items = [(str(i), " ".join(rng.choice(["a", "b", "c"], 14))) for i in range(20)] * 2
+    document = " ".join([items[3][1], *rng.choice(["a", "b", "c"], 30), items[11][1]])
+    data, offsets = utf8(pa.array([document]))
+    want = decontam.scan([decontam.WindowSet(items, 10)], data, offsets)
+    plain = decontam.windows
+    monkeypatch.setattr(decontam, "windows", lambda words, n: plain(words, n) % np.uint64(2))
+    got = decontam.scan([decontam.WindowSet(items, 10)], data, offsets)
+    assert (got[1] == want[1]).all() and got[2] == want[2] and {"3", "11"} <= got[2][0]
+
+
+def test_decontamination_of_odd_tables(spark):
+    item = " ".join(f"k{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, item), (2, "k3 k4 k5 k6 k7 k8 k9 k10 k11 z1 z2"), (None, item)], "item_id long, text string")
+    rows = [(None, item), (4, item), (4, item), (5, "w " * 200_000 + item), (6, None), (7, "")]
+    columns = "doc_id long, text string, _items string, _spans long, spans int, n_hit string"
+    source = spark.createDataFrame([(i, t, "a", 1, 2, "b") for i, t in rows], columns)
+    for block, per_pass in ((1 << 20, 4), (8, 1)):
+        found = decontam.report(decontam.find_overlap(source, bench, block_bytes=block, per_pass=per_pass)).collect()
+        assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in found) == [(0, 12, 12, 2), (4, 12, 12, 2), (4, 12, 12, 2), (5, 200_012, 12, 2), (6, 0, 0, 0), (7, 0, 0, 0)]
+        left = decontam.decontaminate(source, bench, block_bytes=block, per_pass=per_pass)
+        assert left.columns == source.columns and sorted(r.doc_id for r in left.collect()) == [6, 7]
+        cut = decontam.decontaminate(source, bench, action="spans", block_bytes=block, per_pass=per_pass)
+        assert sorted(len(r.text or "") for r in cut.collect()) == [0, 0, 0, 0, 0, 400_000]
+    assert decontam.decontaminate(source.limit(0), bench).count() == 0 and decontam.find_overlap(source, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
 def test_removal(spark):
     item = " ".join(f"k{i}" for i in range(12))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
@@ -131,9 +239,6 @@ def test_classifier_learns_and_never_sees_held_out_labels(spark):
 
 def test_classifier_scores_do_not_depend_on_batches():
     net = quality.fit(["good words here", "BAD!! BAD!!"] * 9, [1, 0] * 9, epochs=2)
-    from veilframe.llm.common import utf8
-    import pyarrow as pa
-
     texts = ["", "a" * 1000, "one two two", "x " * 5000]
     together = quality.score(net, *utf8(pa.array(texts)))
     alone = [quality.score(net, *utf8(pa.array([t])))[0] for t in texts]

@@ -97,7 +97,7 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `most` text bytes, one row at least, so that the working
     arrays of a kernel stay small whatever the batch size is."""
     for batch in batches:

@@ -3,82 +3,117 @@ words of every document, with hits verified byte by byte.
 
 Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters. A window is `n`
 consecutive words of one benchmark item; an item of fewer words, but not none, is one window of its
-own length. The window set is shipped to the executors in blocks of items, each of at most
-`block_bytes` of text, so that what is broadcast has a fixed bound for any benchmark; the results of
-the blocks are merged by document. Null texts have no words; items without words are ignored; items
+own length. The set of a block of items is a few flat arrays, about five times as large as the items' text. Blocks
+hold at most `block_bytes` of text (or one item that is longer); `per_pass` of them are broadcast at a time and scanned
+in one pass over the documents. A benchmark of more blocks takes more passes, and what the passes have found so far is
+kept in the shared folder between them, so that no worker ever holds more than one pass's blocks.
+
+Null texts have no words; items without words are ignored; items
 with equal texts are all reported; an item_id may be null (it is then reported as an empty string).
-Repeated rows are judged one by one; further columns of either table are ignored."""
+Repeated rows are judged one by one, a null doc_id like any other; a text of any length is scanned whole; further columns
+of either table are ignored, whatever their names; empty tables give an empty result or no hits."""
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from veilframe.llm.bytesig import LOWER, WORD, hashes, spans, windows
-from veilframe.llm.common import mapped, pieces, utf8
+from veilframe.llm.bytesig import LOWER, WORD, U, hashes, spans, windows
+from veilframe.llm.common import cut, mapped, pieces, utf8
 
 SCHEMA = "doc_id long, n_words long, n_hit long, hit_items array<string>, spans array<struct<start:int,stop:int>>"
-ARROW = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("n_words", pa.int64()),
-        ("n_hit", pa.int64()),
-        ("hit_items", pa.list_(pa.string())),
-        ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-    ]
-)
+ITEMS, SPANS = pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+BLOCK_BYTES, PER_PASS = 4 << 20, 4
+
+
+class Windows:
+    """Windows of one length: sorted hashes, the first word of a window with each, and the items that hold it (those
+    from edge[i] to edge[i + 1])."""
+
+    __slots__ = ("size", "marks", "word", "edge", "item")
+
+    def __init__(self, size: int, marks: np.ndarray, word: np.ndarray, item: np.ndarray, text: Callable[[int, int], bytes]):
+        order = np.lexsort((word, item, marks))
+        marks, word, item = marks[order], word[order], item[order]
+        first = np.flatnonzero(np.append(True, marks[1:] != marks[:-1]))
+        fresh, kept = np.zeros(len(marks), bool), np.append(True, (marks[1:] != marks[:-1]) | (item[1:] != item[:-1]))
+        fresh[first] = True
+        for a, b in zip(first, np.append(first[1:], len(marks)), strict=True):
+            if b - a > 1 and len({text(w, size) for w in word[a:b].tolist()}) > 1:  # other words with the same hash
+                texts = [text(w, size) for w in word[a:b].tolist()]
+                again = sorted(range(b - a), key=lambda i: (texts[i], item[a + i]))  # noqa: B023
+                word[a:b], item[a:b] = word[a:b][again], item[a:b][again]
+                for i in range(1, b - a):
+                    fresh[a + i] = texts[again[i]] != texts[again[i - 1]]
+                    kept[a + i] = fresh[a + i] or item[a + i] != item[a + i - 1]
+        fresh, word, item, marks = fresh[kept], word[kept], item[kept], marks[kept]
+        self.size, self.marks, self.word = size, marks[fresh], word[fresh]
+        self.edge, self.item = np.append(np.flatnonzero(fresh), len(item)).astype(np.uint32), item
 
 
 class WindowSet:
-    """The windows of some benchmark items, by length: sorted hashes, and for each hash the exact
-    windows (bytes of the words, joined by a space) with the items that hold them."""
+    """The windows of some benchmark items, by length, and the items' words, joined by single spaces."""
 
     def __init__(self, items: list[tuple[str, str | None]], n: int):
-        self.exact: dict[int, dict[bytes, list[str]]] = defaultdict(lambda: defaultdict(list))
-        self.hashes: dict[int, np.ndarray] = {}
-        found: dict[int, set[int]] = defaultdict(set)
-        for item, text in items:
-            data, offsets = utf8(pa.array([text], pa.string()))
-            data = LOWER[data]
-            starts, ends, _ = spans(data, offsets, WORD)
-            if not len(starts):
-                continue
-            words = [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-            size = min(n, len(words))
-            marks = windows(hashes(data, starts, ends), size)
-            for i, mark in enumerate(marks.tolist()):
-                holders = self.exact[size][b" ".join(words[i : i + size])]
-                if item not in holders:
-                    holders.append(item)
-                found[size].add(mark)
-        for size, marks in found.items():
-            self.hashes[size] = np.array(sorted(marks), np.uint64)
-        self.exact = {k: dict(v) for k, v in self.exact.items()}
-
-    def scan(self, data: np.ndarray, offsets: np.ndarray):
-        """For each row: number of words, mask of hit words, items, and byte spans of hit runs."""
+        self.names = [i for i, _ in items]
+        data, offsets = utf8(pa.array([t for _, t in items], pa.string()))
         data = LOWER[data]
         starts, ends, rows = spans(data, offsets, WORD)
-        n = len(offsets) - 1
-        hit, items = np.zeros(len(starts), bool), defaultdict(set)
-        marks = hashes(data, starts, ends)
-        for size, known in self.hashes.items():
-            if len(starts) < size:
-                continue
-            seen = windows(marks, size)
-            at = np.minimum(np.searchsorted(known, seen), len(known) - 1)
-            here = np.flatnonzero((known[at] == seen) & (rows[: len(seen)] == rows[size - 1 :]))
-            exact = self.exact[size]
-            for i in here.tolist():
-                text = b" ".join(data[a:b].tobytes() for a, b in zip(starts[i : i + size], ends[i : i + size], strict=True))
-                if text in exact:
-                    hit[i : i + size] = True
-                    items[int(rows[i])].update(exact[text])
-        return np.bincount(rows, minlength=n), hit, items, starts, ends, rows
+        size, count = ends - starts, np.bincount(rows, minlength=len(items)) if len(rows) else np.zeros(len(items), np.int64)
+        self.words = np.full(int(size.sum()) + len(starts), 0x20, np.uint8)
+        self.words[np.arange(size.sum()) + np.repeat(np.arange(len(starts)), size)] = data[WORD[data]]
+        self.at = np.append(0, np.cumsum(size + 1)).astype(np.uint32 if len(self.words) < 1 << 32 else np.uint64)
+        marks, first = hashes(data, starts, ends), np.cumsum(count) - count
+        found: dict[int, list[tuple]] = defaultdict(list)
+        seen = windows(marks, n)
+        whole = np.flatnonzero(rows[: len(seen)] == rows[n - 1 :]) if len(seen) else np.empty(0, np.int64)
+        if len(whole):
+            found[n].append((seen[whole], whole, rows[whole]))
+        for i in np.flatnonzero((count > 0) & (count < n)):
+            k = int(count[i])
+            found[k].append((windows(marks[first[i] : first[i] + k], k), np.array([first[i]]), np.array([i])))
+        self.tables = [Windows(k, *(np.concatenate(c).astype(t) for c, t in zip(zip(*parts, strict=True), (U, np.uint32, np.uint32), strict=True)), self.text) for k, parts in sorted(found.items())]
+
+    def text(self, word: int, size: int) -> bytes:
+        return self.words[self.at[word] : self.at[word + size] - 1].tobytes()
+
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.at.nbytes + sum(getattr(t, k).nbytes for t in self.tables for k in ("marks", "word", "edge", "item"))
+
+
+def scan(sets: list[WindowSet], data: np.ndarray, offsets: np.ndarray):
+    """For each row: number of words, mask of hit words, items; and all words' bounds and rows."""
+    data = LOWER[data]
+    starts, ends, rows = spans(data, offsets, WORD)
+    hit, items = np.zeros(len(starts), bool), defaultdict(set)
+    marks = hashes(data, starts, ends)
+    for size in sorted({t.size for known in sets for t in known.tables}):
+        if len(starts) < size:
+            continue
+        seen = windows(marks, size)
+        whole = rows[: len(seen)] == rows[size - 1 :]
+        for known in sets:
+            for t in known.tables:
+                if t.size != size:
+                    continue
+                at = np.searchsorted(t.marks, seen)
+                here = np.flatnonzero((t.marks[np.minimum(at, len(t.marks) - 1)] == seen) & whole)
+                for i, k in zip(here.tolist(), at[here].tolist(), strict=True):
+                    text = b" ".join(data[a:b].tobytes() for a, b in zip(starts[i : i + size].tolist(), ends[i : i + size].tolist(), strict=True))
+                    while k < len(t.marks) and t.marks[k] == seen[i]:
+                        if known.text(int(t.word[k]), size) == text:
+                            hit[i : i + size] = True
+                            items[int(rows[i])].update(known.names[x] for x in t.item[t.edge[k] : t.edge[k + 1]].tolist())
+                            break
+                        k += 1
+    return np.bincount(rows, minlength=len(offsets) - 1), hit, items, starts, ends, rows
 
 
 def hit_runs(hit, starts, ends, rows, offsets, n: int) -> list[list[dict]]:
@@ -93,87 +128,73 @@ def hit_runs(hit, starts, ends, rows, offsets, n: int) -> list[list[dict]]:
     return runs
 
 
-def scan_batches(sets, n: int):
-    def run(batches):
-        known = sets.value
-        for batch in pieces(batches, "text"):
-            data, offsets = utf8(batch.column("text"))
-            n_words, hit, items, starts, ends, rows = known.scan(data, offsets)
-            n_hit = np.bincount(rows[hit], minlength=batch.num_rows)
-            runs = hit_runs(hit, starts, ends, rows, offsets, batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([sorted(items.get(i, ())) for i in range(batch.num_rows)], ARROW.field("hit_items").type),
-                    pa.array(runs, ARROW.field("spans").type),
-                ],
-                schema=ARROW,
-            )
-
-    return run
-
-
-def blocks(benchmark: DataFrame, block_bytes: int):
-    """The benchmark's items in blocks of bounded size, read to the driver one partition at a time."""
+def blocks(benchmark: DataFrame, n: int, block_bytes: int) -> Iterator[WindowSet]:
+    """The benchmark's windows in blocks of bounded size, read to the driver one partition at a time."""
     block, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator():
-        block.append((row.i or "", row.text))
-        size += len(row.text or "")
-        if size >= block_bytes:
-            yield block
+        more = len((row.text or "").encode())
+        if block and size + more > block_bytes:
+            yield WindowSet(block, n)
             block, size = [], 0
-    yield block
+        block.append((row.i or "", row.text))
+        size += more
+    yield WindowSet(block, n)
+
+
+class Found:
+    """What has been found in a batch: of each row the number of words, the items, and byte ranges of hit runs."""
+
+    def __init__(self, sets: list[WindowSet], texts: pa.Array, before: tuple[list, list] | None):
+        data, offsets = utf8(texts)
+        self.n = len(offsets) - 1
+        self.n_words, hit, items, starts, ends, rows = scan(sets, data, offsets)
+        old_items, old_spans = before or ([()] * self.n, [()] * self.n)
+        for row, runs in enumerate(old_spans):
+            lo, hi = np.searchsorted(rows, [row, row + 1]) if runs else (0, 0)
+            for r in runs or ():  # a word that two blocks hit counts once
+                hit[lo:hi] |= (starts[lo:hi] - offsets[row] >= r["start"]) & (ends[lo:hi] - offsets[row] <= r["stop"])
+        self.n_hit = np.bincount(rows[hit], minlength=self.n)
+        self.items = [sorted({*(old_items[i] or ()), *items.get(i, ())}) for i in range(self.n)]
+        self.spans = hit_runs(hit, starts, ends, rows, offsets, self.n)
+
+    def columns(self) -> list[pa.Array]:
+        return [pa.array(self.items, ITEMS), pa.array(self.spans, SPANS)]
+
+
+def swept(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int, per_pass: int, last: Callable, schema) -> DataFrame:
+    """docs after as many passes as the benchmark takes. last(batch of docs, found) makes what the last pass gives, by
+    `schema`; a pass before it adds two columns of what has been found, which go before the others in its batches."""
+    todo = blocks(benchmark, n, block_bytes)
+    sets, state = list(islice(todo, per_pass)), False
+    at, texts = docs, docs.columns.index("text")
+    names = ["_" * (1 + max(map(len, docs.columns))) + k for k in ("items", "spans")]  # no column of docs is called so
+    while sets:
+        more = list(islice(todo, per_pass))
+        known = docs.sparkSession.sparkContext.broadcast(sets)
+
+        def run(batches, known=known, state=state, final=not more):
+            skip = 2 if state else 0
+            for batch in pieces(batches, texts + skip):
+                rest = pa.RecordBatch.from_arrays(batch.columns[skip:], schema=pa.schema(list(batch.schema)[skip:]))
+                found = Found(known.value, rest.column(texts), tuple(c.to_pylist() for c in batch.columns[:2]) if state else None)
+                yield last(rest, found) if final else pa.RecordBatch.from_arrays([*found.columns(), *rest.columns], [*names, *rest.schema.names])
+
+        if more:
+            fields = _parse_datatype_string(f"{names[0]} array<string>, {names[1]} array<struct<start:int,stop:int>>").fields
+            at = cut(mapped(at, run, StructType([*fields, *(StructField(f.name, f.dataType) for f in docs.schema)])))
+        else:
+            return mapped(at, run, schema)
+        sets, state = more, True
+    raise AssertionError("blocks() gives one block at least")
+
+
+def find_overlap(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES, per_pass: int = PER_PASS) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_hit, hit_items, spans (byte ranges of hit runs)."""
 
+    def last(batch, found):
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found.n_words, pa.int64()), pa.array(found.n_hit, pa.int64()), *found.columns()], ["doc_id", "n_words", "n_hit", "hit_items", "spans"])
 
-def find_overlap(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, hit_items, spans (byte ranges of hit runs)."""
-    spark = docs.sparkSession
-    parts = []
-    numbered = docs.select("doc_id", "text")
-    for block in blocks(benchmark, block_bytes):
-        known = spark.sparkContext.broadcast(WindowSet(block, n))
-        parts.append(mapped(numbered, scan_batches(known, n), SCHEMA))
-    if len(parts) == 1:
-        return parts[0]
-    return merge(docs, benchmark, n, block_bytes)
-
-
-def merge(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int) -> DataFrame:
-    """As find_overlap for a benchmark of several blocks: each pass adds to what the earlier found."""
-    spark = docs.sparkSession
-    # a pass carries the texts on; a hit word of one block may be hit by another, so spans are merged
-    state = docs.select("doc_id", "text", F.lit(None).cast("array<string>").alias("i0"), F.lit(None).cast("array<struct<start:int,stop:int>>").alias("s0"))
-    out = "doc_id long, text string, i0 array<string>, s0 array<struct<start:int,stop:int>>, n_words long, n_hit long"
-    for block in blocks(benchmark, block_bytes):
-        known = spark.sparkContext.broadcast(WindowSet(block, n))
-
-        def run(batches, known=known):
-            for batch in pieces(batches, "text"):
-                data, offsets = utf8(batch.column("text"))
-                n_words, hit, items, starts, ends, rows = known.value.scan(data, offsets)
-                old_items, old_spans = batch.column("i0").to_pylist(), batch.column("s0").to_pylist()
-                for row, runs in enumerate(old_spans):
-                    lo, hi = np.searchsorted(rows, [row, row + 1])
-                    for r in runs or ():
-                        hit[lo:hi] |= (starts[lo:hi] - offsets[row] >= r["start"]) & (ends[lo:hi] - offsets[row] <= r["stop"])
-                new_items = [sorted({*(old_items[i] or ()), *items.get(i, ())}) for i in range(batch.num_rows)]
-                runs = hit_runs(hit, starts, ends, rows, offsets, batch.num_rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").cast(pa.int64()),
-                        batch.column("text"),
-                        pa.array(new_items, pa.list_(pa.string())),
-                        pa.array(runs, ARROW.field("spans").type),
-                        pa.array(n_words, pa.int64()),
-                        pa.array(np.bincount(rows[hit], minlength=batch.num_rows), pa.int64()),
-                    ],
-                    ["doc_id", "text", "i0", "s0", "n_words", "n_hit"],
-                )
-
-        state = mapped(state.select("doc_id", "text", "i0", "s0"), run, out)
-    return state.select("doc_id", "n_words", "n_hit", F.col("i0").alias("hit_items"), F.col("s0").alias("spans"))
+    return swept(docs.select("doc_id", "text"), benchmark, n, block_bytes, per_pass, last, SCHEMA)
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -199,33 +220,23 @@ def cut_spans(text: str | None, ranges) -> str | None:
     return b"".join([*kept, data[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: str = "documents", block_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, action: str = "documents", block_bytes: int = BLOCK_BYTES, per_pass: int = PER_PASS) -> DataFrame:
     """docs with the same columns, less contaminated documents ("documents") or hit spans ("spans").
 
-    The texts are scanned and filtered in one pass without a shuffle: all columns travel along."""
+    The texts are scanned and filtered without a shuffle: all columns travel along."""
     if action not in ("documents", "spans"):
         raise ValueError(f"unknown action {action!r}")
-    columns = docs.columns
-    for block in blocks(benchmark, block_bytes):
-        known = docs.sparkSession.sparkContext.broadcast(WindowSet(block, n))
-
-        def run(batches, known=known):
-            for batch in pieces(batches, "text"):
-                data, offsets = utf8(batch.column("text"))
-                _, hit, _, starts, ends, rows = known.value.scan(data, offsets)
-                touched = np.bincount(rows[hit], minlength=batch.num_rows) > 0
-                if action == "documents":
-                    yield batch.filter(pa.array(~touched))
-                    continue
-                if touched.any():
-                    ranges = hit_runs(hit, starts, ends, rows, offsets, batch.num_rows)
-                    texts = [cut_spans(t, ranges[i]) for i, t in enumerate(batch.column("text").to_pylist())]
-                    at = batch.schema.get_field_index("text")
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-                yield batch
-
-        docs = mapped(docs, run, docs.schema)
-    return docs.select(columns)
+    at = docs.columns.index("text")
+
+    def last(batch, found):
+        if action == "documents":
+            return batch.filter(pa.array(found.n_hit == 0))
+        if found.n_hit.any():
+            texts = [cut_spans(t, found.spans[i]) for i, t in enumerate(batch.column(at).to_pylist())]
+            return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        return batch
+
+    return swept(docs, benchmark, n, block_bytes, per_pass, last, docs.schema)
 
 
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
