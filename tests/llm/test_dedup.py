@@ -60,7 +60,7 @@ def brute(rows, n=5, threshold=0.8):
     return {i: find(i) for i in sets}
 
 
-def test_near_classes_equal_brute_force(spark):
+def test_near_classes_equal_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(500)]
     base = [list(rng.choice(vocabulary, 120)) for _ in range(8)]
@@ -73,12 +73,71 @@ def test_near_classes_equal_brute_force(spark):
     rows += [(500, ""), (501, None), (502, "!!!"), (503, "!!!"), (504, "one two"), (505, "One, TWO")]
     got = {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, rows)).collect()}
     assert got == brute(rows)
-    tiled = near_dedup.remainder.__defaults__
-    near_dedup.remainder.__defaults__ = (0, 16, 32)
-    try:
-        assert {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, rows)).collect()} == got
-    finally:
-        near_dedup.remainder.__defaults__ = tiled
+    monkeypatch.setattr(near_dedup.remainder, "__defaults__", (0, 16, 64))
+    monkeypatch.setattr(near_dedup.tiled, "__defaults__", (16, 32))
+    monkeypatch.setattr(common.few, "__defaults__", (0,))
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, rows)).collect()} == got
+
+
+def test_prefixes_of_similar_sets_meet(spark):
+    """Texts of one long boilerplate, in one bucket of the star: links among them are found through rare shingles."""
+    rng = np.random.default_rng(11)
+    rows, boiler = [], [f"b{i}" for i in range(60)]
+    for k in range(40):
+        own = [f"o{k}x{i}" for i in range(20)]
+        rows.append((3 * k, " ".join(boiler + own)))
+        rows.append((3 * k + 1, " ".join(boiler + own[:19])))
+        rows.append((3 * k + 2, " ".join([str(x) for x in rng.choice(boiler, 3)] + boiler + own)))
+    sets = near_dedup.contents(docs(spark, rows), 5).selectExpr("id as node", "id as comp", "content").cache()
+    content = sets.select(F.col("node").alias("id"), "content")
+    for small in (64, 5):
+        pairs, blocked = near_dedup.remainder(sets.select("node", "comp"), content, 0.8, small, 100, 1000)
+        got = {(min(r.a, r.b), max(r.a, r.b)) for r in near_dedup.verify(pairs, content, 0.8).unionByName(blocked).collect()}
+        words = {i: t.split() for i, t in rows}
+        shingled = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+        want = {(a, b) for a in shingled for b in shingled if a < b and len(shingled[a] & shingled[b]) >= 0.8 * len(shingled[a] | shingled[b])}
+        if small == 64:
+            assert got == want and pairs.count() < 10 * len(want)
+        else:
+            assert got <= want and {x for p in got for x in p} == {x for p in want for x in p}
+
+
+def test_recall_by_similarity(spark):
+    """All pairs of different texts of sf0.01, by brute force, against the classes."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    sets, lists = {}, {}
+    for i, t in texts.items():
+        w = WORD.findall(t.lower())
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+        for x in sets[i]:
+            lists.setdefault(x, []).append(i)
+    both = {}
+    for ids in lists.values():
+        for k, a in enumerate(ids):
+            for b in ids[:k]:
+                both[a, b] = both.get((a, b), 0) + 1
+    alike = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in both.items()}
+    close = [p for p, s in alike.items() if s >= 0.8]
+    assert len(close) > 30 and all(got[a] == got[b] for a, b in close)
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in close:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {i: find(i) for i in texts}
+
+
+def test_near_rows_of_one_id_and_very_long_texts(spark):
+    base = [" ".join(f"t{k}w{i}" for i in range(50)) for k in range(4)]
+    long_ = " ".join(f"z{i}" for i in range(150_000))
+    rows = [(5, base[0]), (5, base[1]), (3, base[1]), (9, base[0]), (7, base[2]), (7, base[2]), (20, long_), (21, long_ + " end"), (None, base[3]), (8, base[3]), (30, None), (31, "")]
+    got = sorted((r.doc_id or -1, r.class_id, r.kept) for r in near_dedup.classes(docs(spark, rows)).collect())
+    assert got == [(-1, None, True), (3, 3, True), (5, 3, False), (5, 3, False), (7, 7, True), (7, 7, True), (8, 8, True), (9, 3, False), (20, 20, True), (21, 20, False), (30, 30, True), (31, 31, True)]
 
 
 def test_near_keeps_one_and_all_columns(spark):

@@ -118,15 +118,16 @@ def few(df: DataFrame, most: int = 500_000) -> bool:
     return df.count() <= most
 
 
-def looked_up(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame | None = None, how: str = "inner") -> DataFrame:
-    """rows joined with facts, of one row per key. Rows whose key is in `hot` - at most as many keys as
-    frequent() gives - are settled where they are, by a broadcast; the others are shuffled. how: inner or left."""
+def looked_up(rows: DataFrame, facts: DataFrame, key: str | list[str], hot: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """rows joined with facts (already cut), of one row per key. Rows whose (first) key is in `hot` - at most as many
+    keys as frequent() gives - are settled where they are, by a broadcast; the others are shuffled. how: inner or left."""
     if few(facts):
         return rows.join(F.broadcast(facts), key, how)
-    hot = cut((frequent(rows, key) if hot is None else hot).select(F.col("key").alias(key)))
-    large = cut(facts.join(F.broadcast(hot), key, "left_semi"))
-    small = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(facts, key, how)
-    return rows.join(F.broadcast(large), key).unionByName(small)
+    keys = [key] if isinstance(key, str) else key
+    hot = cut((frequent(rows, keys[0]) if hot is None else hot).select(F.col("key").alias(keys[0])))
+    large = cut(facts.join(F.broadcast(hot), keys[0], "left_semi"))
+    small = rows.join(F.broadcast(large.select(keys)), keys, "left_anti").join(facts, keys, how)
+    return rows.join(F.broadcast(large), keys).unionByName(small)
 
 
 def without(docs: DataFrame, dropped: DataFrame, keys: list[str], most: int = 500_000) -> DataFrame:

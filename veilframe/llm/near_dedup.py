@@ -10,12 +10,17 @@ of their shingle sets.
 
 Texts with the same words collapse to one node (the smallest doc_id) before banding. In a band
 bucket the nodes are compared with the bucket's smallest node, never all with all; the verified links
-are joined to components; nodes of a bucket that are then still apart are compared across components
-only - inside a component a further link changes nothing. Every step is a DataFrame join or aggregate; no group is collected.
+are joined to components. Buckets in which several components are left are open. Their nodes are compared across
+components through their rarest shingles: two sets of similarity t have a shingle in common among the first
+size - ceil(t x size) + 1 of either, in any order of all shingles, and in an order by frequency such a shingle is on few
+lists. Only lists of over `small` nodes are compared in tiles of bounded size. Inside a component a further link changes
+nothing. Frequent buckets, words and lists are settled by broadcasts of bounded size; every step is a
+DataFrame join or aggregate, and no unbounded group is collected.
 
 Null, empty and wordless texts form no links and are a class of their own each; texts of fewer than
-five words have one shingle, of all their words; rows that share a doc_id count as one document; a
-row without doc_id has a null class; an empty table gives an empty result; other columns are ignored."""
+five words have one shingle, of all their words; rows that share a doc_id count as one document, linked with
+whatever any of them is linked with; a row without doc_id has a null class and is kept; a text of any length is compared
+whole; an empty table gives an empty result; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.bytesig import LOWER, WORD, U, hashes, mix, spans, windows
-from veilframe.llm.common import cut, mapped, pieces, utf8, within, without
+from veilframe.llm.common import cut, forget, looked_up, mapped, pieces, utf8, within, without
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,33 +155,35 @@ def components(edges: DataFrame) -> DataFrame:
     Labels flow over the links and jump to their label's label; a round with no change ends it."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "node"))
+    kept = None
     while True:
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("heard"))
         near = labels.join(heard, "node").select("node", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp"))
         top = labels.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
         moved = cut(near.join(top, "comp", "left").select("node", "old", F.least("comp", F.coalesce("jump", "comp")).alias("comp")))
-        labels = moved.select("node", "comp")
+        forget(labels if kept is None else kept)
+        labels, kept = moved.select("node", "comp"), moved
         if moved.where("comp != old").isEmpty():
             return labels
 
 
-def links(docs: DataFrame, nodes: DataFrame, threshold: float, n: int) -> DataFrame:
-    """(node, comp) of the nodes that have a link; nodes: node, bands."""
+def links(docs: DataFrame, nodes: DataFrame, known: DataFrame, threshold: float, n: int) -> DataFrame:
+    """(node, comp) of the nodes that have a link; nodes: node, bands; known: links (a, b) that need no proof."""
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
-    near = cut(members.join(shared, "bucket"))  # (bucket, node, centre) of buckets with several nodes
+    near = cut(looked_up(members, cut(shared), "bucket"))  # (bucket, node, centre) of buckets with several nodes
     pairs = near.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     involved = cut(near.select(F.col("node").alias("doc_id")).distinct())
     content = cut(contents(within(docs, involved, ["doc_id"]), n))  # read by every verification
-    comps = components(cut(verify(pairs, content, threshold)))
-    placed = near.join(comps, "node", "left").select("bucket", "node", "centre", F.coalesce("comp", "node").alias("comp"))
-    placed = cut(placed)
+    comps = components(cut(verify(pairs, content, threshold).unionByName(known)))
+    placed = cut(near.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp")))
     split = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    open_ = cut(placed.join(split.select("bucket"), "bucket", "left_semi"))
+    open_ = cut(looked_up(placed, cut(split.select("bucket")), "bucket").select("node", "comp").distinct())
+    forget(near, placed)
     if open_.isEmpty():
         return comps
     pairs, blocked = remainder(open_, content, threshold)
-    found = cut(verify(pairs.distinct(), content, threshold).unionByName(blocked).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    found = cut(verify(pairs, content, threshold).unionByName(blocked).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     if found.isEmpty():
         return comps
     merged = components(found)
@@ -184,25 +191,61 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float, n: int) -> DataFr
     return moved.select("node", F.coalesce("to", "comp").alias("comp")).unionByName(merged).distinct()
 
 
-def remainder(open_: DataFrame, content: DataFrame, threshold: float, small: int = 64, x_tile: int = 256, y_tile: int = 1024):
-    """What is still apart in the open buckets (bucket, node, centre, comp): all nodes but those of a
-    bucket's largest component, against every node of another component but the centre, with which
-    all have been compared.
+def prefixes(sets: DataFrame, threshold: float, heavy: dict[int, int]) -> DataFrame:
+    """(mark, node, comp, size): the rarest shingles of each set (node, comp, content), as many as have to be looked at.
 
-    For buckets of `small` nodes at most: candidate pairs (a, b, ca, cb). Larger ones are dealt out in
-    tiles of bounded size, compared by exact matrix products inside a tile: links (a, b, ca, cb), for
-    each node the most similar one of each other component at most."""
-    sizes = open_.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    The order is by how often a shingle is among the frequent ones (`heavy`), then by its hash, alike for all sets."""
+    sent = sets.sparkSession.sparkContext.broadcast((np.array(sorted(heavy), np.uint32), np.array([heavy[m] for m in sorted(heavy)], np.int64)))
+
+    def run(batches):
+        marks, counts = sent.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = np.frombuffer(row["content"], np.uint32)
+                at = np.minimum(np.searchsorted(marks, own), max(len(marks) - 1, 0))
+                weight = np.where(marks[at] == own, counts[at], 0) if len(marks) else np.zeros(len(own), np.int64)
+                first = own[np.lexsort((own, weight))][: len(own) - int(np.ceil(threshold * len(own) - 1e-9)) + 1]
+                k = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(first.astype(np.int64)), *(pa.array(np.full(k, x, np.int64)) for x in (row["node"], row["comp"], len(own)))], ["mark", "node", "comp", "size"])
+
+    return mapped(sets, run, "mark long, node long, comp long, size long")
+
+
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """(mark): every shingle of every set."""
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(content, np.uint32).astype(np.int64))], ["mark"])
+
+    return mapped(sets.select("content"), run, "mark long")
+
+
+def remainder(open_: DataFrame, content: DataFrame, threshold: float, small: int = 64, top: int = 16384, tracked: int = 131072):
+    """Candidate pairs (a, b, ca, cb) of the nodes (node, comp) of different components, and links (a, b, ca, cb) found
+    where a list is too long for pairs; together they miss no pair of similarity threshold or more."""
+    sets = cut(open_.join(content.withColumnRenamed("id", "node"), "node"))
+    found = shingle_rows(sets).agg(F.expr(f"approx_top_k(mark, {top}, {tracked})").alias("t")).first().t
+    rows = cut(prefixes(sets, threshold, {r["item"]: r["count"] for r in found or ()}))
+    lists = cut(rows.groupBy("mark").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("mark", "n"))
+    rows = cut(looked_up(rows, lists, "mark"))
+    short = rows.where(F.col("n") <= small).groupBy("mark").agg(F.collect_list(F.struct("node", "comp", "size")).alias("l"))
+    one = short.select(F.explode("l").alias("x"), "l")
+    fits = lambda x, y: (x["comp"] != y["comp"]) & (x["node"] > y["node"]) & (F.least(x["size"], y["size"]) >= threshold * F.greatest(x["size"], y["size"]))
+    both = one.select("x", F.explode(F.filter("l", lambda y: fits(F.col("x"), y))).alias("y"))
+    pairs = both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).distinct()
+    return pairs, tiled(rows.where(F.col("n") > small).select(F.col("mark").alias("bucket"), "node", "comp"), content, threshold)
+
+
+def tiled(great: DataFrame, content: DataFrame, threshold: float, x_tile: int = 256, y_tile: int = 1024) -> DataFrame:
+    """Links (a, b, ca, cb) between nodes of one bucket (bucket, node, comp) and different components: the nodes outside
+    a bucket's largest component against all, in tiles of bounded size, by exact matrix products inside a tile. Of each
+    node the most similar one of each other component at most."""
+    sizes = great.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("total"))
     sizes = sizes.select("bucket", "total", F.col("m.comp").alias("main"), (F.col("total") - F.col("m.n")).alias("others"))
-    placed = cut(open_.where("node != centre").join(sizes, "bucket"))
-    little = placed.where(F.col("total") <= small)
-    left = little.where("comp != main").select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    right = little.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"), "main")
-    # of two nodes outside the largest component, one asks
-    pairs = left.join(right, "bucket").where("ca != cb and (cb = main or a > b)").select("a", "b", "ca", "cb")
-
-    great = placed.where(F.col("total") > small)
+    great = cut(looked_up(great, cut(sizes), "bucket"))
     tiles = lambda count, size: F.ceil(F.col(count) / size).cast("int")
     own = lambda count, size: F.pmod(F.xxhash64("node"), tiles(count, size)).cast("int")
     every = lambda count, size: F.explode(F.sequence(F.lit(0), tiles(count, size) - 1))
@@ -213,7 +256,7 @@ def remainder(open_: DataFrame, content: DataFrame, threshold: float, small: int
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         return tile_links(tile[tile.asks], tile[~tile.asks], threshold)
 
-    return pairs, rows.groupBy("bucket", "tx", "ty").applyInPandas(compare, "a long, b long, ca long, cb long")
+    return rows.groupBy("bucket", "tx", "ty").applyInPandas(compare, "a long, b long, ca long, cb long")
 
 
 def tile_links(x: pd.DataFrame, y: pd.DataFrame, threshold: float, columns: int = 8192) -> pd.DataFrame:
@@ -240,6 +283,14 @@ def tile_links(x: pd.DataFrame, y: pd.DataFrame, threshold: float, columns: int
     return pd.DataFrame({"a": xs[best.i], "b": ys[best.j], "ca": cx[best.i], "cb": cy[best.j]})
 
 
+def shared_ids(worded: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of different texts that have one doc_id."""
+    several = worded.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).where("low != high").select("doc_id")
+    nodes = cut(worded.join(cut(several), "doc_id", "left_semi").select("doc_id", "h1", "h2").distinct().join(groups, ["h1", "h2"]).select("doc_id", F.col("node").alias("a")))
+    least = nodes.groupBy("doc_id").agg(F.min("a").alias("b"))
+    return nodes.join(least, "doc_id").where("a != b").select("a", "b").distinct()
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 24, rows: int = 5) -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest doc_id of its class), kept."""
     found = cut(features(docs, n, bands, rows))
@@ -247,10 +298,11 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 24
     groups = cut(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
     first = groups.select("node").distinct()
     nodes = worded.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "bands")
-    comps = links(docs, nodes, threshold, n)
-    comps = groups.join(comps, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("class_id"))
-    placed = found.join(comps, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return placed.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    comps = links(docs, nodes, shared_ids(worded, groups), threshold, n)
+    comps = cut(groups.join(comps, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("class_id")))
+    placed = looked_up(worded.select("doc_id", "h1", "h2"), comps, ["h1", "h2"]).select("doc_id", "class_id")
+    others = found.where("doc_id is null or h1 is null").select("doc_id", F.col("doc_id").alias("class_id"))
+    return placed.unionByName(others).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
