@@ -171,7 +171,7 @@ def pack(dac: Dac, doc_ids: np.ndarray, starts: np.ndarray, known: np.ndarray) -
 CATALOGUE = "file string, part long, number long, first_id long, n_docs long, n_tokens long"
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, file_bytes: int = 12 << 20, most_tokens: int = 4 << 20) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, file_bytes: int = 12 << 20, most_tokens: int = 1 << 20) -> DataFrame:
     """Writes the token files; their catalogue, in order, also written as Parquet."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(tokenizer_bytes(tokenizer_path))
@@ -199,8 +199,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, fi
             ids, doc_ids, size, made = [], [], 0, made + 1
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.string(), *[pa.int64()] * 5], strict=True)], ["file", "part", "number", "first_id", "n_docs", "n_tokens"])
 
-        for batch in pieces(batches, "text", 3 << 20):
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), memo(tokenizer, 500_000).encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+        for batch in pieces(batches, "text", 2 << 20):
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), memo(tokenizer, 250_000).encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 ids.append(np.append(found, np.uint32(end_id)))
                 doc_ids.append(doc_id)
                 size += len(found) + 1
