@@ -350,15 +350,7 @@ def memo(tokenizer: Tokenizer, most: int = 200_000, placed: bool = False) -> Mem
 
 def encode(tokenizer: Tokenizer, texts: list[str], leaf: int = 1 << 11) -> list[np.ndarray]:
     """Token ids of each text. A text of at most `leaf` characters is a tree of one leaf."""
-    known = memo(tokenizer, placed=True)
-    out: list = [None] * len(texts)
-    short = [i for i, t in enumerate(texts) if len(t) <= leaf]
-    for i, ids in zip(short, known.encode([texts[i] for i in short]), strict=True):
-        out[i] = ids
-    long_ = [i for i, t in enumerate(texts) if len(t) > leaf]
-    for i, ids in zip(long_, encode_trees(tokenizer, [texts[i] for i in long_], leaf, known.encode_placed), strict=True):
-        out[i] = ids
-    return out
+    return encode_trees(tokenizer, texts, leaf, memo(tokenizer, placed=True).encode_placed)
 
 
 TOKENS = "doc_id long, ids array<int>"
