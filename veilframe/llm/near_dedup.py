@@ -12,8 +12,9 @@ Texts with the same words collapse to one node (the smallest doc_id) before band
 bucket the nodes are compared with the bucket's smallest node, never all with all; the verified links
 are joined to components. Buckets in which several components are left are open. Their nodes are compared across
 components through their rarest shingles: two sets of similarity t have a shingle in common among the first
-size - ceil(t x size) + 1 of either, in any order of all shingles, and in an order by frequency such a shingle is on few
-lists. Only lists of over `small` nodes are compared in tiles of bounded size. Inside a component a further link changes
+size - ceil(t x size) + 1 of either, in any order of all shingles, and the first such one is so early in both that enough
+can follow. In an order by frequency that shingle is on few lists, and few of a list's nodes come early enough to ask the
+others. Only lists of over `small` nodes are compared in tiles of bounded size. Inside a component a further link changes
 nothing. Frequent buckets, words and lists are settled by broadcasts of bounded size; every step is a
 DataFrame join or aggregate, and no unbounded group is collected.
 
@@ -192,7 +193,8 @@ def links(docs: DataFrame, nodes: DataFrame, known: DataFrame, threshold: float,
 
 
 def prefixes(sets: DataFrame, threshold: float, heavy: dict[int, int]) -> DataFrame:
-    """(mark, node, comp, size): the rarest shingles of each set (node, comp, content), as many as have to be looked at.
+    """(mark, node, comp, size, left): the rarest shingles of each set (node, comp, content), as many as have to be looked
+    at, and how many of the set's shingles are left from each on.
 
     The order is by how often a shingle is among the frequent ones (`heavy`), then by its hash, alike for all sets."""
     sent = sets.sparkSession.sparkContext.broadcast((np.array(sorted(heavy), np.uint32), np.array([heavy[m] for m in sorted(heavy)], np.int64)))
@@ -206,9 +208,12 @@ def prefixes(sets: DataFrame, threshold: float, heavy: dict[int, int]) -> DataFr
                 weight = np.where(marks[at] == own, counts[at], 0) if len(marks) else np.zeros(len(own), np.int64)
                 first = own[np.lexsort((own, weight))][: len(own) - int(np.ceil(threshold * len(own) - 1e-9)) + 1]
                 k = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(first.astype(np.int64)), *(pa.array(np.full(k, x, np.int64)) for x in (row["node"], row["comp"], len(own)))], ["mark", "node", "comp", "size"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first.astype(np.int64)), *(pa.array(np.full(k, x, np.int64)) for x in (row["node"], row["comp"], len(own))), pa.array(len(own) - np.arange(k, dtype=np.int64))],
+                    ["mark", "node", "comp", "size", "left"],
+                )
 
-    return mapped(sets, run, "mark long, node long, comp long, size long")
+    return mapped(sets, run, "mark long, node long, comp long, size long, left long")
 
 
 def shingle_rows(sets: DataFrame) -> DataFrame:
@@ -227,36 +232,37 @@ def remainder(open_: DataFrame, content: DataFrame, threshold: float, small: int
     where a list is too long for pairs; together they miss no pair of similarity threshold or more."""
     sets = cut(open_.join(content.withColumnRenamed("id", "node"), "node"))
     found = shingle_rows(sets).agg(F.expr(f"approx_top_k(mark, {top}, {tracked})").alias("t")).first().t
-    rows = cut(prefixes(sets, threshold, {r["item"]: r["count"] for r in found or ()}))
-    lists = cut(rows.groupBy("mark").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("mark", "n"))
+    # sets of n and m shingles need t / (1 + t) x (n + m) in common, from their first common one on: one of the two has
+    # 2t / (1 + t) of its own left there, and asks
+    need = threshold / (1 + threshold)
+    asks = F.col("left") >= 2 * need * F.col("size") - 1e-9
+    rows = cut(prefixes(sets, threshold, {r["item"]: r["count"] for r in found or ()}).withColumn("asks", asks))
+    lists = rows.groupBy("mark").agg(F.count("*").alias("n"), F.count_if("asks").alias("askers"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    lists = cut(lists.where("low < high and askers > 0").select("mark", "n", "askers"))
     rows = cut(looked_up(rows, lists, "mark"))
-    short = rows.where(F.col("n") <= small).groupBy("mark").agg(F.collect_list(F.struct("node", "comp", "size")).alias("l"))
+    short = rows.where(F.col("n") <= small).groupBy("mark").agg(F.collect_list(F.struct("node", "comp", "size", "left")).alias("l"))
     one = short.select(F.explode("l").alias("x"), "l")
-    fits = lambda x, y: (x["comp"] != y["comp"]) & (x["node"] > y["node"]) & (F.least(x["size"], y["size"]) >= threshold * F.greatest(x["size"], y["size"]))
+    fits = lambda x, y: (x["comp"] != y["comp"]) & (x["node"] > y["node"]) & (F.least(x["left"], y["left"]) >= need * (x["size"] + y["size"]) - 1e-9)
     both = one.select("x", F.explode(F.filter("l", lambda y: fits(F.col("x"), y))).alias("y"))
     pairs = both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).distinct()
-    return pairs, tiled(rows.where(F.col("n") > small).select(F.col("mark").alias("bucket"), "node", "comp"), content, threshold)
+    return pairs, tiled(rows.where(F.col("n") > small).drop("size", "left"), content, threshold)
 
 
-def tiled(great: DataFrame, content: DataFrame, threshold: float, x_tile: int = 256, y_tile: int = 1024) -> DataFrame:
-    """Links (a, b, ca, cb) between nodes of one bucket (bucket, node, comp) and different components: the nodes outside
-    a bucket's largest component against all, in tiles of bounded size, by exact matrix products inside a tile. Of each
-    node the most similar one of each other component at most."""
-    sizes = great.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("total"))
-    sizes = sizes.select("bucket", "total", F.col("m.comp").alias("main"), (F.col("total") - F.col("m.n")).alias("others"))
-    great = cut(looked_up(great, cut(sizes), "bucket"))
+def tiled(great: DataFrame, content: DataFrame, threshold: float, x_tile: int = 128, y_tile: int = 256) -> DataFrame:
+    """Links (a, b, ca, cb) between nodes of one list (mark, node, comp, asks, n, askers) and different components: those
+    that ask against all, in tiles of bounded size, by exact matrix products inside a tile. Of each node the most
+    similar one of each other component at most."""
     tiles = lambda count, size: F.ceil(F.col(count) / size).cast("int")
     own = lambda count, size: F.pmod(F.xxhash64("node"), tiles(count, size)).cast("int")
     every = lambda count, size: F.explode(F.sequence(F.lit(0), tiles(count, size) - 1))
-    asked = great.where("comp != main").select("bucket", "node", "comp", own("others", x_tile).alias("tx"), every("total", y_tile).alias("ty"), F.lit(True).alias("asks"))
-    others = great.select("bucket", "node", "comp", own("total", y_tile).alias("ty"), every("others", x_tile).alias("tx"), F.lit(False).alias("asks"))
+    asked = great.where("asks").select("mark", "node", "comp", own("askers", x_tile).alias("tx"), every("n", y_tile).alias("ty"), F.lit(True).alias("asks"))
+    others = great.select("mark", "node", "comp", own("n", y_tile).alias("ty"), every("askers", x_tile).alias("tx"), F.lit(False).alias("asks"))
     rows = asked.unionByName(others).join(content.withColumnRenamed("id", "node"), "node")
 
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         return tile_links(tile[tile.asks], tile[~tile.asks], threshold)
 
-    return rows.groupBy("bucket", "tx", "ty").applyInPandas(compare, "a long, b long, ca long, cb long")
+    return rows.groupBy("mark", "tx", "ty").applyInPandas(compare, "a long, b long, ca long, cb long")
 
 
 def tile_links(x: pd.DataFrame, y: pd.DataFrame, threshold: float, columns: int = 8192) -> pd.DataFrame:
