@@ -113,7 +113,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 2 <
     give_back()
 
 
-def few(df: DataFrame, most: int = 500_000) -> bool:
+def few(df: DataFrame, most: int = 100_000) -> bool:
     """Whether df (already cut) has so few rows that it may be broadcast."""
     return df.count() <= most
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.bytesig import LOWER, WORD, U, hashes, mix, spans, windows
-from veilframe.llm.common import cut, forget, looked_up, mapped, pieces, utf8, within, without
+from veilframe.llm.common import cut, forget, give_back, looked_up, mapped, pieces, utf8, within, without
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,13 +141,15 @@ def contents(docs: DataFrame, n: int) -> DataFrame:
 def verify(pairs: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs (a, b, ...) of documents that have a similarity of threshold or more."""
 
-    @F.pandas_udf("double")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(a, b) for a, b in zip(x, y, strict=True)], dtype=float)
+    def run(batches):  # in batches of bounded bytes, of which only the pairs that are alike come back
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            yield batch.filter(pa.array([similarity(a, b) >= threshold for a, b in zip(x, y, strict=True)], pa.bool_())).drop_columns(["x", "y"])
+        give_back()
 
     left = content.select(F.col("id").alias("a"), F.col("content").alias("x"))
     right = content.select(F.col("id").alias("b"), F.col("content").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(alike("x", "y") >= threshold).select(pairs.columns)
+    return mapped(pairs.join(left, "a").join(right, "b").select(*pairs.columns, "x", "y"), run, pairs.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,16 +204,16 @@ def prefixes(sets: DataFrame, threshold: float, heavy: dict[int, int]) -> DataFr
     def run(batches):
         marks, counts = sent.value
         for batch in batches:
-            for row in batch.to_pylist():
-                own = np.frombuffer(row["content"], np.uint32)
+            parts = []
+            for content in batch.column("content").to_pylist():
+                own = np.frombuffer(content, np.uint32)
                 at = np.minimum(np.searchsorted(marks, own), max(len(marks) - 1, 0))
                 weight = np.where(marks[at] == own, counts[at], 0) if len(marks) else np.zeros(len(own), np.int64)
-                first = own[np.lexsort((own, weight))][: len(own) - int(np.ceil(threshold * len(own) - 1e-9)) + 1]
-                k = len(first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first.astype(np.int64)), *(pa.array(np.full(k, x, np.int64)) for x in (row["node"], row["comp"], len(own))), pa.array(len(own) - np.arange(k, dtype=np.int64))],
-                    ["mark", "node", "comp", "size", "left"],
-                )
+                parts.append(own[np.lexsort((own, weight))][: len(own) - int(np.ceil(threshold * len(own) - 1e-9)) + 1])
+            sizes, taken = np.array([len(c) // 4 for c in batch.column("content").to_pylist()]), np.array([len(x) for x in parts])
+            place = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
+            columns = [np.concatenate([*parts, np.empty(0, np.uint32)]).astype(np.int64), *(np.repeat(np.asarray(x, np.int64), taken) for x in (batch.column("node"), batch.column("comp"), sizes))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, columns[3] - place)], ["mark", "node", "comp", "size", "left"])
 
     return mapped(sets, run, "mark long, node long, comp long, size long, left long")
 
@@ -221,8 +223,8 @@ def shingle_rows(sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for content in batch.column("content").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(content, np.uint32).astype(np.int64))], ["mark"])
+            marks = np.frombuffer(b"".join(batch.column("content").to_pylist()), np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(marks.astype(np.int64))], ["mark"])
 
     return mapped(sets.select("content"), run, "mark long")
 
