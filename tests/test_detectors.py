@@ -1,14 +1,17 @@
 """Detectors on sentences of our own: what is found, and what must stay as it is."""
 
 import random
+import re
 
 import pytest
 
 from veilframe.functions.types import NAMES
 from veilframe.operators.detect import chunks, spans_of
 from veilframe.operators.scan import SCANNERS, Context, Span, scan
-from veilframe.operators.scan.context import order, resolve, scanner
+from veilframe.operators.scan.context import compiled, evidence, order, resolve, scanner
 from veilframe.operators.scan.finance import iban_valid, inn_valid, luhn
+from veilframe.operators.scan.phrases import phrases
+from veilframe.plans import cases
 
 ALL = frozenset(NAMES)
 
@@ -74,6 +77,79 @@ def test_left_alone(text):
     assert found(text) == set()
 
 
+MORE = [
+    ("Номер 4509 123456, код подразделения 770-001", {("PASSPORT", "4509 123456"), ("SUBDIVISION_CODE", "770-001")}),
+    ("Клиент смирнов обратился в банк", {("FIO", "смирнов")}),
+    ("OLEG VOLKOV", {("CARD_HOLDER", "OLEG VOLKOV")}),
+    ("CARDHOLDER OLEG VOLKOV VALID THRU", {("CARD_HOLDER", "OLEG VOLKOV")}),
+    ("Клиент 12.05.1990г.р.", {("BIRTH_DATE", "12.05.1990")}),
+    ("Паспорт выдан ОВД г. Нижнего Тагила", {("PASSPORT_ISSUER", "ОВД г. Нижнего Тагила")}),
+    ("Родилась в городе Рязань", {("BIRTH_PLACE", "городе Рязань")}),
+]
+
+
+@pytest.mark.parametrize("text, want", MORE)
+def test_found_by_rule(text, want):
+    assert found(text) == want
+
+
+@pytest.mark.parametrize("text", ["Николай Гоголь, место рождения: Сорочинцы", "Отдел полиции сообщил о проверке", "Владелец счетов получил справку", "VISA GOLD CARD"])
+def test_left_alone_by_rule(text):
+    assert found(text) == set()
+
+
+def test_phrases_are_declined():
+    p = phrases("дат{а} рождени{е} | счет{} | кред~ | д.р.")
+    assert all(p.search(x) for x in ("дата рождения", "датой  рождения", "счетами", "по счету", "кредиты", "д.р. 1"))
+    assert not any(p.search(x) for x in ("датарождения", "счетовод", "пересчет", "дата рожденияя"))
+    assert p.search("нет, счета").group() == "счета"
+
+
+@pytest.mark.parametrize("name, types, sentences", [(n, t, s) for n, (t, s) in cases.FAMILIES.items()])
+@pytest.mark.parametrize("key", ["000123", "999999", "482193"])
+def test_families(name, types, sentences, key):
+    for x in sentences:
+        marked = x.replace("{k}", key)
+        data = cases.plain(marked).encode()
+        spans = [s for s in resolve(scan(Context(data.decode(), frozenset(types)))) if s.conf >= 0.7]
+        assert [(s.type, data[s.start : s.end].decode()) for s in spans] == [p for p in cases.pieces(marked) if p[0]], x
+
+
+def test_texts_without_evidence_hold_nothing(spark):
+    """What the JVM keeps from Python is nothing: scanners find no category in texts that lack its evidence."""
+    rng = random.Random(5)
+    texts = [t for t, _ in POSITIVE + MORE] + NEGATIVE + [cases.plain(x) for _, (_, s) in cases.FAMILIES.items() for x in s]
+    texts += [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    bare = []
+    for t in texts:
+        for drop in ("[0-9]", "[\u0400-\u04ff]", "[@]", "[A-Z]", "[0-9\u0400-\u04ff]"):
+            bare.append(re.sub(drop, rng.choice(["", "x"]), t))
+    for t in texts + bare:
+        ctx = Context(t, ALL)
+        for types, f in SCANNERS.values():
+            for s in f(ctx):
+                assert compiled(evidence(frozenset([s.type]))).search(t), (s, t)
+    from pyspark.sql import functions as F
+
+    from veilframe.operators.detect import scanned
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts + bare)], "i int, t string").select("i", scanned(F.col("t"), NAMES).alias("s")).collect()
+    assert all([tuple(x) for x in r.s] == [tuple(x) for x in spans_of((texts + bare)[r.i], ALL, 2025, {}, 64 << 10, 256)] for r in got)
+
+
+def test_dense_addresses_take_linear_time():
+    import time
+
+    def seconds(n):
+        ctx = Context("Адрес: г. Тверь, ул. Садовая, д. 7, кв. 12; " * n, ALL)
+        began = time.process_time()
+        scan(ctx)
+        return time.process_time() - began
+
+    seconds(20)
+    assert seconds(1600) < 40 * max(seconds(100), 0.004)
+
+
 @pytest.mark.parametrize("kind", NAMES)
 def test_disabled_types_are_not_reported(kind):
     text = " ".join(t for t, _ in POSITIVE)

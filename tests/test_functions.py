@@ -12,7 +12,7 @@ from veilframe.operators import metrics, native
 from veilframe.operators import spans as S
 from veilframe.operators.scan.finance import luhn
 from veilframe.sources import corpus, sinks
-from veilframe.sources.models import answers, chunks_to_text
+from veilframe.sources.models import answers, chunks_to_text, client
 
 SAMPLES = ["", "ascii", "Ёлка İ ß", "a b c", "日本 🙂 x", "Привет, Мир_1!"]
 
@@ -164,12 +164,61 @@ def test_sinks(spark):
 
 
 def test_model_connector(spark):
-    def client(messages):
+    def ask(messages):
         if messages[-1]["content"] == "down":
             raise OSError
         return "re: " + messages[-1]["content"]
 
     rows = [([{"role": "user", "masked": "hi"}],), ([{"role": "user", "masked": "down"}],)]
     df = spark.createDataFrame(rows, "m array<struct<role:string,masked:string>>")
-    assert [r[0] for r in df.select(answers(client)(F.col("m"))).collect()] == ["re: hi", None]
+    assert [r[0] for r in df.select(answers(ask)(F.col("m"))).collect()] == ["re: hi", None]
     assert chunks_to_text(['data: {"choices":[{"delta":{"content":"a"}}]}', "", 'data: {"choices":[{"delta":{"content":"b"}}]}', "data: [DONE]"]) == "ab"
+
+
+def test_http_client():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Endpoint(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            said = asked["messages"][-1]["content"]
+            if said == "down":
+                self.send_error(503)
+                return
+            events = "".join(f'data: {json.dumps({"choices": [{"delta": {"content": c}}]})}\n\n' for c in said) + "data: [DONE]\n\n"
+            whole = json.dumps({"choices": [{"message": {"content": said.upper()}}]})
+            body = ("{broken" if said == "broken" else events if asked["stream"] else whole).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Endpoint)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/v1"
+    say = lambda t: [{"role": "user", "content": t}]
+    assert client(url, "m", "k")(say("hi")) == "HI" and client(url, "m", stream=True)(say("hey")) == "hey"
+    for broken in (lambda: client(url, "m")(say("down")), lambda: client(url, "m")(say("broken")), lambda: client(url, "m", most_bytes=5)(say("long answer"))):
+        with pytest.raises(OSError):
+            broken()
+    server.shutdown()
+
+
+def test_metric_families(spark):
+    requests = spark.createDataFrame([("s1", "mask", 200, 1.5), ("s1", "mask", 500, 30.0), ("s2", "odd", 200, None)], "system_id string, op string, status long, latency_ms double")
+    masked = spark.createDataFrame([("s1", [("EMAIL",), ("BADGE",)]), ("s2", [])], "system_id string, replacements array<struct<type:string>>")
+    leaks = spark.createDataFrame([([("PHONE",)],)], "leaks array<struct<type:string>>")
+    lines = [[r.line for r in f.collect()] for f in sinks.families(requests, masked, leaks, spark.range(3))]
+    flat = {x for family in lines for x in family}
+    assert {'veilframe_requests_total{op="other",status="200"} 1', 'veilframe_errors_total{status="500"} 1', 'veilframe_latency_ms_bucket{le="+Inf"} 2', "veilframe_latency_ms_count 2", 'veilframe_found_total{type="custom"} 1', 'veilframe_payloads_total{changed="false"} 1', 'veilframe_leaks_total{type="PHONE"} 1', "veilframe_evicted_total 3"} <= flat
+    assert len(lines) == 10 and all(x[1].startswith("# TYPE") for x in lines) and "veilframe_latency_ms_sum 31.5" in flat
+
+
+def test_percentiles_from_a_summary(spark):
+    values = spark.range(1, 1001).selectExpr("cast(id as double) as v")
+    exact, rough = (metrics.percentiles(values, "v", a).first() for a in (None, 1000))
+    assert all(abs(a - b) <= 2 for a, b in zip(exact, rough, strict=True))

@@ -1,0 +1,121 @@
+"""Queries that SQL can't say, and relational operators, against plain Python."""
+
+import random
+from datetime import date
+
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from veilframe.functions import calendar, scrub
+from veilframe.functions.synthetic import synthetic_value
+from veilframe.functions.types import NAMES
+from veilframe.operators.detect import chunks, detect_long, register_chunks, spans_of
+from veilframe.operators.relational import nearest
+from veilframe.plans.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+ALL = frozenset(NAMES)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_only_these_have_no_sql():
+    assert set(QUERIES) - set(ORACLES) == {"pii_all_types", "mask_synthetic", "text_chunks", "text_chunks_udtf", "scrub_lines"}
+
+
+def test_all_types(spark, documents):
+    want = {}
+    for d in documents.values():
+        for s in spans_of(d.text, ALL, 2025, {}, 64 << 10, 256):
+            if s.conf >= 0.7:
+                want[d.source, s.type] = want.get((d.source, s.type), 0) + 1
+    assert {(r.source, r.type): r.n for r in QUERIES["pii_all_types"](spark, SF).collect()} == want and want
+
+
+def test_synthetic(spark):
+    got = {r.c_custkey: r.masked for r in QUERIES["mask_synthetic"](spark, SF).collect()}
+    assert got == {k: synthetic_value(f"+7 916 {k % 10000000:07}", "PHONE") for k in got} and len(got) > 100
+
+
+@pytest.mark.parametrize("name", ["text_chunks", "text_chunks_udtf"])
+def test_text_chunks(spark, documents, name):
+    got = {r.key: (r.n, r.longest) for r in QUERIES[name](spark, SF).collect()}
+    want = {}
+    for d in documents.values():
+        data, at, out = (d.text or "").encode(), 0, []
+        while len(data) - at > 4096:  # cut at the last newline, else the last space, of the window's last quarter
+            window = data[at : at + 4096]
+            cut = max(window.rfind(b"\n", 3072), -1)
+            cut = cut if cut >= 0 else window.rfind(b" ", 3072)
+            cut = at + cut + 1 if cut >= 0 else at + 4096
+            while data[cut] & 0xC0 == 0x80:
+                cut -= 1
+            out.append((at, cut))
+            at = cut
+        out.append((at, len(data)))
+        sizes = []
+        for a, b in out:
+            back = max(0, a - 64)
+            while back and data[back] & 0xC0 == 0x80:
+                back -= 1
+            sizes.append(b - back)
+        want[d.doc_id] = (len(sizes), max(sizes))
+    assert got == want
+
+
+def test_scrub_lines(spark, documents):
+    extra = ["Пётр Иванов a.b@c.ru, +7 916 123-45-67; 12 34 56", "x1234567y Anna-Maria Lee 99-99", "", "100 200 300 400 +1 (555) 010-9999"]
+    rules = [
+        (r"[\p{L}\p{Nd}._+-]+@[\p{L}\p{Nd}-]+(?:\.[\p{L}\p{Nd}-]+)+", "[email]"),
+        (r"(?<![\p{L}\p{Nd}])\+?[0-9][0-9 ()-]{8,17}[0-9](?![\p{L}\p{Nd}])", "[phone]"),
+        (r"(?<![0-9])[0-9]{2,}(?:[ -][0-9]{2,})+(?![0-9])", "[digits]"),
+        (r"[0-9]{6,}", "[digits]"),
+        (r"(?<!\p{L})\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)+", "[name]"),
+    ]
+
+    def brute(t):
+        for pattern, mark in rules:
+            t = regex.sub(pattern, mark, t)
+        return t
+
+    got = {r.doc_id: r.line for r in QUERIES["scrub_lines"](spark, SF).collect()}
+    assert got == {i: brute(d.text) for i, d in documents.items()}
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in extra], "t string").select(scrub.scrub("t")).collect()] == [brute(x) for x in extra]
+
+
+def test_long_documents_are_scanned_as_rows(spark):
+    text = "слово и дело, почта ivan.p@mail.ru, тел. +7 916 123-45-67. " * 400
+    rows = [(1, text), (2, None), (3, "почта a.bcd@mail.ru"), (4, "")]
+    df = spark.createDataFrame(rows, "id int, payload string")
+    for size in (1000, 1333, 1 << 20):
+        got = {r.key: [tuple(s) for s in r.spans] for r in detect_long(df, "id", types=NAMES, size=size).collect()}
+        assert got == {i: [tuple(s) for s in spans_of(t, ALL, 2025, {}, 1 << 30, 256)] for i, t in rows}
+    register_chunks(spark)
+    parts = spark.sql("SELECT * FROM text_chunks('один два три четыре', 12, 4)").collect()
+    assert [(r.offset, r.chunk) for r in parts] == chunks("один два три четыре", 12, 4)
+
+
+@pytest.mark.parametrize("cell", [3, 50, 10**6])
+@pytest.mark.parametrize("within", [None, 9])
+def test_nearest(spark, cell, within):
+    rng = random.Random(cell)
+    left = [(rng.choice([1, 1, 1, 2, 3, None]), rng.choice([rng.randrange(-80, 200), None]) if rng.random() < 0.1 else rng.randrange(-80, 200), i) for i in range(300)]
+    right = [(rng.choice([1, 2, None]), rng.randrange(-80, 200), f"r{i}") for i in range(60)]
+    got = nearest(spark.createDataFrame(left, "key int, at int, id int"), spark.createDataFrame(right, "key int, at int, name string"), "key", "at", ["name"], cell, within).collect()
+    assert len(got) == len(left)
+    for r in got:
+        near = sorted((abs(a - r.at), a) for k, a, _ in right if k == r.key) if r.key is not None and r.at is not None else []
+        near = [x for x in near if within is None or x[0] <= within]
+        assert (r.near.at if r.near else None) == (near[0][1] if near else None)
+        assert r.near is None or any(k == r.key and a == r.near.at and n == r.near.name for k, a, n in right)
+
+
+def test_calendar(spark):
+    rows = ["31.12.1999", "29.02.2023", "29.02.2024", "1/2/30", "1/2/25", "1/2/26", "2020-02-30", "2020-2-3", "3-2-2020", "1.2/2020", "00.01.2000", "1.1.1", "", None, "12.13.2000"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "t string").select(calendar.numeric_date("t", 2025)).collect()]
+    assert got == [date(1999, 12, 31), None, date(2024, 2, 29), date(1930, 2, 1), date(2025, 2, 1), date(1926, 2, 1), None, date(2020, 2, 3), date(2020, 2, 3), None, None, None, None, None, None]
+    assert spark.range(1).select(calendar.date_of(F.lit(5), F.lit(7), F.lit(1990))).first()[0] == date(1990, 7, 5)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.plans import config as C
 from veilframe.plans.engine import Engine
-from veilframe.streaming.guard import decide, guard
+from veilframe.streaming.guard import decide, guard, masked_with_reload
 from veilframe.streaming.limiter import limit, take
 from veilframe.streaming.windows import rates, sessions
 
@@ -36,6 +36,32 @@ def test_decisions():
     assert decide(row("a@b", "**"), None, 2) == ("mask", "**", None)
 
 
+def test_identity_entries():
+    limit = 1 << 20
+    assert decide(row("plain", "plain"), None, limit, True) == ("mask", "plain", ("plain", "plain"))
+    assert decide(row("x ** y", "x ** y"), ("x ** y", "x ** y"), limit, True) == ("demask", "x ** y", ("x ** y", "x ** y"))
+
+
+def test_rules_change_between_batches(spark, tmp_path):
+    schema = "payload_id string, payload string, system_id string"
+    made, path = C.default(), str(tmp_path / "config.json")
+    C.save(made, path)
+    out = {}
+
+    def write(masked, batch_id):
+        out[batch_id] = [r.masked for r in masked.collect()]
+
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    for enabled in (True, False):
+        made.systems[0].types["EMAIL"].enabled = enabled
+        C.save(made, path)
+        spark.createDataFrame([("a", "почта ivan.p@mail.ru", "default")], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        q = masked_with_reload(stream, lambda: C.load(path), write).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    assert [out[k] for k in sorted(out)] == [["почта iv**.*@****.ru"], ["почта ivan.p@mail.ru"]]
+
+
 def test_forward_then_back(spark, tmp_path):
     schema = "seq long, payload_id string, payload string, system_id string"
     one = [(1, "A", "почта ivan.p@mail.ru", "default"), (2, "b", "тел. +7 916 123-45-67", "analytics"), (3, "", "почта ivan.p@mail.ru", "default")]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.types import SPANS
 from veilframe.operators import native
 from veilframe.operators.scan import Context, scan
-from veilframe.operators.scan.context import Span, resolve
+from veilframe.operators.scan.context import Span, evidence, resolve
 
 #: Categories whose native detector finds what the scanner does.
 NATIVE_ONLY = frozenset({"EMAIL"})
@@ -66,7 +66,10 @@ def spans_of(text: str | None, enabled: frozenset[str], ref_year: int, dictionar
 
 def scanned(text: Column, types: Iterable[str], ref_year: int = 2025, dictionaries: dict | None = None, size: int = 64 << 10, overlap: int = 256, on_error: str = "fail") -> Column:
     """The spans that the context scanners find, resolved. Disabled categories aren't looked for. A
-    scanner's failure fails the task, or with on_error "echo" leaves the text without spans."""
+    scanner's failure fails the task, or with on_error "echo" leaves the text without spans.
+
+    Python sees only texts that match a pattern of what the categories can't do without (a digit, a Cyrillic
+    letter, an @ ...), which the JVM tests; of other texts not a byte is sent."""
     enabled, words = frozenset(types), dictionaries or {}
 
     def one(text: str | None) -> list[dict]:
@@ -81,8 +84,9 @@ def scanned(text: Column, types: Iterable[str], ref_year: int = 2025, dictionari
     def found(texts: pd.Series) -> pd.Series:
         return pd.Series([one(t) for t in texts], dtype=object)
 
+    gate = evidence(enabled)
     # the mark keeps Catalyst from merging a second detection into what reads it, as it must not in an aggregate
-    return found.asNondeterministic()(text)
+    return found.asNondeterministic()(F.when(text.rlike(gate), text) if gate else text)
 
 
 def explode_chunks(df: DataFrame, key: str, text: str, size: int = 64 << 10, overlap: int = 256) -> DataFrame:
@@ -103,6 +107,29 @@ def explode_chunks(df: DataFrame, key: str, text: str, size: int = 64 << 10, ove
     return source.mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, offset int, chunk string")
 
 
+class Chunks:
+    """The table function text_chunks(text, size, overlap): (offset, chunk)."""
+
+    def eval(self, text: str, size: int, overlap: int):
+        yield from chunks(text or "", size, overlap)
+
+
+def register_chunks(spark) -> None:
+    spark.udtf.register("text_chunks", F.udtf(Chunks, returnType="offset: int, chunk: string"))
+
+
+def detect_long(df: DataFrame, key: str, text: str = "payload", types: Iterable[str] = (), ref_year: int = 2025, dictionaries: dict | None = None, size: int = 64 << 10, overlap: int = 256) -> DataFrame:
+    """(key, spans): what detect() finds, for tables with documents of any length: their chunks are rows of their
+    own, dealt out anew, so that one huge document is many tasks' work. Only spans come back together."""
+    parts = explode_chunks(df, key, text, size, overlap).repartition("key", "offset")
+    found = parts.select("key", "offset", scanned(F.col("chunk"), types, ref_year, dictionaries, size + overlap + 4, overlap).alias("spans"))
+    moved = F.transform("spans", lambda s: s.withField("start", s["start"] + F.col("offset")).withField("end", s["end"] + F.col("offset")))
+    grouped = found.select("key", F.explode_outer(moved).alias("s")).groupBy("key").agg(F.sort_array(F.collect_list("s")).alias("spans"))
+    from veilframe.operators.spans import resolve as resolved
+
+    return grouped.select("key", resolved(F.col("spans")).alias("spans"))
+
+
 def detect(df: DataFrame, text: str = "payload", types: Iterable[str] = (), custom: Iterable = (), ref_year: int = 2025, dictionaries: dict | None = None, size: int = 64 << 10, overlap: int = 256, out: str = "spans", on_error: str = "fail") -> DataFrame:
     """df with a column of resolved spans.
 

@@ -31,6 +31,16 @@ def rollup_report(masked: DataFrame) -> DataFrame:
     return kinds.rollup("system_id", "type").agg(F.count("*").alias("n"))
 
 
+def cube_report(requests: DataFrame) -> DataFrame:
+    """(op, status, level, n): counts by operation and status, by either alone and of all; level tells which are meant."""
+    return requests.cube("op", "status").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+
+
+def slowest(requests: DataFrame, n: int) -> DataFrame:
+    """The n requests that took longest: a top-k, of which each task keeps n rows."""
+    return requests.orderBy(F.desc_nulls_last("latency_ms"), "event_id").limit(n)
+
+
 def request_counts(requests: DataFrame, operations: list[str] = OPERATIONS) -> DataFrame:
     return requests.groupBy(closed(F.col("op"), operations).alias("op"), "status").agg(F.count("*").alias("n"))
 
@@ -48,14 +58,14 @@ def histogram(requests: DataFrame, value: str, bounds: list[float] = BOUNDS) ->
 
 def bucket_quantile(hist: DataFrame, q: float) -> DataFrame:
     """The upper bound of the first bucket that holds the quantile."""
-    total = F.max("cumulative").over(Window.partitionBy(F.lit(0)))  # a histogram has a row per bound
-    hit = hist.withColumn("total", total).where(F.col("cumulative") >= F.greatest(F.lit(1), F.floor(F.lit(q) * F.col("total"))))
-    return hit.agg(F.min(F.coalesce("le", F.lit(float("inf")))).alias("quantile"))
+    total = hist.agg(F.max("cumulative").alias("total"))  # one row
+    need = F.greatest(F.lit(1), F.floor(F.lit(q) * total.scalar()))
+    return hist.where(F.col("cumulative") >= need).agg(F.min(F.coalesce("le", F.lit(float("inf")))).alias("quantile"))
 
 
-def percentiles(requests: DataFrame, value: str) -> DataFrame:
-    """(p50, p90, p95, p99, max), exact."""
-    p = lambda x: F.percentile(value, F.lit(x)).alias(f"p{int(x * 100)}")
+def percentiles(requests: DataFrame, value: str, accuracy: int | None = None) -> DataFrame:
+    """(p50, p90, p95, p99, max): exact, which keeps all distinct values, or from a summary whose size `accuracy` bounds."""
+    p = lambda x: (F.percentile_approx(value, x, accuracy) if accuracy else F.percentile(value, F.lit(x))).alias(f"p{int(x * 100)}")
     return requests.agg(p(0.5), p(0.9), p(0.95), p(0.99), F.max(value).alias("max"))
 
 
@@ -80,13 +90,14 @@ def limited(requests: DataFrame, per_minute: int, key: str = "system_id") -> Dat
 
 def evicted(entries: DataFrame, keep: int, shards: int = 64) -> DataFrame:
     """entries(key, expires) that go first when more than `keep` are held: the oldest of each shard."""
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards))
+    shard = F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("long") % shards
     place = F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("expires"), "key"))
     return entries.withColumn("shard", shard).withColumn("_n", place).where(F.col("_n") > max(1, keep // shards)).drop("_n", "shard")
 
 
 def quality(cases: DataFrame, found: DataFrame) -> DataFrame:
-    """(expected, hit, recall, negatives, clean, clean_ratio). cases: id, expect_types; found: id, types, unchanged."""
+    """(expected, hit, recall, negatives, clean, clean_ratio). cases: id, expect_types; found: id, types, unchanged, and
+    perhaps restored (whether restoring gave the text), which adds restore_ratio."""
     both = cases.join(found, "id", "left")
     want = F.size("expect_types")
     hits = F.size(F.array_intersect("expect_types", F.coalesce("types", F.array().cast("array<string>"))))
@@ -96,4 +107,7 @@ def quality(cases: DataFrame, found: DataFrame) -> DataFrame:
         F.sum((want == 0).cast("int")).alias("negatives"),
         F.sum(((want == 0) & F.coalesce("unchanged", F.lit(False))).cast("int")).alias("clean"),
     )
+    if "restored" in found.columns:
+        back = both.agg(F.avg(F.coalesce("restored", F.lit(False)).cast("double")).alias("restore_ratio"))
+        sums = sums.crossJoin(back)  # a row by a row
     return sums.withColumn("recall", F.try_divide("hit", "expected")).withColumn("clean_ratio", F.try_divide("clean", "negatives"))

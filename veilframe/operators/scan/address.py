@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
-from veilframe.operators.scan.context import Context, Span, cue, nearest, scanner
+from veilframe.operators.scan.context import CYRILLIC, Context, Span, nearest, scanner
 from veilframe.operators.scan.lexicon import STOP, Lexicon
+from veilframe.operators.scan.phrases import pattern, phrases
 
 # fixed values: address markers
 STREET = "улица улице улицы улицу улицей улицам ул проспект проспекте проспекта проспекту проспектом просп пр-т пр-кт переулок переулке переулка переулку бульвар бульваре бульвара бульвару б-р шоссе набережная набережной набережную наб площадь площади проезд проезде проезду тупик аллея аллее тракт тракте микрорайон микрорайоне мкр мкрн территория снт".split()
@@ -21,15 +23,22 @@ FLAT = "кв квартира квартире квартиру кв-ра офи
 FLAT_DOT = "оф апарт".split()
 CONNECTORS = frozenset("реки реке имени им маршала генерала академика адмирала космонавта лётчика летчика профессора братьев героев партизана писателя поэта доктора капитана майора полковника инженера художника композитора".split())
 REGION_ENDS = ("ская", "ский", "ской", "скую", "цкая", "цкий", "цкой", "ского", "ском")
-GENERIC = frozenset("городской городская сельский сельская муниципальный муниципальная федеральный автономный автономная административный".split())
-
-# fixed values: what says that an address follows, that a person lives there, or that it is a bank's
-ANCHOR = cue("адрес проживает проживающ прописан зарегистрирован регистраци доставка доставки куда address индекс уроженец уроженка уроженцем уроженкой".split() + ["место жительства", "места жительства", "месту жительства", "доставить по"])
-RESIDENCE = cue("проживает проживаю проживающ прописан проживания живу живёт живет".split() + ["место жительства", "места жительства", "месту жительства"])
-PERSONAL = cue("проживает проживающ прописан зарегистрирован регистраци доставка доставки куда".split() + ["место жительства", "места жительства", "месту жительства", "доставить по"])
-BANK = cue(["отделен", "филиал", "банкомат", "допофис", "доп. офис", "доп.офис", "дополнительный офис", "офис банка", "офисе банка", "головной офис", "головном офисе", "операционн", "касса банка", "представительств", "пункт выдачи", "пункте выдачи", "пункта выдачи"] + [f"{o} {p}" for o in ("офис", "офиса", "офисе", "офисы", "офисов") for p in ("в", "на", "по")])
-SUBJECT = re.compile(r"^\W*(?:(?:наш|ваш|новы|нова|ново|ближайш|головно|главн|центральн|дополнительн|операционн|основно|корпоративн|банковск|премиум|премиальн|флагманск|единственн|перв|втор|трет|этот|эта|данн|указанн|местн)[а-яё]* ){0,3}(?:офис|допофис|отделени|филиал|банкомат|терминал|касс[аы]|магазин|склад|пвз|шоурум|салон|представительств)[а-яё]*(?! (?:клиент|заказчик|покупател|получател|сотрудни|работник|абонент|пользовател|владел|арендатор))")
-OWNER = re.compile(r"юридическ[а-яё]+ адрес|адрес[а-яё]* (?:организации|компании|фирмы|предприятия|юрлица|банка|общества|офиса)")
+GENERIC = phrases("городск{ый} | сельск{ый} | районн{ый} | областн{ый} | муниципальн{ый} | федеральн{ый} | автономн{ый}")
+
+# what says that an address follows, or that a person lives or gets something there
+LIVES = "прожива~ | живет | живёт | живу | прописан~ | мест{о} жительства"
+GETS = "доставк{а} | доставить | доставьте | привез~ | куда"
+REGISTERED = "зарегистрирован | зарегистрирован{а} | зарегистрированн{ый} | регистраци{я}"
+ANCHOR = phrases(f"адрес~ | address | индекс~ | урожен~ | {LIVES} | {GETS} | {REGISTERED}")
+RESIDENCE = phrases(LIVES)
+PERSONAL = phrases(f"{LIVES} | {GETS} | {REGISTERED}")
+# places of a bank, a shop or an office; an office with a number is a flat's counterpart, not an organisation
+PLACES = "отделени{е} | филиал{} | банкомат{} | терминал{} | допофис{} | представительств{о} | касс{а} | магазин{} | салон{} | склад{} | пвз | шоурум{}"
+OFFICE = r"(?:доп\.? ?|дополнительн\w+ |операционн\w+ |головн\w+ |центральн\w+ )офис\w*|офис\w{0,3} (?:банк\w*|в|на|по)"
+BANK = re.compile(r"(?<!\w)(?:" + pattern("отделени{е} | филиал{} | банкомат{} | допофис{} | представительств{о} | касс{а} банка | пункт{} выдачи | операционн{ый} зал{}") + rf"|(?:{OFFICE})(?!\w))")
+# such a place as a sentence's subject, with adjectives and pronouns before it, unless it is a customer's
+SUBJECT = re.compile(r"^\W*(?:(?:наш|ваш|этот|эта|это|\w+(?:ый|ий|ой|ая|яя|ое|ее|ые|ие|ша|ше|ши)) ){0,3}(?:" + pattern(f"{PLACES} | офис{{}}") + ")(?! (?:" + "|".join(["клиент", "заказчик", "покупател", "получател", "сотрудник", "работник", "пользовател", "арендатор", "владел"]) + "))")
+OWNER = phrases("юридическ{ый} адрес~ | адрес~ организации | адрес~ компании | адрес~ фирмы | адрес~ предприятия | адрес~ банка | адрес~ общества | адрес~ офиса | адрес~ юрлица")
 
 NAME = r"(?:[0-9]{1,3}-?(?:й|я|ая|ой|го|е)? )?[А-ЯЁ][а-яё]+(?:-[А-ЯЁа-яё]+)*"
 VALUE = r"[0-9]{1,4}(?:[а-яёА-ЯЁ](?![а-яёА-ЯЁ]))?(?:[0-9]{1,3})?(?:[/-][0-9]{1,4}[а-яё]?)?"
@@ -42,7 +51,7 @@ def marker(words: list[str], dotted: list[str]) -> str:
 
 
 POSTAL = re.compile(r"(?<![\w-])([0-9]{6})(?![\w-]| ?(?:руб|₽|шт|\$|€|usd|eur|тенге))")
-POSTAL_CUE = cue(["индекс", "zip", "postal", "postcode", "почтовый"])
+POSTAL_CUE = phrases("индекс~ | почтов{ый} | zip | postal~ | postcode~")
 OPAQUE = re.compile(r"(?<!\w)адрес[а-яё]*(?: (?:проживания|регистрации|доставки|прописки))?[ \t]*[:—–-][ \t]*([^\n;]{10,220}?)(?=[.;\n]\s|[.;\n]?$)")
 
 M_STREET, M_CITY, M_REGION = marker(STREET, STREET_DOT), marker(CITY, CITY_DOT), marker(REGION, [])
@@ -69,10 +78,8 @@ class Part(NamedTuple):
     hint: str = ""
 
 
-@scanner("address", "CITY", "STREET", "HOUSE", "APARTMENT", "POSTAL_CODE", "COUNTRY", "ADDRESS")
+@scanner("address", "CITY", "STREET", "HOUSE", "APARTMENT", "POSTAL_CODE", "COUNTRY", "ADDRESS", needs=CYRILLIC)
 def addresses(ctx: Context):
-    if not re.search("[а-яё]", ctx.lower):
-        return
     lexicon = Lexicon.of(ctx.dictionaries.get("words", ()))
     parts = settle(sorted(components(ctx, lexicon), key=lambda p: (p.start, -p.end)))
     spans = []
@@ -115,7 +122,7 @@ def components(ctx: Context, lexicon: Lexicon):
             yield Part(*m.span(1), "STREET", True, False)
     for pattern in (REGION_BEFORE, REGION_AFTER):
         for m in pattern.finditer(t):
-            if m[1] not in GENERIC and (ctx.case_blind or ctx.text[m.start(1)].isupper()):
+            if not GENERIC.fullmatch(m[1]) and (ctx.case_blind or ctx.text[m.start(1)].isupper()):
                 yield Part(*m.span(1), "CITY", False, False, "region")
     for m in HOUSE_AFTER.finditer(t):
         yield Part(*m.span(1), "HOUSE", True, False)
@@ -160,18 +167,22 @@ def components(ctx: Context, lexicon: Lexicon):
 
 
 def settle(parts: list[Part]) -> list[Part]:
-    """One part for each place; of overlapping ones the longer, or the first found by a marker."""
+    """One part for each place; of overlapping ones the longer, or the first found by a marker. Kept parts don't
+    overlap, so only the neighbours of a place can."""
     kept: list[Part] = []
     for p in sorted(parts, key=lambda p: (-(p.end - p.start), not p.alone, p.start)):
-        if all(p.end <= k.start or p.start >= k.end for k in kept):
-            kept.append(p)
-    return sorted(kept)
+        i = bisect_left(kept, (p.start,))
+        if (i == 0 or kept[i - 1].end <= p.start) and (i == len(kept) or p.end <= kept[i].start):
+            kept.insert(i, p)
+    return kept
 
 
 def judged(ctx: Context, p: Part, parts: list[Part]) -> tuple[float, str]:
-    """The confidence of a component: anchored, beside another component, or a place of residence."""
+    """The confidence of a component: anchored, beside another component, or a place of residence. parts by place."""
     pair = lambda q: q.type != p.type or p.hint == "corpus" or q.type == "CITY" and (q.hint == "region") != (p.hint == "region")
-    beside = [q for q in parts if q is not p and pair(q) and 0 <= max(q.start, p.start) - min(q.end, p.end) <= 60 and len(ctx.lower[min(q.end, p.end) : max(q.start, p.start)].encode()) <= 60]
+    at = bisect_left(parts, (p.start,))
+    around = parts[max(0, at - 31) : at] + parts[at + 1 : at + 32]  # 60 bytes hold no more parts
+    beside = [q for q in around if pair(q) and 0 <= max(q.start, p.start) - min(q.end, p.end) <= 60 and len(ctx.lower[min(q.end, p.end) : max(q.start, p.start)].encode()) <= 60]
     if bank(ctx, p.start):
         return 0, ""
     anchored = ANCHOR.search(ctx.left(p.start, 120)) is not None

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, lru_cache
 from typing import NamedTuple
 
 from veilframe.functions.types import CUSTOM_PRIORITY, PRIORITY
@@ -74,20 +74,36 @@ class Context:
 
 Scanner = Callable[[Context], Iterable[Span]]
 SCANNERS: dict[str, tuple[frozenset[str], Scanner]] = {}
+#: Without what a text holds nothing of a category: patterns that Java and Python read alike.
+NEEDS: dict[str, str] = {}
+DIGIT, CYRILLIC = "[0-9]", "[\\u0400-\\u04ff]"
 
 
-def scanner(name: str, *types: str) -> Callable[[Scanner], Scanner]:
-    """Registers a scanner under a name of its own."""
+def scanner(name: str, *types: str, needs: str | dict[str, str] = "") -> Callable[[Scanner], Scanner]:
+    """Registers a scanner under a name of its own. needs: the evidence that its categories can't do without."""
 
     def register(f: Scanner) -> Scanner:
         if name in SCANNERS:
             raise ValueError(f"scanner {name!r} is registered already")
         SCANNERS[name] = (frozenset(types), f)
+        NEEDS.update({t: needs if isinstance(needs, str) else needs.get(t, "") for t in types})
         return f
 
     return register
 
 
+@lru_cache(256)
+def evidence(types: frozenset[str]) -> str:
+    """The pattern that a text must match to hold anything of the categories; empty if any text may."""
+    needs = {NEEDS.get(t, "") for t in types}
+    return "" if "" in needs else "|".join(sorted(needs))
+
+
+@lru_cache(256)
+def compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern)
+
+
 def cue(words: Iterable[str], whole: bool = False) -> re.Pattern:
     """Any of some cue words, on a word boundary; with whole also on its right."""
     ordered = sorted(words, key=len, reverse=True)
@@ -127,7 +143,8 @@ def resolve(spans: list[Span]) -> list[Span]:
 
 def scan(ctx: Context) -> list[Span]:
     """What all scanners of enabled categories find, in registry order, as byte ranges, unresolved."""
-    found = [s for types, f in SCANNERS.values() if types & ctx.enabled for s in f(ctx) if s.type in ctx.enabled]
+    wanted = [(types & ctx.enabled, f) for types, f in SCANNERS.values() if types & ctx.enabled]
+    found = [s for types, f in wanted if compiled(evidence(types)).search(ctx.text) for s in f(ctx) if s.type in ctx.enabled]
     return to_bytes(ctx.text, found)
 
 

@@ -9,13 +9,15 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 # fixed values: common given names
-MALE = "александр алексей анатолий андрей антон аркадий арсений артём артем артур борис вадим валентин валерий василий виктор виталий владимир владислав вячеслав геннадий георгий герман глеб григорий даниил денис дмитрий евгений егор иван игорь илья кирилл константин лев леонид максим марат марк матвей михаил никита николай олег павел пётр петр роман руслан семён семен сергей станислав степан тимофей тимур фёдор федор филипп эдуард юрий яков ярослав".split()
-FEMALE = "александра алина алла алёна алена анастасия ангелина анна антонина валентина валерия варвара вера вероника виктория галина дарья диана ева евгения екатерина елена елизавета жанна зинаида зоя инна ирина карина кира клавдия кристина ксения лариса лидия любовь людмила маргарита марина мария милана надежда наталья наталия нина оксана олеся ольга полина раиса регина римма светлана софия софья тамара татьяна ульяна юлия яна".split()
+MALE = "адам азамат айдар аким александр алексей альберт анатолий андрей антон арам аркадий арсений артём артем артур богдан борис вадим валентин валерий василий виктор виталий владимир владислав вячеслав геннадий георгий герман глеб григорий даниил денис дмитрий евгений егор иван игнат игорь ильдар илья ильяс кирилл клим константин лаврентий лев леонид лука макар максим мурат марат марк матвей мирон михаил назар никита николай олег остап павел платон прохор рамиль рашид ренат ринат родион пётр петр роман руслан семён семен сергей савелий святослав севастьян станислав степан тарас тимофей тимур фёдор федор филипп эдуард эльдар эмиль юлиан юрий яков ярослав".split()
+FEMALE = "аида айгуль александра алевтина алина алиса алла алёна алена анастасия ангелина анжела анна антонина арина асия валентина валерия варвара вера вероника виктория галина гульнара гузель дарья диана дина динара ева евгения екатерина елена елизавета жанна зинаида зоя инесса инна ирина ия камила карина кира клавдия кристина ксения лариса лидия любовь людмила маргарита марина мария милана надежда наталья наталия нина оксана олеся ольга полина прасковья раиса регина римма роза светлана софия софья тамара таисия татьяна ульяна эвелина элина эльвира эльмира эмма юлия яна".split()
 LATIN = "aleksandr alexander aleksei alexey anatoly andrei andrey anton artem boris denis dmitry dmitrii evgeny evgenii fedor georgy grigory igor ilya ivan kirill konstantin leonid maksim maxim mikhail nikita nikolai nikolay oleg pavel petr roman ruslan sergei sergey stanislav stepan timur viktor vladimir yuri yury anna anastasia daria elena ekaterina evgenia galina irina julia yulia ksenia larisa ludmila maria marina natalia nina oksana olga polina svetlana tatiana valentina vera viktoria john james mary robert michael william david linda elizabeth jennifer thomas daniel paul mark susan".split()
+# fixed values: the most common surnames, which are reported in lower case, too, where a role introduces them
+COMMON = "иванов смирнов кузнецов попов васильев петров соколов михайлов новиков фёдоров федоров морозов волков алексеев лебедев семёнов семенов егоров павлов козлов степанов николаев орлов андреев макаров никитин захаров зайцев соловьёв соловьев борисов яковлев григорьев романов воробьёв воробьев сергеев кузьмин фролов александров дмитриев королёв королев гусев киселёв киселев ильин максимов поляков сорокин виноградов ковалёв ковалев белов медведев антонов тарасов жуков баранов филиппов комаров давыдов беляев герасимов богданов осипов сидоров матвеев титов марков миронов крылов куликов карпов власов мельников денисов гаврилов тихонов казаков афанасьев данилов савельев тимофеев фомин чернов абрамов мартынов ефимов федотов щербаков назаров калинин исаев чернышев быков маслов родионов коновалов лазарев воронин климов филатов пономарёв пономарев голубев кудрявцев прохоров наумов потапов журавлёв журавлев".split()
 # fixed values: well-known people, surnames last
 FAMOUS = ["александр пушкин", "михаил лермонтов", "лев толстой", "фёдор достоевский", "антон чехов", "николай гоголь", "иван тургенев", "сергей есенин", "владимир маяковский", "анна ахматова", "марина цветаева", "борис пастернак", "юрий гагарин", "пётр чайковский", "дмитрий менделеев", "михаил ломоносов", "илья репин", "сергей рахманинов", "михаил булгаков", "сергей королёв", "владимир высоцкий", "александр суворов", "михаил кутузов"]
 # fixed values: cities
-CITIES = "москва санкт-петербург петербург новосибирск екатеринбург казань челябинск омск самара ростов-на-дону уфа красноярск воронеж пермь волгоград краснодар саратов тюмень тольятти ижевск барнаул ульяновск иркутск хабаровск ярославль владивосток махачкала томск оренбург кемерово новокузнецк рязань астрахань пенза липецк тула киров чебоксары калининград брянск курск иваново магнитогорск тверь ставрополь белгород сочи архангельск владимир калуга смоленск чита курган орёл орел вологда мурманск тамбов кострома псков сургут подольск химки мытищи люберцы балашиха абакан якутск грозный нальчик саранск йошкар-ола выборг гатчина коломна серпухов одинцово королёв королев зеленоград минск киев алматы астана ташкент ереван баку тбилиси бишкек душанбе".split() + ["нижний новгород", "великий новгород", "набережные челны", "нижний тагил", "старый оскол"]
+CITIES = "москва санкт-петербург петербург новосибирск екатеринбург казань челябинск омск самара ростов-на-дону уфа красноярск воронеж пермь волгоград краснодар саратов тюмень тольятти ижевск барнаул ульяновск иркутск хабаровск ярославль владивосток махачкала томск оренбург кемерово новокузнецк рязань астрахань пенза липецк тула киров чебоксары калининград брянск курск иваново магнитогорск тверь ставрополь белгород сочи архангельск владимир калуга смоленск чита курган орёл орел вологда мурманск тамбов кострома псков сургут армавир апатиты арзамас батайск бердск березники бийск братск волжский воткинск вязьма геленджик глазов дзержинск димитровград домодедово дубна евпатория ейск елабуга елец ессентуки железногорск жуковский златоуст ишим каменск-уральский камышин канск керчь киселёвск кисловодск клин клинцы ковров комсомольск-на-амуре копейск кропоткин кстово кызыл ленинск-кузнецкий лобня магадан майкоп миасс минусинск мичуринск муром надым назрань нальчик находка невинномысск нефтекамск нефтеюганск нижневартовск нижнекамск новокуйбышевск новомосковск новороссийск новочеркасск ногинск норильск ноябрьск обнинск октябрьский орск первоуральск петрозаводск петропавловск-камчатский прокопьевск пушкино пятигорск раменское реутов рубцовск рыбинск салават салехард севастополь северодвинск симферополь соликамск стерлитамак сызрань сыктывкар таганрог тобольск туапсе ухта феодосия ханты-мансийск хасавюрт черкесск череповец шахты щёлково электросталь элиста энгельс южно-сахалинск ялта подольск химки мытищи люберцы балашиха абакан якутск грозный саранск йошкар-ола выборг гатчина коломна серпухов одинцово королёв королев зеленоград минск киев алматы астана ташкент ереван баку тбилиси бишкек душанбе".split() + ["нижний новгород", "великий новгород", "набережные челны", "нижний тагил", "старый оскол"]
 COUNTRIES = "россия рф казахстан беларусь белоруссия украина армения узбекистан киргизия кыргызстан таджикистан азербайджан грузия молдова туркменистан германия франция италия испания польша турция китай индия израиль сша япония латвия литва эстония финляндия".split() + ["российская федерация", "республика беларусь", "республика казахстан"]
 # fixed values: common words that look like names at a sentence's start or in a list
 STOP = frozenset("это что как для при под над без или если когда после перед через также так вот все всё мы вы они он она оно его её ее их наш ваш мой твой свой этот эта эти тот та те кто где куда откуда почему сегодня завтра вчера банк банка клиент клиента договор договора счёт счет карта карты паспорт адрес телефон номер дата сумма перевод заявка заявление оплата платёж платеж кредит вклад офис отделение прошу просьба добрый день здравствуйте уважаемый уважаемая спасибо".split())
@@ -46,6 +48,11 @@ def name_forms(name: str, female: bool) -> list[str]:
     return [name] + [stem + e for e in ("а", "у", "ом", "е")]
 
 
+def surname_forms(name: str) -> list[str]:
+    """A surname in -ов, -ев or -ин in its cases, of men and women."""
+    return [name + e for e in ("", "а", "у", "ым", "е", "ой", "ы", "ых")]
+
+
 def place_forms(place: str) -> list[str]:
     """A place name in its cases, by its ending."""
     if " " in place:
@@ -69,6 +76,7 @@ class Lexicon:
     famous: frozenset[frozenset[str]]
     cities: dict[str, str] = field(hash=False)
     countries: frozenset[str]
+    common: frozenset[str] = frozenset()
 
     @staticmethod
     @lru_cache(8)
@@ -80,7 +88,7 @@ class Lexicon:
         famous = {frozenset(p.split()) for p in FAMOUS + more.get("famous", [])}
         cities = {f: c for c in CITIES + more.get("cities", []) for f in place_forms(c)}
         countries = {f for c in COUNTRIES + more.get("countries", []) for f in place_forms(c)} | {"российской федерации", "республики беларусь", "республики казахстан"}
-        return Lexicon(frozenset(first), frozenset(LATIN) | frozenset(more.get("latin", ())), frozenset(more.get("surnames", ())), frozenset(famous), cities, frozenset(countries))
+        return Lexicon(frozenset(first), frozenset(LATIN) | frozenset(more.get("latin", ())), frozenset(more.get("surnames", ())), frozenset(famous), cities, frozenset(countries), frozenset(f for n in COMMON for f in surname_forms(n)))
 
 
 def load(folder: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
@@ -106,3 +114,11 @@ def is_patronymic(word: str) -> bool:
 def surname_shape(word: str) -> bool:
     """Whether a word has the ending of a surname in some case."""
     return len(word) >= 4 and word.endswith(SURNAME + OBLIQUE)
+
+
+def same_stem(word: str, name: str) -> bool:
+    """Whether a word is a case form of a name: they share a stem of most of the name's letters."""
+    if name == "лев":
+        return word in ("лев", "льв")
+    n = max(3, len(name) - 2)
+    return word[:n] == name[:n]

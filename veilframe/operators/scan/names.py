@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 
-from veilframe.operators.scan.context import Context, Span, cue, nearest, scanner
-from veilframe.operators.scan.lexicon import LEGAL, STOP, Lexicon, is_patronymic, surname_shape
+from veilframe.operators.scan.context import CYRILLIC, Context, Span, cue, nearest, scanner
+from veilframe.operators.scan.lexicon import LEGAL, STOP, Lexicon, is_patronymic, same_stem, surname_shape
 
 WORD = re.compile(r"[а-яё]+(?:-[а-яё]+)*")
 # fixed values: stems of roles and phrases that introduce a person; the strong ones name a client
@@ -24,8 +24,16 @@ INITIALS_FIRST = re.compile(rf"(?<!\w)([А-ЯЁ])\. ?(?:([А-ЯЁ])\. ?)?({S})(?
 INITIALS_LAST = re.compile(rf"(?<!\w)({S})\s{{1,3}}([А-ЯЁ])\. ?(?:([А-ЯЁ])\.)?(?!\w)")
 
 HOLDER_CUE = re.compile(r"держател|владел[а-яё]+ карт|holder|card|на карте|карт[аеуы]|картой")
-HOLDER = re.compile(r"(?<!\w)[A-Z]{2,}(?:[ -][A-Z]{1,}\.?){0,1} [A-Z]{2,}(?!\w)")
-LATIN_NOISE = frozenset("ltd inc llc plc pjsc ojsc jsc corp co gmbh sa ag limited company group holding trust fund capital bank banking alfa sber sberbank tinkoff vtb visa mastercard maestro mir amex american express unionpay jcb paypal apple google card cards holder name valid thru from until expires expiry debit credit classic gold platinum world black premium business corporate standard account number code security cvv cvc pin atm pos payment transaction transfer merchant terminal total usd eur rub rur approved declined success error the and for swift iban bic".split())
+CAPITALS = re.compile(r"(?<!\w)[A-Z]+(?:\.? [A-Z]+|-[A-Z]+)+(?!\w)")
+# Latin capitals near a card that are no name: what is printed on cards, companies, banking, small words
+ON_CARDS = "valid thru from until good expires expiry exp end date month year member since name holder cardholder card cards number code security signature authorized cvv cvc pin debit credit prepaid virtual electron classic standard gold platinum titanium black infinite world elite signature business corporate premium"
+BRANDS = "visa mastercard maestro mir amex american express unionpay jcb discover paypal apple google samsung pay alfa sber sberbank tinkoff vtb gazprombank raiffeisen"
+COMPANIES = "llc ltd inc plc corp corporation company co group holding limited gmbh sa ag sarl srl oy pjsc ojsc cjsc jsc trust fund capital partners international"
+BANKING = "bank banking account iban swift bic payment transfer transaction order invoice amount total balance merchant terminal atm pos usd eur rub rur gbp approved declined failed success error"
+SMALL = "the and for with not or of to in on by at is"
+LATIN_NOISE = frozenset(" ".join([ON_CARDS, BRANDS, COMPANIES, BANKING, SMALL]).split())
+# endings of Russian and Ukrainian surnames in Latin letters
+LATIN_SURNAME = re.compile(r".{2,}(?:ov|ova|ev|eva|yov|in|ina|yn|yna|sky|skiy|skii|skaya|enko|chuk|uk|yan|dze|shvili)$")
 
 
 class Words:
@@ -67,7 +75,7 @@ class Words:
         return all(re.fullmatch(r"\s{1,3}", self.ctx.lower[self.items[k][1] : self.items[k + 1][0]]) for k in range(i, j))
 
 
-@scanner("names", "FIO", "CARD_HOLDER")
+@scanner("names", "FIO", "CARD_HOLDER", needs={"FIO": CYRILLIC, "CARD_HOLDER": "[A-Z]\\.? [A-Z]{2}"})
 def names(ctx: Context):
     lexicon = Lexicon.of(ctx.dictionaries.get("words", ()))
     if "FIO" in ctx.enabled and re.search("[а-яё]", ctx.lower):
@@ -114,6 +122,8 @@ def people(ctx: Context, lexicon: Lexicon):
             conf, hint = 0.75, "surname"
         elif kinds[0] and LABEL.search(ctx.left(words.items[i][0], 48)):
             conf, hint = 0.88, "label"
+        elif not kinds[0] and words.items[i][2] in lexicon.common and introduced(ctx, words.items[i][0]):
+            conf, hint = 0.75, "surname"
         elif kinds[0] == "first" and strong(ctx, words.items[i][0]):
             conf, hint = 0.82, "anchor"
         elif kinds[0] in ("first", "surname") and not ctx.case_blind and ctx.text.strip() == ctx.text[words.items[i][0] : words.items[i][1]]:
@@ -141,6 +151,13 @@ def strong(ctx: Context, at: int) -> bool:
     return bool(FULL_NAME.search(ctx.left(at, 24)) or STRONG.search(re.split(r"[.!?;\n]\s", ctx.left(at, 60))[-1]))
 
 
+def introduced(ctx: Context, at: int) -> bool:
+    """Whether a client's role or a phrase that calls for a name stands right before a place."""
+    window = re.split(r"[.!?;,\n]", ctx.left(at, 60))[-1]
+    m = nearest(STRONG, window)
+    return m is not None and len(window[m.end() :].split()) <= 1
+
+
 def vetoed(ctx: Context, start: int, end: int, lexicon: Lexicon, parts: tuple[str, ...]) -> bool:
     """Whether the name is a public person's, a street's or a company's."""
     window = re.split(r"[.!?;\n]\s", ctx.left(start, 80))[-1]
@@ -158,23 +175,23 @@ def vetoed(ctx: Context, start: int, end: int, lexicon: Lexicon, parts: tuple[st
     return known and not strong(ctx, start)
 
 
-def same_stem(word: str, name: str) -> bool:
-    """Whether a word is a case form of a name: they share a stem of most of the name's letters."""
-    if name == "лев":
-        return word in ("лев", "льв")
-    n = max(3, len(name) - 2)
-    return word[:n] == name[:n]
-
-
 def holders(ctx: Context, lexicon: Lexicon):
-    for m in HOLDER.finditer(ctx.text):
-        parts = m[0].lower().replace(".", "").split()
-        if any(p in LATIN_NOISE for p in parts) or sum(len(p) > 1 for p in parts) < 2:
-            continue
-        left, right = ctx.left(m.start(), 120), ctx.right(m.end(), 40)
-        carded = re.search(r"(?:[0-9][ -]?){13,19}", left) or re.search(r"(?:[0-9][ -]?){13,19}", right)
-        known = any(p in lexicon.latin for p in parts)
-        if HOLDER_CUE.search(left) or carded:
-            yield Span(m.start(), m.end(), "CARD_HOLDER", 0.95 if known else 0.85, "names", "holder")
-        elif known and ctx.text.strip() == m[0]:
-            yield Span(m.start(), m.end(), "CARD_HOLDER", 0.85, "names", "payload")
+    for run in CAPITALS.finditer(ctx.text):
+        group: list[re.Match] = []
+        for m in [*re.finditer(r"[A-Z]+\.?", run[0]), None]:
+            if m is not None and m[0].rstrip(".").lower() not in LATIN_NOISE:
+                group.append(m)
+                continue
+            if 2 <= len(group) <= 3 and sum(len(x[0].rstrip(".")) > 1 for x in group) >= 2 and len(group[-1][0]) > 1:
+                yield from holder(ctx, lexicon, run.start() + group[0].start(), run.start() + group[-1].end(), [x[0].rstrip(".").lower() for x in group])
+            group = []
+
+
+def holder(ctx: Context, lexicon: Lexicon, start: int, end: int, parts: list[str]):
+    left, right = ctx.left(start, 120), ctx.right(end, 40)
+    carded = re.search(r"(?:[0-9][ -]?){13,19}", left) or re.search(r"(?:[0-9][ -]?){13,19}", right)
+    known = any(p in lexicon.latin for p in parts)
+    if HOLDER_CUE.search(left) or carded:
+        yield Span(start, end, "CARD_HOLDER", 0.95 if known else 0.85, "names", "holder")
+    elif ctx.text.strip() == ctx.text[start:end] and (known or len(parts) == 2 and any(LATIN_SURNAME.fullmatch(p) for p in parts)):
+        yield Span(start, end, "CARD_HOLDER", 0.85, "names", "payload")

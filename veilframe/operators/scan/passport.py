@@ -3,30 +3,40 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
-from veilframe.operators.scan.context import Context, Span, cue, nearest, scanner
+from veilframe.operators.scan.context import CYRILLIC, DIGIT, Context, Span, nearest, scanner
+from veilframe.operators.scan.lexicon import Lexicon, same_stem
+from veilframe.operators.scan.phrases import ENDINGS, pattern, phrases
 
-# fixed values: what names a passport, and what names another document
+# what names a passport, what only sounds like one, and what names another document
 ANCHOR = re.compile(r"(?<!\w)(?:паспорт(?!\w*уш)[а-яё]*|пасп\.|серия|серии|passports?|удостоверени[ея] личности|документ[а-яё]*,? удостоверяющ(?:ий|ие) личность|(?<!№ )(?<!номер )п/п)(?!\w)")
-METAPHOR = re.compile(r"[ \t]*(?:сделки|изделия|объекта|проекта|безопасности|качества|здоровья|продукта|прибора)")
-OTHER = cue("загран заграничн водительск в/у права военный военник свидетельств снилс инн полис омс внж рвп карт счет счёт договор страхов телефон".split() + ["на жительство", "удостоверение водител", "удостоверения водител"])
+METAPHOR = re.compile(r"[ \t]*" + pattern("сделк{а} | издели{е} | объект{} | проект{} | безопасност{ь} | качеств{о} | здоровь{е} | продукт{} | прибор{}"))
+OTHER = phrases("загран~ | водительск~ | в/у | прав{о} | военн{ый} | военник~ | свидетельств{о} | снилс~ | инн | полис~ | омс | внж | рвп | на жительство | удостоверени{е} водит~ | карт{а} | счет~ | счёт~ | договор~ | страхов~ | телефон~")
 
 D = r"[ \t]{0,3}"
 NUMBER = re.compile(rf"(?<![\w.-])(?:[0-9]{{2}}{D}[0-9]{{2}}{D}(?:№{D})?[0-9]{{6}}|[0-9]{{4}}{D}[0-9]{{3}}{D}[0-9]{{3}}|[0-9]{{2}}-[0-9]{{2}}[ -][0-9]{{6}}|[0-9]{{4}}-[0-9]{{6}}|[0-9]{{2}} ?[0-9]{{2}}(?: [0-9]{{2}}){{3}}|[0-9]{{10}})(?![\w-]|\.[0-9])")
 LABELLED = re.compile(rf"(?<!\w)(?:сер(?:ия|ии|\.)|с\.){D}[:№]?{D}([0-9]{{2}}{D}[0-9]{{2}})(?![0-9])([^0-9]{{0,40}}?)(?:номер[а-я]*|ном\.|н\.|№|#|n){D}[:.]?{D}([0-9]{{6}})(?![0-9])")
 SERIES = re.compile(rf"(?<!\w)(?:сер(?:ия|ии|\.)){D}:?{D}([0-9]{{2}}{D}[0-9]{{2}})(?![0-9])")
 NUMERO = re.compile(rf"(?<!\w)(?:номер|ном\.|№){D}:?{D}([0-9]{{6}})(?![0-9])")
+PAIR = re.compile(r"(?<![\w.-])[0-9]{2} ?[0-9]{2} (?:№ ?)?[0-9]{6}(?![\w-]|\.[0-9])")
 BARE = re.compile(r"\s*([0-9]{2} ?[0-9]{2} [0-9]{6})\s*")
 
 CODE_LABELLED = re.compile(r"(?<!\w)(?:код[а-я]* подразделени[яйе]|код[а-я]* подр\.?|к/п|код органа)[ \t:—–№-]{0,6}([0-9]{3}[ -]?[0-9]{3})(?![0-9])")
 CODE = re.compile(r"(?<![\w-])([0-9]{3}-[0-9]{3})(?![\w-])")
 
-# fixed values: bodies that issue passports; heads and what makes them such a body; words of their names
-STRONG = frozenset("овд ровд рувд увд гувд мвд омвд умвд гумвд увмд уфмс фмс оуфмс туфмс овм оувм увм гувм мро пвс овир ovd uvd ufms mvd omvd".split())
-HEADS = frozenset("отдел отдела отделом отделе отделение отделения отделением отделении управление управления управлением управлении служба службы службой".split())
-QUALIFIERS = frozenset("полиции милиции внутренних миграционной миграционная миграции визовой визовая уфмс фмс мвд увд".split())
-PREFIX = HEADS | frozenset("паспортно паспортный паспортным паспортно-визовая паспортно-визовым паспортно-визовой визовая визовой миграционной миграционная территориальный территориальное главное главного межрайонный межрайонное районный районное городской городское областное краевое пункт пункта мп тп гу ту мо мро".split())
-STOPS = frozenset("дата даты дате выдачи код кода подразделения зарегистрирован зарегистрирована проживает проживающий проживающая адрес паспорт паспорта серия номер снилс инн телефон место рождения гражданство выдал выдала выдало выдали выдан выдана выдано выданы сообщил сообщило сообщила сообщает сообщают заявил заявило заявила заявляет проводит провело провёл провел расследует возбудил возбудило задержал задержало опубликовал опубликовало напомнил напомнило предупредил предупредило разыскивает рекомендует требует утвердил утвердило принял приняло отказал отказало начал начало совпадает совпадают".split())
+# fixed values: abbreviations of the bodies that issue passports
+STRONG = frozenset("мвд омвд умвд гумвд увмд овд ровд рувд увд гувд фмс уфмс оуфмс туфмс овм оувм увм гувм мро пвс овир mvd omvd ovd uvd ufms".split())
+AUTHORITY = re.compile(r"(?<!\w)(?:" + "|".join(sorted(STRONG, key=len, reverse=True)) + r"|отдел\w*|управлени\w*|служб\w*)(?!\w)")
+# a department is such a body if its name says of what
+HEADS = frozenset(f"{stem}{end}" for stem, ends in (("отдел", ENDINGS[""]), ("отделени", ENDINGS["е"]), ("управлени", ENDINGS["е"]), ("служб", ENDINGS["а"])) for end in ends)
+MATTERS = phrases("полици{я} | милици{я} | внутренн{ый} | миграци{я} | миграционн{ый} | визов{ый} | уфмс | фмс | мвд | увд")
+# shortened adjectives and bodies before the abbreviation of a body; whole adjectives are told by their ending
+SHORT = frozenset("гу ту мо мп тп мро пвс пункт пункта".split())
+ADJECTIVE_END = re.compile(r"(?:(?:ск|ч?н|ов|ев)(?:ый|ий|ой|ое|ая|ого|ому|ым|ом|ую|ие|ые|им)|о)$")
+# what follows an issuer: the fields of a document, and what an office does when it is a sentence's subject
+FIELDS = phrases("дат{а} | выдач{а} | код{} | подразделени{е} | зарегистрирован | зарегистрирован{а} | прожива~ | адрес{} | паспорт{} | сери{я} | номер{} | снилс | инн | телефон{} | мест{о} | рождени{е} | гражданств{о} | выдан | выдан{а} | выдано | выданы")
+VERB_END = re.compile(r"[а-яё]{2,}(?:(?:[аеиыуя]л|[чкзс]л)(?:а|о|и)?|[аяуюе]ет|[ауюя]ют|[ие]т|[ая]т)(?:ся|сь)?$")
 ABBREVIATED = frozenset("г гор обл окр респ р-н рн пос им тер мкр ул пер с д п мо спб".split())
 GLUE = frozenset("в по г гор им имени на города городе район района районе округ округа область области край края республика республики дел россии рф".split())
 ISSUED = re.compile(r"(?<!\w)(?:выдан[а-яё]{0,3}|кем выдан[ао]?|орган,? выдавший(?: документ)?|issued by)(?!\w)[ \t:—–-]{0,4}")
@@ -37,18 +47,27 @@ BIRTH_WORDS = frozenset("в г гор город города городе с с
 BIRTH_STOPS = frozenset("дата паспорт серия номер выдан выдана проживает проживающий зарегистрирован зарегистрирована гражданство адрес телефон снилс инн и а но".split())
 
 CITIZEN_STEM = re.compile(r"(?<!\w)(?:гражданств[оауе]м?|гражданин|гражданка|гражданина|гражданки|гражданину|гражданке|подданств[оа]|citizenship|citizen of|nationality)(?!\w)[ \t:—–-]{0,4}")
-CITIZEN_VALUES = frozenset("рф россия россии российское российской российская российскую российского ссср рб рк беларусь беларуси белоруссия белоруссии казахстан казахстана украина украины армения армении узбекистан узбекистана киргизия киргизии кыргызстан кыргызстана таджикистан таджикистана азербайджан азербайджана молдова молдовы грузия грузии туркменистан туркменистана республика республики сша германия германии израиль израиля китай китая russia russian usa belarus kazakhstan ukraine".split())
-CITIZEN_TAILS = frozenset("федерация федерации федерацию республика республики беларусь беларуси казахстан казахстана союз союза federation".split())
+# fixed values: names of states that aren't countries of the lexicon
+CITIZEN_VALUES = frozenset("ссср рб рк республика республики российское российской российская российскую российского сша russia russian usa belarus kazakhstan ukraine китая израиль".split())
+CITIZEN_TAILS = phrases("федераци{я} | республик{а} | беларус{ь} | казахстан{} | союз{} | federation")
 ADJECTIVE = re.compile(r"(?<!\w)((?:российск|украинск|белорусск|казахск|казахстанск|армянск|узбекск|киргизск|кыргызск|таджикск|азербайджанск|молдавск|грузинск|немецк|американск|израильск|китайск|турецк|французск|британск|польск)(?:ое|ого|им|ому|ий|ая|ой|ую)) (?:гражданств|подданств)")
 
 
-@scanner("passport", "PASSPORT", "SUBDIVISION_CODE", "PASSPORT_ISSUER", "BIRTH_PLACE", "CITIZENSHIP")
+@scanner(
+    "passport",
+    "PASSPORT",
+    "SUBDIVISION_CODE",
+    "PASSPORT_ISSUER",
+    "BIRTH_PLACE",
+    "CITIZENSHIP",
+    needs={"PASSPORT": DIGIT, "SUBDIVISION_CODE": DIGIT, "PASSPORT_ISSUER": f"{CYRILLIC}|(?i:issued|ovd|uvd|ufms|mvd)", "BIRTH_PLACE": f"{CYRILLIC}|(?i:place of birth)", "CITIZENSHIP": f"{CYRILLIC}|(?i:citizen|nationality)"},
+)
 def passport(ctx: Context):
     on = ctx.enabled
     anchors = [m.span() for m in ANCHOR.finditer(ctx.lower) if not METAPHOR.match(ctx.lower, m.end())]
+    issuers = list(issued_by(ctx, anchors))
     if "PASSPORT" in on:
-        yield from numbers(ctx, anchors)
-    issuers = list(issued_by(ctx, anchors)) if on & {"PASSPORT_ISSUER", "SUBDIVISION_CODE"} else []
+        yield from numbers(ctx, anchors, issuers)
     yield from issuers
     if "SUBDIVISION_CODE" in on:
         yield from codes(ctx, issuers)
@@ -58,7 +77,7 @@ def passport(ctx: Context):
         yield from citizenships(ctx)
 
 
-def numbers(ctx: Context, anchors: list[tuple[int, int]]):
+def numbers(ctx: Context, anchors: list[tuple[int, int]], issuers: list[Span]):
     near = lambda a, b: any(0 <= len(ctx.lower[e:a].encode()) <= 60 and e <= a or 0 <= len(ctx.lower[b:s].encode()) <= 60 and s >= b for s, e in anchors)
     found: list[tuple[int, int]] = []
     for m in LABELLED.finditer(ctx.lower):
@@ -76,6 +95,11 @@ def numbers(ctx: Context, anchors: list[tuple[int, int]]):
         for m in pattern.finditer(ctx.lower):
             if free(*m.span(1)) and near(*m.span(1)) and not other_document(ctx, m.start()):
                 yield Span(*m.span(1), "PASSPORT", 0.98, "passport", hint)
+    if issuers or CODE_LABELLED.search(ctx.lower):  # who issued it, or where, says what the number is
+        for m in PAIR.finditer(ctx.lower):
+            if free(*m.span()) and not other_document(ctx, m.start()):
+                found.append(m.span())
+                yield Span(*m.span(), "PASSPORT", 0.90, "passport", "corroborated")
     m = BARE.fullmatch(ctx.lower)
     if m and free(*m.span(1)):
         yield Span(*m.span(1), "PASSPORT", 0.90, "passport", "payload")
@@ -101,7 +125,16 @@ def codes(ctx: Context, issuers: list[Span]):
             yield Span(*m.span(1), "SUBDIVISION_CODE", 0.90, "passport", "authority" if beside else "payload")
 
 
-def walk(ctx: Context, at: int, limit: int, stops: frozenset[str]):
+def ends(ctx: Context, at: int, w: str) -> bool:
+    """Whether a word ends an issuer's name: a field's label, or a verb - in lower case, and no department."""
+    return bool(FIELDS.fullmatch(w)) or w not in HEADS and not w.startswith(("раздел", "филиал")) and not ctx.text[at].isupper() and predicate(w)
+
+
+def predicate(w: str) -> bool:
+    return len(w) > 4 and VERB_END.fullmatch(w) is not None
+
+
+def walk(ctx: Context, at: int, limit: int):
     """The words of a name from a place on: (start, end, word), to a stop, a sentence's end or the limit."""
     end = at + limit
     for m in ITEM.finditer(ctx.lower, at):
@@ -113,7 +146,7 @@ def walk(ctx: Context, at: int, limit: int, stops: frozenset[str]):
             if w == "." and before and before[-1].lstrip("(") in ABBREVIATED:
                 continue
             return
-        if w in stops:
+        if ends(ctx, m.start(), w):
             return
         if w in "«»\"":
             continue
@@ -126,26 +159,31 @@ def issued_by(ctx: Context, anchors: list[tuple[int, int]]):
         at = m.end()
         date = re.match(r"[ \t]*[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}(?: г\.?)?[ \t,]*", ctx.lower[at : at + 30])
         at += date.end() if date else 0
-        items = trimmed(list(walk(ctx, at, 160, STOPS)))
+        items = trimmed(list(walk(ctx, at, 160)))
         words = [w for _, _, w in items]
         if len([w for w in words if w not in GLUE]) >= 2 and authority(words):
             taken.append((items[0][0], items[-1][1]))
             yield Span(items[0][0], items[-1][1], "PASSPORT_ISSUER", 0.85, "passport", "issued")
-    for i, (a, b, w) in enumerate(ctx.words):
-        if any(a < y and x < b for x, y in taken) or not (w in STRONG or w in HEADS and any(x[2] in QUALIFIERS for x in ctx.words[i + 1 : i + 3])):
+    heads = list(AUTHORITY.finditer(ctx.lower))
+    places = [a for a, _, _ in ctx.words] if heads else []
+    for m in heads:
+        i = bisect_left(places, m.start())
+        if i == len(places) or places[i] != m.start():
+            continue
+        a, b, w = ctx.words[i]
+        if any(a < y and x < b for x, y in taken) or not (w in STRONG or w in HEADS and any(MATTERS.fullmatch(x[2]) for x in ctx.words[i + 1 : i + 3])):
             continue
         start = a
         for x, y, left in reversed(ctx.words[max(0, i - 4) : i]):
-            if left not in PREFIX or not ctx.lower[y:start].isspace():
+            if not (left in HEADS or left in SHORT or ADJECTIVE_END.search(left)) or not ctx.lower[y:start].isspace():
                 break
             start = x
-        items = trimmed(list(walk(ctx, start, 160, STOPS)))
+        items = trimmed(list(walk(ctx, start, 160)))
         if len(items) < 2:
             continue
         a, b = items[0][0], items[-1][1]
         after = re.match(r"\W*(\w+)", ctx.lower[b : b + 30])
-        predicate = after is not None and after[1] in STOPS and after[1].endswith(("л", "ло", "ла", "ли", "ет", "ют", "ит"))
-        if predicate and not anchors:
+        if after is not None and predicate(after[1]) and not FIELDS.fullmatch(after[1]) and not anchors:
             continue
         if anchors or re.fullmatch(r"\s*" + re.escape(ctx.lower[a:b]) + r"\s*[.]?\s*(?:[0-9]{3}-[0-9]{3})?\s*", ctx.lower) or CODE.search(ctx.lower, b, b + 30):
             taken.append((a, b))
@@ -153,7 +191,7 @@ def issued_by(ctx: Context, anchors: list[tuple[int, int]]):
 
 
 def authority(words: list[str]) -> bool:
-    return any(w in STRONG or w in ("загс", "загса", "загсом", "мфц", "гибдд", "консульством", "консульство", "посольством", "посольство") for w in words) or any(w in HEADS for w in words) and any(w in QUALIFIERS for w in words)
+    return any(w in STRONG or w in ("загс", "загса", "загсом", "мфц", "гибдд", "консульством", "консульство", "посольством", "посольство") for w in words) or any(w in HEADS for w in words) and any(MATTERS.fullmatch(w) for w in words)
 
 
 def trimmed(items: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -166,7 +204,7 @@ def trimmed(items: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 
 def birth_places(ctx: Context):
     for m in BIRTH_STEM.finditer(ctx.lower):
-        if m[0].startswith("родил") and not m[0].rstrip().endswith(" в"):
+        if m[0].startswith("родил") and not m[0].rstrip().endswith(" в") or famous_before(ctx, m.start()):
             continue
         items = []
         for a, b, w in walk_commas(ctx, m.end(), 100):
@@ -183,6 +221,14 @@ def birth_places(ctx: Context):
             yield Span(items[0][0], items[-1][1], "BIRTH_PLACE", 0.80, "passport", "stem")
 
 
+def famous_before(ctx: Context, at: int) -> bool:
+    """Whether the sentence names a well-known person on the left: their birth place is no secret."""
+    start, _ = ctx.sentence(max(0, at - 200), at)
+    said = [w for a, b, w in ctx.words if start <= a and b <= at and at - a <= 200]
+    famous = Lexicon.of(ctx.dictionaries.get("words", ())).famous
+    return any(all(any(same_stem(w, p) for w in pair) for p in person) for pair in zip(said, said[1:], strict=False) for person in famous)
+
+
 def walk_commas(ctx: Context, at: int, limit: int):
     for m in ITEM.finditer(ctx.lower, at):
         if len(ctx.lower[at : m.end()].encode()) > limit or m[0] in ";:!?\n()«»\"":
@@ -197,17 +243,18 @@ def walk_commas(ctx: Context, at: int, limit: int):
 
 
 def citizenships(ctx: Context):
+    values = CITIZEN_VALUES | Lexicon.of(ctx.dictionaries.get("words", ())).countries
     for m in ADJECTIVE.finditer(ctx.lower):
         yield Span(*m.span(1), "CITIZENSHIP", 0.90, "passport", "adjective")
     for m in CITIZEN_STEM.finditer(ctx.lower):
         first = re.match(r"(?:—|–|-|:)?\s*([\w-]+)", ctx.lower[m.end() : m.end() + 60])
-        if not first or first[1] not in CITIZEN_VALUES:
+        if not first or first[1] not in values:
             continue
         start = m.end() + first.start(1)
         end = m.end() + first.end(1)
         while True:
             more = re.match(r"(?: |/| / )([\w-]+)", ctx.lower[end : end + 40])
-            if not more or not (more[1] in CITIZEN_TAILS or "/" in more[0] and more[1] in CITIZEN_VALUES):
+            if not more or not (CITIZEN_TAILS.fullmatch(more[1]) or "/" in more[0] and more[1] in values):
                 break
             end += more.end()
         yield Span(start, end, "CITIZENSHIP", 0.90, "passport", "stem")

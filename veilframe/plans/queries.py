@@ -1,17 +1,19 @@
 """The engine's queries over the driver's tables, with what DuckDB gives for the same in SQL.
 
-The tables hold no Russian text, so the context detectors run over payloads made from their keys: the made-up
-part is a template, and the expected mask follows from it."""
+The tables hold no Russian text, so the context detectors run over sentences of our own (plans/cases.py), dealt out
+over the customers with their keys in them; their marks say what SQL has to mask."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.functions import checks, masks, scrub, text
-from veilframe.operators import metrics, native
+from veilframe.functions import calendar, checks, masks, scrub, text
+from veilframe.functions.types import NAMES
+from veilframe.operators import metrics, native, relational
 from veilframe.operators import spans as S
-from veilframe.operators.detect import detect, explode_chunks
+from veilframe.operators.detect import detect, detect_long, explode_chunks, register_chunks
+from veilframe.plans import cases
 from veilframe.plans import config as C
 from veilframe.plans.engine import Engine
 
@@ -110,44 +112,54 @@ def pii_all_types(spark, sf_dir):
 
 
 KEY = "lpad((c_custkey % 1000000)::VARCHAR, 6, '0')"
+INITIALS = "array_to_string(list_transform(regexp_extract_all({x}, '\\p{{L}}+'), lambda w: upper(w[1]) || '.'), ' ')"
+#: The SQL of each category's default mask.
+MASK_SQL = dict.fromkeys(NAMES, KEEP2) | {"FIO": INITIALS, "CARD_HOLDER": INITIALS, "CVV": ALL, "PIN": ALL}
 
 
-def templated(name: str, payload: str, expected: str, types: list[str]):
-    """A query that masks a payload made from each customer's key by a detector family."""
+def text_sql(part: str) -> str:
+    """A piece of a sentence as SQL, with the customer's key in its place."""
+    return "(" + f" || {KEY} || ".join("'" + x.replace("'", "''") + "'" for x in part.split("{k}")) + ")"
+
+
+def sentence_sql(sentence: str, masked: bool) -> str:
+    return " || ".join(MASK_SQL[c].format(x=text_sql(t)) if c and masked else text_sql(t) for c, t in cases.pieces(sentence))
+
+
+def turn_sql(parts: list[str]) -> str:
+    """The part that is the customer's turn."""
+    return f"CASE c_custkey % {len(parts)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(parts)) + " END"
+
+
+def told(spark, sf_dir, sentences: list[str]) -> DataFrame:
+    """(c_custkey, turn, payload): one of the sentences for each customer, with the customer's key in it."""
+    texts = F.array(*[F.lit(cases.plain(x)) for x in sentences])
+    key = F.lpad((F.col("c_custkey") % 1000000).cast("string"), 6, "0")
+    turn = (F.col("c_custkey") % len(sentences)).cast("int")
+    return table(spark, sf_dir, "customer").select("c_custkey", turn.alias("turn"), F.replace(F.element_at(texts, turn + 1), F.lit("{k}"), key).alias("payload"))
+
+
+def only(types: list[str]) -> C.Config:
+    c = C.default()
+    for t, rule in c.systems[0].types.items():
+        rule.enabled = t in types
+    return c
+
+
+def family(name: str, types: list[str], sentences: list[str]):
+    """A query that masks a family's sentences, dealt out over the customers, by the family's detectors."""
 
     def run(spark, sf_dir):
-        made = table(spark, sf_dir, "customer").select("c_custkey", F.expr(payload.format(k="lpad(cast(c_custkey % 1000000 as string), 6, '0')")).alias("payload"))
-        c = C.default()
-        for t, rule in c.systems[0].types.items():
-            rule.enabled = t in types
-        return Engine(c).mask(made).select("c_custkey", "payload", "masked")
+        return Engine(only(types)).mask(told(spark, sf_dir, sentences).drop("turn")).select("c_custkey", "payload", "masked")
 
     run.__name__ = f"pii_detect_{name}"
     QUERIES[run.__name__] = run
-    ORACLES[run.__name__] = f"SELECT c_custkey, {payload.format(k=KEY)} AS payload, {expected.format(k=KEY)} AS masked FROM customer"
-
+    ORACLES[run.__name__] = f"SELECT c_custkey, {turn_sql([sentence_sql(x, False) for x in sentences])} AS payload, {turn_sql([sentence_sql(x, True) for x in sentences])} AS masked FROM customer"
 
-templated("passport", "concat('Паспорт 4509 ', {k}, ' выдан ОВД района Измайлово 20.06.2010, код подразделения 770-001')", "concat('Паспорт 45** ****', substr({k}, 5, 2), ' выдан ОВ* ****** *******во 20.**.**10, код подразделения 77*-*01')", ["PASSPORT", "PASSPORT_ISSUER", "PASSPORT_ISSUE_DATE", "SUBDIVISION_CODE"])
-templated("names", "concat('Клиент Смирнов Иван Петрович оформил заявку ', {k})", "concat('Клиент С. И. П. оформил заявку ', {k})", ["FIO"])
-templated("dates", "concat('Дата рождения: 12.05.1990, договор ', {k}, ' от 01.02.2024')", "concat('Дата рождения: 12.**.**90, договор ', {k}, ' от 01.02.2024')", ["BIRTH_DATE", "PASSPORT_ISSUE_DATE"])
-templated("address", "concat('Проживает по адресу: г. Тверь, ул. Садовая, д. 7, кв. 12, заявка ', {k})", "concat('Проживает по адресу: г. Тв*рь, ул. Са***ая, д. *, кв. **, заявка ', {k})", ["CITY", "STREET", "HOUSE", "APARTMENT", "POSTAL_CODE", "COUNTRY", "ADDRESS"])
-templated("documents", "concat('Водительское удостоверение 77 12 ', {k}, ', полис ОМС 7700 0000 1234 5678')", "concat('Водительское удостоверение 77 ** ****', substr({k}, 5, 2), ', полис ОМС 77** **** **** **78')", ["DRIVER_LICENSE", "OMS_POLICY"])
-templated("secrets", "concat('Карта 4111 1111 1111 1111, CVV 123, заявка ', {k})", "concat('Карта 41** **** **** **11, CVV ***, заявка ', {k})", ["CARD_NUMBER", "CVV"])
-templated("account", "concat('Счёт 40817810099910', {k}, ' открыт')", "concat('Счёт 40****************', substr({k}, 5, 2), ' открыт')", ["BANK_ACCOUNT"])
-templated("holder", "concat('Держатель карты IVAN SMIRNOV, заявка ', {k})", "concat('Держатель карты I. S., заявка ', {k})", ["CARD_HOLDER"])
-templated("citizenship", "concat('Гражданство: Российская Федерация, место рождения: г. Калуга, заявка ', {k})", "concat('Гражданство: Ро******** *******ия, место рождения: г. К***га, заявка ', {k})", ["CITIZENSHIP", "BIRTH_PLACE"])
 
-
-templated("inn", "concat('ИНН 500100732259, заявка ', {k})", "concat('ИНН 50********59, заявка ', {k})", ["INN"])
-templated("snils", "concat('СНИЛС 112-233-445 95, заявка ', {k})", "concat('СНИЛС 11*-***-*** 95, заявка ', {k})", ["SNILS"])
-templated("military_id", "concat('Военный билет АК 7', {k})", "concat('Военный билет АК *****', substr({k}, 5, 2))", ["MILITARY_ID"])
-templated("birth_certificate", "concat('Свидетельство о рождении II-МЮ ', {k})", "concat('Свидетельство о рождении II-** ****', substr({k}, 5, 2))", ["BIRTH_CERTIFICATE"])
-templated("foreign_passport", "concat('Загранпаспорт 72 7', {k})", "concat('Загранпаспорт 72 *****', substr({k}, 5, 2))", ["FOREIGN_PASSPORT"])
-templated("residence_permit", "concat('Вид на жительство 8', {k})", "concat('Вид на жительство 8', substr({k}, 1, 1), '***', substr({k}, 5, 2))", ["RESIDENCE_PERMIT"])
-templated("phone", "concat('Звонить 8 916 555-44-33, заявка ', {k})", "concat('Звонить 8 9** ***-**-33, заявка ', {k})", ["PHONE"])
-templated("pin", "concat('Мой пин-код 4821, заявка ', {k})", "concat('Мой пин-код ****, заявка ', {k})", ["PIN"])
-templated("iban", "concat('IBAN DE89370400440532013000, заявка ', {k})", "concat('IBAN DE******************00, заявка ', {k})", ["BANK_ACCOUNT"])
-templated("role_mailbox", "concat('Пишите на info@shop.example.ru, заявка ', {k})", "concat('Пишите на info@shop.example.ru, заявка ', {k})", ["EMAIL"])
+for _name, (_types, _sentences) in cases.FAMILIES.items():
+    family(_name, _types, _sentences)
+EVERY = [x for _, sentences in cases.FAMILIES.values() for x in sentences]
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'карта 41** **** **** **11, пин ****' ELSE 'пин 4821' END AS masked FROM customer")
@@ -159,11 +171,26 @@ def rule_companion(spark, sf_dir):
     return Engine(c).mask(table(spark, sf_dir, "customer").select("c_custkey", payload.alias("payload"))).select("c_custkey", "masked")
 
 
-@query("SELECT c_custkey, 'PIN' AS type, 7 AS start, 11 AS stop FROM customer")
+PLACED = cases.FAMILIES["passport"][1] + cases.FAMILIES["address"][1]
+
+
+def places_sql(sentences: list[str]) -> str:
+    """(c_custkey, type, start, stop) of every marked value: the bytes before it are counted."""
+    rows = []
+    for i, x in enumerate(sentences):
+        before = "''"
+        for c, t in cases.pieces(x):
+            if c:
+                rows.append(f"SELECT c_custkey, '{c}' AS type, strlen({before})::INT AS start, strlen({before} || {text_sql(t)})::INT AS stop FROM customer WHERE c_custkey % {len(sentences)} = {i}")
+            before += f" || {text_sql(t)}"
+    return " UNION ALL ".join(rows)
+
+
+@query(places_sql(PLACED))
 def detect_offsets(spark, sf_dir):
     """Places and categories without values: byte offsets."""
-    made = table(spark, sf_dir, "customer").select("c_custkey", F.lit("пин 4821").alias("payload"))
-    found = Engine(C.default()).detect(made).select("c_custkey", F.explode("spans").alias("s"))
+    types = cases.FAMILIES["passport"][0] + cases.FAMILIES["address"][0]
+    found = Engine(only(types)).detect(told(spark, sf_dir, PLACED)).select("c_custkey", F.explode("spans").alias("s"))
     return found.select("c_custkey", F.col("s.type").alias("type"), F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
 
 
@@ -274,9 +301,14 @@ def leak_anti_join(spark, sf_dir):
     return S.interval_anti_join(spans.where("conf > 0.5"), covers).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start - stop, -(CASE type WHEN 'EMAIL' THEN 88 WHEN 'PHONE' THEN 85 WHEN 'CVV' THEN 40 ELSE 100 END), -conf, start) AS turn FROM {SPANS_SQL}), "
+    "k(key, turn, kept) AS (SELECT key, 0::BIGINT, []::STRUCT(a INT, b INT)[] FROM (SELECT DISTINCT key FROM s) UNION ALL "
+    "SELECT k.key, s.turn, CASE WHEN len(list_filter(kept, lambda x: x.a < s.stop AND s.start < x.b)) > 0 THEN kept ELSE list_append(kept, {'a': s.start::INT, 'b': s.stop::INT}) END FROM k JOIN s ON s.key = k.key AND s.turn = k.turn + 1) "
+    "SELECT key, max(turn)::INT AS n_raw, max_by(len(kept), turn)::INT AS n_kept FROM k GROUP BY key"
+)
 def resolve_spans(spark, sf_dir):
-    """Overlap resolution of each order's spans; equal to brute force in tests."""
+    """Overlap resolution of each order's spans."""
     made = found_spans(spark, sf_dir).select("key", F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type", "conf", F.lit("t").alias("src"), F.lit("").alias("hint")).alias("s"))
     grouped = made.groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("spans"))
     return grouped.select("key", F.size("spans").alias("n_raw"), F.size(S.resolve("spans")).alias("n_kept"))
@@ -331,7 +363,9 @@ def metric_rollup(spark, sf_dir):
     return metrics.rollup_report(made)
 
 
-@query()
+@query(
+    f"SELECT key, expires FROM (SELECT event_id::VARCHAR AS key, ts AS expires, row_number() OVER (PARTITION BY ('0x' || md5(event_id::VARCHAR)[1:6])::BIGINT % 64 ORDER BY ts DESC, event_id::VARCHAR) AS n FROM {REQUESTS_SQL}) WHERE n > 10"
+)
 def metric_evicted(spark, sf_dir):
     entries = requests(spark, sf_dir).select(F.col("event_id").cast("string").alias("key"), F.col("ts").alias("expires"))
     return metrics.evicted(entries, 640)
@@ -374,10 +408,81 @@ def chat_conversations(spark, sf_dir):
     return out.select("conv_id", "status", "restored", F.size("messages").cast("long").alias("n"))
 
 
-@query("SELECT count(*) AS positives, 30 AS types FROM customer")
+WANTED = "list_extract([" + ", ".join(str(len(cases.categories(x))) for x in EVERY) + f"], (c_custkey % {len(EVERY)})::INT + 1)"
+
+
+@query(f"SELECT sum({WANTED})::BIGINT AS expected, sum({WANTED})::BIGINT AS hit, count(*) FILTER ({WANTED} = 0) AS negatives, count(*) FILTER ({WANTED} = 0) AS clean, 1.0 AS restore_ratio, 1.0 AS recall, 1.0 AS clean_ratio FROM customer")
 def quality_ratios(spark, sf_dir):
-    """Recall over templated positives; the expected category is found in each."""
-    made = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("почта user"), F.col("c_custkey").cast("string"), F.lit("@mail.ru")).alias("payload"))
-    cases = made.select("id", F.array(F.lit("EMAIL")).alias("expect_types"))
-    found = Engine(C.default()).mask(made).select("id", "types", (F.col("masked") == F.col("payload")).alias("unchanged"))
-    return metrics.quality(cases, found).select(F.col("hit").cast("long").alias("positives"), F.lit(30).alias("types"))
+    """Recall, untouched negatives and exact restoring over all families' sentences, by all thirty categories at once."""
+    made = told(spark, sf_dir, EVERY)
+    types = F.array(*[F.array(*map(F.lit, cases.categories(x))).cast("array<string>") for x in EVERY])
+    wanted = made.select(F.col("c_custkey").alias("id"), F.element_at(types, F.col("turn") + 1).alias("expect_types"))
+    masked = Engine(C.default()).mask(made)
+    found = masked.select(F.col("c_custkey").alias("id"), "types", (F.col("masked") == F.col("payload")).alias("unchanged"), (S.restore("masked", F.col("replacements")) == F.col("payload")).alias("restored"))
+    return metrics.quality(wanted, found)
+
+
+@query(
+    f"WITH s AS (SELECT key, start, conf > 0.5 AS sure FROM {SPANS_SQL}) "
+    "SELECT b.key, b.start, min_by(a.start, abs(a.start - b.start) * 1000 + a.start) AS near_start FROM s b LEFT JOIN s a ON a.key = b.key AND a.sure AND abs(a.start - b.start) <= 30 WHERE NOT b.sure GROUP BY b.key, b.start"
+)
+def nearest_join(spark, sf_dir):
+    """Each weak finding with the nearest sure one of its payload, at most thirty bytes away."""
+    spans = found_spans(spark, sf_dir).select("key", "start", "conf")
+    near = relational.nearest(spans.where("conf <= 0.5").select("key", "start"), spans.where("conf > 0.5"), "key", "start", [], cell=64, within=30)
+    return near.select("key", "start", F.col("near.at").cast("int").alias("near_start")).distinct()
+
+
+@query(f"SELECT op, status, grouping(op, status) AS level, count(*) AS n FROM {REQUESTS_SQL} GROUP BY CUBE (op, status)")
+def metric_cube(spark, sf_dir):
+    return metrics.cube_report(requests(spark, sf_dir))
+
+
+@query(f"SELECT event_id, latency_ms FROM {REQUESTS_SQL} ORDER BY latency_ms DESC NULLS LAST, event_id LIMIT 25")
+def metric_slowest(spark, sf_dir):
+    return metrics.slowest(requests(spark, sf_dir), 25).select("event_id", "latency_ms")
+
+
+@query("(SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'view') EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 150 UNION SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 300")
+def user_sets(spark, sf_dir):
+    """Users who masked and restored, less those with a large error, and all with a large purchase: set operators."""
+    e = table(spark, sf_dir, "events")
+    of = lambda kind: e.where(F.col("event_type") == kind)
+    both = of("click").select("user_id").intersect(of("view").select("user_id")).subtract(of("error").where("value > 150").select("user_id"))
+    return both.union(of("purchase").where("value > 300").select("user_id")).distinct()
+
+
+@query("SELECT event_type, count(*) AS n, sum((props ->> '$.k')::BIGINT)::BIGINT AS total, max((props ->> '$.k')::BIGINT) AS highest FROM events GROUP BY event_type")
+def json_properties(spark, sf_dir):
+    """Numbers out of JSON properties, by a schema."""
+    k = F.from_json("props", "k long")["k"]
+    return table(spark, sf_dir, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("total"), F.max("k").alias("highest"))
+
+
+WRITTEN = "CASE o_orderkey % 3 WHEN 0 THEN concat(o_orderkey % 32, '.', o_orderkey % 14, '.', 1950 + o_orderkey % 90) WHEN 1 THEN concat(1950 + o_orderkey % 90, '-', o_orderkey % 14, '-', o_orderkey % 32) ELSE concat(o_orderkey % 32, '/', o_orderkey % 14, '/', lpad({year}, 2, '0')) END"
+
+
+@query(
+    f"WITH t AS (SELECT o_orderkey, {WRITTEN.format(year='(o_orderkey % 100)::VARCHAR')} AS written, o_orderkey % 32 AS d, o_orderkey % 14 AS m, "
+    "CASE WHEN o_orderkey % 3 = 2 THEN o_orderkey % 100 + CASE WHEN o_orderkey % 100 <= 25 THEN 2000 ELSE 1900 END ELSE 1950 + o_orderkey % 90 END AS y FROM orders) "
+    "SELECT o_orderkey, written, try_strptime(concat(y, '-', lpad(m::VARCHAR, 2, '0'), '-', lpad(d::VARCHAR, 2, '0')), '%Y-%m-%d')::DATE AS day FROM t"
+)
+def written_dates(spark, sf_dir):
+    """Dates as they are written, null where the calendar has none."""
+    made = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(WRITTEN.format(year="cast(o_orderkey % 100 as string)")).alias("written"))
+    return made.withColumn("day", calendar.numeric_date("written", 2025))
+
+
+@query()
+def text_chunks_udtf(spark, sf_dir):
+    """The same chunks as text_chunks by the table function, in SQL."""
+    register_chunks(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("chunked_documents")
+    return spark.sql("SELECT doc_id AS key, count(*) AS n, max(octet_length(chunk)) AS longest FROM chunked_documents, LATERAL text_chunks(text, 4096, 64) GROUP BY doc_id")
+
+
+@query(f"SELECT doc_id, len({EMAILS}) AS emails FROM documents")
+def detect_long_documents(spark, sf_dir):
+    """E-mail addresses of documents that are scanned as chunks of their own rows."""
+    found = detect_long(table(spark, sf_dir, "documents"), "doc_id", "text", ["EMAIL"], size=2048)
+    return found.select(F.col("key").alias("doc_id"), F.size(F.filter("spans", lambda x: x["type"] == "EMAIL")).cast("long").alias("emails"))

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.types import NAMES
+from veilframe.operators import metrics
+
 
 def exposition(counts: DataFrame, name: str, labels: list[str], value: str = "n", kind: str = "counter", help_: str = "") -> DataFrame:
     """(line): a metric family in the text exposition format, header lines first."""
@@ -17,6 +20,40 @@ def exposition(counts: DataFrame, name: str, labels: list[str], value: str = "n"
     return head.unionByName(lines).orderBy("k", "line").select("line")
 
 
+def latency(requests: DataFrame, name: str = "veilframe_latency_ms") -> DataFrame:
+    """(line): the latency histogram: cumulative buckets, sum and count."""
+    buckets = metrics.histogram(requests, "latency_ms").select(F.coalesce(F.col("le").cast("string"), F.lit("+Inf")).alias("le"), F.col("cumulative").cast("long").alias("n"))
+    whole = requests.agg(F.coalesce(F.sum("latency_ms"), F.lit(0.0)).alias("s"), F.count("latency_ms").alias("c"))
+    ends = whole.select(F.explode(F.array(F.concat(F.lit(f"{name}_sum "), F.col("s").cast("string")), F.concat(F.lit(f"{name}_count "), F.col("c").cast("string")))).alias("line"))
+    return exposition(buckets, f"{name}_bucket", ["le"], kind="histogram", help_="milliseconds of a request").unionByName(ends)
+
+
+def families(requests: DataFrame, masked: DataFrame, leaks: DataFrame | None = None, evicted: DataFrame | None = None) -> list[DataFrame]:
+    """The metric families of traffic (ts, system_id, op, status, latency_ms) and of what was masked (system_id,
+    replacements), each a table of lines; labels come from closed sets and none holds a value."""
+    by = lambda df, *c: df.groupBy(*c).agg(F.count("*").alias("n"))
+    known = [F.lit(t) for t in NAMES]
+    kinds = masked.select("system_id", F.explode("replacements.type").alias("type")).withColumn("type", F.when(F.col("type").isin(known), F.col("type")).otherwise("custom"))
+    p = metrics.percentiles(requests, "latency_ms", 10_000)
+    quantiles = p.select(F.explode(F.array(*[F.struct(F.lit(q).alias("quantile"), F.col(c).alias("n")) for q, c in (("0.5", "p50"), ("0.9", "p90"), ("0.95", "p95"), ("0.99", "p99"), ("1", "max"))])).alias("q")).select("q.*")
+    changed = masked.select("system_id", (F.size("replacements") > 0).alias("changed"))
+    out = [
+        exposition(metrics.request_counts(requests), "veilframe_requests_total", ["op", "status"], help_="requests by operation and status"),
+        exposition(by(requests, "system_id"), "veilframe_system_requests_total", ["system_id"], help_="requests by system"),
+        exposition(by(requests.where("status >= 400"), "status"), "veilframe_errors_total", ["status"], help_="failed requests"),
+        latency(requests),
+        exposition(quantiles, "veilframe_latency_quantile_ms", ["quantile"], kind="gauge", help_="milliseconds by quantile"),
+        exposition(by(kinds, "type"), "veilframe_found_total", ["type"], help_="replacements by category"),
+        exposition(by(kinds, "system_id", "type"), "veilframe_system_found_total", ["system_id", "type"], help_="replacements by system and category"),
+        exposition(by(changed, "changed"), "veilframe_payloads_total", ["changed"], help_="payloads by whether masking changed them"),
+    ]
+    if leaks is not None:
+        out.append(exposition(by(leaks.select(F.explode("leaks.type").alias("type")), "type"), "veilframe_leaks_total", ["type"], help_="values found in masked texts"))
+    if evicted is not None:
+        out.append(exposition(evicted.agg(F.count("*").alias("n")), "veilframe_evicted_total", [], help_="entries dropped for room"))
+    return out
+
+
 def stats(**tables: DataFrame) -> DataFrame:
     """One row `json`: each table's rows as a list under its name. Tables are aggregates of bounded size."""
     part = lambda name, t: t.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*t.columns)))).alias("v")).select(F.concat(F.lit(f'"{name}":'), F.col("v")).alias("part"))

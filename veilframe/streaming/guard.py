@@ -5,16 +5,17 @@ masked, restored, answered with its earlier mask or echoed. Ids are compared wit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from veilframe.functions.text import store_key
 from veilframe.operators.spans import looks_label_masked, looks_masked
+from veilframe.plans.config import Config
 from veilframe.plans.engine import Engine
 
 ENTRY = StructType([StructField("original", StringType()), StructField("masked", StringType())])
@@ -24,8 +25,8 @@ RESULT = StructType([StructField("seq", LongType()), StructField("payload_id", S
 class Guard(StatefulProcessor):
     """One entry per id. A repeated mask restarts the time to live; an entry beyond it is a miss."""
 
-    def __init__(self, ttl_ms: int, max_value_bytes: int):
-        self.ttl_ms, self.max_value_bytes = ttl_ms, max_value_bytes
+    def __init__(self, ttl_ms: int, max_value_bytes: int, identity: bool = False):
+        self.ttl_ms, self.max_value_bytes, self.identity = ttl_ms, max_value_bytes, identity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.entry = handle.getValueState("entry", ENTRY, ttlDurationMs=self.ttl_ms)
@@ -35,7 +36,7 @@ class Guard(StatefulProcessor):
         known = self.entry.get() if self.entry.exists() else None
         out = []
         for r in batch.itertuples():
-            operation, result, known = decide(r, known, self.max_value_bytes)
+            operation, result, known = decide(r, known, self.max_value_bytes, self.identity)
             out.append((r.seq, r.payload_id, operation, result))
         if known is not None:
             self.entry.update(tuple(known))
@@ -45,15 +46,16 @@ class Guard(StatefulProcessor):
         pass
 
 
-def decide(row, known, max_value_bytes: int):
-    """(operation, result, entry afterwards) of a row, given the entry of its id."""
+def decide(row, known, max_value_bytes: int, identity: bool = False):
+    """(operation, result, entry afterwards) of a row, given the entry of its id. With `identity` a payload that was
+    left as it is has an entry, too, so that the way back finds it whatever its text looks like."""
     if known is not None and row.payload == known[1]:
         return "demask", known[0], known
     if known is not None and row.payload == known[0]:
         return "again", known[1], known
     if known is None and row.masked_already:
         return "echo", row.payload, None
-    stored = row.masked != row.payload and row.may_store and max(len(row.payload.encode()), len(row.masked.encode())) <= max_value_bytes
+    stored = (identity or row.masked != row.payload) and row.may_store and max(len(row.payload.encode()), len(row.masked.encode())) <= max_value_bytes
     return "mask", row.masked, (row.payload, row.masked) if stored else known
 
 
@@ -61,7 +63,8 @@ def guard(stream: DataFrame, engine: Engine, mode: str = "append") -> DataFrame:
     """(seq, payload_id, operation, result) of a stream (seq, payload_id, payload, system_id).
 
     The detectors run before the shuffle, so it moves rows once, by id; an empty id has no entry and is
-    only masked. The state store must be RocksDB."""
+    only masked. Where a failing detector leaves a payload as it is (on_error "echo"), the payload is stored
+    as its own mask. The state store must be RocksDB."""
     config = engine.config
     allowed = [s.id for s in config.systems if s.demask]
     known = [s.id for s in config.systems]
@@ -75,5 +78,15 @@ def guard(stream: DataFrame, engine: Engine, mode: str = "append") -> DataFrame:
         (system.isin(allowed) & (F.length(F.trim("payload_id")) > 0)).alias("may_store"),
         F.when(F.length(F.trim("payload_id")) > 0, store_key("payload_id")).otherwise(F.concat(F.lit("\u0000"), F.col("seq").cast("string"))).alias("key"),
     )
-    processor = Guard(config.store.ttl_ms, config.store.max_value_bytes)
+    processor = Guard(config.store.ttl_ms, config.store.max_value_bytes, identity=config.on_error == "echo")
     return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=RESULT, outputMode=mode, timeMode="ProcessingTime")
+
+
+def masked_with_reload(stream: DataFrame, load: Callable[[], Config], write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    """Masks each micro-batch by the configuration that load() gives when the batch begins, so that changed rules, systems
+    and word lists hold from the next batch on without a restart. write(masked, batch_id) must be idempotent."""
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        write(Engine(load()).mask(rows), batch_id)
+
+    return stream.writeStream.foreachBatch(batch)
