@@ -244,3 +244,30 @@ def test_classifier_scores_do_not_depend_on_batches():
     alone = [quality.score(net, *utf8(pa.array([t])))[0] for t in texts]
     assert np.allclose(together, alone)
     assert (quality.score(quality.fit([], []), *utf8(pa.array(texts))) == 0.5).all()
+
+
+def test_classifier_is_the_network_that_its_parameters_say():
+    net = quality.fit(["good words here and there", "BAD!! BAD!! bad"] * 20, [1, 0] * 20, epochs=2)
+    for text in ("", "x", "some words, ünd more", "a" * 63, "b" * 64, "c d" * 300):
+        data = text.encode() + bytes(net.width)
+        chunks = -(-len(data) // net.chunk)
+        data = data.ljust(chunks * net.chunk, b"\0")
+        pooled = []
+        for c in range(chunks):
+            own = range(c * net.chunk, (c + 1) * net.chunk - (net.width - 1 if c == chunks - 1 else 0))
+            values = [sum(net.tables[j, data[p + j]] for j in range(net.width)) + net.bias for p in own]
+            pooled.append(np.maximum(np.max(values, axis=0), 0))
+        z = np.concatenate([np.mean(pooled, axis=0), np.max(pooled, axis=0), [1]]) @ net.out
+        got = quality.score(net, *utf8(pa.array([text])))[0]
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_classifier_on_empty_tables_and_long_training_texts(spark):
+    d = spark.createDataFrame([(i, "fine words " * 20 if i % 2 else "BAD!! " * 20) for i in range(40)] + [(100, "z" * 500_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(100, 0, 0), (100, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    texts, classes = quality.training_rows(d, labels, 800, 1 << 18)
+    assert max(map(len, texts)) < 1000 and set(classes) == {0, 1}
+    net = quality.train(d, labels)
+    assert quality.quality(d.limit(0), net).count() == 0 and quality.keep_good(d.limit(0), net).count() == 0
+    assert quality.quality(d, quality.train(d, labels.limit(0))).where("score = 0.5 and predicted = 0").count() == 41
+    assert quality.quality(d, quality.train(d.limit(0), labels)).count() == 41

@@ -1,13 +1,13 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Input: the bytes of the whole text, where the first byte of a word that repeats the word before it
-is replaced by a back-reference symbol. `filters` learned filters, `width` bytes wide, slide over
+Input: the bytes of the whole text, as they are. `filters` learned filters, `width` bytes wide, slide over
 every position; positions are cut into chunks of `chunk` bytes whose windows overlap by width - 1,
 each filter is max-pooled within a chunk, and the chunks' pooled values are combined as their mean and
 their maximum into one logistic output. A document of any length is scored whole, in bounded memory.
 
 The network is fitted on the driver from a bounded sample: at most `per_class` labelled documents
-of each class, chosen by a hash of doc_id. Labels enter only from rows whose crc32(doc_id as text)
+of each class, chosen by a hash of doc_id, those of more than `most_bytes` bytes left out, so that the sample has a fixed
+bound in bytes, too. Labels enter only from rows whose crc32(doc_id as text)
 mod 4 is not 2 ("held out" rows); labels, lang, source and doc_id are never inputs.
 
 Null and empty texts are one chunk of padding and get a score like any other; repeated rows are
@@ -23,11 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.bytesig import BLANK, hashes, spans
 from veilframe.llm.common import cut, mapped, pieces, utf8
 
-REPEATED = 1  # the back-reference symbol: a control byte that text doesn't use
-
 
 @dataclass
 class Net:
@@ -43,16 +40,6 @@ class Net:
         return self.tables.shape[0]
 
 
-def symbols(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The network's input bytes."""
-    starts, ends, rows = spans(data, offsets, ~BLANK)
-    marks = hashes(data, starts, ends)
-    again = np.flatnonzero((marks[1:] == marks[:-1]) & (rows[1:] == rows[:-1])) + 1
-    data = data.copy()
-    data[starts[again]] = REPEATED
-    return data
-
-
 def layout(data: np.ndarray, offsets: np.ndarray, width: int, chunk: int):
     """Padded bytes of all rows, first position of each chunk, and first chunk of each row."""
     sizes = np.diff(offsets)
@@ -78,7 +65,7 @@ def convolve(net: Net, padded: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def pooled(net: Net, data: np.ndarray, offsets: np.ndarray, step: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
     """The rectified maximum of each filter in each chunk, `step` chunks at a time."""
-    padded, first = layout(symbols(data, offsets), offsets, net.width, net.chunk)
+    padded, first = layout(data, offsets, net.width, net.chunk)
     parts = []
     for at in range(0, first[-1], step):
         to = min(first[-1], at + step)
@@ -117,7 +104,7 @@ def fit(texts: list[str], labels: list[int], filters: int = 12, width: int = 5,
                 order = rng.permutation(len(y))
             pick = order[at : at + batch]
             data, offsets = utf8(pa.array([texts[i] for i in pick], pa.string()))
-            padded, first = layout(symbols(data, offsets), offsets, width, chunk)
+            padded, first = layout(data, offsets, width, chunk)
             acts = convolve(net, padded, first[1:] - 1)
             where = acts.argmax(1)
             raw = np.take_along_axis(acts, where[:, None, :], 1)[:, 0] + net.bias
@@ -150,7 +137,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[str], list[int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, most_bytes: int) -> tuple[list[str], list[int]]:
     """The bounded sample: ids are chosen from the labels alone, so only their texts are read."""
     labels = (
         labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
@@ -158,12 +145,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[l
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = [labels.where(F.col("_quality") == q).orderBy(order).limit(per_class) for q in (0, 1)]
     chosen = cut(chosen[0].unionByName(chosen[1]))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_quality").alias("q")).orderBy("doc_id").collect()
+    rows = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_quality").alias("q")).orderBy("doc_id").collect()
     return [r.text or "" for r in rows], [r.q for r in rows]
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 800) -> Net:
-    return fit(*training_rows(docs, labels, per_class))
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 800, most_bytes: int = 1 << 18) -> Net:
+    return fit(*training_rows(docs, labels, per_class, most_bytes))
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
