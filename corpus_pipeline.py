@@ -1,7 +1,12 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and reread by the next.
 
 A stage works on every row that its predecessor kept. All but the last return the columns of
-documents; the last returns what the encoder reports of each document that is left."""
+documents, whatever they are; the last returns what the encoder reports of each document that is left.
+
+A null text is an empty one to every stage: the classifier scores it, equal ones are copies of each other, it has
+no shingles, no benchmark window and no tokens. Rows of a null doc_id go through all stages; of several rows of one doc_id
+each is judged by its own text, but near-duplicates link them. Empty documents give an empty result; without labels of both
+classes every score is 0.5 and no document passes; an empty benchmark contaminates nothing."""
 
 from __future__ import annotations
 
