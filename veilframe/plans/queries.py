@@ -251,13 +251,39 @@ def text_chunks(spark, sf_dir):
     return parts.groupBy("key").agg(F.count("*").alias("n"), F.max(F.octet_length("chunk")).alias("longest"))
 
 
-@query(r"SELECT c_custkey, CASE WHEN length(v) > 64 OR regexp_matches(v, '[0-9]{4}') THEN concat('[redacted len=', length(v), ' fp=', substr(sha256(concat('s', v)), 1, 8), ']') ELSE v END AS line FROM (SELECT c_custkey, concat('segment ', lower(c_mktsegment), ' ', CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END) AS v FROM customer)")
+def step_sql(name: str, before: str, key: str, pattern: str, mark: str) -> str:
+    """A step of scrubbing in SQL: the pieces between the matches and, in their places, the digits of the matches."""
+    p = pattern.replace("'", "''")
+    return (
+        f"{name} AS (SELECT {key}, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i <= len(m) THEN '[{mark}:' || length(regexp_replace(m[i], '[^0-9]', '', 'g')) || ' redacted]' ELSE '' END), '') AS t "
+        f"FROM (SELECT {key}, regexp_split_to_array(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS m FROM {before}))"
+    )
+
+
+def scrub_sql(source: str, key: str) -> str:
+    """CTEs that scrub t of source (key, t); the last is `scrubbed`."""
+    steps = [f"s0 AS (SELECT {key}, regexp_replace(t, '{scrub.EMAIL}', '[email redacted]', 'g') AS t FROM ({source}))"]
+    for i, (pattern, mark) in enumerate(((scrub.PHONE, "phone"), (scrub.GROUPED, "digits"), (scrub.LONG, "digits"))):
+        steps.append(step_sql(f"s{i + 1}", f"s{i}", key, pattern, mark))
+    names = scrub.NAMES.replace("\\u00a0", "\u00a0")
+    return ", ".join([*steps, f"scrubbed AS (SELECT {key}, regexp_replace(t, '{names}', '[name redacted]', 'g') AS t FROM s3)"])
+
+
+LINES = "SELECT c_custkey, concat('segment ', lower(c_mktsegment), CASE c_custkey % 6 WHEN 0 THEN ' ' || c_name WHEN 1 THEN ' +7 916 555-44-33' WHEN 2 THEN ' card 4111 1111 1111 1111 ok' WHEN 3 THEN ' Ivan Petrov' WHEN 4 THEN ' user' || c_custkey || '@mail.example.ru and a long tail of words about the request that failed' ELSE ' id 12345' END) AS t FROM customer"
+
+
+@query(
+    f"WITH v AS ({LINES}), {scrub_sql('SELECT * FROM v', 'c_custkey')} "
+    r"SELECT c_custkey, CASE WHEN length(scrubbed.t) > 64 OR regexp_matches(scrubbed.t, '\p{Nd}{4}') OR regexp_matches(scrubbed.t, '\p{Lu}\p{L}+[ .]+\p{Lu}\p{L}+') THEN concat('[redacted len=', length(v.t), ' fp=', substr(sha256(concat('s', v.t)), 1, 8), ']') ELSE scrubbed.t END AS line FROM v JOIN scrubbed USING (c_custkey)"
+)
 def scrub_redact(spark, sf_dir):
-    v = F.concat(F.lit("segment "), F.lower("c_mktsegment"), F.lit(" "), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(""))
-    return table(spark, sf_dir, "customer").select("c_custkey", scrub.redact_value(v, "s").alias("line"))
+    """Values of log lines: scrubbed, or only their length and fingerprint."""
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer_lines")
+    lines = spark.sql(LINES.replace("FROM customer", "FROM customer_lines"))
+    return lines.select("c_custkey", scrub.redact_value("t", "s").alias("line"))
 
 
-@query()
+@query(f"WITH {scrub_sql('SELECT doc_id, text AS t FROM documents', 'doc_id')} SELECT doc_id, t AS line FROM scrubbed")
 def scrub_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", scrub.scrub("text").alias("line"))
 
