@@ -195,8 +195,8 @@ def links(docs: DataFrame, nodes: DataFrame, known: DataFrame, threshold: float,
 
 
 def prefixes(sets: DataFrame, threshold: float, heavy: dict[int, int]) -> DataFrame:
-    """(mark, node, comp, size, left): the rarest shingles of each set (node, comp, content), as many as have to be looked
-    at, and how many of the set's shingles are left from each on.
+    """(mark, node, comp, size, left, prev): the rarest shingles of each set (node, comp, content), as many as have to be
+    looked at, how many of the set's shingles are left from each on, and the one before it (-1 if none).
 
     The order is by how often a shingle is among the frequent ones (`heavy`), then by its hash, alike for all sets."""
     sent = sets.sparkSession.sparkContext.broadcast((np.array(sorted(heavy), np.uint32), np.array([heavy[m] for m in sorted(heavy)], np.int64)))
@@ -213,9 +213,10 @@ def prefixes(sets: DataFrame, threshold: float, heavy: dict[int, int]) -> DataFr
             sizes, taken = np.array([len(c) // 4 for c in batch.column("content").to_pylist()]), np.array([len(x) for x in parts])
             place = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
             columns = [np.concatenate([*parts, np.empty(0, np.uint32)]).astype(np.int64), *(np.repeat(np.asarray(x, np.int64), taken) for x in (batch.column("node"), batch.column("comp"), sizes))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, columns[3] - place)], ["mark", "node", "comp", "size", "left"])
+            prev = np.where(place > 0, np.roll(columns[0], 1), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, columns[3] - place, prev)], ["mark", "node", "comp", "size", "left", "prev"])
 
-    return mapped(sets, run, "mark long, node long, comp long, size long, left long")
+    return mapped(sets, run, "mark long, node long, comp long, size long, left long, prev long")
 
 
 def shingle_rows(sets: DataFrame) -> DataFrame:
@@ -242,12 +243,14 @@ def remainder(open_: DataFrame, content: DataFrame, threshold: float, small: int
     lists = rows.groupBy("mark").agg(F.count("*").alias("n"), F.count_if("asks").alias("askers"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     lists = cut(lists.where("low < high and askers > 0").select("mark", "n", "askers"))
     rows = cut(looked_up(rows, lists, "mark"))
-    short = rows.where(F.col("n") <= small).groupBy("mark").agg(F.collect_list(F.struct("node", "comp", "size", "left")).alias("l"))
+    short = rows.where(F.col("n") <= small).groupBy("mark").agg(F.collect_list(F.struct("node", "comp", "size", "left", "prev")).alias("l"))
     one = short.select(F.explode("l").alias("x"), "l")
-    fits = lambda x, y: (x["comp"] != y["comp"]) & (x["node"] > y["node"]) & (F.least(x["left"], y["left"]) >= need * (x["size"] + y["size"]) - 1e-9)
+    # two sets that have the shingle before this one in common, too, meet there already
+    fresh = lambda x, y: (x["prev"] != y["prev"]) | (x["prev"] < 0)
+    fits = lambda x, y: (x["comp"] != y["comp"]) & (x["node"] > y["node"]) & fresh(x, y) & (F.least(x["left"], y["left"]) >= need * (x["size"] + y["size"]) - 1e-9)
     both = one.select("x", F.explode(F.filter("l", lambda y: fits(F.col("x"), y))).alias("y"))
     pairs = both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).distinct()
-    return pairs, tiled(rows.where(F.col("n") > small).drop("size", "left"), content, threshold)
+    return pairs, tiled(rows.where(F.col("n") > small).drop("size", "left", "prev"), content, threshold)
 
 
 def tiled(great: DataFrame, content: DataFrame, threshold: float, x_tile: int = 128, y_tile: int = 256) -> DataFrame:
