@@ -250,7 +250,19 @@ def remainder(open_: DataFrame, content: DataFrame, threshold: float, small: int
     fits = lambda x, y: (x["comp"] != y["comp"]) & (x["node"] > y["node"]) & fresh(x, y) & (F.least(x["left"], y["left"]) >= need * (x["size"] + y["size"]) - 1e-9)
     both = one.select("x", F.explode(F.filter("l", lambda y: fits(F.col("x"), y))).alias("y"))
     pairs = both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).distinct()
-    return pairs, tiled(rows.where(F.col("n") > small).drop("size", "left", "prev"), content, threshold)
+    return pairs, tiled(askers(rows.where(F.col("n") > small)), content, threshold)
+
+
+def askers(great: DataFrame) -> DataFrame:
+    """(mark, node, comp, asks, n, askers): which rows of a list have to be compared with all others: those with enough left,
+    or, if these are fewer, those that don't have the shingle before in common with most of the list."""
+    before = great.where("prev >= 0").groupBy("mark", "prev").agg(F.count("*").alias("k"))
+    most = cut(before.groupBy("mark").agg(F.max(F.struct("k", "prev")).alias("most")))
+    known = looked_up(great, most, "mark", how="left")
+    odd = F.col("n") - F.coalesce("most.k", F.lit(0))
+    alone = (F.col("prev") < 0) | ~F.col("prev").eqNullSafe(F.col("most.prev"))
+    few_ask = F.col("askers") <= odd
+    return cut(known.select("mark", "node", "comp", "n", F.when(few_ask, F.col("asks")).otherwise(alone).alias("asks"), F.when(few_ask, F.col("askers")).otherwise(odd).alias("askers"))).where("askers > 0")
 
 
 def tiled(great: DataFrame, content: DataFrame, threshold: float, x_tile: int = 128, y_tile: int = 256) -> DataFrame:
