@@ -7,7 +7,7 @@ from bisect import bisect_left
 
 from veilframe.operators.scan.context import CYRILLIC, DIGIT, Context, Span, nearest, scanner
 from veilframe.operators.scan.lexicon import Lexicon, same_stem
-from veilframe.operators.scan.phrases import ENDINGS, pattern, phrases
+from veilframe.operators.scan.phrases import ENDINGS, forms, pattern, phrases
 
 # what names a passport, what only sounds like one, and what names another document
 ANCHOR = re.compile(r"(?<!\w)(?:паспорт(?!\w*уш)[а-яё]*|пасп\.|серия|серии|passports?|удостоверени[ея] личности|документ[а-яё]*,? удостоверяющ(?:ий|ие) личность|(?<!№ )(?<!номер )п/п)(?!\w)")
@@ -38,19 +38,24 @@ ADJECTIVE_END = re.compile(r"(?:(?:ск|ч?н|ов|ев)(?:ый|ий|ой|ое|
 FIELDS = phrases("дат{а} | выдач{а} | код{} | подразделени{е} | зарегистрирован | зарегистрирован{а} | прожива~ | адрес{} | паспорт{} | сери{я} | номер{} | снилс | инн | телефон{} | мест{о} | рождени{е} | гражданств{о} | выдан | выдан{а} | выдано | выданы")
 VERB_END = re.compile(r"[а-яё]{2,}(?:(?:[аеиыуя]л|[чкзс]л)(?:а|о|и)?|[аяуюе]ет|[ауюя]ют|[ие]т|[ая]т)(?:ся|сь)?$")
 ABBREVIATED = frozenset("г гор обл окр респ р-н рн пос им тер мкр ул пер с д п мо спб".split())
-GLUE = frozenset("в по г гор им имени на города городе район района районе округ округа область области край края республика республики дел россии рф".split())
+# words of an issuer's name that alone name nobody
+PLACE_WORDS = frozenset("край края краю крае".split()) | forms("город{} | район{} | округ{} | област{ь} | республик{а} | росси{я}") | frozenset("г гор рф".split())
+GLUE = PLACE_WORDS | frozenset("в и на по имени дел".split())
 ISSUED = re.compile(r"(?<!\w)(?:выдан[а-яё]{0,3}|кем выдан[ао]?|орган,? выдавший(?: документ)?|issued by)(?!\w)[ \t:—–-]{0,4}")
 ITEM = re.compile(r"№ ?[0-9]+|[0-9]+(?!\w)|[\w-]+|[«»\"]|[.,;:!?\n()]", re.U)
 
-BIRTH_STEM = re.compile(r"(?<!\w)(?:мест[оау] рождения|родил(?:ся|ась)(?: в)?|урожен(?:ец|ка|ца|ки|цем|кой)|place of birth)(?!\w)[ \t:—–-]{0,4}")
-BIRTH_WORDS = frozenset("в г гор город города городе с село села селе д дер деревня деревне деревни п пос поселок посёлок поселке посёлке пгт рп ст станица станице х хутор хуторе аул ауле нп область области обл край края крае район района районе р-н рн республика республики республике респ округ округа ао ссср рсфср рф россии россия федерации казахстан казахстана".split())
-BIRTH_STOPS = frozenset("дата паспорт серия номер выдан выдана проживает проживающий зарегистрирован зарегистрирована гражданство адрес телефон снилс инн и а но".split())
+BIRTH_STEM = re.compile(pattern("мест{о} рождени{е} | родился | родился в | родилась | родилась в | уроженец | уроженц{} | уроженк{а} | place of birth") + r"[ \t:—–-]{0,4}")
+# kinds of places and states, which a birth place may have in lower case, and the fields that follow it
+BIRTH_WORDS = PLACE_WORDS | forms("сел{о} | деревн{я} | посёлок | поселок | посёлк{} | поселк{} | станиц{а} | хутор{} | аул{} | федераци{я} | казахстан{}") | frozenset("в д дер нп обл п пгт пос р-н респ рн рп с ст х ао ссср рсфср".split())
+BIRTH_STOPS = forms("дат{а} | паспорт{} | сери{я} | номер{} | выдан | выдан{а} | зарегистрирован{а} | зарегистрирован | гражданств{о} | адрес{} | телефон{} | снилс | инн") | frozenset("а и но проживает проживающий".split())
 
-CITIZEN_STEM = re.compile(r"(?<!\w)(?:гражданств[оауе]м?|гражданин|гражданка|гражданина|гражданки|гражданину|гражданке|подданств[оа]|citizenship|citizen of|nationality)(?!\w)[ \t:—–-]{0,4}")
+CITIZEN_STEM = re.compile(pattern("гражданств{о} | гражданин | гражданин{а} | гражданк{а} | подданств{о} | citizenship | citizen of | nationality") + r"[ \t:—–-]{0,4}")
 # fixed values: names of states that aren't countries of the lexicon
 CITIZEN_VALUES = frozenset("ссср рб рк республика республики российское российской российская российскую российского сша russia russian usa belarus kazakhstan ukraine китая израиль".split())
 CITIZEN_TAILS = phrases("федераци{я} | республик{а} | беларус{ь} | казахстан{} | союз{} | federation")
-ADJECTIVE = re.compile(r"(?<!\w)((?:российск|украинск|белорусск|казахск|казахстанск|армянск|узбекск|киргизск|кыргызск|таджикск|азербайджанск|молдавск|грузинск|немецк|американск|израильск|китайск|турецк|французск|британск|польск)(?:ое|ого|им|ому|ий|ая|ой|ую)) (?:гражданств|подданств)")
+# "украинское гражданство": an adjective of a country right before it
+ADJECTIVE = re.compile(r"(?<!\w)([а-яё]{4,}ск(?:ое|ого|им|ому|ий|ая|ой|ую)) (?:гражданств|подданств)")
+NO_COUNTRY = re.compile("иностран|двойн|советск|почетн|почётн")
 
 
 @scanner(
@@ -245,7 +250,8 @@ def walk_commas(ctx: Context, at: int, limit: int):
 def citizenships(ctx: Context):
     values = CITIZEN_VALUES | Lexicon.of(ctx.dictionaries.get("words", ())).countries
     for m in ADJECTIVE.finditer(ctx.lower):
-        yield Span(*m.span(1), "CITIZENSHIP", 0.90, "passport", "adjective")
+        if not NO_COUNTRY.match(m[1]):
+            yield Span(*m.span(1), "CITIZENSHIP", 0.90, "passport", "adjective")
     for m in CITIZEN_STEM.finditer(ctx.lower):
         first = re.match(r"(?:—|–|-|:)?\s*([\w-]+)", ctx.lower[m.end() : m.end() + 60])
         if not first or first[1] not in values:

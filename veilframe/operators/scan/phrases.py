@@ -47,3 +47,12 @@ def pattern(text: str) -> str:
 
 def phrases(text: str) -> re.Pattern:
     return re.compile(pattern(text))
+
+
+def forms(text: str) -> frozenset[str]:
+    """All words that a list of single words stands for, without "~"."""
+    out = set()
+    for w in (p.strip() for p in text.split("|")):
+        stem, brace, rest = w.partition("{")
+        out |= {stem + end for end in ENDINGS[rest[:-1]]} if brace else {w}
+    return frozenset(out - {""})
