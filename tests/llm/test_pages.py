@@ -257,6 +257,12 @@ def test_differencing_decides_inside_main_and_whatever_has_no_mark(spark):
     assert html_extract.main_text(html_extract.lines(rows[0][2]), None).endswith("words of its own Newest stories")  # but for its partner
 
 
+def test_pages_without_a_host_have_no_partner(spark):
+    rows = [(i, None if i % 2 else f"no scheme {i}", f"<p>Shared line<p>Own words {i} {i * i}") for i in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"Shared line Own words {i} {i * i}" for i in range(6)}
+
+
 def test_headings_marked_as_headers_and_passages_inside_articles_stay():
     page = "<article><h2 class='page-header'>Heading</h2><p class='is-hidden-xs'>A passage</p><p>Text {0}</p><div class='newsletter'>Join</div></article>"
     one, two = (html_extract.lines(page.format(i)) for i in (1, 2))

@@ -19,7 +19,7 @@ ranges' ends come to the driver, at most 10 and 4 x `halo` a range. Ranges are s
 run of copies waits for the next other page, in a file where it is long, so neither a host nor a range is
 ever collected.
 
-Null html is empty, an empty page has an empty text; a null URL is a host of its own with no path;
+Null html is empty, an empty page has an empty text; a page whose URL is null or names no host has no partner;
 repeated rows are extracted one by one (a copy of a page is never its partner); an empty table
 gives an empty result; other columns are ignored."""
 
@@ -305,7 +305,7 @@ def paired(rows):
     the last other pages before it are carried along."""
     held, group, before, head, last = Held(), None, [], None, None
     for row in rows:
-        own = row["part"], row["host"]
+        own = row["part"], row["host"], None if row["host"] else row["page_id"]  # pages of no host have nothing in common
         if own == group and row["lines"] == head["lines"]:
             row["lines"] = head["lines"]
         if own == group and (row["lines"] is head["lines"] or is_copy(row["lines"], head["lines"]) and is_copy(head["lines"], row["lines"])):
