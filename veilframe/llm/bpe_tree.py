@@ -348,9 +348,9 @@ def memo(tokenizer: Tokenizer, most: int = 200_000, placed: bool = False) -> Mem
     return _MEMOS[key]
 
 
-def encode(tokenizer: Tokenizer, texts: list[str], leaf: int = 1 << 11) -> list[np.ndarray]:
-    """Token ids of each text. A text of at most `leaf` characters is a tree of one leaf."""
-    return encode_trees(tokenizer, texts, leaf, memo(tokenizer, placed=True).encode_placed)
+def encode(tokenizer: Tokenizer, texts: list[str], leaf: int = 1 << 11, words: int = 200_000) -> list[np.ndarray]:
+    """Token ids of each text. A text of at most `leaf` characters is a tree of one leaf. words: how many are remembered."""
+    return encode_trees(tokenizer, texts, leaf, memo(tokenizer, words, placed=True).encode_placed)
 
 
 TOKENS = "doc_id long, ids array<int>"
@@ -369,7 +369,7 @@ def tokens(docs: DataFrame, path: str, leaf: int = 1 << 11) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), run, TOKENS)
 
 
-def round_trip(docs: DataFrame, path: str, leaf: int = 1 << 11, keep: list[str] | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, leaf: int = 1 << 11, keep: list[str] | None = None, words: int = 200_000) -> DataFrame:
     """One row per row of docs: the columns `keep` of docs (doc_id if not given), n_tokens,
     ids_sha256, decoded_sha256."""
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_bytes(path))
@@ -379,7 +379,7 @@ def round_trip(docs: DataFrame, path: str, leaf: int = 1 << 11, keep: list[str]
         tokenizer = load(sent.value)
         decimal = [str(i) for i in range(tokenizer.get_vocab_size() + 1)]
         for batch in pieces(batches, "text", 1 << 20):
-            ids = [x.tolist() for x in encode(tokenizer, [t or "" for t in batch.column("text").to_pylist()], leaf)]
+            ids = [x.tolist() for x in encode(tokenizer, [t or "" for t in batch.column("text").to_pylist()], leaf, words)]
             texts = tokenizer.decode_batch(ids, skip_special_tokens=False)
             digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
             columns = [batch.column(c) for c in kept]
