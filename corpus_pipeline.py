@@ -40,7 +40,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to."""
-    return bpe_tree.round_trip(docs, vocabulary("word_bpe_49k.json"))
+    # the executors hold what the stages before have left in memory: half the table of op5
+    return bpe_tree.round_trip(docs, vocabulary("word_bpe_49k.json"), words=100_000)
 
 
 STAGES = [
