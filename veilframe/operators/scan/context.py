@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property, lru_cache
 from typing import NamedTuple
 
@@ -143,8 +143,11 @@ def resolve(spans: list[Span]) -> list[Span]:
 
 def scan(ctx: Context) -> list[Span]:
     """What all scanners of enabled categories find, in registry order, as byte ranges, unresolved."""
-    wanted = [(types & ctx.enabled, f) for types, f in SCANNERS.values() if types & ctx.enabled]
-    found = [s for types, f in wanted if compiled(evidence(types)).search(ctx.text) for s in f(ctx) if s.type in ctx.enabled]
+    there = {p: compiled(p).search(ctx.text) is not None for p in {NEEDS.get(t, "") for t in ctx.enabled}}
+    possible = frozenset(t for t in ctx.enabled if there[NEEDS.get(t, "")])
+    if possible != ctx.enabled:
+        ctx = replace(ctx, enabled=possible)
+    found = [s for types, f in SCANNERS.values() if types & possible for s in f(ctx) if s.type in possible]
     return to_bytes(ctx.text, found)
 
 

@@ -58,6 +58,9 @@ ADJECTIVE = re.compile(r"(?<!\w)([а-яё]{4,}ск(?:ое|ого|им|ому|и
 NO_COUNTRY = re.compile("иностран|двойн|советск|почетн|почётн")
 
 
+ISSUER_EVIDENCE = re.compile(f"{CYRILLIC}|(?i:issued|ovd|uvd|ufms|mvd)")
+
+
 @scanner(
     "passport",
     "PASSPORT",
@@ -65,12 +68,12 @@ NO_COUNTRY = re.compile("иностран|двойн|советск|почетн
     "PASSPORT_ISSUER",
     "BIRTH_PLACE",
     "CITIZENSHIP",
-    needs={"PASSPORT": DIGIT, "SUBDIVISION_CODE": DIGIT, "PASSPORT_ISSUER": f"{CYRILLIC}|(?i:issued|ovd|uvd|ufms|mvd)", "BIRTH_PLACE": f"{CYRILLIC}|(?i:place of birth)", "CITIZENSHIP": f"{CYRILLIC}|(?i:citizen|nationality)"},
+    needs={"PASSPORT": DIGIT, "SUBDIVISION_CODE": DIGIT, "PASSPORT_ISSUER": ISSUER_EVIDENCE.pattern, "BIRTH_PLACE": f"{CYRILLIC}|(?i:place of birth)", "CITIZENSHIP": f"{CYRILLIC}|(?i:citizen|nationality)"},
 )
 def passport(ctx: Context):
     on = ctx.enabled
     anchors = [m.span() for m in ANCHOR.finditer(ctx.lower) if not METAPHOR.match(ctx.lower, m.end())]
-    issuers = list(issued_by(ctx, anchors))
+    issuers = list(issued_by(ctx, anchors)) if ISSUER_EVIDENCE.search(ctx.text) else []
     if "PASSPORT" in on:
         yield from numbers(ctx, anchors, issuers)
     yield from issuers
