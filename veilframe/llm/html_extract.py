@@ -16,8 +16,7 @@ Pages are dealt out in ranges of host and path of about `group` pages (more wher
 ranges), with bounds from a sample. Each range also gets the pages beside it - those of `halo` different htmls
 before and after it - so that a page's partner doesn't depend on the bounds. Only keys of samples and of
 ranges' ends come to the driver, at most 10 and 4 x `halo` a range. Ranges are sorted streams in a partition; a
-run of copies waits for the next other page, in a file where it is long, so neither a host nor a range is
-ever collected.
+run of copies of a range waits for the next other page, packed where it is long; a host is never collected.
 
 Null html is empty, an empty page has an empty text; a page whose URL is null or names no host has no partner;
 repeated rows are extracted one by one (a copy of a page is never its partner); an empty table
@@ -28,7 +27,7 @@ from __future__ import annotations
 import html as entities
 import pickle
 import re
-import tempfile
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 
@@ -264,27 +263,22 @@ def near(a: str, b: str) -> int:
 
 
 class Held:
-    """Pages that wait for a partner: about `most` characters in memory, the others in a file of the task."""
+    """Pages of a range that wait for a partner: those beyond about `most` characters are packed one by one. Equal pages
+    share their lines, and a range has a bounded number of pages, so this is a bounded part of a task's memory."""
 
     def __init__(self, most: int = 4 << 20):
-        self.rows, self.room, self.file = [], most, None
+        self.rows, self.room = [], most
 
-    def add(self, *item) -> None:
-        if self.room > 0:
-            self.rows.append(item)
-            self.room -= 200 + sum(len(t) for t, _ in item[0]["lines"])
+    def add(self, page: dict, sides: list[dict], shared: bool = False) -> None:
+        if self.room > 0 or shared:
+            self.rows.append((page, sides))
+            self.room -= 200 if shared else 200 + sum(len(t) for t, _ in page["lines"])
         else:
-            self.file = self.file or tempfile.TemporaryFile()
-            pickle.dump(item, self.file)
+            self.rows.append((zlib.compress(pickle.dumps(page), 1), sides))
 
     def __iter__(self):
-        yield from self.rows
-        if self.file:
-            end = self.file.tell()
-            self.file.seek(0)
-            while self.file.tell() < end:
-                yield pickle.load(self.file)
-            self.file.close()
+        for page, sides in self.rows:
+            yield pickle.loads(zlib.decompress(page)) if isinstance(page, bytes) else page, sides
 
 
 def parsed(batches):
@@ -309,7 +303,7 @@ def paired(rows):
         if own == group and row["lines"] == head["lines"]:
             row["lines"] = head["lines"]
         if own == group and (row["lines"] is head["lines"] or is_copy(row["lines"], head["lines"]) and is_copy(head["lines"], row["lines"])):
-            held.add(row, before)
+            held.add(row, before, shared=row["lines"] is head["lines"])
             last = row
             continue
         waiting, held = held, Held()
