@@ -69,6 +69,16 @@ def test_rules_floor_companion_and_custom(spark, table):
     assert got["3"] == rows[2][1]
 
 
+def test_long_documents_by_rules(spark):
+    c = C.default()
+    c.chunk_bytes, c.systems[0].types["PHONE"].enabled = 900, False
+    rows = [("a", "слово почта ivan.p@mail.ru, тел. +7 916 123-45-67. " * 100), ("b", "ничего"), ("c", None)]
+    df = spark.createDataFrame(rows, "payload_id string, payload string")
+    long_ = {r.key: [tuple(s) for s in r.spans] for r in Engine(c).detect_long(df, "payload_id").collect()}
+    whole = {r.payload_id: [tuple(s) for s in r.spans or []] for r in Engine(c).detect(df).collect()}
+    assert long_ == whole and len(long_["a"]) == 100
+
+
 def test_relational_rules_equal_the_column_form(spark, masked):
     e = Engine(C.default())
     raw = e.detect(spark.createDataFrame(ROWS, "payload_id string, payload string, system_id string"))

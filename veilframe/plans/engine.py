@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.synthetic import synthetic_value
 from veilframe.functions.text import store_key, utf8
 from veilframe.operators import spans as S
-from veilframe.operators.detect import detect
+from veilframe.operators.detect import detect, detect_long
 from veilframe.operators.scan import lexicon
 from veilframe.plans.config import Config, System, checked
 
@@ -64,6 +64,13 @@ class Engine:
         """df with `spans`: places and categories, never values."""
         return self._kept(df, [self._system(system_id)], text)
 
+    def detect_long(self, df: DataFrame, key: str, system_id: str = "default", text: str = "payload") -> DataFrame:
+        """(key, spans) that the system's rules let pass, for tables with documents of any length: chunks are rows of
+        their own. key must name a row; user-defined categories, which are columns of the whole text, aren't looked for."""
+        c, system = self.config, self._system(system_id)
+        found = detect_long(df, key, text, self._enabled(system), c.ref_year, self.dictionaries, c.chunk_bytes, c.chunk_overlap)
+        return found.withColumn("spans", S.passes_rules(F.col("spans"), rule_map(system, c)))
+
     def _system(self, system_id: str | None) -> System:
         found = self.config.system(system_id)
         if found is None:

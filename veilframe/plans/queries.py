@@ -437,7 +437,7 @@ def chat_conversations(spark, sf_dir):
 WANTED = "list_extract([" + ", ".join(str(len(cases.categories(x))) for x in EVERY) + f"], (c_custkey % {len(EVERY)})::INT + 1)"
 
 
-@query(f"SELECT sum({WANTED})::BIGINT AS expected, sum({WANTED})::BIGINT AS hit, count(*) FILTER ({WANTED} = 0) AS negatives, count(*) FILTER ({WANTED} = 0) AS clean, 1.0 AS restore_ratio, 1.0 AS recall, 1.0 AS clean_ratio FROM customer")
+@query(f"SELECT sum({WANTED})::BIGINT AS expected, sum({WANTED})::BIGINT AS hit, count(*) FILTER ({WANTED} = 0) AS negatives, count(*) FILTER ({WANTED} = 0) AS clean, 1.0::DOUBLE AS restore_ratio, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS clean_ratio FROM customer")
 def quality_ratios(spark, sf_dir):
     """Recall, untouched negatives and exact restoring over all families' sentences, by all thirty categories at once."""
     made = told(spark, sf_dir, EVERY)
