@@ -171,7 +171,7 @@ def pack(dac: Dac, doc_ids: np.ndarray, starts: np.ndarray, known: np.ndarray) -
 CATALOGUE = "file string, part long, number long, first_id long, n_docs long, n_tokens long"
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, file_bytes: int = 12 << 20, most_tokens: int = 1 << 20) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, file_bytes: int = 12 << 20, most_tokens: int = 2 << 20) -> DataFrame:
     """Writes the token files; their catalogue, in order, also written as Parquet."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(tokenizer_bytes(tokenizer_path))
@@ -240,9 +240,9 @@ def crcs(file: DacFile, starts: np.ndarray, step: int) -> list[int]:
     return out
 
 
-def read(catalogue: DataFrame, folder: str, docs: int = 1 << 14, step: int = 1 << 18) -> DataFrame:
+def read(catalogue: DataFrame, folder: str, docs: int = 1 << 14, step: int = 1 << 18, task_tokens: int = 8 << 20) -> DataFrame:
     """One row per stored document, read from the files: `docs` documents and `step` tokens at a time, each found by
-    the file's directories, so that no file is ever read whole."""
+    the file's directories, so that no file is ever read whole. A task reads files of about `task_tokens` tokens."""
 
     def run(batches):
         system, root = locate(folder)
@@ -254,8 +254,8 @@ def read(catalogue: DataFrame, folder: str, docs: int = 1 << 14, step: int = 1 <
                         doc_ids, known, starts = file.documents(a, a + docs)
                         yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=~known), pa.array(starts[:-1] + row["base"]), pa.array(np.diff(starts)), pa.array(crcs(file, starts, step), pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = max(1, catalogue.count())
-    return mapped(bases(catalogue).repartition(min(files, 100_000), "file"), run, READ)
+    total = catalogue.agg(F.sum("n_tokens")).first()[0] or 0
+    return mapped(bases(catalogue).repartition(max(1, -(-total // task_tokens)), "file"), run, READ)
 
 
 def lookup(catalogue: DataFrame, folder: str, positions: DataFrame, cell: int = 1 << 22) -> DataFrame:
