@@ -77,9 +77,6 @@ def test_near_classes_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_dedup.tiled, "__defaults__", (16, 32))
     monkeypatch.setattr(common.few, "__defaults__", (0,))
     assert {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, rows)).collect()} == got
-    monkeypatch.setattr(common.few, "__defaults__", (1000,))
-    monkeypatch.setattr(near_dedup.verify, "__defaults__", (3,))
-    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, rows)).collect()} == got
 
 
 def test_prefixes_of_similar_sets_meet(spark):

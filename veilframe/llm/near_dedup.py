@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.bytesig import LOWER, WORD, U, hashes, mix, spans, windows
-from veilframe.llm.common import cut, few, forget, give_back, looked_up, mapped, pieces, utf8, within, without
+from veilframe.llm.common import cut, forget, give_back, looked_up, mapped, pieces, utf8, within, without
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,11 +138,11 @@ def contents(docs: DataFrame, n: int) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), run, "id long, content binary")
 
 
-def verify(pairs: DataFrame, content: DataFrame, threshold: float, most: int = 256) -> DataFrame:
-    """Those of the pairs (a, b, ...) of documents (already cut) that have a similarity of threshold or more.
+def verify(pairs: DataFrame, content: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b, ...) of documents that have a similarity of threshold or more.
 
-    A centre that more than `most` documents are compared with (b; of a there are few pairs) has as many copies of its
-    content as it takes for a task to get about that many of them."""
+    Of a document as a there are few pairs; a centre b of many is a skewed partition of an inner join with nothing above
+    it but a narrow step, which adaptive execution splits."""
 
     def run(batches):  # in batches of bounded bytes, of which only the pairs that are alike come back
         for batch in batches:
@@ -152,14 +152,7 @@ def verify(pairs: DataFrame, content: DataFrame, threshold: float, most: int = 2
 
     left = content.select(F.col("id").alias("a"), F.col("content").alias("x"))
     right = content.select(F.col("id").alias("b"), F.col("content").alias("y"))
-    keys, dealt = ["b"], pairs
-    hot = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / most).cast("int").alias("copies")).where("copies > 1"))
-    if few(hot):  # else no centre stands out
-        copies = F.coalesce("copies", F.lit(1))
-        dealt = pairs.join(F.broadcast(hot), "b", "left").withColumn("copy", F.pmod(F.xxhash64("a"), copies).cast("int")).drop("copies")
-        right = right.join(F.broadcast(hot), "b", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
-        keys = ["b", "copy"]
-    return mapped(dealt.join(left, "a").join(right, keys).select(*pairs.columns, "x", "y"), run, pairs.schema)
+    return mapped(pairs.join(left, "a").join(right, "b").select(*pairs.columns, "x", "y"), run, pairs.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -185,7 +178,7 @@ def links(docs: DataFrame, nodes: DataFrame, known: DataFrame, threshold: float,
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
     near = cut(looked_up(members, cut(shared), "bucket"))  # (bucket, node, centre) of buckets with several nodes
-    pairs = cut(near.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct())
+    pairs = near.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     involved = cut(near.select(F.col("node").alias("doc_id")).distinct())
     content = cut(contents(within(docs, involved, ["doc_id"]), n))  # read by every verification
     comps = components(cut(verify(pairs, content, threshold).unionByName(known)))
@@ -196,7 +189,7 @@ def links(docs: DataFrame, nodes: DataFrame, known: DataFrame, threshold: float,
     if open_.isEmpty():
         return comps
     pairs, blocked = remainder(open_, content, threshold)
-    found = cut(verify(cut(pairs), content, threshold).unionByName(blocked).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    found = cut(verify(pairs, content, threshold).unionByName(blocked).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     if found.isEmpty():
         return comps
     merged = components(found)
