@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilframe.llm import bpe_tree, decontam, exact_dedup, html_extract, near_dedup, quality, sharding, token_store, url_filter, warc
+from veilframe.llm import bpe_tree, collision_ann, decontam, exact_dedup, html_extract, near_dedup, prefix_trie, quality, sharding, token_store, url_filter, warc, whitening
 from veilframe.llm.common import table
 
 
@@ -53,6 +53,19 @@ def op10_html_extract(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_collision_ann(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return collision_ann.search(rows, collision_ann.every(rows, 50))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,7 +79,10 @@ QUERIES = {
         op8_sharding,
         op9_exact_dedup,
         op10_html_extract,
+        op11_prefix_trie,
+        op12_collision_ann,
+        op13_whitening,
     )
 }
 
-ORACLES = {"op3_url_filter": url_filter.ORACLE, "op4_warc": warc.ORACLE, "op8_sharding": sharding.ORACLE, "op7_decontamination": decontam.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op3_url_filter": url_filter.ORACLE, "op4_warc": warc.ORACLE, "op8_sharding": sharding.ORACLE, "op7_decontamination": decontam.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
