@@ -124,12 +124,12 @@ def ends(members: DataFrame, classes: DataFrame) -> DataFrame:
     return mapped(pieces, digest, "ends long, ends_sha256 string")
 
 
-def segments(classes: DataFrame, turns: DataFrame) -> DataFrame:
-    """(rep, n, len, seg, codes, words): the classes' turns, SEGMENT of them in a row; the first row is there even if
+def segments(classes: DataFrame, turns: DataFrame, segment: int) -> DataFrame:
+    """(rep, n, len, seg, codes, words): the classes' turns, `segment` of them in a row; the first row is there even if
     a class has no turn. Cut."""
     listed = F.array_sort(F.collect_list(F.struct("depth", "code", "words")))
     got = turns.withColumnRenamed("conv_id", "rep").join(classes.select("rep"), "rep", "left_semi")
-    rows = got.groupBy("rep", F.floor((F.col("depth") - 1) / SEGMENT).cast("int").alias("seg")).agg(listed.alias("t")).select("rep", "seg", F.col("t.code").alias("codes"), F.col("t.words").alias("words"))
+    rows = got.groupBy("rep", F.floor((F.col("depth") - 1) / segment).cast("int").alias("seg")).agg(listed.alias("t")).select("rep", "seg", F.col("t.code").alias("codes"), F.col("t.words").alias("words"))
     none = F.array().cast("array<bigint>")
     blank = classes.where("len = 0").select("rep", F.lit(0).alias("seg"), none.alias("codes"), none.alias("words"))
     return cut(rows.unionByName(blank).join(classes.select("rep", "n", "len"), "rep"))
@@ -190,14 +190,14 @@ class Local:
         return {"conv_id": [x[0] for x in node], "depth": [x[1] for x in node], "parent_conv_id": parents, "n_convs": [x[3] for x in node], "n_children": [x[4] for x in node], "n_leaves": leaves, "saved_tokens": saved, "ends": [x[6] for x in node]}
 
 
-def path(rep: int, n: int, length: int, words: np.ndarray, seg: int, after: int, d0: int, parent: int | None) -> dict[str, list] | None:
-    """Nodes of a class that is alone in its bucket, of one segment. after: words of later segments."""
-    first = seg * SEGMENT + 1
+def path(rep: int, n: int, length: int, words: np.ndarray, first: int, after: int, d0: int, parent: int | None) -> dict[str, list] | None:
+    """Nodes of a class that is alone in its bucket, of one segment. first: the segment's first
+    depth; after: words of later segments."""
     depths = np.arange(first, first + len(words))
     tail = np.cumsum(words[::-1])[::-1] + after
     keep = depths >= d0
     depths, tail = depths[keep], tail[keep]
-    if seg == 0 and d0 == 0:  # the root has no text of its own
+    if first == 1 and d0 == 0:  # the root has no text of its own
         depths, tail = np.concatenate([[0], depths]), np.concatenate([tail[:1] if len(tail) else [after], tail])
     if not len(depths):
         return None
@@ -207,7 +207,7 @@ def path(rep: int, n: int, length: int, words: np.ndarray, seg: int, after: int,
     return {"conv_id": [rep] * k, "depth": depths.tolist(), "parent_conv_id": above, "n_convs": [n] * k, "n_children": (~last).astype(int).tolist(), "n_leaves": [1] * k, "saved_tokens": ((n - 1) * tail).tolist(), "ends": [rep if x else None for x in last.tolist()]}
 
 
-def finished(rows: DataFrame) -> DataFrame:
+def finished(rows: DataFrame, segment: int) -> DataFrame:
     """The nodes of all buckets that are not split further, with the bucket's key at its top node."""
     schema = f"{NODES}, top string"
     names = [f.split()[0] for f in schema.split(", ")]
@@ -236,9 +236,9 @@ def finished(rows: DataFrame) -> DataFrame:
                 codes, words = (flat[c][offsets[i] : offsets[i + 1]] for c in ("codes", "words"))
                 if r["key"] != now:
                     size += close()
-                    now, bucket = r["key"], None if r["lone"] else Local(r["d0"], r["parent"], r["top_words"], r["seg"] * SEGMENT)
+                    now, bucket = r["key"], None if r["lone"] else Local(r["d0"], r["parent"], r["top_words"], r["seg"] * segment)
                 if r["lone"]:
-                    got = path(r["rep"], r["n"], r["len"], words, r["seg"], r["after"], r["d0"], r["parent"])
+                    got = path(r["rep"], r["n"], r["len"], words, r["seg"] * segment + 1, r["after"], r["d0"], r["parent"])
                     if got:
                         found.append(((now, r["d0"]), got))
                         size += len(got["conv_id"])
@@ -254,12 +254,12 @@ def finished(rows: DataFrame) -> DataFrame:
     return mapped(rows.repartition("key", F.when(F.col("lone"), F.col("seg"))).sortWithinPartitions("key", "rep", "seg"), run, schema)
 
 
-def trie(conversations: DataFrame, every: int = 20, heads: int = 4, local: int = LOCAL) -> DataFrame:
+def trie(conversations: DataFrame, every: int = 20, heads: int = 4, local: int = LOCAL, segment: int = SEGMENT) -> DataFrame:
     """One row per node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     convs, turns = rebuilt(numbered(conversations), every, heads)
     turns = cut(turns)
     members, classes = classed(convs, turns)
-    rows = segments(classes, turns).withColumn("key", F.lit(""))
+    rows = segments(classes, turns, segment).withColumn("key", F.lit(""))
     start = classes.agg(F.count("*").alias("m"), F.sum("len").alias("turns"), F.min("rep").alias("conv"), F.sum("n").alias("n")).where("m > 0")
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
     buckets = cut(start.select(F.lit("").alias("key"), zero.alias("d0"), "m", "turns", "conv", "n", none.alias("parent"), zero.alias("top_words"), F.array().cast("array<string>").alias("path")))
@@ -272,7 +272,7 @@ def trie(conversations: DataFrame, every: int = 20, heads: int = 4, local: int =
         if some.isEmpty():
             break
         here = looked_up(rows, cut(some.select("key", "d0", "m")), "key")
-        each = here.select("key", "d0", "m", "seg", F.posexplode(F.arrays_zip("codes", "words")).alias("i", "t")).withColumn("depth", (F.col("seg") * SEGMENT + F.col("i") + 1).cast("long"))
+        each = here.select("key", "d0", "m", "seg", F.posexplode(F.arrays_zip("codes", "words")).alias("i", "t")).withColumn("depth", (F.col("seg") * segment + F.col("i") + 1).cast("long"))
         # which turns all of a bucket share: at the first depth where one has ended or another code, it splits
         counted = each.where("depth > d0").groupBy("key", "depth")
         profile = cut(counted.agg(F.min("t.codes").alias("low"), F.max("t.codes").alias("high"), F.count("*").alias("c"), F.first("m").alias("m"), F.min("t.words").alias("words")))
@@ -282,8 +282,8 @@ def trie(conversations: DataFrame, every: int = 20, heads: int = 4, local: int =
         at = looked_up(here.drop("d0", "m"), limits, "key")
         stops.append(cut(at.where("len = until AND seg = 0").select("key", F.col("rep").alias("ends"))))
         # the turn that splits a bucket stands in one segment of each class
-        place = (F.col("until") % SEGMENT).cast("int")
-        turn = at.where((F.col("len") > F.col("until")) & (F.col("seg") == F.floor(F.col("until") / SEGMENT)))
+        place = (F.col("until") % segment).cast("int")
+        turn = at.where((F.col("len") > F.col("until")) & (F.col("seg") == F.floor(F.col("until") / segment)))
         turn = turn.select("rep", "n", "len", "key", "until", F.get("codes", place).alias("code"), F.get("words", place).alias("top_words"))
         moved = cut(turn.withColumn("next", F.md5(F.concat_ws(":", "key", F.col("until").cast("string"), F.col("code").cast("string")))))
         grown = moved.groupBy("next").agg(
@@ -295,9 +295,9 @@ def trie(conversations: DataFrame, every: int = 20, heads: int = 4, local: int =
             grown.join(above, "key").select(F.col("next").alias("key"), (F.col("until") + 1).alias("d0"), "m", "turns", "conv", "n", "parent", "top_words", F.concat("path", F.array("key")).alias("path"))
         )
         # segments before the one of the split hold nothing that isn't shared
-        left = at.where((F.col("seg") + 1) * SEGMENT > F.col("until")).select("rep", "n", "len", "seg", "codes", "words")
+        left = at.where((F.col("seg") + 1) * segment > F.col("until")).select("rep", "n", "len", "seg", "codes", "words")
         rows = cut(left.join(moved.select("rep", F.col("next").alias("key")), "rep"))
-    below = cut(finished(with_after(union(done))))
+    below = cut(finished(with_after(union(done), segment), segment))
     nodes = below.drop("top")
     if splits:
         nodes = nodes.unionByName(upper(*map(union, (paths, splits, chains, stops)), below))
@@ -313,11 +313,11 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def with_after(rows: DataFrame) -> DataFrame:
+def with_after(rows: DataFrame, segment: int) -> DataFrame:
     """Rows of finished buckets; of a class that is alone in its bucket with the words of its later segments."""
     later = Window.partitionBy("rep").orderBy(F.desc("seg")).rowsBetween(Window.unboundedPreceding, -1)
     total = F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x)
-    long_ = (F.col("m") == 1) & (F.col("len") > SEGMENT)
+    long_ = (F.col("m") == 1) & (F.col("len") > segment)
     several = rows.where(long_).withColumn("after", F.coalesce(F.sum(total).over(later), F.lit(0)))
     one = rows.where(~long_).withColumn("after", F.lit(0).cast("long"))
     return several.unionByName(one).select("rep", "n", "len", "seg", "codes", "words", "key", "d0", "parent", "top_words", "after", (F.col("m") == 1).alias("lone"))
