@@ -343,8 +343,8 @@ def upper(paths: DataFrame, splits: DataFrame, chains: DataFrame, stops: DataFra
     )
 
 
-_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), x -> ascii(x)::BIGINT)),
-    (acc, o) -> list_reduce(list_prepend(xor(acc, o), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), (a, i) -> CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)), 4294967295::BIGINT)"""
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda acc, o: list_reduce(list_prepend(xor(acc, o), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)), 4294967295::BIGINT)"""
 
 #: Prefixes as lists of digests; a node's subtree is found through the prefixes of its nodes.
 ORACLE = f"""
