@@ -6,11 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilframe.functions import checks, masks, scrub, text
-from veilframe.functions.synthetic import synthetic_value
+from veilframe.functions.synthetic import synthetic
 from veilframe.functions.types import NAMES, TYPES, dimension
 from veilframe.operators import metrics, native
 from veilframe.operators import spans as S
-from veilframe.operators.scan.finance import luhn
 from veilframe.sources import corpus, sinks
 from veilframe.sources.models import answers, chunks_to_text, client
 
@@ -83,14 +82,55 @@ def test_tokens_are_salted_digests(spark):
     assert got == "PD_FIO_" + hashlib.sha256("s\0Пётр".encode()).hexdigest()[:6]
 
 
-@pytest.mark.parametrize("kind, value", [("FIO", "Иванов Иван"), ("CARD_NUMBER", "4111 1111 1111 1111"), ("PHONE", "+7 916 123-45-67"), ("EMAIL", "a@b.ru"), ("BIRTH_DATE", "12.05.1990"), ("INN", "500100732259"), ("CITY", "Тверь"), ("CARD_HOLDER", "IVAN PETROV")])
-def test_synthetic_values_keep_their_shape(kind, value):
-    made = synthetic_value(value, kind)
-    assert made == synthetic_value(value, kind) and made != value
-    if kind in ("CARD_NUMBER", "PHONE", "BIRTH_DATE", "INN"):
-        assert [c.isdigit() for c in made] == [c.isdigit() for c in value]
-    if kind == "CARD_NUMBER":
-        assert luhn(made.replace(" ", ""))
+def numbers(value, kind, salt="veilframe"):
+    """The counter stream of a value in plain Python."""
+    block = 0
+    while True:
+        h = hashlib.sha256("\0".join([salt, kind, value, str(block)]).encode()).hexdigest()
+        yield from (int(h[i : i + 8], 16) for i in range(0, 64, 8))
+        block += 1
+
+
+def test_synthetic_values_keep_their_shape(spark):
+    rows = [
+        ("FIO", "Иванов Иван"), ("CARD_NUMBER", "4111 1111 1111 1111"), ("PHONE", "+7 916 123-45-67"), ("PHONE", "916 123 45 67"), ("EMAIL", "a@b.ru"), ("BIRTH_DATE", "12.05.1990"),
+        ("BIRTH_DATE", "3 мая 1990"), ("INN", "500100732259"), ("CITY", "Тверь"), ("CARD_HOLDER", "IVAN PETROV"), ("STREET", "Новая-Лесная 2b"), ("OWN", ""), ("FIO", None), (None, "x1"),
+    ]
+    df = spark.createDataFrame(rows, "kind string, value string")
+    got = df.select("kind", "value", synthetic(F.col("value"), F.col("kind")).alias("made"), synthetic(F.col("value"), F.col("kind")).alias("again")).collect()
+    for r in got:
+        assert r.made == r.again
+        if r.value is None or not r.value:
+            assert r.made == r.value
+            continue
+        assert r.made != r.value
+        if r.kind in ("CARD_NUMBER", "PHONE", "INN", "STREET"):
+            assert [c.isdigit() for c in r.made] == [c.isdigit() for c in r.value]
+    made = {(r.kind, r.value): r.made for r in got}
+    assert checks_luhn(made["CARD_NUMBER", "4111 1111 1111 1111"].replace(" ", "")) and made["CARD_NUMBER", "4111 1111 1111 1111"].startswith("4")
+    assert made["PHONE", "+7 916 123-45-67"].startswith("+7 9") and made["PHONE", "916 123 45 67"].startswith("9")
+    day, month, year = map(int, made["BIRTH_DATE", "12.05.1990"].split("."))
+    assert 1 <= day <= 28 and 1 <= month <= 12 and 1960 <= year < 2000
+    assert len(made["FIO", "Иванов Иван"].split()) == 2
+    n = numbers("500100732259", "INN")
+    assert made["INN", "500100732259"] == "".join(str(next(n) % 10) for _ in range(12))
+    street = made["STREET", "Новая-Лесная 2b"]
+    assert [c.isupper() for c in street] == [c.isupper() for c in "Новая-Лесная 2b"] and street[5] == "-"
+
+
+def checks_luhn(digits):
+    return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_running_sums(spark):
+    rows = [(list(range(n)),) for n in (0, 1, 31, 32, 33, 200, 1100)]
+    got = spark.createDataFrame(rows, "x array<int>").select("x", text.running(F.col("x")).alias("s")).collect()
+    assert all(r.s == [sum(r.x[: i + 1]) for i in range(len(r.x))] for r in got)
+
+
+def test_matches_of_texts_with_control_characters(spark):
+    got = spark.createDataFrame([("a\u000112\u0001 3",), ("",), (None,)], "t string").select(text.matches("t", "[0-9]+").alias("m")).collect()
+    assert [[(m.start, m.end, m.text) for m in r.m] for r in got] == [[(2, 4, "12"), (6, 7, "3")], [], []]
 
 
 def test_checks(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,14 +52,32 @@ def case_blind(c: Column | str) -> Column:
     return F.lower(col(c)) == col(c)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it: it is bound to a lambda's variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(sizes: Column, block: int = 32) -> Column:
+    """The inclusive running sums of an array of integers. Sums inside a block start at the block, so that their cost is
+    `block` steps an element; building the array one by one would copy it each time."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+    def summed(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")), lambda b: total(F.slice(x, b * block + 1, F.lit(block))))
+        before = let(blocks, lambda s: F.transform(s, lambda _, b: total(F.slice(s, F.lit(1), b))))
+        of = lambda i: F.floor(i / block).cast("int")
+        return let(before, lambda s: F.transform(x, lambda _, i: F.get(s, of(i)) + total(F.slice(x, of(i) * block + 1, i % block + 1))))
+
+    return let(sizes, lambda x: F.when(F.size(x) == 0, x).otherwise(summed(x)))
+
+
 def with_offsets(parts: Column) -> Column:
     """Strings that follow each other -> array of (start, end, text) in bytes."""
-    ends = F.aggregate(
-        parts,
-        F.array(F.lit(0)).cast("array<int>"),
-        lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.octet_length(p))),
-    )
-    return F.transform(parts, lambda p, i: F.struct(F.get(ends, i).alias("start"), F.get(ends, i + 1).alias("end"), p.alias("text")))
+
+    def placed(p: Column) -> Column:
+        return let(running(F.transform(p, F.octet_length)), lambda ends: F.transform(p, lambda x, i: F.struct((F.get(ends, i) - F.octet_length(x)).alias("start"), F.get(ends, i).alias("end"), x.alias("text"))))
+
+    return let(parts, placed)
 
 
 def tokens(c: Column | str) -> Column:
@@ -69,27 +89,25 @@ def tokens(c: Column | str) -> Column:
     return F.transform(with_offsets(parts), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), kind(x["text"]).alias("kind")))
 
 
+#: Stands around matches while a text is cut; where a text has one itself, it counts as another control character.
+MARK = "\u0001"
+
+
+def cut_at(c: Column, pattern: str | Column) -> Column:
+    """The text in pieces: gap, match, gap, match, ..., gap. The pattern, which may be a column, runs once."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return F.split(F.regexp_replace(F.translate(c, MARK, "\u0002"), pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+
+
 def matches(c: Column | str, pattern: str) -> Column:
-    """All matches of a pattern that can't match the empty string: array of (start, end, text).
+    """All matches of a pattern that can't match the empty string: array of (start, end, text)."""
+    found = "array<struct<start:int,end:int,text:string>>"
 
-    The gaps that split() leaves and the matches that regexp_extract_all() finds alternate, so their
-    running byte lengths are the offsets."""
-    c = col(c)
-    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    gaps = F.split(c, pattern, -1)
-    starts = F.aggregate(
-        F.sequence(F.lit(0), F.size(found)),
-        F.array(F.lit(0)).cast("array<int>"),
-        lambda acc, i: F.concat(
-            acc,
-            F.array(F.element_at(acc, -1) + F.coalesce(F.octet_length(F.get(gaps, i)), F.lit(0)) + F.coalesce(F.octet_length(F.get(found, i)), F.lit(0))),
-        ),
-    )
-    listed = F.transform(
-        found,
-        lambda m, i: F.struct((F.get(starts, i + 1) - F.octet_length(m)).alias("start"), F.get(starts, i + 1).alias("end"), m.alias("text")),
-    )
-    return F.when(F.size(found) > 0, listed).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    def listed(pieces: Column) -> Column:
+        at = lambda i: i % 2 == 1
+        return F.when(F.size(pieces) < 2, F.array().cast(found)).otherwise(F.filter(with_offsets(pieces), lambda _, i: at(i)))
+
+    return F.when(col(c).isNull(), F.array().cast(found)).otherwise(let(cut_at(col(c), pattern), listed))
 
 
 def is_boundary(c: Column | str, at: Column) -> Column:

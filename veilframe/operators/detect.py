@@ -1,4 +1,4 @@
-"""Detection over a text column: context scanners in Arrow batches, long texts in chunks, user-defined categories."""
+"""Detection over a text column: native detectors, context scanners in Arrow batches, long texts in chunks, users' categories."""
 
 from __future__ import annotations
 
@@ -13,10 +13,7 @@ from veilframe.functions.types import SPANS
 from veilframe.operators import native
 from veilframe.operators.scan import Context, scan
 from veilframe.operators.scan.context import Span, evidence, resolve
-
-#: Categories whose native detector finds what the scanner does.
-NATIVE_ONLY = frozenset({"EMAIL"})
-
+from veilframe.operators.spans import resolve as resolved
 
 def cuts(data: bytes, size: int) -> list[int]:
     """Where a payload of more than `size` bytes is cut: at the last newline, else the last space, of the
@@ -118,33 +115,44 @@ def register_chunks(spark) -> None:
     spark.udtf.register("text_chunks", F.udtf(Chunks, returnType="offset: int, chunk: string"))
 
 
-def detect_long(df: DataFrame, key: str, text: str = "payload", types: Iterable[str] = (), ref_year: int = 2025, dictionaries: dict | None = None, size: int = 64 << 10, overlap: int = 256) -> DataFrame:
+def both(text: Column, types: Iterable[str], ref_year: int, dictionaries: dict | None, size: int, overlap: int, on_error: str) -> Column | None:
+    """The spans of native detectors and context scanners, unresolved; None if no category is enabled. Python is in the
+    plan only if a category needs a scanner."""
+    types = set(types)
+    institutions = tuple(dict((dictionaries or {}).get("words", ())).get("institutions", ()))
+    parts = []
+    if types & native.TYPES:
+        parts.append(native.detect(text, sorted(types & native.TYPES), institutions))
+    if types - native.TYPES:
+        parts.append(F.coalesce(scanned(text, types - native.TYPES, ref_year, dictionaries, size, overlap, on_error), F.array().cast(SPANS)))
+    return (parts[0] if len(parts) == 1 else F.concat(*parts)) if parts else None
+
+
+def users(text: Column, custom: Iterable) -> list[Column]:
+    return [native.custom(text, t.name, t.pattern, t.anchors, t.window or 40) for t in custom]
+
+
+def detect_long(df: DataFrame, key: str, text: str = "payload", types: Iterable[str] = (), custom: Iterable = (), ref_year: int = 2025, dictionaries: dict | None = None, size: int = 64 << 10, overlap: int = 256, on_error: str = "fail") -> DataFrame:
     """(key, spans): what detect() finds, for tables with documents of any length: their chunks are rows of their
-    own, dealt out anew, so that one huge document is many tasks' work. Only spans come back together."""
+    own, dealt out anew, so that one huge document is many tasks' work. Only spans come back together. A value of a
+    user-defined category is found if it and its anchor fit into what two chunks share."""
     parts = explode_chunks(df, key, text, size, overlap).repartition("key", "offset")
-    found = parts.select("key", "offset", scanned(F.col("chunk"), types, ref_year, dictionaries, size + overlap + 4, overlap).alias("spans"))
+    c = F.col("chunk")
+    found = both(c, types, ref_year, dictionaries, size + overlap + 4, overlap, on_error)
+    columns = ([] if found is None else [found]) + users(c, custom)
+    spans = parts.select("key", "offset", (F.concat(*columns) if columns else F.array().cast(SPANS)).alias("spans"))
     moved = F.transform("spans", lambda s: s.withField("start", s["start"] + F.col("offset")).withField("end", s["end"] + F.col("offset")))
-    grouped = found.select("key", F.explode_outer(moved).alias("s")).groupBy("key").agg(F.sort_array(F.collect_list("s")).alias("spans"))
-    from veilframe.operators.spans import resolve as resolved
-
+    grouped = spans.select("key", F.explode_outer(moved).alias("s")).groupBy("key").agg(F.sort_array(F.collect_list("s")).alias("spans"))
     return grouped.select("key", resolved(F.col("spans")).alias("spans"))
 
 
 def detect(df: DataFrame, text: str = "payload", types: Iterable[str] = (), custom: Iterable = (), ref_year: int = 2025, dictionaries: dict | None = None, size: int = 64 << 10, overlap: int = 256, out: str = "spans", on_error: str = "fail") -> DataFrame:
     """df with a column of resolved spans.
 
-    If all enabled categories have native detectors the whole detection is native; else the scanners
-    run, in one Python pass. User-defined categories are native columns; overlaps are resolved last."""
-    from veilframe.operators.spans import resolve as resolved
-
-    types, custom, c = list(types), list(custom), F.col(text)
-    if types and set(types) <= NATIVE_ONLY and not dictionaries:
-        found = native.detect(c, types)
-    elif types:
-        found = scanned(c, types, ref_year, dictionaries, size, overlap, on_error)
-    else:
-        found = F.array().cast(SPANS)
-    extra = [native.custom(c, t.name, t.pattern, t.anchors, t.window or 40) for t in custom]
-    merged = F.concat(F.coalesce(found, F.array().cast(SPANS)), *extra) if extra else found
-    resolved_ = resolved(F.col("_raw")) if extra or set(types) <= NATIVE_ONLY else F.col("_raw")
-    return df.withColumn("_raw", merged).withColumn(out, F.when(c.isNull(), None).otherwise(resolved_)).drop("_raw")
+    E-mail addresses, numbers and user-defined categories are native columns; the context scanners run, in one Python
+    pass, for names, passports, dates and addresses only. Overlaps are resolved last."""
+    c = F.col(text)
+    found = both(c, types, ref_year, dictionaries, size, overlap, on_error)
+    columns = ([] if found is None else [found]) + users(c, custom)
+    raw = F.concat(*columns) if columns else F.array().cast(SPANS)
+    return df.withColumn("_raw", raw).withColumn(out, F.when(c.isNull(), None).otherwise(resolved(F.col("_raw")))).drop("_raw")

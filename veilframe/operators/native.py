@@ -1,7 +1,6 @@
-"""Detectors as pure column expressions, where a pattern and its surroundings are all there is to see.
+"""Detectors as pure column expressions: e-mail addresses, numbers (operators/digits.py) and users' own categories.
 
-They are JVM code: no Python worker sees the text. EMAIL is what the scanner finds, too, and detect() uses it
-where only e-mail is enabled; the others find the shapes that need no cue, for tables where that is enough."""
+They are JVM code: no Python worker sees the text."""
 
 from __future__ import annotations
 
@@ -10,57 +9,33 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilframe.functions.checks import card_scheme, luhn, snils_valid
 from veilframe.functions.text import byte_view, col, matches, safe_lower, utf8
 from veilframe.functions.types import SPANS
-from veilframe.operators.scan.contact import INSTITUTIONS, ROLES
+from veilframe.operators import digits
+from veilframe.operators.digits import span
 
 EMAIL = r"(?<![\p{L}\p{Nd}_.+-])[a-z0-9][a-z0-9._+-]*@(?:[a-z0-9а-яё-]+\.)+[a-zа-яё]{2,}(?![\p{L}\p{Nd}_])"
-CARD = r"(?<![\p{L}\p{Nd}_.-])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![\p{L}\p{Nd}_-]|\.[0-9])"
-PHONE = r"(?<![\p{L}\p{Nd}_+.-])(?:\+7|8|7)[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{2}(?![\p{L}\p{Nd}_-])"
-SNILS = r"(?<![\p{L}\p{Nd}_.-])[0-9]{3}-[0-9]{3}-[0-9]{3}[ -][0-9]{2}(?![\p{L}\p{Nd}_-])"
+#: Mailboxes of a role, not of a person; a list of further institutions' domains is the caller's.
+ROLES = ("admin", "contact", "help", "hr", "info", "noreply", "office", "press", "sales", "support")
+INSTITUTIONS = ("sberbank.ru",)
 
+#: What this module finds; everything else is the context scanners' (operators/scan).
+TYPES = frozenset({"EMAIL", *digits.BY_WINDOWS})
 
-def span(m: Column, type_: str, conf: float | Column, hint: Column | str = "") -> Column:
-    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(type_).alias("type"), lit(conf).cast("double").alias("conf"), F.lit("native").alias("src"), lit(hint).alias("hint"))
 
-
-def emails(text: Column | str) -> Column:
+def emails(text: Column | str, institutions: tuple[str, ...] = ()) -> Column:
     """Personal e-mail addresses: neither role mailboxes nor those of institutions."""
-    domains = "|".join(re.escape(d) for d in INSTITUTIONS)
+    domains = "|".join(re.escape(d) for d in (*INSTITUTIONS, *institutions))
     local = lambda m: F.regexp_extract(m["text"], r"^([^@+]*)", 1)
-    found = F.filter(matches(safe_lower(text), EMAIL), lambda m: ~local(m).isin(sorted(ROLES)) & ~m["text"].rlike(rf"[@.](?:{domains})$"))
+    found = F.filter(matches(safe_lower(text), EMAIL), lambda m: ~local(m).isin(*ROLES) & ~m["text"].rlike(rf"[@.](?:{domains})$"))
     return F.transform(found, lambda m: span(m, "EMAIL", 0.98))
 
 
-def cards(text: Column | str) -> Column:
-    """Sixteen digits, solid or in fours, with a valid check digit."""
-    digits = lambda m: F.regexp_replace(m["text"], "[^0-9]", "")
-    found = F.filter(matches(text, CARD), lambda m: luhn(digits(m)) & ~digits(m).rlike(r"^(.)\1*$"))
-    return F.transform(found, lambda m: span(m, "CARD_NUMBER", 0.99, card_scheme(digits(m))))
-
-
-def phones(text: Column | str) -> Column:
-    """Eleven digits with a country prefix, not of a toll-free range."""
-    digits = lambda m: F.regexp_replace(m["text"], "[^0-9]", "")
-    found = F.filter(matches(text, PHONE), lambda m: ~digits(m).rlike("^[78]80[04]"))
-    return F.transform(found, lambda m: span(m, "PHONE", 0.95))
-
-
-def snils(text: Column | str) -> Column:
-    digits = lambda m: F.regexp_replace(m["text"], "[^0-9]", "")
-    found = F.filter(matches(text, SNILS), lambda m: snils_valid(digits(m)))
-    return F.transform(found, lambda m: span(m, "SNILS", 0.98, "snils"))
-
-
-NATIVE = {"EMAIL": emails, "CARD_NUMBER": cards, "PHONE": phones, "SNILS": snils}
-
-
-def detect(text: Column | str, types: list[str]) -> Column:
+def detect(text: Column | str, types: list[str], institutions: tuple[str, ...] = ()) -> Column:
     """All native detectors of some categories in one array, unresolved; others are not even built."""
-    columns = [NATIVE[t](text) for t in NATIVE if t in types]
-    return F.concat(*columns) if columns else F.array().cast(SPANS)
+    text = col(text)
+    mails = [F.when(text.contains("@"), emails(text, institutions)).otherwise(F.array().cast(SPANS))] if "EMAIL" in types else []
+    return F.concat(*mails, digits.detect(text, types))
 
 
 def custom(text: Column | str, name: str, pattern: str, anchors: list[str] | None = None, window: int = 40) -> Column:
@@ -73,7 +48,7 @@ def custom(text: Column | str, name: str, pattern: str, anchors: list[str] | Non
         lower = utf8(safe_lower(text))
         left = lambda m: byte_view(byte_slice_lenient(lower, F.greatest(m["start"] - window, F.lit(0)), m["start"]))
         found = F.filter(found, lambda m: left(m).rlike(rf"(?s)(?:^|[^0-9a-z_\u0080-\u00ff])(?:{words})(?:$|[^0-9a-z_\u0080-\u00ff])"))
-    return F.transform(found, lambda m: span(m, name, 0.9, "custom"))
+    return F.transform(found, lambda m: span(m, name, 0.9).withField("src", F.lit("custom")))
 
 
 def byte_view_literal(word: str) -> str:

@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import masks
-from veilframe.functions.text import byte_slice, col, utf8
+from veilframe.functions.text import byte_slice, col, cut_at, let, utf8
 from veilframe.functions.types import CUSTOM_PRIORITY, PRIORITY, SPANS
 
 
-
 def priority(type_: Column) -> Column:
     out = F.lit(CUSTOM_PRIORITY)
     by_value: dict[int, list[str]] = {}
@@ -29,25 +28,45 @@ def overlaps(a: Column, b: Column) -> Column:
 
 def resolve(spans: Column | str) -> Column:
     """The spans that no better one overlaps, by place: longest first, then priority, confidence, start,
-    and the order they came in."""
-    spans = col(spans)
+    and the order they came in. The argument is computed once.
+
+    A chosen span is at least as long as any that comes after it, so it overlaps that one only if it covers its first
+    or its last byte. The chosen ones are kept as a map of covered bytes: a span is settled by two look-ups, and
+    only a chosen one writes its bytes. Spans are moved to the left by the smallest start first."""
+    return let(col(spans), lambda s: F.when(F.size(s) < 2, s).otherwise(let(F.array_sort(s), lambda placed: F.when(is_apart(placed), placed).otherwise(chosen(s)))))
+
+
+def is_apart(placed: Column) -> Column:
+    """Whether spans in order neither overlap nor are empty."""
+    return F.forall(F.transform(placed, lambda b, i: (b["start"] < b["end"]) & F.coalesce(F.get(placed, i - 1)["end"] <= b["start"], F.lit(True))), lambda x: x)
+
+
+def chosen(spans: Column) -> Column:
+    """resolve() of spans of which some overlap: covered bytes are \x01 in a binary. Empty spans overlap nothing that
+    doesn't hold them inside."""
+    low = F.array_min(F.transform(spans, lambda s: s["start"]))
+    high = F.array_max(F.transform(spans, lambda s: s["end"]))
     keyed = F.transform(
         spans,
-        lambda s, i: F.struct(
-            (s["start"] - s["end"]).alias("k1"), (-priority(s["type"])).alias("k2"), (-s["conf"]).alias("k3"), s["start"].alias("k4"), i.alias("k5"), s.alias("span")
-        ),
-    )
-    ordered = F.transform(F.array_sort(keyed), lambda k: k["span"])
-    kept = F.aggregate(
-        ordered,
-        F.array().cast(SPANS),
-        lambda acc, s: F.when(F.exists(acc, lambda k: overlaps(k, s)), acc).otherwise(F.concat(acc, F.array(s))),
+        lambda s, i: F.struct((s["start"] - s["end"]).alias("k1"), (-priority(s["type"])).alias("k2"), (-s["conf"]).alias("k3"), s["start"].alias("k4"), i.alias("k5")),
     )
-    placed = F.array_sort(spans)
-    apart = ~F.exists(F.zip_with(F.slice(placed, 1, F.size(placed) - 1), F.slice(placed, 2, F.size(placed) - 1), lambda a, b: b["start"] < a["end"]), lambda x: x)
-    empty = F.exists(spans, lambda s: s["start"] >= s["end"])
-    # neighbours that don't overlap need no choice: that is linear, and all there is to do in most texts
-    return F.when(F.size(spans) < 2, spans).when(apart & ~empty, placed).otherwise(F.array_sort(kept))
+
+    def sweep(bounds: Column) -> Column:
+        low, high = bounds["low"], bounds["high"]
+        covered = lambda map_, at: F.substring(map_, at + 1, F.lit(1)) == F.unhex(F.lit("01"))
+        # an order's place and length tell the span's bytes; the map is all that the fold carries besides the choice
+        none = F.struct(F.unhex(F.repeat(F.lit("00"), high - low + 1)).alias("map"), F.array().cast("array<int>").alias("kept"))
+
+        def step(acc: Column, k: Column) -> Column:
+            size, at = -k["k1"], k["k4"] - low
+            hit = covered(acc["map"], at) & ((size > 0) | (at > 0) & covered(acc["map"], at - 1)) | (size > 0) & covered(acc["map"], at + size - 1)
+            ones = F.unhex(F.repeat(F.lit("01"), size))
+            return F.when(hit, acc).otherwise(F.struct(F.overlay(acc["map"], ones, at + 1, size).alias("map"), F.array_append(acc["kept"], k["k5"]).alias("kept")))
+
+        return F.aggregate(F.array_sort(keyed), none, step, lambda acc: acc["kept"])
+
+    kept = let(F.struct(low.alias("low"), high.alias("high")), sweep)
+    return F.array_sort(F.transform(kept, lambda i: F.get(spans, i)))
 
 
 def passes_rules(spans: Column, rules: Column, custom_floor: dict[str, float] | None = None, default_floor: float = 0.7) -> Column:
@@ -152,11 +171,24 @@ def restore(masked: Column | str, reps: Column) -> Column:
 
 
 def restore_text(text: Column | str, reps: Column) -> Column:
-    """text with every mask that stands for one value replaced by it, longest mask first."""
-    pairs = F.array_distinct(F.transform(reps, lambda r: F.struct(r["masked"].alias("masked"), r["original"].alias("original"))))
-    clear = F.filter(pairs, lambda p: (F.length(p["masked"]) > 0) & (F.size(F.filter(pairs, lambda q: q["masked"] == p["masked"])) == 1) & (p["masked"] != p["original"]))
-    ordered = F.array_sort(F.transform(clear, lambda p: F.struct((-F.length(p["masked"])).alias("k"), p["masked"].alias("masked"), p["original"].alias("original"))))
-    return F.aggregate(ordered, col(text), lambda acc, p: F.replace(acc, p["masked"], p["original"]))
+    """text with every mask that stands for one value replaced by it.
+
+    One pass from left to right finds the masks, the longest that fits at a place; what is put in is not looked at
+    again, so that an original may hold other masks. The pattern of a row is the alternation of its masks."""
+    pair = lambda r: F.struct(r["masked"].alias("masked"), r["original"].alias("original"))
+
+    def clear(pairs: Column) -> Column:  # sorted, so that equal masks are neighbours
+        same = lambda p, q: F.coalesce(p["masked"] == q["masked"], F.lit(False))
+        return F.filter(pairs, lambda p, i: (F.length(p["masked"]) > 0) & ~same(p, F.get(pairs, i - 1)) & ~same(p, F.get(pairs, i + 1)) & (p["masked"] != p["original"]))
+
+    def put_in(known: Column) -> Column:
+        masks = F.transform(known, lambda p: p["masked"])
+        longest = F.transform(F.array_sort(F.transform(known, lambda p: F.struct((-F.length(p["masked"])).alias("k"), p["masked"].alias("masked")))), lambda k: k["masked"])
+        pattern = F.array_join(F.transform(longest, lambda m: F.concat(F.lit("\\Q"), F.replace(m, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))), "|")
+        listed = lambda names: F.array_join(F.transform(cut_at(col(text), pattern), lambda piece, i: F.when(i % 2 == 1, F.get(known, (F.array_position(names, piece) - 1).cast("int"))["original"]).otherwise(piece)), "")
+        return F.when(F.size(known) > 0, let(masks, listed)).otherwise(col(text))
+
+    return let(let(F.array_sort(F.array_distinct(F.transform(reps, pair))), clear), put_in)
 
 
 def leaks(spans: Column, reps: Column) -> Column:

@@ -8,11 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.synthetic import synthetic_value
 from veilframe.functions.text import store_key, utf8
 from veilframe.operators import spans as S
 from veilframe.operators.detect import detect, detect_long
@@ -66,10 +64,11 @@ class Engine:
 
     def detect_long(self, df: DataFrame, key: str, system_id: str = "default", text: str = "payload") -> DataFrame:
         """(key, spans) that the system's rules let pass, for tables with documents of any length: chunks are rows of
-        their own. key must name a row; user-defined categories, which are columns of the whole text, aren't looked for."""
+        their own. key must name a row."""
         c, system = self.config, self._system(system_id)
-        found = detect_long(df, key, text, self._enabled(system), c.ref_year, self.dictionaries, c.chunk_bytes, c.chunk_overlap)
-        return found.withColumn("spans", S.passes_rules(F.col("spans"), rule_map(system, c)))
+        found = detect_long(df, key, text, self._enabled(system), c.custom_types, c.ref_year, self.dictionaries, c.chunk_bytes, c.chunk_overlap, c.on_error)
+        floors = {t.name: t.min_confidence for t in c.custom_types if t.name not in system.types}
+        return found.withColumn("spans", S.passes_rules(F.col("spans"), rule_map(system, c), floors))
 
     def _system(self, system_id: str | None) -> System:
         found = self.config.system(system_id)
@@ -85,11 +84,7 @@ class Engine:
         used = {strategy} if strategy else {r.strategy for s in systems for r in s.types.values()} | {t.strategy for t in c.custom_types}
         labels = {t.name: t.label for t in c.custom_types if t.label}
         names = by_system(systems, lambda s: strategy_map(s, c, strategy))
-        out = kept.withColumn("_data", utf8(text)).withColumn("_made", S.apply_masks(F.col("_data"), F.col("spans"), names, labels=labels, salt=c.token_salt)).drop("_data")
-        if "synthetic" in used:
-            fake = fakes(F.col(text), F.transform("spans", lambda s: F.when(F.element_at(names, s["type"]) == "synthetic", s)))
-            swapped = F.transform("_made", lambda p, i: F.when(F.get(F.col("_fake"), i).isNotNull(), p.withField("masked", F.get(F.col("_fake"), i))).otherwise(p))
-            out = out.withColumn("_fake", fake).withColumn("_made", swapped).drop("_fake")
+        out = kept.withColumn("_data", utf8(text)).withColumn("_made", S.apply_masks(F.col("_data"), F.col("spans"), names, synthetic="synthetic" in used, labels=labels, salt=c.token_salt)).drop("_data")
         return out.withColumn("masked", S.rewritten(text, F.col("_made"))).withColumn("replacements", S.replacements(F.col("_made"))).withColumn("types", F.array_distinct(F.transform("_made", lambda p: p["type"]))).drop("_made")
 
     def mask(self, df: DataFrame, text: str = "payload") -> DataFrame:
@@ -168,23 +163,7 @@ class Engine:
         return replied.withColumn("restored", restored).withColumn("counts", S.type_counts(F.col("replacements"))).drop("replacements")
 
 
-def fakes(text: Column, spans: Column) -> Column:
-    """A made-up value for each span that isn't null."""
-
-    @F.pandas_udf("array<string>")
-    def made(texts: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for t, spans in zip(texts, found, strict=True):
-            data = (t or "").encode()
-            out.append([None if s is None else synthetic_value(data[s["start"] : s["end"]].decode(), s["type"]) for s in (spans if spans is not None else [])])
-        return pd.Series(out, dtype=object)
-
-    return made(text, spans)
-
-
 def demo_answer(messages: Column) -> Column:
     """An answer without a model: the last user message, quoted."""
     said = F.filter(messages, lambda m: m["role"] == "user")
     return F.concat(F.lit("You wrote: "), F.coalesce(F.element_at(said, -1)["masked"], F.lit("")))
-
-
