@@ -115,7 +115,7 @@ def register_chunks(spark) -> None:
     spark.udtf.register("text_chunks", F.udtf(Chunks, returnType="offset: int, chunk: string"))
 
 
-def both(text: Column, types: Iterable[str], ref_year: int, dictionaries: dict | None, size: int, overlap: int, on_error: str) -> Column | None:
+def both(text: str, types: Iterable[str], ref_year: int, dictionaries: dict | None, size: int, overlap: int, on_error: str) -> Column | None:
     """The spans of native detectors and context scanners, unresolved; None if no category is enabled. Python is in the
     plan only if a category needs a scanner."""
     types = set(types)
@@ -124,7 +124,7 @@ def both(text: Column, types: Iterable[str], ref_year: int, dictionaries: dict |
     if types & native.TYPES:
         parts.append(native.detect(text, sorted(types & native.TYPES), institutions))
     if types - native.TYPES:
-        parts.append(F.coalesce(scanned(text, types - native.TYPES, ref_year, dictionaries, size, overlap, on_error), F.array().cast(SPANS)))
+        parts.append(F.coalesce(scanned(F.col(text), types - native.TYPES, ref_year, dictionaries, size, overlap, on_error), F.array().cast(SPANS)))
     return (parts[0] if len(parts) == 1 else F.concat(*parts)) if parts else None
 
 
@@ -137,9 +137,8 @@ def detect_long(df: DataFrame, key: str, text: str = "payload", types: Iterable[
     own, dealt out anew, so that one huge document is many tasks' work. Only spans come back together. A value of a
     user-defined category is found if it and its anchor fit into what two chunks share."""
     parts = explode_chunks(df, key, text, size, overlap).repartition("key", "offset")
-    c = F.col("chunk")
-    found = both(c, types, ref_year, dictionaries, size + overlap + 4, overlap, on_error)
-    columns = ([] if found is None else [found]) + users(c, custom)
+    found = both("chunk", types, ref_year, dictionaries, size + overlap + 4, overlap, on_error)
+    columns = ([] if found is None else [found]) + users(F.col("chunk"), custom)
     spans = parts.select("key", "offset", (F.concat(*columns) if columns else F.array().cast(SPANS)).alias("spans"))
     moved = F.transform("spans", lambda s: s.withField("start", s["start"] + F.col("offset")).withField("end", s["end"] + F.col("offset")))
     grouped = spans.select("key", F.explode_outer(moved).alias("s")).groupBy("key").agg(F.sort_array(F.collect_list("s")).alias("spans"))
@@ -152,7 +151,13 @@ def detect(df: DataFrame, text: str = "payload", types: Iterable[str] = (), cust
     E-mail addresses, numbers and user-defined categories are native columns; the context scanners run, in one Python
     pass, for names, passports, dates and addresses only. Overlaps are resolved last."""
     c = F.col(text)
-    found = both(c, types, ref_year, dictionaries, size, overlap, on_error)
+    found = both(text, types, ref_year, dictionaries, size, overlap, on_error)
     columns = ([] if found is None else [found]) + users(c, custom)
     raw = F.concat(*columns) if columns else F.array().cast(SPANS)
-    return df.withColumn("_raw", raw).withColumn(out, F.when(c.isNull(), None).otherwise(resolved(F.col("_raw")))).drop("_raw")
+    return df.withColumn(out, once(F.when(c.isNotNull(), resolved(raw))))
+
+
+def once(c: Column) -> Column:
+    """c, which Catalyst must not compute again in what reads it: filters that it infers for a later explode or aggregate
+    would repeat a whole detection. An expression that isn't deterministic is never copied."""
+    return F.when(F.spark_partition_id() >= 0, c)

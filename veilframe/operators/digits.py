@@ -10,9 +10,10 @@ of them is used there. Gaps are looked at for REACH characters."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions.checks import all_same, card_scheme, iban_valid, inn_valid, luhn, snils_valid
@@ -187,26 +188,24 @@ def taxpayers(all_: Column) -> Column:
     return rated(all_, keep, conf, lambda w, c: span(w, "INN", c))
 
 
-def after_card(all_: Column) -> Callable[[Column], Column]:
-    """Whether a window stands right after a card's sixteen digits."""
-    ends = let(cards(all_), lambda c: F.transform(F.filter(c, lambda s: s["conf"] > 0.9), lambda s: s["end"]))
-    return lambda w: F.array_contains(ends, w["start"] - F.octet_length(w["left"])) & w["left"].rlike(CHAIN)
+def behind_card(all_: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """body(test), test(w) = whether a window stands right after a card's digits. The cards are looked for once."""
+    ends = F.transform(F.filter(cards(all_), lambda s: s["conf"] > 0.9), lambda s: s["end"])
+    return let(ends, lambda e: body(lambda w: F.array_contains(e, w["start"] - F.octet_length(w["left"])) & w["left"].rlike(CHAIN)))
 
 
 def codes(all_: Column) -> Column:
     """A card's code: three digits beside a cue or after a card, or four after a cue."""
     keep = lambda w: (w["first"] == w["last"]) & F.length(w["digits"]).isin(3, 4) & free(w)
     short = lambda w: F.length(w["digits"]) == 3
-    behind = after_card(all_)
-    return found(all_, lambda w: keep(w) & (said(w["left"], CVV) | short(w) & (said(w["right"], CVV) | behind(w))), lambda w: span(w, "CVV", 0.93))
+    return behind_card(all_, lambda behind: found(all_, lambda w: keep(w) & (said(w["left"], CVV) | short(w) & (said(w["right"], CVV) | behind(w))), lambda w: span(w, "CVV", 0.93)))
 
 
 def pins(all_: Column) -> Column:
     """Four to six digits after a cue, four after a card; none of another device in the sentence."""
-    behind = after_card(all_)
     keep = lambda w: (w["first"] == w["last"]) & F.length(w["digits"]).between(4, 6) & free(w)
     other = lambda w: said(F.regexp_extract(w["left"], r"[^.!?\n]*$", 0), OTHER_PIN)
-    return found(all_, lambda w: keep(w) & (said(w["left"], PIN) | (F.length(w["digits"]) == 4) & behind(w)) & ~other(w), lambda w: span(w, "PIN", 0.93))
+    return behind_card(all_, lambda behind: found(all_, lambda w: keep(w) & (said(w["left"], PIN) | (F.length(w["digits"]) == 4) & behind(w)) & ~other(w), lambda w: span(w, "PIN", 0.93)))
 
 
 #: Service numbers, and the prefixes of calls that the called one pays.
@@ -317,12 +316,18 @@ BY_WINDOWS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def detect(text: Column, types: list[str]) -> Column:
-    """Spans of the categories, unresolved; others aren't even built. A text without digits costs one pattern."""
-    chosen = [t for t in BY_WINDOWS if t in types]
+@lru_cache(64)
+def expression(app: str, text: str, types: tuple[str, ...]) -> Column:
+    """The detectors of some categories over a column. Thousands of calls into the JVM build it, so that it is kept for the
+    application: queries over columns of one name share it."""
     none = F.array().cast(SPANS)
-    if not chosen:
-        return none
-    in_windows = let(windows(text), lambda w: F.when(w.isNull(), none).otherwise(F.concat(*[BY_WINDOWS[t](w) for t in chosen])))
-    parts = [in_windows] + ([F.when(text.rlike("[0-9]"), ibans(text)).otherwise(none)] if "BANK_ACCOUNT" in chosen else [])
+    in_windows = let(windows(F.col(text)), lambda w: F.when(w.isNull(), none).otherwise(F.concat(*[BY_WINDOWS[t](w) for t in types])))
+    parts = [in_windows] + ([F.when(F.col(text).rlike("[0-9]"), ibans(F.col(text))).otherwise(none)] if "BANK_ACCOUNT" in types else [])
     return F.concat(*parts)
+
+
+def detect(text: str, types: Iterable[str]) -> Column:
+    """Spans of the categories in a column, unresolved; others aren't even built. A text without digits costs one pattern."""
+    types = set(types)
+    chosen = tuple(t for t in BY_WINDOWS if t in types)
+    return expression(SparkSession.active().sparkContext.applicationId, text, chosen) if chosen else F.array().cast(SPANS)

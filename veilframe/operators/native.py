@@ -5,6 +5,7 @@ They are JVM code: no Python worker sees the text."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,10 +32,9 @@ def emails(text: Column | str, institutions: tuple[str, ...] = ()) -> Column:
     return F.transform(found, lambda m: span(m, "EMAIL", 0.98))
 
 
-def detect(text: Column | str, types: list[str], institutions: tuple[str, ...] = ()) -> Column:
-    """All native detectors of some categories in one array, unresolved; others are not even built."""
-    text = col(text)
-    mails = [F.when(text.contains("@"), emails(text, institutions)).otherwise(F.array().cast(SPANS))] if "EMAIL" in types else []
+def detect(text: str, types: Iterable[str], institutions: tuple[str, ...] = ()) -> Column:
+    """All native detectors of some categories over a column in one array, unresolved; others are not even built."""
+    mails = [F.when(F.col(text).contains("@"), emails(text, institutions)).otherwise(F.array().cast(SPANS))] if "EMAIL" in types else []
     return F.concat(*mails, digits.detect(text, types))
 
 
