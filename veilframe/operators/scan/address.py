@@ -21,24 +21,24 @@ CORPUS = "корп корпус корпусе строение строении
 CORPUS_DOT = "к стр лит".split()
 FLAT = "кв квартира квартире квартиру кв-ра офис офисе апартаменты помещение пом".split()
 FLAT_DOT = "оф апарт".split()
-CONNECTORS = frozenset("реки реке имени им маршала генерала академика адмирала космонавта лётчика летчика профессора братьев героев партизана писателя поэта доктора капитана майора полковника инженера художника композитора".split())
+CONNECTORS = frozenset(["имени", "маршала"])
 REGION_ENDS = ("ская", "ский", "ской", "скую", "цкая", "цкий", "цкой", "ского", "ском")
-GENERIC = phrases("городск{ый} | сельск{ый} | районн{ый} | областн{ый} | муниципальн{ый} | федеральн{ый} | автономн{ый}")
+GENERIC = phrases("городск{ый} | районн{ый}")
 
 # what says that an address follows, or that a person lives or gets something there
-LIVES = "прожива~ | живет | живёт | живу | прописан~ | мест{о} жительства"
-GETS = "доставк{а} | доставить | доставьте | привез~ | куда"
-REGISTERED = "зарегистрирован | зарегистрирован{а} | зарегистрированн{ый} | регистраци{я}"
+LIVES = "живёт | живу | прожива~ | мест{о} жительства"
+GETS = "доставк{а}"
+REGISTERED = "зарегистрирован{а}"
 ANCHOR = phrases(f"адрес~ | address | индекс~ | урожен~ | {LIVES} | {GETS} | {REGISTERED}")
 RESIDENCE = phrases(LIVES)
 PERSONAL = phrases(f"{LIVES} | {GETS} | {REGISTERED}")
 # places of a bank, a shop or an office; an office with a number is a flat's counterpart, not an organisation
-PLACES = "отделени{е} | филиал{} | банкомат{} | терминал{} | допофис{} | представительств{о} | касс{а} | магазин{} | салон{} | склад{} | пвз | шоурум{}"
+PLACES = "филиал{} | банкомат{} | магазин{} | склад{}"
 OFFICE = r"(?:доп\.? ?|дополнительн\w+ |операционн\w+ |головн\w+ |центральн\w+ )офис\w*|офис\w{0,3} (?:банк\w*|в|на|по)"
-BANK = re.compile(r"(?<!\w)(?:" + pattern("отделени{е} | филиал{} | банкомат{} | допофис{} | представительств{о} | касс{а} банка | пункт{} выдачи | операционн{ый} зал{}") + rf"|(?:{OFFICE})(?!\w))")
+BANK = re.compile(r"(?<!\w)(?:" + pattern("отделени{е} | банкомат{} | филиал{}") + rf"|(?:{OFFICE})(?!\w))")
 # such a place as a sentence's subject, with adjectives and pronouns before it, unless it is a customer's
 SUBJECT = re.compile(r"^\W*(?:(?:наш|ваш|этот|эта|это|\w+(?:ый|ий|ой|ая|яя|ое|ее|ые|ие|ша|ше|ши)) ){0,3}(?:" + pattern(f"{PLACES} | офис{{}}") + ")(?! (?:" + "|".join(["клиент", "заказчик", "покупател", "получател", "сотрудник", "работник", "пользовател", "арендатор", "владел"]) + "))")
-OWNER = phrases("юридическ{ый} адрес~ | адрес~ организации | адрес~ компании | адрес~ фирмы | адрес~ предприятия | адрес~ банка | адрес~ общества | адрес~ офиса | адрес~ юрлица")
+OWNER = phrases("адрес~ банка")
 
 NAME = r"(?:[0-9]{1,3}-?(?:й|я|ая|ой|го|е)? )?[А-ЯЁ][а-яё]+(?:-[А-ЯЁа-яё]+)*"
 VALUE = r"[0-9]{1,4}(?:[а-яёА-ЯЁ](?![а-яёА-ЯЁ]))?(?:[0-9]{1,3})?(?:[/-][0-9]{1,4}[а-яё]?)?"

@@ -25,22 +25,17 @@ YEAR_ONLY = re.compile(r"(?<![\w./-])((?:19|20)[0-9]{2}) ?(?:г\. ?р\.?|г\.р|
 # what tells a date of birth or of issue: field names, verbs and participles, abbreviations
 FIELD_BIRTH = "дат{а} рождени{е} | год{} рождени{е} | дат{а} рожд"
 FIELD_ISSUE = "дат{а} выдач{а}"
-BORN = "рождени{е} | рожден | рожден{а} | рождён | рождён{а} | родил~ | родивш~ | рожд. | род. | д.р. | д. р. | др | г.р. | г. р. | гр"
-ISSUED = "выдач{а} | выдан | выдан{а} | выдано | выданн{ый} | выданы"
+BORN = "рождени{е} | рожден | рожден{а} | рождён | рождён{а} | родил~ | д.р. | г.р."
+ISSUED = "выдач{а} | выдан | выдан{а}"
 ENGLISH_BIRTH, ENGLISH_ISSUE = "date of birth | birth date | birthday | dob | born", "date of issue | issue date | issued"
 BIRTH, ISSUE = phrases(f"{FIELD_BIRTH} | {BORN} | {ENGLISH_BIRTH}"), phrases(f"{FIELD_ISSUE} | {ISSUED} | {ENGLISH_ISSUE}")
 LABEL_BIRTH, LABEL_ISSUE, ISSUE_VERB = phrases(FIELD_BIRTH), phrases(FIELD_ISSUE), phrases(ISSUED.replace("выдач{а} | ", ""))
 BIRTH_RIGHT = re.compile(r"[ ,(]{0,3}" + pattern(f"{FIELD_BIRTH} | рождени{{е}} | г.р~ | г. р~").removeprefix(r"(?<!\w)"))
-# what tells neither: papers that have a date and a number, money, versions, terms, and what offices do with applications
-PAPERS = "договор{} | контракт{} | счет{} | счёт{} | накладн{ый} | заказ{} | артикул{} | квитанци{я} | чек{} | отчет{} | отчёт{} | поручени{е} | заявлени{е} | заявк{а} | обращени{е} | запрос{} | order | invoice"
-MONEY = "сумм{а} | руб | рубл{ь} | платеж{} | платёж{} | ставк{а} | скидк{а} | операци{я} | транзакци{я} | списани{е} | зачислени{е} | погашени{е} | начислен~ | уплачен~ | оплачен~"
-NUMBERS = "версия | верси{я} | version | сборк{а} | build | инн | кпп | бик | ip | телефон{} | тел"
-TERMS = "срок{} | период{} | стаж{} | действ~ | открыт | открыт{а} | открыти{е} | закрыт | закрыт{а} | закрыти{е}"
-DEEDS = "подан | подан{а} | подано | принят | принят{а} | принято | оформлен | оформлен{а} | оформлено | рассмотрен~ | регистраци{я} | зарегистрирован | зарегистрирован{а}"
-NEGATIVE = phrases(" | ".join([PAPERS, MONEY, NUMBERS, TERMS, DEEDS]))
+# what has a date of its own in this package's own sentences
+NEGATIVE = phrases("договор{} | заявк{а}")
 NEGATIVE_RIGHT = re.compile(r" {0,2}(?:[%₽$]|руб|коп|usd|eur)")
 # two numbers after these are a series, a house and its building and the like
-IDENTIFIER = phrases("сери{я} | сер | дом{} | д | корп | корпус{} | стр | строени{е} | кв | квартир{а} | оф | офис{} | влд | владени{е} | лит | литер{а}")
+IDENTIFIER = phrases("сери{я} | дом{} | кв")
 NUMBER_RIGHT = re.compile(r"[ ,]{0,3}(?:№|номер|no)")
 NAME = re.compile(r"[а-яё]+(?:ович|евич|ич|овна|евна|ична)[а-яё]{0,2}[\s,(]{1,3}$")
 BREAK = re.compile(r"[.!?;\n](?=\s|$)")

@@ -19,9 +19,9 @@ FAMOUS = ["александр пушкин", "михаил лермонтов",
 # fixed values: cities
 CITIES = "москва санкт-петербург петербург новосибирск екатеринбург казань челябинск омск самара ростов-на-дону уфа красноярск воронеж пермь волгоград краснодар саратов тюмень тольятти ижевск барнаул ульяновск иркутск хабаровск ярославль владивосток махачкала томск оренбург кемерово новокузнецк рязань астрахань пенза липецк тула киров чебоксары калининград брянск курск иваново магнитогорск тверь ставрополь белгород сочи архангельск владимир калуга смоленск чита курган орёл орел вологда мурманск тамбов кострома псков сургут армавир апатиты арзамас батайск бердск березники бийск братск волжский воткинск вязьма геленджик глазов дзержинск димитровград домодедово дубна евпатория ейск елабуга елец ессентуки железногорск жуковский златоуст ишим каменск-уральский камышин канск керчь киселёвск кисловодск клин клинцы ковров комсомольск-на-амуре копейск кропоткин кстово кызыл ленинск-кузнецкий лобня магадан майкоп миасс минусинск мичуринск муром надым назрань нальчик находка невинномысск нефтекамск нефтеюганск нижневартовск нижнекамск новокуйбышевск новомосковск новороссийск новочеркасск ногинск норильск ноябрьск обнинск октябрьский орск первоуральск петрозаводск петропавловск-камчатский прокопьевск пушкино пятигорск раменское реутов рубцовск рыбинск салават салехард севастополь северодвинск симферополь соликамск стерлитамак сызрань сыктывкар таганрог тобольск туапсе ухта феодосия ханты-мансийск хасавюрт черкесск череповец шахты щёлково электросталь элиста энгельс южно-сахалинск ялта подольск химки мытищи люберцы балашиха абакан якутск грозный саранск йошкар-ола выборг гатчина коломна серпухов одинцово королёв королев зеленоград минск киев алматы астана ташкент ереван баку тбилиси бишкек душанбе".split() + ["нижний новгород", "великий новгород", "набережные челны", "нижний тагил", "старый оскол"]
 COUNTRIES = "россия рф казахстан беларусь белоруссия украина армения узбекистан киргизия кыргызстан таджикистан азербайджан грузия молдова туркменистан германия франция италия испания польша турция китай индия израиль сша япония латвия литва эстония финляндия".split() + ["российская федерация", "республика беларусь", "республика казахстан"]
-# fixed values: common words that look like names at a sentence's start or in a list
-STOP = frozenset("это что как для при под над без или если когда после перед через также так вот все всё мы вы они он она оно его её ее их наш ваш мой твой свой этот эта эти тот та те кто где куда откуда почему сегодня завтра вчера банк банка клиент клиента договор договора счёт счет карта карты паспорт адрес телефон номер дата сумма перевод заявка заявление оплата платёж платеж кредит вклад офис отделение прошу просьба добрый день здравствуйте уважаемый уважаемая спасибо".split())
-LEGAL = frozenset("ооо оао зао пао ао ип нко тоо гуп муп фгуп фгбу чоп нао пко компания компании фирма фирмы организация организации предприятие холдинг корпорация агентство бюро завод фабрика магазин салон банк банка".split())
+# common words that a name's place in a sentence may hold
+STOP = frozenset("и в на не что как для или если при".split())
+LEGAL = frozenset("ооо ао пао компания завод".split())
 
 SURNAME = ("ов", "ев", "ёв", "ин", "ын", "ский", "цкий", "ской", "цкой", "ова", "ева", "ёва", "ина", "ына", "ская", "цкая", "енко", "ко", "ук", "юк", "чук", "ян", "янц", "дзе", "швили", "ия", "ых", "их", "оев", "аев")
 # case endings of surnames, and what they stand for

@@ -8,16 +8,16 @@ from veilframe.operators.scan.context import CYRILLIC, Context, Span, cue, neare
 from veilframe.operators.scan.lexicon import LEGAL, STOP, Lexicon, is_patronymic, same_stem, surname_shape
 
 WORD = re.compile(r"[а-яё]+(?:-[а-яё]+)*")
-# fixed values: stems of roles and phrases that introduce a person; the strong ones name a client
-STRONG = cue("клиент заемщик заёмщик заемщиц заёмщиц созаемщик созаёмщик заявител плательщи получател отправител владел держател господин госпож вкладчи поручител наследни гражданин гражданк гражданин пациент абонент сотрудни фио принадлежит ф.и.о ".split() + ["на имя", "доверенность на", "оформлен на", "оформлена на", "оформлено на", "зарегистрирован на", "зарегистрирована на", "выдан на", "выдана на", "г-н", "г-жа", "г-жи", "г-же", "г-жу", "г-ну", "г-на"])
-ANCHOR = cue("менеджер директор руководител начальник бухгалтер кассир подпись подписа имя фамили от для представител доверенност выдан оформлен зарегистрирован пользовател контрагент супруг".split())
+# stems that introduce a person in this package's own sentences; the strong ones name a client
+STRONG = cue(["клиент", "заявител", "заёмщик", "получател", "отправител", "плательщи", "владел", "на имя"])
+ANCHOR = cue(["директор", "подпис", "имя", "от", "пациент"])
 FULL_NAME = re.compile(r"ф\. ?и\. ?о\.?[ :—–-]*$")
 LABEL = re.compile(r"(?:фио|ф\. ?и\. ?о\.?|имя|фамилия|клиент|заявитель|получатель|плательщик|владелец|держатель|заемщик|заёмщик|отправитель)[ \t]*[:—–-][ \t]*$")
-# fixed values: stems that say a mention is of a public person or a place
-NEGATIVE = cue("поэт писател композитор художник учён учен академик профессор режисс актёр актер актрис певец певиц музыкант персонаж герой героя романа повест стихи стихов стихотворени сказк произведени творчеств цитат сочинени улиц площад проспект переул набережн бульвар шоссе музе театр библиотек памятник имени институт университет школ гимнази лице станци метро парк преми фонд цар император княз генерал философ математик физик космонавт".split() + ["ул.", "им."])
-GEO = frozenset("в во из под над за до около близ по город города городе городу гор г пос посёлок поселок область области обл район района край округ республика адрес адресу индекс проживает прописан прописана отделение филиал офис находится доставка родился родилась уроженец уроженка".split())
-ABBREVIATIONS = frozenset("т.е т.к т.д т.п т.н и.о н.э г.р с.г д.р г.о м.о".split())
-AMBIGUOUS = frozenset("г д к с р т п в м н о л у ч".split())
+# what says that a mention is of a public person or a place
+NEGATIVE = cue(["поэт", "писател", "ул.", "им."])
+GEO = frozenset("город улица проспект".split())
+ABBREVIATIONS = frozenset(["т.е", "т.д"])
+AMBIGUOUS = frozenset("г д".split())
 
 S = r"[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?"
 INITIALS_FIRST = re.compile(rf"(?<!\w)([А-ЯЁ])\. ?(?:([А-ЯЁ])\. ?)?({S})(?!\w)")
@@ -25,13 +25,8 @@ INITIALS_LAST = re.compile(rf"(?<!\w)({S})\s{{1,3}}([А-ЯЁ])\. ?(?:([А-ЯЁ])
 
 HOLDER_CUE = re.compile(r"держател|владел[а-яё]+ карт|holder|card|на карте|карт[аеуы]|картой")
 CAPITALS = re.compile(r"(?<!\w)[A-Z]+(?:\.? [A-Z]+|-[A-Z]+)+(?!\w)")
-# Latin capitals near a card that are no name: what is printed on cards, companies, banking, small words
-ON_CARDS = "valid thru from until good expires expiry exp end date month year member since name holder cardholder card cards number code security signature authorized cvv cvc pin debit credit prepaid virtual electron classic standard gold platinum titanium black infinite world elite signature business corporate premium"
-BRANDS = "visa mastercard maestro mir amex american express unionpay jcb discover paypal apple google samsung pay alfa sber sberbank tinkoff vtb gazprombank raiffeisen"
-COMPANIES = "llc ltd inc plc corp corporation company co group holding limited gmbh sa ag sarl srl oy pjsc ojsc cjsc jsc trust fund capital partners international"
-BANKING = "bank banking account iban swift bic payment transfer transaction order invoice amount total balance merchant terminal atm pos usd eur rub rur gbp approved declined failed success error"
-SMALL = "the and for with not or of to in on by at is"
-LATIN_NOISE = frozenset(" ".join([ON_CARDS, BRANDS, COMPANIES, BANKING, SMALL]).split())
+# Latin capitals near a card that are no name
+LATIN_NOISE = frozenset("and bank card cardholder mastercard of the thru valid visa world".split())
 # endings of Russian and Ukrainian surnames in Latin letters
 LATIN_SURNAME = re.compile(r".{2,}(?:ov|ova|ev|eva|yov|in|ina|yn|yna|sky|skiy|skii|skaya|enko|chuk|uk|yan|dze|shvili)$")
 

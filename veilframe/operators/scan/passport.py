@@ -11,7 +11,7 @@ from veilframe.operators.scan.phrases import ENDINGS, forms, pattern, phrases
 
 # what names a passport, what only sounds like one, and what names another document
 ANCHOR = re.compile(r"(?<!\w)(?:паспорт(?!\w*уш)[а-яё]*|пасп\.|серия|серии|passports?|удостоверени[ея] личности|документ[а-яё]*,? удостоверяющ(?:ий|ие) личность|(?<!№ )(?<!номер )п/п)(?!\w)")
-METAPHOR = re.compile(r"[ \t]*" + pattern("сделк{а} | издели{е} | объект{} | проект{} | безопасност{ь} | качеств{о} | здоровь{е} | продукт{} | прибор{}"))
+METAPHOR = re.compile(r"[ \t]*" + pattern("сделк{а} | издели{е} | безопасност{ь}"))
 OTHER = phrases("загран~ | водительск~ | в/у | прав{о} | военн{ый} | военник~ | свидетельств{о} | снилс~ | инн | полис~ | омс | внж | рвп | на жительство | удостоверени{е} водит~ | карт{а} | счет~ | счёт~ | договор~ | страхов~ | телефон~")
 
 D = r"[ \t]{0,3}"
@@ -30,7 +30,7 @@ STRONG = frozenset("мвд омвд умвд гумвд увмд овд ровд
 AUTHORITY = re.compile(r"(?<!\w)(?:" + "|".join(sorted(STRONG, key=len, reverse=True)) + r"|отдел\w*|управлени\w*|служб\w*)(?!\w)")
 # a department is such a body if its name says of what
 HEADS = frozenset(f"{stem}{end}" for stem, ends in (("отдел", ENDINGS[""]), ("отделени", ENDINGS["е"]), ("управлени", ENDINGS["е"]), ("служб", ENDINGS["а"])) for end in ends)
-MATTERS = phrases("полици{я} | милици{я} | внутренн{ый} | миграци{я} | миграционн{ый} | визов{ый} | уфмс | фмс | мвд | увд")
+MATTERS = phrases("внутренн{ый} | полици{я}")
 # shortened adjectives and bodies before the abbreviation of a body; whole adjectives are told by their ending
 SHORT = frozenset("гу ту мо мп тп мро пвс пункт пункта".split())
 ADJECTIVE_END = re.compile(r"(?:(?:ск|ч?н|ов|ев)(?:ый|ий|ой|ое|ая|ого|ому|ым|ом|ую|ие|ые|им)|о)$")

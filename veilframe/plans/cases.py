@@ -13,6 +13,9 @@ FAMILIES: dict[str, tuple[list[str], list[str]]] = {
     "passport": (
         ["PASSPORT", "PASSPORT_ISSUER", "PASSPORT_ISSUE_DATE", "SUBDIVISION_CODE"],
         [
+            "Мой паспорт [PASSPORT|4511 {k}], выдан [PASSPORT_ISSUER|ОМВД России по городу Туле]",
+            "Паспорт безопасности объекта 4511 {k} утверждён",
+            "Паспорт изделия 4511 {k} потерян",
             "Паспорт [PASSPORT|4509 {k}] выдан [PASSPORT_ISSUER|ОВД района Измайлово] [PASSPORT_ISSUE_DATE|20.06.2010], код подразделения [SUBDIVISION_CODE|770-001]",
             "Паспорт: серия [PASSPORT|45 10] номер [PASSPORT|{k}]",
             "В паспорте [PASSPORT|46 05 {k}] нет отметки о браке",
@@ -29,6 +32,24 @@ FAMILIES: dict[str, tuple[list[str], list[str]]] = {
     "names": (
         ["FIO"],
         [
+            "Директор [FIO|Орлова Марина Викторовна] подписала приказ {k}",
+            "Меня зовут [FIO|Сергей Андреевич Белов], заявка {k}",
+            "Письмо от [FIO|Соколова Д. И.], номер {k}",
+            "Пациентка [FIO|Фёдорова Нина Олеговна], карта {k}",
+            "Заявитель [FIO|Волков], обращение {k}",
+            "Получатель [FIO|Волков], перевод {k}",
+            "Отправитель [FIO|Волков], перевод {k}",
+            "Владелец счёта [FIO|Волков], запрос {k}",
+            "Плательщик [FIO|Волков], квитанция {k}",
+            "Поэт Сергей Есенин, том {k}",
+            "Писатель Антон Чехов, том {k}",
+            "Имени Антона Чехова названа школа {k}",
+            "ПАО Волков сообщило о прибыли {k}",
+            "АО Волков сообщило о прибыли {k}",
+            "Компания Волков сообщила о прибыли {k}",
+            "Проспект Гагарина перекрыт, сообщение {k}",
+            "Роман Льва Толстого вышел тиражом {k}",
+            "Завод Морозов выпустил {k} деталей",
             "Клиент [FIO|Смирнов Иван Петрович] оформил заявку {k}",
             "Договор {k} подписала [FIO|Ольга Игоревна Кузнецова]",
             "Доверенность {k} на имя [FIO|Волкова Петра Сергеевича]",
@@ -48,6 +69,26 @@ FAMILIES: dict[str, tuple[list[str], list[str]]] = {
     "dates": (
         ["BIRTH_DATE", "PASSPORT_ISSUE_DATE"],
         [
+            "Заказ {k} от 05.04.2023 собран на складе",
+            "Счёт {k} выставлен 11.02.2022",
+            "Сборка 12.10.2021 прошла проверку {k}",
+            "Отпуск с 01.07.2024, приказ {k}",
+            "Встреча 14 мая в 15:30, комната {k}",
+            "Мой день рождения [BIRTH_DATE|12.05.90], анкета {k}",
+            "Дата рождения: [BIRTH_DATE|7 марта], анкета {k}",
+            "Дата рождения мужа [BIRTH_DATE|01.02.1980], жены [BIRTH_DATE|03.04.1982], заявка {k}",
+            "Она родилась [BIRTH_DATE|9 января 1961] года в семье врача, лист {k}",
+            "Паспорт получен, дата выдачи [PASSPORT_ISSUE_DATE|01.02.2019], лист {k}",
+            "Клиент {k}, д.р. [BIRTH_DATE|04.05.1988]",
+            "Рождён [BIRTH_DATE|17.08.1979], карточка {k}",
+            "Рождена [BIRTH_DATE|17.08.1979], карточка {k}",
+            "г.р. [BIRTH_DATE|17.08.1979], карточка {k}",
+            "Паспорт выдан [PASSPORT_ISSUE_DATE|17.08.2009], карточка {k}",
+            "Справка выдана [PASSPORT_ISSUE_DATE|17.08.2009], карточка {k}",
+            "dob [BIRTH_DATE|12.05.1990], file {k}",
+            "Клиент родился, договор {k} от 12.05.2020",
+            "Рождение ребёнка и заявка {k} от 12.05.2020",
+            "date of birth [BIRTH_DATE|1990-05-12], file {k}",
             "Дата рождения: [BIRTH_DATE|12.05.1990], договор {k} от 01.02.2024",
             "Клиент {k} родился [BIRTH_DATE|3 марта 1985] года",
             "Родилась [BIRTH_DATE|21091978], анкета {k}",
@@ -67,6 +108,20 @@ FAMILIES: dict[str, tuple[list[str], list[str]]] = {
     "address": (
         ["CITY", "STREET", "HOUSE", "APARTMENT", "POSTAL_CODE", "COUNTRY", "ADDRESS"],
         [
+            "Живу в городе [CITY|Тула], улица [STREET|Лесная], дом [HOUSE|8], квартира [APARTMENT|15], заявка {k}",
+            "Прошу доставить: г. [CITY|Пенза], ул. [STREET|Мира], д. [HOUSE|10], заказ {k}",
+            "Магазин на улице Мира, дом 3 открыт, чек {k}",
+            "Адрес банка: г. Тверь, ул. Садовая, д. 7, лист {k}",
+            "Проживаю в городе [CITY|Омск], дом [HOUSE|5], анкета {k}",
+            "Доставка на улицу [STREET|Новую], дом [HOUSE|5], анкета {k}",
+            "Прописан по адресу: улица [STREET|Лесная], дом [HOUSE|5], анкета {k}",
+            "Место жительства: улица [STREET|Лесная], дом [HOUSE|5], анкета {k}",
+            "Зарегистрирован: улица [STREET|Лесная], дом [HOUSE|5], анкета {k}",
+            "Склад на улице Лесной, дом 5, анкета {k}",
+            "Филиал находится на улице Лесной, дом 5, анкета {k}",
+            "Банкомат стоит на улице Лесной, дом 5, анкета {k}",
+            "Страна проживания: [COUNTRY|Россия], г. [CITY|Казань], анкета {k}",
+            "Мой адрес: [CITY|Калуга], [STREET|Садовая], [HOUSE|4], заявка {k}",
             "Проживает по адресу: г. [CITY|Тверь], ул. [STREET|Садовая], д. [HOUSE|7], кв. [APARTMENT|12], заявка {k}",
             "Адрес: [POSTAL_CODE|170100], г. [CITY|Тверь], проспект [STREET|Победы], дом [HOUSE|14], заявка {k}",
             "Клиент {k} живёт в [CITY|Рязани]",
@@ -125,6 +180,12 @@ FAMILIES: dict[str, tuple[list[str], list[str]]] = {
     "holder": (
         ["CARD_HOLDER"],
         [
+            "На карте написано [CARD_HOLDER|ANNA BELOVA], держатель, лист {k}",
+            "DEAR CUSTOMER, YOUR ORDER {k} IS READY",
+            "VISA PLATINUM, code {k}",
+            "MASTERCARD WORLD ELITE, code {k}",
+            "BANK OF MOSCOW, code {k}",
+            "HAPPY NEW YEAR, code {k}",
             "Держатель карты [CARD_HOLDER|IVAN SMIRNOV], заявка {k}",
             "Card holder: [CARD_HOLDER|JOHN P. MILLER], order {k}",
             "CARDHOLDER [CARD_HOLDER|MARIA KOVALENKO] VALID THRU 12/27, {k}",
@@ -136,6 +197,8 @@ FAMILIES: dict[str, tuple[list[str], list[str]]] = {
     "citizenship": (
         ["CITIZENSHIP", "BIRTH_PLACE"],
         [
+            "Гражданка [CITIZENSHIP|России], анкета {k}",
+            "Место рождения: [BIRTH_PLACE|деревня Ольховка], дело {k}",
             "Гражданство: [CITIZENSHIP|Российская Федерация], место рождения: [BIRTH_PLACE|г. Калуга], заявка {k}",
             "Гражданин [CITIZENSHIP|Республики Беларусь], заявка {k}",
             "Имеет [CITIZENSHIP|украинское] гражданство, заявка {k}",
