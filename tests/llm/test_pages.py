@@ -87,6 +87,37 @@ def test_ranks_equal_power_iteration(spark):
             assert (got[h][kind] if h in got else 0) == pytest.approx(v, abs=1e-9)
 
 
+def test_a_host_without_links_is_judged_by_its_own_pages(spark):
+    """However many other hosts are trusted: normalising each kind by itself would weigh one rejected page more."""
+    rows = [(i, f"http://h{i}.org/", "") for i in range(60)]
+    rows += [(100, "http://s.com/fr/1", ""), (101, "http://s.com/fr/2", ""), (102, "http://s.com/de/1", ""), (103, "http://s.com/x", "")]
+    rows += [(110, "http://t.com/fr/1", ""), (112, "http://t.com/de/1", ""), (113, "http://t.com/x", "")]
+    rows += [(120, "http://u.com/fr/1", ""), (121, "http://u.com/de/1", ""), (122, "http://u.com/de/2", ""), (123, "http://u.com/x", "")]
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages(spark, rows)).collect()}
+    assert [got[i] for i in (103, 113, 123)] == ["allow", "allow", "block"]
+
+
+def test_sql_follows_links(spark):
+    """The query's SQL on pages whose links decide, which those of the tables don't."""
+    import duckdb
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    hosts = [f"g{i}.org" for i in range(5)] + [f"b{i}.com" for i in range(5)] + [f"x{i}.net" for i in range(30)]
+    rows = []
+    for i, h in enumerate(hosts):
+        for p in range(3):
+            own = i % 2 if i >= 10 else i // 5  # the side a host is on
+            to = [hosts[int(rng.choice([k for k in range(40) if (k % 2 if k >= 10 else k // 5) == own]))] for _ in range(3)]
+            rows.append((3 * i + p, f"http://{h}/{'de' if h.endswith('com') and p else 'x'}/{p}", "".join(f'<a href="http://{t}/">' for t in to)))
+    table = pd.DataFrame(rows, columns=["page_id", "url", "html"])
+    con = duckdb.connect()
+    con.register("pages", table)
+    want = dict(con.sql(f"SELECT page_id, verdict FROM ({url_filter.ORACLE})").fetchall())
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages(spark, rows)).collect()}
+    assert got == want and {got[i] for i in range(30, 120)} == {"allow", "block"}
+
+
 def b32(text):
     return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
 
@@ -113,7 +144,7 @@ def test_verdicts_where_propagation_decides_most(spark):
         m, base = np.zeros((len(every), len(every))), np.array([float(any(s == n and kind in s for _, s in seeds)) for n in every])
         for (a, b), n in flow.items():
             m[every.index(b), every.index(a)] = n / sum(x for (c, _), x in flow.items() if c == a)
-        rank = base = base / base.sum() * 0.15
+        rank = base = base / len(seeds) * 0.15  # one total for both kinds
         for _ in range(300):
             rank = base + 0.85 * m @ rank
         ranks.append(dict(zip(every, rank, strict=True)))

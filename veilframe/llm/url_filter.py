@@ -5,7 +5,7 @@ relative links stand for - and from the addresses that a page's own URL hands on
 percent-encoded. Links inside a host say nothing about other hosts and are left out. Two personalised PageRanks run over them in one loop: trust flows along links from
 hosts whose pages the allow rules accept, distrust flows against links from hosts whose pages the block rules
 reject. A caller may add `seed_words`, none by default: a host one of whose names between dots and hyphens is
-such a word is a seed of distrust. A seed weighs what part of its host's pages its rules decide. A host whose distrust exceeds `ratio` times its trust is blocked.
+such a word is a seed of distrust. A seed weighs what part of its host's pages its rules decide. A host whose distrust exceeds `ratio` times its trust is blocked; equal ones are allowed.
 
 Only DataFrame operations are used. Edges are counted per host pair with map-side combining before
 they are shuffled, and ranks are re-cut each few rounds. Scores are broadcast to the pages where a count says that
@@ -83,7 +83,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
-    """(host, trust, distrust). edges: src, dst, n; seeds: host, kind ('t' or 'd'), share (sums to 1 by kind).
+    """(host, trust, distrust). edges: src, dst, n; seeds: host, kind ('t' or 'd'), share (of one total for both kinds).
 
     Ranks of both kinds are one table; the edges of kind 'd' are the reversed ones. Ranks only grow; unless
     `rounds` ends it, that goes on until no host is new and none grew by more than `tolerance` of its own rank."""
@@ -118,19 +118,16 @@ def pivoted(ranks: DataFrame) -> DataFrame:
 
 
 def seed_shares(judged: DataFrame, seed_words: tuple[str, ...]) -> DataFrame:
-    """(host, kind, share): hosts' shares of the trusted and of the distrusted seed mass."""
+    """(host, kind, share): a host's trusted and distrusted seed mass, the parts of its pages that rules accept and reject.
+    Both kinds are divided by one total, so that they stay comparable: a host without links is judged by its own pages,
+    whatever other hosts there are."""
     named = reduce(lambda a, b: a | b, [F.array_contains(F.split("host", "[.-]"), w) for w in seed_words], F.lit(False))
-    hosts = judged.where("host != ''").groupBy("host").agg(
-        F.avg((F.col("ruled") == "allow").cast("double")).alias("t0"), F.avg((F.col("ruled") == "block").cast("double")).alias("d0"), F.count("*").alias("n"), F.count("ruled").alias("k")
-    )
-    weight = hosts.select(
-        "host",
-        F.when(named, 0.0).otherwise(F.coalesce("t0", F.lit(0.0)) * F.col("k") / F.col("n")).alias("t"),
-        F.when(named, 1.0).otherwise(F.coalesce("d0", F.lit(0.0)) * F.col("k") / F.col("n")).alias("d"),
-    )
+    part = lambda verdict: F.sum((F.coalesce("ruled", F.lit("")) == verdict).cast("double")) / F.count("*")
+    hosts = judged.where("host != ''").groupBy("host").agg(part("allow").alias("t"), part("block").alias("d"))
+    weight = hosts.select("host", F.when(named, 0.0).otherwise(F.col("t")).alias("t"), F.when(named, 1.0).otherwise(F.col("d")).alias("d"))
     long = weight.select("host", F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("t").alias("w")), F.struct(F.lit("d").alias("kind"), F.col("d").alias("w")))).alias("s")).select("host", "s.*").where("w > 0")
-    total = long.groupBy("kind").agg(F.sum("w").alias("total"))  # two rows
-    return long.join(F.broadcast(total), "kind").select("host", "kind", (F.col("w") / F.col("total")).alias("share"))
+    total = long.agg(F.sum("w").alias("total")).head()["total"]  # one number
+    return long.select("host", "kind", (F.col("w") / F.lit(total)).alias("share"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, seed_words: tuple[str, ...] = (), ratio: float = 1.0, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
@@ -163,7 +160,7 @@ WITH split AS (SELECT page_id, url, coalesce(html, '') AS html, coalesce({HOST_S
      edges AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM ends WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
      flow AS MATERIALIZED (SELECT 't' AS kind, src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM edges UNION ALL SELECT 'd', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges),
      hosts AS (SELECT host, count(*) FILTER (ruled = 'allow') / count(*) AS t, count(*) FILTER (ruled = 'block') / count(*) AS d FROM judged WHERE host <> '' GROUP BY host),
-     seeds AS MATERIALIZED (SELECT 't' AS kind, host, t / sum(t) OVER () AS share FROM hosts WHERE t > 0 UNION ALL SELECT 'd', host, d / sum(d) OVER () FROM hosts WHERE d > 0),
+     seeds AS MATERIALIZED (SELECT kind, host, w / sum(w) OVER () AS share FROM (SELECT 't' AS kind, host, t AS w FROM hosts UNION ALL SELECT 'd', host, d FROM hosts) WHERE w > 0),
      r0 AS MATERIALIZED (SELECT kind, host, share * 0.15 AS rank FROM seeds),
      {", ".join(STEP_SQL.format(k, f"r{k - 1}") for k in range(1, ROUNDS + 1))},
      scores AS (SELECT host, sum(rank) FILTER (kind = 't') AS trust, sum(rank) FILTER (kind = 'd') AS distrust FROM r{ROUNDS} GROUP BY host)
