@@ -215,6 +215,38 @@ def test_lcs():
     assert html_extract.common([], b) == set() and html_extract.common(a, a) == set(range(7))
 
 
+def lcs(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+def test_lcs_against_the_table():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        letters = "ab" if rng.random() < 0.5 else "abcdefgh"
+        a, b = ([letters[i] for i in rng.integers(0, len(letters), rng.integers(0, 40))] for _ in range(2))
+        got = [a[i] for i in sorted(html_extract.common(a, b))]
+        rest = iter(b)
+        assert all(x in rest for x in got) and len(got) == lcs(a, b)
+        assert int(html_extract.growth(a, b).sum()) == lcs(a, b)
+    a, b = (list(rng.choice(list("abc"), 700)) for _ in range(2))  # so many equal pairs that the lists are halved
+    got = [a[i] for i in sorted(html_extract.common(a, b))]
+    rest = iter(b)
+    assert all(x in rest for x in got) and len(got) == lcs(a, b)
+
+
+def test_many_equal_lines_and_nested_inline_tags_take_little_time():
+    began = time.process_time()
+    assert len(html_extract.common(["x", *["same"] * 100_000, "y"], ["u", *["same"] * 100_000, "v"])) == 100_000
+    assert time.process_time() - began < 4
+    began = time.process_time()
+    html_extract.lines("<p><body>" + "<b>" * 130_000 + "<hr>" * 150_000)
+    assert time.process_time() - began < 4
+
+
 @pytest.mark.parametrize(
     "attributes, furniture",
     [
@@ -227,6 +259,11 @@ def test_lcs():
         ('class="no-sidebar-page wide"', False),
         ('role="navigation"', True),
         ('href="/ad/comments"', False),
+        ('class="share-price"', False),
+        ('class="related-work"', False),
+        ('class="notice-board"', False),
+        ('class="share-buttons"', True),
+        ('class="ad-slot"', True),
     ],
 )
 def test_marks(attributes, furniture):

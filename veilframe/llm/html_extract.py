@@ -31,6 +31,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -51,6 +52,8 @@ CHROME = frozenset("nav header footer aside form button menu dialog".split())
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promoted related replies share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget".split())
 # fixed values: words that mark the text itself
 TEXT_MARKS = frozenset("article body content entry main page post story text".split())
+# after a mark that opens a token these say that it is a part of the page: "share-buttons", not "share-price"
+PARTS = frozenset("area bar block body box button buttons container count form icon icons inner item items label link links list panel posts row section slot stories tab text title top unit widget wrap wrapper zone".split())
 # an open p ends where one of these begins
 ENDS_P = BLOCK - {"br", "body", "html", "option"}
 
@@ -73,13 +76,14 @@ BODY = {"main": MAIN, "article": TEXT}
 
 def marked(attributes: str, heading: bool) -> bool:
     """Whether class, id or role name page furniture: a mark ends one of their tokens, or opens one
-    ("ad-slot", "comment-body") of an element that isn't named as text as well. A heading may be called a header."""
+    that goes on with a part of a page ("ad-slot", "comment-body"), of an element that isn't named as text as well. A heading
+    may be called a header."""
     tokens = [SPLIT.split(CAMEL.sub(r"\1-\2", t).lower().strip("-_")) for m in MARKED.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").split()]
     known = MARKS - {"header"} if heading else MARKS
     if any(t[-1] in known for t in tokens):
         return True
     named = any(TEXT_MARKS.issuperset(t) for t in tokens)
-    return not named and any(t[0] in known and not TEXT_MARKS & set(t[1:2]) for t in tokens)
+    return not named and any(t[0] in known and (t[1] in PARTS or t[1].isdigit()) for t in tokens if len(t) > 1)
 
 
 def hidden(attributes: str) -> bool:
@@ -139,6 +143,7 @@ def lines(page: str) -> list[tuple[str, int]]:
     """The page's lines in order, each with its kind; a header inside an article is its heading."""
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []
+    blocks: list[int] = []  # places of the block elements in it
     opened: Counter[str] = Counter()
     parts: list[str] = []
     unclosed: set[str] = set()
@@ -156,6 +161,8 @@ def lines(page: str) -> list[tuple[str, int]]:
         kind = stack[i][1]
         opened.subtract(x for x, _ in stack[i:])
         del stack[i:]
+        while blocks and blocks[-1] >= i:
+            blocks.pop()
 
     found = tags(page)
     for start, end, name, closing, attributes in found:
@@ -186,14 +193,15 @@ def lines(page: str) -> list[tuple[str, int]]:
         if name in BLOCK:
             flush()
             if name in ENDS_P and opened["p"] > 0:
-                i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK)
-                if stack[i][0] == "p":
-                    close(i)
+                if stack[blocks[-1]][0] == "p":
+                    close(blocks[-1])
         if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
         new = kind_of(name, attributes, kind)
         if new != kind and name not in BLOCK:
             flush()
+        if name in BLOCK:
+            blocks.append(len(stack))
         stack.append((name, kind))
         opened[name] += 1
         kind = new
@@ -203,21 +211,71 @@ def lines(page: str) -> list[tuple[str, int]]:
 
 
 def common(a: list[str], b: list[str]) -> set[int]:
-    """Indexes of a's lines in a longest common subsequence of a and b (Hunt and Szymanski)."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    found = set(range(head)) | set(range(len(a) - tail, len(a)))
+    """Indexes of a's lines in a longest common subsequence of a and b.
+
+    Equal ends are taken off. Where few pairs of lines are equal, Hunt and Szymanski's method goes through the pairs. Where a
+    line stands many times on both sides, the lists are halved as by Hirschberg; the lengths that tell where
+    to halve come from rows of bits, so that 64 pairs are one step, in memory linear in the lines."""
+    found: set[int] = set()
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        low, high, start, stop = todo.pop()
+        while low < high and start < stop and a[low] == b[start]:
+            found.add(low)
+            low, start = low + 1, start + 1
+        while low < high and start < stop and a[high - 1] == b[stop - 1]:
+            high, stop = high - 1, stop - 1
+            found.add(high)
+        if low == high or start == stop:
+            continue
+        here, there = Counter(a[low:high]), Counter(b[start:stop])
+        pairs = sum(n * there[line] for line, n in here.items() if line in there)
+        if pairs <= 64 * (high - low + stop - start) or high - low == 1:
+            found.update(low + i for i in by_pairs(a[low:high], b[start:stop]))
+        else:
+            middle = (low + high) // 2
+            before = growth(a[low:middle], b[start:stop])
+            after = growth(a[middle:high][::-1], b[start:stop][::-1])
+            total = np.concatenate([[0], np.cumsum(before)]) + np.concatenate([[0], np.cumsum(after)])[::-1]
+            cut_ = start + int(total.argmax())
+            todo += [(low, middle, start, cut_), (middle, high, cut_, stop)]
+    return found
+
+
+def growth(a: list[str], b: list[str]) -> np.ndarray:
+    """For each line of b whether it makes the longest common subsequence of a and b's lines so far longer by one.
+
+    A zero in `row` is such a line; a line of a moves each zero to the first of its places behind the zero before."""
+    places: dict[str, list[int]] = {}
+    for j, line in enumerate(b):
+        places.setdefault(line, []).append(j)
+    row = full = (1 << len(b)) - 1
+    masks: dict[str, int] = {}
+    for line in a:
+        if line not in places:
+            continue
+        mask = masks.get(line)
+        if mask is None:
+            bits = np.zeros(len(b), np.uint8)
+            bits[places[line]] = 1
+            mask = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            if len(masks) * len(b) < 1 << 26:  # 8 MB of bits
+                masks[line] = mask
+        hit = row & mask
+        row = ((row + hit) | (row - hit)) & full
+    data = np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8)
+    return 1 - np.unpackbits(data, bitorder="little")[: len(b)].astype(np.int64)
+
+
+def by_pairs(a: list[str], b: list[str]) -> set[int]:
+    """common() by all pairs of equal lines (Hunt and Szymanski)."""
     places: dict[str, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
+    for j in range(len(b) - 1, -1, -1):
         places.setdefault(b[j], []).append(j)
     ends: list[int] = []
     links: list[tuple] = []
-    for i in range(head, len(a) - tail):
-        for j in places.get(a[i], ()):
+    for i, line in enumerate(a):
+        for j in places.get(line, ()):
             k = bisect_left(ends, j)
             link = (i, links[k - 1] if k else None)
             if k == len(ends):
@@ -226,7 +284,7 @@ def common(a: list[str], b: list[str]) -> set[int]:
             else:
                 ends[k] = j
                 links[k] = link
-    link = links[-1] if links else None
+    found, link = set(), links[-1] if links else None
     while link:
         found.add(link[0])
         link = link[1]
