@@ -206,12 +206,40 @@ def mask_keep_domain(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", masks.keep_domain(value, F.lit("EMAIL")).alias("masked"))
 
 
-@query()
+def hex_sql(of: str, kind: str, blocks: int) -> str:
+    """The hexadecimal digits of a value's counter stream in SQL."""
+    return "(" + " || ".join(f"sha256(concat_ws(chr(0), 'veilframe', '{kind}', {of}, '{i}'))" for i in range(blocks)) + ")"
+
+
+def number_sql(h: str, k: int, below: int) -> str:
+    return f"(list_reduce(list_transform(string_split(substr({h}, {8 * k + 1}, 8), ''), lambda c: (strpos('0123456789abcdef', c) - 1)::BIGINT), lambda a, d: a * 16 + d) % {below})"
+
+
+def digits_sql(h: str, count: int) -> str:
+    return "(" + " || ".join(f"{number_sql(h, k, 10)}::VARCHAR" for k in range(count)) + ")"
+
+
+FAKE_PHONE = "'79' || " + digits_sql("hp", 9)
+FAKE_CARD = "'4' || " + digits_sql("hc", 14)
+LUHN_SUM = "list_sum([CASE WHEN i % 2 = 1 THEN CASE WHEN c[16 - i]::INT > 4 THEN c[16 - i]::INT * 2 - 9 ELSE c[16 - i]::INT * 2 END ELSE c[16 - i]::INT END FOR i IN range(1, 16)])"
+
+
+@query(
+    "WITH v AS (SELECT c_custkey, '+7 916 ' || lpad((c_custkey % 10000000)::VARCHAR, 7, '0') AS phone, '4111 1111 11' || lpad((c_custkey % 100)::VARCHAR, 2, '0') || ' 1111' AS card, c_name FROM customer), "
+    f"h AS (SELECT *, {hex_sql('phone', 'PHONE', 2)} AS hp, {hex_sql('card', 'CARD_NUMBER', 3)} AS hc, {hex_sql('c_name', 'EMAIL', 1)} AS he FROM v), "
+    f"m AS (SELECT c_custkey, {FAKE_PHONE} AS p, {FAKE_CARD} AS c, {number_sql('he', 0, 100000)} AS e FROM h), "
+    f"d AS (SELECT *, c || ((10 - ({LUHN_SUM}) % 10) % 10)::VARCHAR AS c16 FROM m) "
+    "SELECT c_custkey, '+' || p[1] || ' ' || p[2:4] || ' ' || p[5:11] AS phone, c16[1:4] || ' ' || c16[5:8] || ' ' || c16[9:12] || ' ' || c16[13:16] AS card, 'user' || lpad(e::VARCHAR, 5, '0') || '@example.com' AS email FROM d"
+)
 def mask_synthetic(spark, sf_dir):
+    """Made-up phones, cards and addresses: the counter stream, digits where they stood, a valid check digit."""
     from veilframe.functions.synthetic import synthetic
 
-    phone = F.concat(F.lit("+7 916 "), F.lpad((F.col("c_custkey") % 10000000).cast("string"), 7, "0"))
-    return table(spark, sf_dir, "customer").select("c_custkey", synthetic(phone, F.lit("PHONE")).alias("masked"))
+    key = F.col("c_custkey")
+    phone = F.concat(F.lit("+7 916 "), F.lpad((key % 10000000).cast("string"), 7, "0"))
+    card = F.concat(F.lit("4111 1111 11"), F.lpad((key % 100).cast("string"), 2, "0"), F.lit(" 1111"))
+    fake = lambda v, kind: synthetic(v, F.lit(kind))
+    return table(spark, sf_dir, "customer").select("c_custkey", fake(phone, "PHONE").alias("phone"), fake(card, "CARD_NUMBER").alias("card"), fake(F.col("c_name"), "EMAIL").alias("email"))
 
 
 @query(
@@ -288,6 +316,23 @@ def scrub_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", scrub.scrub("text").alias("line"))
 
 
+@query(
+    "WITH s AS (SELECT DISTINCT l_suppkey // 4 AS key, CASE WHEN l_linenumber % 2 = 0 THEN (l_orderkey * 7 % 500) * 100 ELSE (l_orderkey % 5000) * 10 END AS a, CASE WHEN l_linenumber % 2 = 0 THEN 60 ELSE 8 END AS n FROM lineitem), "
+    "k AS (SELECT * FROM s x WHERE n = 60 OR NOT EXISTS (SELECT 1 FROM s y WHERE y.key = x.key AND y.n = 60 AND x.a < y.a + 60 AND y.a < x.a + x.n)) "
+    "SELECT key, count(*) AS kept, sum(a)::BIGINT AS starts, sum(n)::BIGINT AS bytes, count(*) FILTER (n = 60) AS long FROM k GROUP BY key"
+)
+def resolve_dense(spark, sf_dir):
+    """Over a thousand overlapping spans in each row, with copies: long ones win, short ones fill what is left."""
+    li = table(spark, sf_dir, "lineitem")
+    long_ = F.col("l_linenumber") % 2 == 0
+    start = F.when(long_, (F.col("l_orderkey") * 7 % 500) * 100).otherwise((F.col("l_orderkey") % 5000) * 10).cast("int")
+    kind = F.when(long_, "FIO").otherwise("CITY")
+    one = F.struct(start.alias("start"), (start + F.when(long_, 60).otherwise(8)).alias("end"), kind.alias("type"), F.lit(0.9).alias("conf"), F.lit("query").alias("src"), F.lit("").alias("hint"))
+    rows = li.groupBy(F.floor(F.col("l_suppkey") / 4).cast("long").alias("key")).agg(F.collect_list(one).alias("spans"))
+    made = rows.select("key", F.explode(S.resolve(F.col("spans"))).alias("s")).withColumn("n", F.col("s.end") - F.col("s.start"))
+    return made.groupBy("key").agg(F.count("*").alias("kept"), F.sum("s.start").alias("starts"), F.sum("n").alias("bytes"), F.sum((F.col("n") == 60).cast("long")).alias("long"))
+
+
 def found_spans(spark, sf_dir) -> DataFrame:
     """(key, system_id, type, start, end, conf): one span for each line item, as if detected."""
     li = table(spark, sf_dir, "lineitem")
