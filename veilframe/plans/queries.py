@@ -557,3 +557,31 @@ def detect_long_documents(spark, sf_dir):
     """E-mail addresses of documents that are scanned as chunks of their own rows."""
     found = detect_long(table(spark, sf_dir, "documents"), "doc_id", "text", ["EMAIL"], size=2048)
     return found.select(F.col("key").alias("doc_id"), F.size(F.filter("spans", lambda x: x["type"] == "EMAIL")).cast("long").alias("emails"))
+
+
+def priced(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Intervals without a common key: of orders over part numbers, and of parts."""
+    start = F.col("o_custkey") * 2
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", start.alias("start"), (start + F.col("o_orderkey") % 7).alias("stop"))
+    size = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size")).otherwise(1)
+    return orders, table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("begin"), (F.col("p_partkey") + size).alias("finish"))
+
+
+INTERVALS = "a AS (SELECT o_orderkey, o_orderpriority, o_custkey * 2 AS start, o_custkey * 2 + o_orderkey % 7 AS stop FROM orders), b AS (SELECT p_partkey, p_partkey AS begin, p_partkey + CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 1 END AS finish FROM part)"
+OVERLAP = "a.start < b.finish AND b.begin < a.stop"
+
+
+@query(f"WITH {INTERVALS} SELECT o_orderpriority, count(*) AS n, count(p_partkey) AS pairs, sum(CASE WHEN p_partkey IS NOT NULL THEN least(stop, finish) - greatest(start, begin) END)::BIGINT AS shared FROM a LEFT JOIN b ON {OVERLAP} GROUP BY o_orderpriority")
+def interval_pairs(spark, sf_dir):
+    """All overlapping pairs, and the orders without any: a left join by overlap alone."""
+    met = relational.interval_join(*priced(spark, sf_dir), how="left")
+    shared = F.least("stop", "finish") - F.greatest("start", "begin")
+    return met.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count("p_partkey").alias("pairs"), F.sum(F.when(F.col("p_partkey").isNotNull(), shared)).cast("long").alias("shared"))
+
+
+@query(f"WITH {INTERVALS} SELECT o_orderpriority, EXISTS (SELECT 1 FROM b WHERE {OVERLAP}) AS met, count(*) AS n FROM a GROUP BY 1, 2")
+def interval_exists(spark, sf_dir):
+    """Which orders overlap any part: semi and anti joins."""
+    a, b = priced(spark, sf_dir)
+    parts = [relational.interval_join(a, b, how).withColumn("met", F.lit(how == "left_semi")) for how in ("left_semi", "left_anti")]
+    return parts[0].unionByName(parts[1]).groupBy("o_orderpriority", "met").agg(F.count("*").alias("n"))
