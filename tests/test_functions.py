@@ -255,10 +255,36 @@ def test_metric_families(spark):
     lines = [[r.line for r in f.collect()] for f in sinks.families(requests, masked, leaks, spark.range(3))]
     flat = {x for family in lines for x in family}
     assert {'veilframe_requests_total{op="other",status="200"} 1', 'veilframe_errors_total{status="500"} 1', 'veilframe_latency_ms_bucket{le="+Inf"} 2', "veilframe_latency_ms_count 2", 'veilframe_found_total{type="custom"} 1', 'veilframe_payloads_total{changed="false"} 1', 'veilframe_leaks_total{type="PHONE"} 1', "veilframe_evicted_total 3"} <= flat
-    assert len(lines) == 10 and all(x[1].startswith("# TYPE") for x in lines) and "veilframe_latency_ms_sum 31.5" in flat
+    assert len(lines) == 11 and all(x[1].startswith("# TYPE") for x in lines) and "veilframe_latency_ms_sum 31.5" in flat
 
 
 def test_percentiles_from_a_summary(spark):
     values = spark.range(1, 1001).selectExpr("cast(id as double) as v")
     exact, rough = (metrics.percentiles(values, "v", a).first() for a in (None, 1000))
     assert all(abs(a - b) <= 2 for a, b in zip(exact, rough, strict=True))
+
+
+def test_store_and_token_families(spark):
+    decisions = spark.createDataFrame([("mask", True), ("mask", False), ("demask", False), ("echo", False), ("mask", True)], "operation string, stored boolean")
+    flat = [r.line for f in sinks.store_families(decisions) for r in f.collect()]
+    assert {"veilframe_store_puts_total 2", "veilframe_store_skipped_total 1", "veilframe_store_hits_total 1", "veilframe_store_misses_total 1", "veilframe_store_repeats_total 0"} <= set(flat)
+    tokens = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS ts, 5L AS tokens_in, 7L AS tokens_out UNION ALL SELECT timestamp'2024-01-01 00:01:00', 10L, 20L")
+    flat = [r.line for f in sinks.token_families(tokens) for r in f.collect()]
+    assert {"veilframe_tokens_in_total 15", "veilframe_tokens_out_total 27", "veilframe_requests_per_second 0.1", "veilframe_tokens_per_second 3.0"} <= set(flat)
+
+
+def test_sketches_stay_within_their_error_and_merge(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(g, d, abs(r.lognormvariate(2, 2)) if g else float(r.randrange(1, 50))) for g in (0, 1) for d in range(3) for _ in range(400)]
+    df = spark.createDataFrame([*rows, (1, 0, None), (1, 0, float("nan"))], "g int, d int, v double").repartition(5)
+    whole, parts = metrics.sketch(df, "v", ["g"]), metrics.merged(metrics.sketch(df, "v", ["g", "d"]), ["g"])
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+    quantiles = [0.0, 0.1, 0.5, 0.95, 0.99, 1.0]
+    got = {(x.g, x.quantile): x.estimate for x in metrics.sketch_quantiles(parts, ["g"], quantiles).collect()}
+    for g in (0, 1):
+        ordered = sorted(v for h, _, v in rows if h == g)
+        for q in quantiles:
+            exact = ordered[int(q * (len(ordered) - 1))]
+            assert abs(got[g, q] - exact) <= 0.01 * exact * (1 + 1e-9)

@@ -69,6 +69,42 @@ def percentiles(requests: DataFrame, value: str, accuracy: int | None = None) ->
     return requests.agg(p(0.5), p(0.9), p(0.95), p(0.99), F.max(value).alias("max"))
 
 
+#: What a sketch tells apart: values from LOW to HIGH; beyond them a value counts as the bound.
+LOW, HIGH = 1e-3, 1e7
+
+
+def gamma(error: float) -> float:
+    return (1 + error) / (1 - error)
+
+
+def sketch(rows: DataFrame, value: str, by: list[str], error: float = 0.01) -> DataFrame:
+    """(by..., bucket, n): a mergeable summary of a value by group, of a size that doesn't depend on the rows.
+
+    Bucket i holds the values above gamma**(i - 1) up to gamma**i; at an error of 0.01 there are 1152 buckets from LOW to
+    HIGH. The partial sums of tasks, of windows of a stream or of days are merged by adding up counts (merged())."""
+    x = F.least(F.greatest(F.col(value).cast("double"), F.lit(LOW)), F.lit(HIGH))
+    bucket = F.ceil(F.log(x) / F.log(F.lit(gamma(error)))).cast("int")
+    return rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def merged(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """The sketch of all rows that some sketches summarise, by fewer or the same groups."""
+    return sketches.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
+
+
+def sketch_quantiles(sketches: DataFrame, by: list[str], quantiles: list[float], error: float = 0.01) -> DataFrame:
+    """(by..., quantile, estimate): for the value of rank floor(quantile * (count - 1)) a number that is off by `error` of
+    it at most. A window sees the buckets of one group, which are bounded."""
+    group = Window.partitionBy(*by)
+    upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    placed = sketches.withColumn("upto", upto).withColumn("total", F.sum("n").over(group))
+    asked = placed.withColumn("quantile", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
+    rank = F.floor(F.col("quantile") * (F.col("total") - 1))
+    here = asked.where((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank))
+    g = gamma(error)
+    return here.select(*by, "quantile", (F.pow(F.lit(g), F.col("bucket")) * (2 / (g + 1))).alias("estimate"))
+
+
 def rates(requests: DataFrame, ts: str = "ts", seconds: int = 10) -> DataFrame:
     """(second, rate): events a second over the last `seconds` seconds, for each second with an event.
 

@@ -585,3 +585,18 @@ def interval_exists(spark, sf_dir):
     a, b = priced(spark, sf_dir)
     parts = [relational.interval_join(a, b, how).withColumn("met", F.lit(how == "left_semi")) for how in ("left_semi", "left_anti")]
     return parts[0].unionByName(parts[1]).groupBy("o_orderpriority", "met").agg(F.count("*").alias("n"))
+
+
+GAMMA = metrics.gamma(0.01)
+
+
+@query(
+    f"WITH b AS (SELECT system_id, ceil(ln(least(greatest(latency_ms, {metrics.LOW}), {metrics.HIGH})) / ln({GAMMA!r}::DOUBLE))::INT AS bucket, count(*) AS n FROM {REQUESTS_SQL} WHERE latency_ms IS NOT NULL GROUP BY 1, 2), "
+    "u AS (SELECT *, sum(n) OVER (PARTITION BY system_id ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY system_id) AS total FROM b) "
+    f"SELECT system_id, q AS quantile, round(pow({GAMMA!r}::DOUBLE, bucket) * {2 / (GAMMA + 1)!r}::DOUBLE, 6) AS estimate FROM u, (SELECT unnest([0.5, 0.9, 0.99]::DOUBLE[]) AS q) WHERE upto > floor(q * (total - 1)) AND upto - n <= floor(q * (total - 1))"
+)
+def metric_sketch(spark, sf_dir):
+    """Latency quantiles by system, within one percent: sketches by system and hour, merged."""
+    hourly = metrics.sketch(requests(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts")), "latency_ms", ["system_id", "hour"])
+    found = metrics.sketch_quantiles(metrics.merged(hourly, ["system_id"]), ["system_id"], [0.5, 0.9, 0.99])
+    return found.select("system_id", "quantile", F.round("estimate", 6).alias("estimate"))

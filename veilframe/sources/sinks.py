@@ -28,21 +28,57 @@ def latency(requests: DataFrame, name: str = "veilframe_latency_ms") -> DataFram
     return exposition(buckets, f"{name}_bucket", ["le"], kind="histogram", help_="milliseconds of a request").unionByName(ends)
 
 
-def families(requests: DataFrame, masked: DataFrame, leaks: DataFrame | None = None, evicted: DataFrame | None = None) -> list[DataFrame]:
+def latency_by_operation(requests: DataFrame, name: str = "veilframe_operation_latency_ms") -> DataFrame:
+    """(line): cumulative buckets by operation, from one pass."""
+    op = metrics.closed(F.col("op"), metrics.OPERATIONS).alias("op")
+    upto = [F.count(F.when(F.col("latency_ms") <= b, 1)).alias(str(b)) for b in metrics.BOUNDS]
+    counted = requests.groupBy(op).agg(*upto, F.count("latency_ms").alias("+Inf"))
+    ends = [str(b) for b in metrics.BOUNDS] + ["+Inf"]
+    long = counted.select("op", F.explode(F.array(*[F.struct(F.lit(e).alias("le"), F.col(f"`{e}`").alias("n")) for e in ends])).alias("x")).select("op", "x.*")
+    return exposition(long, f"{name}_bucket", ["op", "le"], kind="histogram", help_="milliseconds of a request by operation")
+
+
+def store_families(decisions: DataFrame) -> list[DataFrame]:
+    """The families of the mapping store, from what was decided (operation, and `stored` for masks that were kept)."""
+    kinds = {"puts": ("mask", "mappings stored"), "skipped": ("mask", "masks without a mapping"), "hits": ("demask", "originals given back"), "repeats": ("again", "earlier masks given again"), "misses": ("echo", "masked payloads without a mapping")}
+    out = []
+    for name, (op, help_) in kinds.items():
+        hit = F.col("operation") == op
+        if op == "mask":
+            hit = hit & (F.col("stored") if name == "puts" else ~F.col("stored"))
+        out.append(exposition(decisions.agg(F.count(F.when(hit, 1)).alias("n")), f"veilframe_store_{name}_total", [], help_=help_))
+    return out
+
+
+def token_families(tokens: DataFrame, seconds: int = 10) -> list[DataFrame]:
+    """Tokens received and given (ts, tokens_in, tokens_out), and the last rates of requests and tokens a second."""
+    total = lambda c: tokens.agg(F.coalesce(F.sum(c), F.lit(0)).alias("n"))
+    last = F.max("ts").alias("end")
+    recent = tokens.join(F.broadcast(tokens.agg(last)), F.col("ts") > F.col("end") - F.make_dt_interval(secs=F.lit(seconds)))  # one row
+    rate = recent.agg((F.count("*") / seconds).alias("rps"), (F.coalesce(F.sum(F.col("tokens_in") + F.col("tokens_out")), F.lit(0)) / seconds).alias("tps"))
+    return [
+        exposition(total("tokens_in"), "veilframe_tokens_in_total", [], help_="estimated tokens received"),
+        exposition(total("tokens_out"), "veilframe_tokens_out_total", [], help_="estimated tokens given"),
+        exposition(rate, "veilframe_requests_per_second", [], "rps", kind="gauge", help_="requests a second, lately"),
+        exposition(rate, "veilframe_tokens_per_second", [], "tps", kind="gauge", help_="tokens a second, lately"),
+    ]
+
+
+def families(requests: DataFrame, masked: DataFrame, leaks: DataFrame | None = None, evicted: DataFrame | None = None, decisions: DataFrame | None = None, tokens: DataFrame | None = None) -> list[DataFrame]:
     """The metric families of traffic (ts, system_id, op, status, latency_ms) and of what was masked (system_id,
     replacements), each a table of lines; labels come from closed sets and none holds a value."""
     by = lambda df, *c: df.groupBy(*c).agg(F.count("*").alias("n"))
     known = [F.lit(t) for t in NAMES]
     kinds = masked.select("system_id", F.explode("replacements.type").alias("type")).withColumn("type", F.when(F.col("type").isin(known), F.col("type")).otherwise("custom"))
-    p = metrics.percentiles(requests, "latency_ms", 10_000)
-    quantiles = p.select(F.explode(F.array(*[F.struct(F.lit(q).alias("quantile"), F.col(c).alias("n")) for q, c in (("0.5", "p50"), ("0.9", "p90"), ("0.95", "p95"), ("0.99", "p99"), ("1", "max"))])).alias("q")).select("q.*")
+    quantiles = metrics.sketch_quantiles(metrics.sketch(requests, "latency_ms", ["system_id"]), ["system_id"], [0.5, 0.9, 0.95, 0.99, 1.0])
     changed = masked.select("system_id", (F.size("replacements") > 0).alias("changed"))
     out = [
         exposition(metrics.request_counts(requests), "veilframe_requests_total", ["op", "status"], help_="requests by operation and status"),
         exposition(by(requests, "system_id"), "veilframe_system_requests_total", ["system_id"], help_="requests by system"),
         exposition(by(requests.where("status >= 400"), "status"), "veilframe_errors_total", ["status"], help_="failed requests"),
         latency(requests),
-        exposition(quantiles, "veilframe_latency_quantile_ms", ["quantile"], kind="gauge", help_="milliseconds by quantile"),
+        latency_by_operation(requests),
+        exposition(quantiles, "veilframe_latency_quantile_ms", ["system_id", "quantile"], "estimate", kind="gauge", help_="milliseconds by quantile, within one percent"),
         exposition(by(kinds, "type"), "veilframe_found_total", ["type"], help_="replacements by category"),
         exposition(by(kinds, "system_id", "type"), "veilframe_system_found_total", ["system_id", "type"], help_="replacements by system and category"),
         exposition(by(changed, "changed"), "veilframe_payloads_total", ["changed"], help_="payloads by whether masking changed them"),
@@ -51,6 +87,8 @@ def families(requests: DataFrame, masked: DataFrame, leaks: DataFrame | None = N
         out.append(exposition(by(leaks.select(F.explode("leaks.type").alias("type")), "type"), "veilframe_leaks_total", ["type"], help_="values found in masked texts"))
     if evicted is not None:
         out.append(exposition(evicted.agg(F.count("*").alias("n")), "veilframe_evicted_total", [], help_="entries dropped for room"))
+    out += store_families(decisions) if decisions is not None else []
+    out += token_families(tokens) if tokens is not None else []
     return out
 
 
