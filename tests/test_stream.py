@@ -9,6 +9,7 @@ from veilframe.plans import config as C
 from veilframe.plans.engine import Engine
 from veilframe.streaming.guard import decide, guard, masked_with_reload
 from veilframe.streaming.limiter import limit, take
+from veilframe.streaming.store import Shelf, capped_guard, reloading_guard
 from veilframe.streaming.windows import rates, sessions
 
 
@@ -100,3 +101,94 @@ def test_windows(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).outputMode("complete" if name == "w_rates" else "append").trigger(availableNow=True).start()
         q.awaitTermination(60)
     assert {(str(r.start)[-8:], r.n) for r in spark.table("w_rates").select(F.date_format("start", "HH:mm:ss").alias("start"), "n").collect()} == {("00:00:00", 3), ("00:00:40", 1)}
+
+
+class Memory(dict):
+    def put(self, key, value):
+        self[key] = value
+
+    def remove(self, key):
+        self.pop(key, None)
+
+
+def test_shelf_against_a_plain_list():
+    """Random puts, expiries and evictions: what stays is what a list in order of the last put says."""
+    import random
+
+    r = random.Random(6)
+    for _ in range(50):
+        shelf, order, now = Shelf(Memory(), Memory()), [], 0
+        for _ in range(200):
+            now += r.randrange(3)
+            key = str(r.randrange(12))
+            if r.random() < 0.7:
+                shelf.put(key, key, "*" + key, now + 20)
+                order = [x for x in order if x[0] != key] + [(key, now + 20)]
+            elif r.random() < 0.5:
+                assert shelf.expire(now) == [k for k, until in order if until <= now]
+                order = [x for x in order if x[1] > now]
+            else:
+                cap = r.randrange(4, 12)
+                gone = shelf.evict(cap)
+                assert gone == [k for k, _ in order[: max(0, len(order) - cap)]]
+                order = order[max(0, len(order) - cap) :]
+            assert shelf.count == len(order) == len(shelf.entries) and all(shelf.get(k) == (k, "*" + k) for k, _ in order)
+        assert len(shelf.queue) <= 200
+
+
+def test_capped_store_evicts_expires_and_restarts(spark, tmp_path):
+    schema = "seq long, payload_id string, payload string, system_id string"
+    text = "почта {}van.p@mail.ru"
+    mask = "почта {}**.*@****.ru"
+    config = C.default()
+    config.store.shards, config.store.max_entries, config.store.ttl_ms = 1, 3, 3_600_000
+    rows = [(i, f"p{i}", text.format("ab"[i % 2]), "default") for i in range(5)]
+    back = [(10 + i, f"p{i}", mask.format("ab"[i % 2] + "v"), "default") for i in range(5)]
+    src = tmp_path / "in"
+    for batch in (rows, back):  # the second run starts from the checkpoint
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(str(src))
+        stream = spark.readStream.schema(schema).json(str(src))
+        q = capped_guard(stream, Engine(config)).writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").start()
+        drain(q, len(batch))
+    got = spark.read.schema("seq long, payload_id string, operation string, result string").json(str(tmp_path / "out")).collect()
+    assert sorted(r.payload_id for r in got if r.operation == "evicted") == ["p0", "p1"]  # the oldest over the cap
+    assert {r.seq: r.operation for r in got if r.seq is not None and r.seq >= 10} == {10: "echo", 11: "echo", 12: "demask", 13: "demask", 14: "demask"}
+    assert {r.result for r in got if r.operation == "demask"} == {text.format("a"), text.format("b")}
+
+
+def test_a_timer_sweeps_the_store(spark, tmp_path):
+    schema = "seq long, payload_id string, payload string, system_id string"
+    config = C.default()
+    config.store.shards, config.store.ttl_ms = 1, 500
+    spark.createDataFrame([(1, "p", "почта ivan.p@mail.ru", "default")], schema).coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    q = capped_guard(stream, Engine(config)).writeStream.format("memory").queryName("swept").outputMode("append").start()
+    end = time.time() + 60
+    while time.time() < end and spark.table("swept").where("operation = 'expired'").isEmpty():
+        time.sleep(0.5)
+    q.stop()
+    assert [(r.payload_id, r.seq) for r in spark.table("swept").where("operation = 'expired'").collect()] == [("p", None)]
+
+
+def test_a_mapping_outlives_changed_rules(spark, tmp_path):
+    schema = "payload_id string, payload string, system_id string"
+    made, path, out = C.default(), str(tmp_path / "config.json"), {}
+
+    def write(done, batch_id):
+        out[batch_id] = {r.payload_id: (r.operation, r.result) for r in done.collect()}
+
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    steps = [(True, [("a", "почта ivan.p@mail.ru")]), (False, [("A ", "почта iv**.*@****.ru"), ("b", "почта anna.k@mail.ru")]), (True, [("a", "почта ivan.p@mail.ru")])]
+    for enabled, rows in steps:
+        made.systems[0].types["EMAIL"].enabled = enabled
+        C.save(made, path)
+        spark.createDataFrame([(*r, "default") for r in rows], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        q = reloading_guard(stream, lambda: C.load(path), str(tmp_path / "mapping"), write).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(90)
+        assert q.exception() is None
+    assert [out[k] for k in sorted(out)] == [
+        {"a": ("mask", "почта iv**.*@****.ru")},
+        {"A ": ("demask", "почта ivan.p@mail.ru"), "b": ("mask", "почта anna.k@mail.ru")},  # the rule is off now, the mapping is there
+        {"a": ("again", "почта iv**.*@****.ru")},
+    ]

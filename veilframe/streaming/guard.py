@@ -32,15 +32,15 @@ class Guard(StatefulProcessor):
         self.entry = handle.getValueState("entry", ENTRY, ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
         known = self.entry.get() if self.entry.exists() else None
-        out = []
-        for r in batch.itertuples():
-            operation, result, known = decide(r, known, self.max_value_bytes, self.identity)
-            out.append((r.seq, r.payload_id, operation, result))
+        for frame in rows:  # one at a time: an id may have any number of rows
+            out = []
+            for r in frame.sort_values("seq", kind="stable").itertuples():
+                operation, result, known = decide(r, known, self.max_value_bytes, self.identity)
+                out.append((r.seq, r.payload_id, operation, result))
+            yield pd.DataFrame(out, columns=[f.name for f in RESULT])
         if known is not None:
             self.entry.update(tuple(known))
-        yield pd.DataFrame(out, columns=[f.name for f in RESULT])
 
     def close(self) -> None:
         pass
@@ -59,17 +59,14 @@ def decide(row, known, max_value_bytes: int, identity: bool = False):
     return "mask", row.masked, (row.payload, row.masked) if stored else known
 
 
-def guard(stream: DataFrame, engine: Engine, mode: str = "append") -> DataFrame:
-    """(seq, payload_id, operation, result) of a stream (seq, payload_id, payload, system_id).
-
-    The detectors run before the shuffle, so it moves rows once, by id; an empty id has no entry and is
-    only masked. Where a failing detector leaves a payload as it is (on_error "echo"), the payload is stored
-    as its own mask. The state store must be RocksDB."""
+def prepared(stream: DataFrame, engine: Engine) -> DataFrame:
+    """(seq, payload_id, payload, masked, masked_already, may_store, key): what deciding needs. Detection is done here, before
+    the shuffle by key."""
     config = engine.config
     allowed = [s.id for s in config.systems if s.demask]
     known = [s.id for s in config.systems]
     system = F.when(F.col("system_id").isin(known), F.col("system_id")).otherwise(config.default_system)
-    rows = engine.mask(stream.withColumn("payload", F.coalesce("payload", F.lit("")))).select(
+    return engine.mask(stream.withColumn("payload", F.coalesce("payload", F.lit("")))).select(
         "seq",
         "payload_id",
         "payload",
@@ -78,8 +75,17 @@ def guard(stream: DataFrame, engine: Engine, mode: str = "append") -> DataFrame:
         (system.isin(allowed) & (F.length(F.trim("payload_id")) > 0)).alias("may_store"),
         F.when(F.length(F.trim("payload_id")) > 0, store_key("payload_id")).otherwise(F.concat(F.lit("\u0000"), F.col("seq").cast("string"))).alias("key"),
     )
+
+
+def guard(stream: DataFrame, engine: Engine, mode: str = "append") -> DataFrame:
+    """(seq, payload_id, operation, result) of a stream (seq, payload_id, payload, system_id).
+
+    An empty id has no entry and is only masked. Where a failing detector leaves a payload as it is (on_error "echo"), the
+    payload is stored as its own mask. Rows of one id are decided in the order of their Arrow batches, inside one by
+    seq. The state store must be RocksDB."""
+    config = engine.config
     processor = Guard(config.store.ttl_ms, config.store.max_value_bytes, identity=config.on_error == "echo")
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=RESULT, outputMode=mode, timeMode="ProcessingTime")
+    return prepared(stream, engine).groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=RESULT, outputMode=mode, timeMode="ProcessingTime")
 
 
 def masked_with_reload(stream: DataFrame, load: Callable[[], Config], write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
