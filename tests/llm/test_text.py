@@ -87,6 +87,19 @@ def test_token_files_hold_null_and_repeated_ids(spark):
     assert [r.doc_id for r in got] == [None, 1, 4, 4] and [r.start for r in got][0] == 0
 
 
+def test_token_files_with_a_bound_on_ranges(spark):
+    path = vocabulary("byte_bpe_50k.json")
+    rows = spark.createDataFrame([(i, f"text {i} " + "of some words " * (i % 9)) for i in range(200)], "doc_id long, text string").repartition(4)
+    made = {}
+    for most in (3, 50_000):
+        folder = fresh_folder(spark, "tokens")
+        catalogue = token_store.write(rows, folder, path, file_bytes=300, most_tokens=60, most_ranges=most)
+        parts, files = catalogue.select("part").distinct().count(), catalogue.count()
+        assert parts <= 3 < files if most == 3 else parts > 20
+        made[most] = sorted(map(tuple, token_store.read(catalogue, folder).collect()))
+    assert made[3] == made[50_000] and len(made[3]) == 200
+
+
 class Counted:
     def __init__(self, data):
         self.data, self.read = data, 0

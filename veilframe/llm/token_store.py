@@ -171,12 +171,16 @@ def pack(dac: Dac, doc_ids: np.ndarray, starts: np.ndarray, known: np.ndarray) -
 CATALOGUE = "file string, part long, number long, first_id long, n_docs long, n_tokens long"
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, file_bytes: int = 12 << 20, most_tokens: int = 2 << 20) -> DataFrame:
-    """Writes the token files; their catalogue, in order, also written as Parquet."""
+def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, file_bytes: int = 12 << 20, most_tokens: int = 2 << 20, most_ranges: int = 50_000) -> DataFrame:
+    """Writes the token files; their catalogue, in order, also written as Parquet.
+
+    Documents are dealt out in ranges of about file_bytes of text, but never in more than most_ranges: larger tables
+    have larger ranges, of which a task writes file after file of most_tokens. So the keys that are sampled for the
+    ranges' bounds, and what bases() orders and broadcasts, are bounded whatever the table's size."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(tokenizer_bytes(tokenizer_path))
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // file_bytes))
+    parts = min(most_ranges, max(1, -(-total // file_bytes)))
     # a doc_id that many rows share is split, too: by a hash of the text, equal rows by their place
     keys = ["doc_id", "mark", "place"]
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("place")).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
@@ -219,7 +223,7 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 def bases(catalogue: DataFrame) -> DataFrame:
     """(file, base, n_tokens): ids before each file. A catalogue has a row per file of millions of tokens; files of
-    a task are summed by task first, so that what is ordered at once are the tasks alone."""
+    a range are summed by range first, so that what is ordered at once and broadcast are the ranges, most_ranges at most."""
     parts = catalogue.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     done = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     before = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
