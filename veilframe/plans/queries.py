@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import calendar, checks, masks, scrub, text
 from veilframe.functions.types import NAMES
-from veilframe.operators import metrics, native, relational
+from veilframe.operators import dictionary, metrics, native, relational
 from veilframe.operators import spans as S
 from veilframe.operators.detect import detect, detect_long, explode_chunks, register_chunks
 from veilframe.plans import cases
@@ -600,3 +600,18 @@ def metric_sketch(spark, sf_dir):
     hourly = metrics.sketch(requests(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts")), "latency_ms", ["system_id", "hour"])
     found = metrics.sketch_quantiles(metrics.merged(hourly, ["system_id"]), ["system_id"], [0.5, 0.9, 0.99])
     return found.select("system_id", "quantile", F.round("estimate", 6).alias("estimate"))
+
+
+WORDS = r"'[\p{L}\p{Nd}_]+(?:-[\p{L}\p{Nd}_]+)*'"
+
+
+@query(
+    f"WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {WORDS})) AS entry FROM benchmark), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {WORDS})) AS entry FROM documents) "
+    "SELECT doc_id, count(*) AS n, sum(strlen(entry))::BIGINT AS bytes FROM w JOIN d USING (entry) WHERE length(entry) >= 6 GROUP BY doc_id"
+)
+def dictionary_words(spark, sf_dir):
+    """Words of a dictionary table - the long ones of the benchmark - in all documents."""
+    listed = F.explode(F.transform(dictionary.phrases("text", 1), lambda p: p["entry"]))
+    words = table(spark, sf_dir, "benchmark").select(listed.alias("entry")).where("length(entry) >= 6").select("entry", F.lit("TERM").alias("kind")).distinct()
+    found = dictionary.entries(table(spark, sf_dir, "documents"), "doc_id", "text", words, words=1)
+    return found.select(F.col("key").alias("doc_id"), F.size("spans").cast("long").alias("n"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("bytes"))
