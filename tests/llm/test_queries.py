@@ -6,9 +6,13 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from test_dedup import brute
 from test_text import words
+from test_trie import COLUMNS
+from test_trie import brute as whole_trie
+from test_vectors import nearest
 
 from veilframe.llm import bpe_tree
 from veilframe.llm.queries import ORACLES, QUERIES, vocabulary
@@ -38,7 +42,7 @@ def got(spark):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 def test_op1(got):
@@ -147,3 +151,45 @@ def test_op10(got):
         text = " ".join(html.unescape(re.sub(r"<(?!/?b>)[^>]*>", "\n", re.sub(r"</?b>", "", article))).split())
         assert (r.url, r.text, r.n_chars) == (url, text, len(text))
     assert len(got("op10_html_extract")) == len(PAGES)
+
+
+def test_op11(got):
+    found = sorted((tuple(r[c] for c in COLUMNS) for r in got("op11_prefix_trie")), key=lambda r: (r[1], r[0]))
+    assert found == whole_trie([r[:4] for r in rows("conversations")])
+
+
+def embeddings():
+    found = sorted((i, v) for i, v, *_ in rows("embeddings"))
+    return [i for i, _ in found], np.array([v for _, v in found], float)
+
+
+def test_op12(got):
+    ids, x = embeddings()
+    found = {}
+    for r in got("op12_collision_ann"):
+        found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert sorted(found) == [i for i in ids if i % 50 == 0]
+    hits = 0
+    for q, ranked in found.items():
+        want = nearest(ids, x, q, len(ids))
+        exact = dict(want)
+        assert sorted(ranked) == [1, 2, 3, 4, 5] and all(abs(exact[i] - s) < 1e-12 for i, s in ranked.values())
+        assert [ranked[k][1] for k in range(1, 6)] == sorted((s for _, s in ranked.values()), reverse=True)
+        hits += len({i for i, _ in want[:5]} & {i for i, _ in ranked.values()})
+    assert hits >= 0.9 * 5 * len(found)
+
+
+def test_op13(got):
+    ids, x = embeddings()
+    a = np.floor(1024 * x).astype(np.int64) + 100_000
+    n, d = len(a), a - a.sum(0) / len(a)
+    v = d.T @ d / n
+    e, u = np.linalg.eigh(v)
+    e, u = e[::-1][:8], u[:, ::-1][:, :8]
+    want, made = d @ u / np.sqrt(e), np.zeros((n, 8))
+    for r in got("op13_whitening"):
+        i = ids.index(r.vec_id)
+        made[i, r.component - 1] = r.whitened
+        assert r.n == n and r.deviation == int(((n * a[i] - a.sum(0)) ** 2).sum()) and r.identity_error < 1e-9
+        assert abs(r.explained / (e[r.component - 1] / np.trace(v)) - 1) < 1e-9
+    assert np.abs(made * np.sign((made * want).sum(0)) - want).max() < 1e-9
