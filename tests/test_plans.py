@@ -4,6 +4,7 @@ import random
 import re
 from datetime import date
 
+import duckdb
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -129,3 +130,19 @@ def test_calendar(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "t string").select(calendar.numeric_date("t", 2025)).collect()]
     assert got == [date(1999, 12, 31), None, date(2024, 2, 29), date(1930, 2, 1), date(2025, 2, 1), date(1926, 2, 1), None, date(2020, 2, 3), date(2020, 2, 3), None, None, None, None, None, None]
     assert spark.range(1).select(calendar.date_of(F.lit(5), F.lit(7), F.lit(1990))).first()[0] == date(1990, 7, 5)
+
+
+#: Texts in which an address touches the next word, with no blank between them.
+GLUED = ["ie hsr.29@mail5.example.comerüß x", "ie hsr.29@mail5.example.coméner x", "ie hsr.29@mail5.example.com7 x", "a.long@b-c.com_ b.long@b-c.com38.203.63.148", "hsr.29@mail5.example.com", "keine", ""]
+
+
+def by_sql(spark, folder, name, texts):
+    """A query's rows over documents of these texts, and its SQL's."""
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    documents = duckdb.sql(f"SELECT * FROM '{folder}/documents.parquet/*.parquet'")  # noqa: F841  the SQL's table
+    return sorted(map(tuple, QUERIES[name](spark, str(folder)).collect())), sorted(duckdb.sql(ORACLES[name]).fetchall())
+
+
+def test_an_address_that_touches_a_word_is_labelled_whole(spark, tmp_path):
+    got, want = by_sql(spark, tmp_path, "pii_label_emails", GLUED)
+    assert got == want and len(got) == 5

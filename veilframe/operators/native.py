@@ -15,7 +15,9 @@ from veilframe.functions.types import SPANS
 from veilframe.operators import digits
 from veilframe.operators.digits import span
 
-EMAIL = r"(?<![\p{L}\p{Nd}_.+-])[a-z0-9][a-z0-9._+-]*@(?:[a-z0-9а-яё-]+\.)+[a-zа-яё]{2,}(?![\p{L}\p{Nd}_])"
+#: Ends with the letters of its last label, whatever touches them: the rest of a word with no blank before it isn't a reason
+#: to cut a label off.
+EMAIL = r"(?<![\p{L}\p{Nd}_.+-])[a-z0-9][a-z0-9._+-]*@(?:[a-z0-9а-яё-]+\.)+(?:[a-z]{2,}|[а-яё]{2,})"
 #: Mailboxes of a role, not of a person; a list of further institutions' domains is the caller's.
 ROLES = ("admin", "contact", "help", "hr", "info", "noreply", "office", "press", "sales", "support")
 INSTITUTIONS = ("sberbank.ru",)
