@@ -146,3 +146,8 @@ def by_sql(spark, folder, name, texts):
 def test_an_address_that_touches_a_word_is_labelled_whole(spark, tmp_path):
     got, want = by_sql(spark, tmp_path, "pii_label_emails", GLUED)
     assert got == want and len(got) == 5
+
+
+def test_an_address_that_touches_a_word_is_masked_whole(spark, tmp_path):
+    got, want = by_sql(spark, tmp_path, "pii_mask_emails", GLUED)
+    assert got == want and len(got) == len(GLUED)
