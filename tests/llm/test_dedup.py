@@ -251,3 +251,17 @@ def test_near_copies_that_differ_by_a_repeated_line(spark):
         rows += [(2 * k + 1, text), (2 * k + 2, f"{text} " + " ".join([line] * 470))]
     got = {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, rows)).collect()}
     assert got == brute(rows) and all(got[2 * k + 2] == 2 * k + 1 for k in range(12))
+
+
+def test_near_reads_and_keeps_only_what_is_open(spark, monkeypatch):
+    """Texts that the star has settled aren't shuffled by the second verification, and the bands' and contents' files are gone."""
+    boiler = [f"b{i}" for i in range(60)]
+    rows = [(k, " ".join(boiler + [f"o{k}x{i}" for i in range(20)])) for k in range(40)]
+    rows += [(100 + 2 * k + j, " ".join([f"s{k}x{i}" for i in range(100 - j)])) for k in range(30) for j in (0, 1)]
+    read, gone, verify, forget = [], [], near_dedup.verify, near_dedup.forget
+    monkeypatch.setattr(near_dedup, "verify", lambda pairs, content, threshold: read.append(content.count()) or verify(pairs, content, threshold))
+    monkeypatch.setattr(near_dedup, "forget", lambda *frames: gone.extend(set(f.columns) for f in frames) or forget(*frames))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, rows)).collect()}
+    assert got == brute(rows)
+    assert len(read) == 2 and read[0] >= 60 + read[1] > 60
+    assert any("bands" in x for x in gone) and {"id", "content"} in gone

@@ -173,11 +173,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def links(docs: DataFrame, nodes: DataFrame, known: DataFrame, threshold: float, n: int) -> DataFrame:
-    """(node, comp) of the nodes that have a link; nodes: node, bands; known: links (a, b) that need no proof."""
+def links(docs: DataFrame, nodes: DataFrame, known: DataFrame, threshold: float, n: int, spent: DataFrame | None = None) -> DataFrame:
+    """(node, comp) of the nodes that have a link; nodes: node, bands; known: links (a, b) that need no proof. spent: what
+    cut() kept for nodes only; as of all that is no longer read, its files go as soon as the buckets are known."""
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
     near = cut(looked_up(members, cut(shared), "bucket"))  # (bucket, node, centre) of buckets with several nodes
+    if spent is not None:
+        forget(spent)
     pairs = near.where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     involved = cut(near.select(F.col("node").alias("doc_id")).distinct())
     content = cut(contents(within(docs, involved, ["doc_id"]), n))  # read by every verification
@@ -187,9 +190,14 @@ def links(docs: DataFrame, nodes: DataFrame, known: DataFrame, threshold: float,
     open_ = cut(looked_up(placed, cut(split.select("bucket")), "bucket").select("node", "comp").distinct())
     forget(near, placed)
     if open_.isEmpty():
+        forget(content)
         return comps
-    pairs, blocked = remainder(open_, content, threshold)
+    sets = cut(open_.join(content.withColumnRenamed("id", "node"), "node"))
+    forget(content)
+    content = sets.select(F.col("node").alias("id"), "content")  # what is settled isn't shuffled again
+    pairs, blocked = remainder(sets, content, threshold)
     found = cut(verify(pairs, content, threshold).unionByName(blocked).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    forget(sets)
     if found.isEmpty():
         return comps
     merged = components(found)
@@ -235,8 +243,9 @@ def shingle_rows(sets: DataFrame) -> DataFrame:
 
 def remainder(open_: DataFrame, content: DataFrame, threshold: float, small: int = 64, top: int = 16384, tracked: int = 131072):
     """Candidate pairs (a, b, ca, cb) of the nodes (node, comp) of different components, and links (a, b, ca, cb) found
-    where a list is too long for pairs; together they miss no pair of similarity threshold or more."""
-    sets = cut(open_.join(content.withColumnRenamed("id", "node"), "node"))
+    where a list is too long for pairs; together they miss no pair of similarity threshold or more. The nodes may have
+    their content with them."""
+    sets = open_ if "content" in open_.columns else cut(open_.join(content.withColumnRenamed("id", "node"), "node"))
     found = shingle_rows(sets).agg(F.expr(f"approx_top_k(mark, {top}, {tracked})").alias("t")).first().t
     # sets of n and m shingles need t / (1 + t) x (n + m) in common, from their first common one on: one of the two has
     # 2t / (1 + t) of its own left there, and asks
@@ -245,7 +254,8 @@ def remainder(open_: DataFrame, content: DataFrame, threshold: float, small: int
     rows = cut(prefixes(sets, threshold, {r["item"]: r["count"] for r in found or ()}).withColumn("asks", asks))
     lists = rows.groupBy("mark").agg(F.count("*").alias("n"), F.count_if("asks").alias("askers"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     lists = cut(lists.where("low < high and askers > 0").select("mark", "n", "askers"))
-    rows = cut(looked_up(rows, lists, "mark"))
+    every, rows = rows, cut(looked_up(rows, lists, "mark"))
+    forget(every, lists)
     short = rows.where(F.col("n") <= small).groupBy("mark").agg(F.collect_list(F.struct("node", "comp", "size", "left", "prev")).alias("l"))
     one = short.select(F.explode("l").alias("x"), "l")
     # two sets that have the shingle before this one in common, too, meet there already
@@ -324,10 +334,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = 24
     groups = cut(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
     first = groups.select("node").distinct()
     nodes = worded.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "bands")
-    comps = links(docs, nodes, shared_ids(worded, groups), threshold, n)
+    slim = cut(found.drop("bands"))
+    comps = links(docs, nodes, shared_ids(worded, groups), threshold, n, spent=found)
+    worded = slim.where("doc_id is not null and h1 is not null")
     comps = cut(groups.join(comps, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("class_id")))
     placed = looked_up(worded.select("doc_id", "h1", "h2"), comps, ["h1", "h2"]).select("doc_id", "class_id")
-    others = found.where("doc_id is null or h1 is null").select("doc_id", F.col("doc_id").alias("class_id"))
+    others = slim.where("doc_id is null or h1 is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return placed.unionByName(others).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
