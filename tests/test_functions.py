@@ -32,6 +32,12 @@ def test_lower_and_spaces_keep_byte_lengths(samples):
         assert r.c == r.t and not any(c in r.b for c in "  ")
 
 
+def test_letters_of_other_widths_move_nothing(spark):
+    """ẞ loses a byte in lower case, Ⱥ wins one: the text's length doesn't tell."""
+    t = "ẞ AB Ⱥ CD"
+    assert spark.range(1).select(text.safe_lower(F.lit(t))).first()[0] == "ẞ ab Ⱥ cd"
+
+
 def test_tokens_and_matches_have_byte_offsets(samples):
     for r in samples.select("t", text.tokens("t").alias("k"), text.matches("t", r"\p{L}+").alias("m")).collect():
         data = r.t.encode()

@@ -151,3 +151,15 @@ def test_an_address_that_touches_a_word_is_labelled_whole(spark, tmp_path):
 def test_an_address_that_touches_a_word_is_masked_whole(spark, tmp_path):
     got, want = by_sql(spark, tmp_path, "pii_mask_emails", GLUED)
     assert got == want and len(got) == len(GLUED)
+
+
+#: Role mailboxes, capitals, Cyrillic domains, addresses inside each other or glued to what stands before them, letters of
+#: other widths in lower case, letters of two halves.
+SPELT = ["info@example.com INFO@x.org", "a@sberbank.ru", "Hsr.29@mail5.example.com hsr.29@mail5.example.com", "HSR.29@MAIL5.EXAMPLE.COM"]
+SPELT += ["ab.1@почта.рф", "ab.1@mail.exampleпочта.com", "éab.2@x.com, xab.2@x.com, _ab.2@x.com ab.2@x.com", "xab.2@x.com ab.2@x.com x"]
+SPELT += ["ab.2@x.com ab.2@x.co", "ẞ ab@x.com Ⱥ ab.3@y.com ab@x.com", "\U0001d400ab@x.com", None, "x\u0001y a.1@x.com", "a@b.cc $1 \\1 a@b.cc"]
+
+
+def test_addresses_are_masked_wherever_the_sql_does(spark, tmp_path):
+    got, want = by_sql(spark, tmp_path, "pii_mask_emails", SPELT)
+    assert got == want and len(got) == len(SPELT)

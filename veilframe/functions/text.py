@@ -34,12 +34,17 @@ def from_byte_view(c: Column | str) -> Column:
     return F.decode(F.encode(col(c), "ISO-8859-1"), "UTF-8")
 
 
+#: Letters whose lower case is wider or narrower. Two of them may cancel out in a text's length, but not in between.
+UNEVEN = "".join(c for c in map(chr, range(0x80, 0xD800)) if len(c.lower().encode()) != len(c.encode()))
+
+
 def safe_lower(c: Column | str) -> Column:
     """Lower case of the same byte length: a letter whose lower case is wider or narrower stays."""
     c = col(c)
     low = F.lower(c)
     kept = F.transform(F.split(c, ""), lambda x: F.when(F.octet_length(F.lower(x)) == F.octet_length(x), F.lower(x)).otherwise(x))
-    return F.when(F.octet_length(low) == F.octet_length(c), low).otherwise(F.array_join(kept, ""))
+    even = (F.octet_length(c) == F.length(c)) | (F.octet_length(low) == F.octet_length(c)) & ~c.rlike(f"[{UNEVEN}]")
+    return F.when(even, low).otherwise(F.array_join(kept, ""))
 
 
 def normalize_spaces(c: Column | str) -> Column:

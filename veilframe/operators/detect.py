@@ -115,14 +115,14 @@ def register_chunks(spark) -> None:
     spark.udtf.register("text_chunks", F.udtf(Chunks, returnType="offset: int, chunk: string"))
 
 
-def both(text: str, types: Iterable[str], ref_year: int, dictionaries: dict | None, size: int, overlap: int, on_error: str) -> Column | None:
+def both(text: str, types: Iterable[str], ref_year: int, dictionaries: dict | None, size: int, overlap: int, on_error: str, mailboxes: str = "personal") -> Column | None:
     """The spans of native detectors and context scanners, unresolved; None if no category is enabled. Python is in the
     plan only if a category needs a scanner."""
     types = set(types)
     institutions = tuple(dict((dictionaries or {}).get("words", ())).get("institutions", ()))
     parts = []
     if types & native.TYPES:
-        parts.append(native.detect(text, sorted(types & native.TYPES), institutions))
+        parts.append(native.detect(text, sorted(types & native.TYPES), institutions, mailboxes))
     if types - native.TYPES:
         parts.append(F.coalesce(scanned(F.col(text), types - native.TYPES, ref_year, dictionaries, size, overlap, on_error), F.array().cast(SPANS)))
     return (parts[0] if len(parts) == 1 else F.concat(*parts)) if parts else None
@@ -132,12 +132,12 @@ def users(text: Column, custom: Iterable) -> list[Column]:
     return [native.custom(text, t.name, t.pattern, t.anchors, t.window or 40) for t in custom]
 
 
-def detect_long(df: DataFrame, key: str, text: str = "payload", types: Iterable[str] = (), custom: Iterable = (), ref_year: int = 2025, dictionaries: dict | None = None, size: int = 64 << 10, overlap: int = 256, on_error: str = "fail") -> DataFrame:
+def detect_long(df: DataFrame, key: str, text: str = "payload", types: Iterable[str] = (), custom: Iterable = (), ref_year: int = 2025, dictionaries: dict | None = None, size: int = 64 << 10, overlap: int = 256, on_error: str = "fail", mailboxes: str = "personal") -> DataFrame:
     """(key, spans): what detect() finds, for tables with documents of any length: their chunks are rows of their
     own, dealt out anew, so that one huge document is many tasks' work. Only spans come back together. A value of a
     user-defined category is found if it and its anchor fit into what two chunks share."""
     parts = explode_chunks(df, key, text, size, overlap).repartition("key", "offset")
-    found = both("chunk", types, ref_year, dictionaries, size + overlap + 4, overlap, on_error)
+    found = both("chunk", types, ref_year, dictionaries, size + overlap + 4, overlap, on_error, mailboxes)
     columns = ([] if found is None else [found]) + users(F.col("chunk"), custom)
     spans = parts.select("key", "offset", (F.concat(*columns) if columns else F.array().cast(SPANS)).alias("spans"))
     moved = F.transform("spans", lambda s: s.withField("start", s["start"] + F.col("offset")).withField("end", s["end"] + F.col("offset")))
@@ -145,13 +145,13 @@ def detect_long(df: DataFrame, key: str, text: str = "payload", types: Iterable[
     return grouped.select("key", resolved(F.col("spans")).alias("spans"))
 
 
-def detect(df: DataFrame, text: str = "payload", types: Iterable[str] = (), custom: Iterable = (), ref_year: int = 2025, dictionaries: dict | None = None, size: int = 64 << 10, overlap: int = 256, out: str = "spans", on_error: str = "fail") -> DataFrame:
+def detect(df: DataFrame, text: str = "payload", types: Iterable[str] = (), custom: Iterable = (), ref_year: int = 2025, dictionaries: dict | None = None, size: int = 64 << 10, overlap: int = 256, out: str = "spans", on_error: str = "fail", mailboxes: str = "personal") -> DataFrame:
     """df with a column of resolved spans.
 
     E-mail addresses, numbers and user-defined categories are native columns; the context scanners run, in one Python
     pass, for names, passports, dates and addresses only. Overlaps are resolved last."""
     c = F.col(text)
-    found = both(text, types, ref_year, dictionaries, size, overlap, on_error)
+    found = both(text, types, ref_year, dictionaries, size, overlap, on_error, mailboxes)
     columns = ([] if found is None else [found]) + users(c, custom)
     raw = F.concat(*columns) if columns else F.array().cast(SPANS)
     return df.withColumn(out, once(F.when(c.isNotNull(), resolved(raw))))

@@ -17,7 +17,10 @@ from veilframe.operators.digits import span
 
 #: Ends with the letters of its last label, whatever touches them: the rest of a word with no blank before it isn't a reason
 #: to cut a label off.
-EMAIL = r"(?<![\p{L}\p{Nd}_.+-])[a-z0-9][a-z0-9._+-]*@(?:[a-z0-9а-яё-]+\.)+(?:[a-z]{2,}|[а-яё]{2,})"
+#: The letter beyond the sixteen-bit characters is there for Java, which looks back by characters, not by their halves, only then.
+EDGE = r"(?<![\p{L}" + "\U0001d400" + r"\p{Nd}_.+-])"
+EMAIL = EDGE + r"[a-z0-9][a-z0-9._+-]*@(?:[a-z0-9а-яё-]+\.)+(?:[a-z]{2,}|[а-яё]{2,})"
+ASCII_EMAIL = EDGE + r"[a-z0-9][a-z0-9._+-]*@(?:[a-z0-9-]+\.)+[a-z]{2,}"
 #: Mailboxes of a role, not of a person; a list of further institutions' domains is the caller's.
 ROLES = ("admin", "contact", "help", "hr", "info", "noreply", "office", "press", "sales", "support")
 INSTITUTIONS = ("sberbank.ru",)
@@ -26,17 +29,20 @@ INSTITUTIONS = ("sberbank.ru",)
 TYPES = frozenset({"EMAIL", *digits.BY_WINDOWS})
 
 
-def emails(text: Column | str, institutions: tuple[str, ...] = ()) -> Column:
-    """Personal e-mail addresses: neither role mailboxes nor those of institutions."""
+def emails(text: Column | str, institutions: tuple[str, ...] = (), mailboxes: str = "personal") -> Column:
+    """E-mail addresses. mailboxes: "personal" (neither role mailboxes nor those of institutions) or "ascii" (all, of
+    ASCII letters only)."""
+    if mailboxes == "ascii":
+        return F.transform(matches(safe_lower(text), ASCII_EMAIL), lambda m: span(m, "EMAIL", 0.98))
     domains = "|".join(re.escape(d) for d in (*INSTITUTIONS, *institutions))
     local = lambda m: F.regexp_extract(m["text"], r"^([^@+]*)", 1)
     found = F.filter(matches(safe_lower(text), EMAIL), lambda m: ~local(m).isin(*ROLES) & ~m["text"].rlike(rf"[@.](?:{domains})$"))
     return F.transform(found, lambda m: span(m, "EMAIL", 0.98))
 
 
-def detect(text: str, types: Iterable[str], institutions: tuple[str, ...] = ()) -> Column:
+def detect(text: str, types: Iterable[str], institutions: tuple[str, ...] = (), mailboxes: str = "personal") -> Column:
     """All native detectors of some categories over a column in one array, unresolved; others are not even built."""
-    mails = [F.when(F.col(text).contains("@"), emails(text, institutions)).otherwise(F.array().cast(SPANS))] if "EMAIL" in types else []
+    mails = [F.when(F.col(text).contains("@"), emails(text, institutions, mailboxes)).otherwise(F.array().cast(SPANS))] if "EMAIL" in types else []
     return F.concat(*mails, digits.detect(text, types))
 
 

@@ -79,6 +79,7 @@ class Config:
     token_salt: str = TOKEN_SALT  # equal salts give equal tokens
     on_error: str = "fail"  # or "echo": a payload that a detector fails on stays as it is
     words: str = ""  # a folder of additional word lists
+    mailboxes: str = "personal"  # or "ascii": e-mail addresses of roles and institutions, too, but ASCII ones only
 
     def system(self, id_: str | None) -> System | None:
         """The named system if it is enabled; else the default one, unless a system is required."""
@@ -162,6 +163,8 @@ def problems(c: Config) -> list[str]:
             out += [f"system {s.id!r}, {name}: unknown companion {x!r}" for x in r.requires_companion if x not in known]
     if c.on_error not in ("fail", "echo"):
         out.append(f"unknown on_error {c.on_error!r}")
+    if c.mailboxes not in ("personal", "ascii"):
+        out.append(f"unknown mailboxes {c.mailboxes!r}")
     if c.store.max_bytes < 2 * c.store.max_value_bytes:
         out.append("store: max_bytes must be twice max_value_bytes at least")
     if c.store.ttl_ms <= 0 or c.store.shards <= 0 or c.store.max_entries <= 0:

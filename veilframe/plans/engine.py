@@ -51,7 +51,7 @@ class Engine:
     def _kept(self, df: DataFrame, systems: list[System], text: str) -> DataFrame:
         """df with the spans that its systems' rules let pass; the systems enable the same categories."""
         c = self.config
-        found = detect(df, text, self._enabled(systems[0]), c.custom_types, c.ref_year, self.dictionaries, c.chunk_bytes, c.chunk_overlap, on_error=c.on_error)
+        found = detect(df, text, self._enabled(systems[0]), c.custom_types, c.ref_year, self.dictionaries, c.chunk_bytes, c.chunk_overlap, on_error=c.on_error, mailboxes=c.mailboxes)
         floors = {t.name: t.min_confidence for t in c.custom_types if t.name not in systems[0].types}
         plain = not floors and all(r.enabled and not r.requires_companion and r.min_confidence in (0, 0.7) for s in systems for r in s.types.values())
         if plain:  # one floor for all: a map lookup of each span would say the same
@@ -66,7 +66,7 @@ class Engine:
         """(key, spans) that the system's rules let pass, for tables with documents of any length: chunks are rows of
         their own. key must name a row."""
         c, system = self.config, self._system(system_id)
-        found = detect_long(df, key, text, self._enabled(system), c.custom_types, c.ref_year, self.dictionaries, c.chunk_bytes, c.chunk_overlap, c.on_error)
+        found = detect_long(df, key, text, self._enabled(system), c.custom_types, c.ref_year, self.dictionaries, c.chunk_bytes, c.chunk_overlap, c.on_error, c.mailboxes)
         floors = {t.name: t.min_confidence for t in c.custom_types if t.name not in system.types}
         return found.withColumn("spans", S.passes_rules(F.col("spans"), rule_map(system, c), floors))
 
@@ -81,12 +81,22 @@ class Engine:
         kept = self._kept(df, systems, text)
         if c.expand_labels if widen is None else widen:
             kept = kept.withColumn("spans", S.expand_labels(text, F.col("spans")))
-        used = {strategy} if strategy else {r.strategy for s in systems for r in s.types.values()} | {t.strategy for t in c.custom_types}
-        labels = {t.name: t.label for t in c.custom_types if t.label}
         names = by_system(systems, lambda s: strategy_map(s, c, strategy))
-        out = kept.withColumn("_data", utf8(text)).withColumn("_made", S.apply_masks(F.col("_data"), F.col("spans"), names, synthetic="synthetic" in used, labels=labels, salt=c.token_salt)).drop("_data")
+        out = kept.withColumn("_data", utf8(text)).withColumn("_made", S.apply_masks(F.col("_data"), F.col("spans"), names, **self._options(systems, strategy))).drop("_data")
         return out.withColumn("masked", S.rewritten(text, F.col("_made"))).withColumn("replacements", S.replacements(F.col("_made"))).withColumn("types", F.array_distinct(F.transform("_made", lambda p: p["type"]))).drop("_made")
 
+    def _options(self, systems: list[System], strategy: str | None = None) -> dict:
+        c = self.config
+        used = {strategy} if strategy else {r.strategy for s in systems for r in s.types.values()} | {t.strategy for t in c.custom_types}
+        return {"synthetic": "synthetic" in used, "labels": {t.name: t.label for t in c.custom_types if t.label}, "salt": c.token_salt}
+
+    def mask_values(self, df: DataFrame, system_id: str = "default", text: str = "payload") -> DataFrame:
+        """df with `spans` and `masked`: values that were found somewhere in a text are masked in all of it, not by their
+        places: glued to another word, too, but only as they are spelled in lower case."""
+        system = self._system(system_id)
+        masked = S.masked_values(text, F.col("spans"), strategy_map(system, self.config), **self._options([system]))
+        return self._kept(df, [system], text).withColumn("masked", masked)
+
     def mask(self, df: DataFrame, text: str = "payload") -> DataFrame:
         """df with spans, masked, replacements, types. Rows are masked by the rules of their own system; an unknown
         system falls back to the default one, or gives nulls where a system is required.
