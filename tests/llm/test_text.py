@@ -109,6 +109,16 @@ class Counted:
         return self.data[offset : offset + size]
 
 
+def test_words_are_not_learned_anew_before_many_others(monkeypatch):
+    """160,000 words that come twice, in the same order, are encoded once, with the number of words that write() remembers."""
+    memo, learned = bpe_tree.Memo(bpe_tree.load(bpe_tree.tokenizer_bytes(vocabulary("byte_bpe_50k.json"))), token_store.WORDS), []
+    learn = memo.learn
+    monkeypatch.setattr(memo, "learn", lambda new: learned.append(len(new)) or learn(new))
+    texts = ["x " + " ".join(f"w{i:x}" for i in range(a, a + 20_000)) for a in range(0, 160_000, 20_000)]
+    first = [memo.encode([t])[0].tolist() for t in texts]
+    assert [memo.encode([t])[0].tolist() for t in texts] == first and sum(learned) == 160_000
+
+
 def test_a_token_is_read_without_its_file():
     rng = np.random.default_rng(3)
     ids = np.where(rng.random(900_000) < 0.5, rng.integers(0, 200, 900_000), rng.integers(0, 50_000, 900_000)).astype(np.uint32)

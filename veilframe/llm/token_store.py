@@ -168,6 +168,9 @@ def pack(dac: Dac, doc_ids: np.ndarray, starts: np.ndarray, known: np.ndarray) -
     return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *parts])
 
 
+#: Words that a worker remembers, about 70 MB. Texts whose words come again only after more than half of these are encoded anew.
+WORDS = 500_000
+
 CATALOGUE = "file string, part long, number long, first_id long, n_docs long, n_tokens long"
 
 
@@ -204,7 +207,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, fi
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.string(), *[pa.int64()] * 5], strict=True)], ["file", "part", "number", "first_id", "n_docs", "n_tokens"])
 
         for batch in pieces(batches, "text", 2 << 20):
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), memo(tokenizer, 250_000).encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), memo(tokenizer, WORDS).encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 ids.append(np.append(found, np.uint32(end_id)))
                 doc_ids.append(doc_id)
                 size += len(found) + 1
